@@ -1 +1,296 @@
-"""Registered queries (filled in incrementally)."""
+"""Registered activity-state queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marquee.operators import activity as A
+from marquee.plans.registry import register
+from marquee.plans.sqlviews import rhu, with_views
+
+
+@register("ratings_current", with_views("SELECT user_id, item_id, score, created_at, updated_at FROM ratings"))
+def q_ratings_current(cat):
+    """U1 (+U7 tombstones): current rating per (user, film)."""
+    return cat.ratings
+
+
+@register("apply_deletes", with_views("SELECT user_id, item_id, score, ts FROM rate_live"))
+def q_apply_deletes(cat):
+    """Rating writes that survive the last deletion of their key."""
+    return A.apply_tombstones(cat.activity, ["user_id", "item_id"], "rate", "unrate").select(
+        "user_id", "item_id", "score", "ts")
+
+
+@register("likes_current", with_views("SELECT user_id, item_id, created_at FROM likes"))
+def q_likes_current(cat):
+    """U2."""
+    return cat.likes
+
+
+@register("favorites_current", with_views("SELECT user_id, item_id, created_at FROM favorites"))
+def q_favorites_current(cat):
+    """U3."""
+    return cat.favorites
+
+
+@register("person_likes_current", with_views(
+    "SELECT user_id, person_name, person_type, created_at FROM liked_persons"))
+def q_person_likes_current(cat):
+    """U4."""
+    return cat.liked_persons
+
+
+@register("review_likes_current", with_views("SELECT user_id, review_id, created_at FROM review_likes"))
+def q_review_likes_current(cat):
+    """U5."""
+    return cat.review_likes
+
+
+@register("history_current", with_views("SELECT user_id, item_id, viewed_at FROM history"))
+def q_history_current(cat):
+    """U6."""
+    return cat.history
+
+
+@register("cascade_deletes", with_views("""
+SELECT p.id, p.review_id, p.user_id FROM review_replies p
+WHERE p.review_id IN (SELECT r.id FROM reviews r WHERE r.user_id IN (SELECT id FROM users WHERE is_active))
+  AND p.user_id IN (SELECT id FROM users WHERE is_active)
+"""))
+def q_cascade_deletes(cat):
+    """U8: deleting inactive users cascades to their reviews and replies,
+    and deleting a review cascades to its replies (parents first)."""
+    live_users = cat.users.filter(F.col("is_active"))
+    reviews = A.cascade_deletes(cat.reviews, live_users, "user_id")
+    replies = A.cascade_deletes(cat.review_replies, live_users, "user_id")
+    replies = A.cascade_deletes(replies, reviews, "review_id")
+    return replies.select("id", "review_id", "user_id")
+
+
+@register("users_current", with_views("""
+SELECT u.id, coalesce(g.u_email, u.email) AS email, u.username, u.role,
+  CASE WHEN coalesce(g.flips, 0) % 2 = 1 THEN NOT u.is_active ELSE u.is_active END AS is_active
+FROM users u LEFT JOIN (
+  SELECT user_id,
+    arg_max(CASE WHEN event_type = 'signup' THEN 'u' || CAST(user_id AS VARCHAR) || '+' || CAST(event_id AS VARCHAR) || '@example.com' END,
+            {'ts': ts, 'seq': event_id}) FILTER (WHERE event_type = 'signup') AS u_email,
+    count(*) FILTER (WHERE event_type = 'error') AS flips
+  FROM events WHERE event_type IN ('signup', 'error') GROUP BY user_id
+) g ON g.user_id = u.id
+"""))
+def q_users_current(cat):
+    """Partial profile updates and active-flag flips from the event log."""
+    upd = A.user_update_log(cat.t.events)
+    return A.users_current(cat.users, upd).select("id", "email", "username", "role", "is_active")
+
+
+@register("constraint_violations", with_views("""
+SELECT 'rating' AS entity, CAST(user_id AS VARCHAR) || ':' || item_id AS record_id, 'score_out_of_range' AS reason
+FROM activity WHERE kind = 'rate' AND (score IS NULL OR score < 1 OR score > 10)
+UNION ALL
+SELECT 'rating', CAST(user_id AS VARCHAR) || ':' || item_id, 'unknown_user'
+FROM activity WHERE kind = 'rate' AND user_id NOT IN (SELECT id FROM users)
+UNION ALL
+SELECT 'review', CAST(id AS VARCHAR),
+  CASE WHEN length(regexp_replace(coalesce(content, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) < 2
+       THEN 'review_too_short' ELSE 'review_too_long' END
+FROM reviews WHERE length(regexp_replace(coalesce(content, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) NOT BETWEEN 2 AND 500
+UNION ALL
+SELECT 'reply', CAST(id AS VARCHAR), 'reply_empty' FROM review_replies
+WHERE length(regexp_replace(coalesce(content, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) < 1
+UNION ALL
+SELECT 'user', CAST(id AS VARCHAR), 'username_length' FROM users
+WHERE username IS NULL OR length(username) < 2 OR length(username) > 20
+UNION ALL
+SELECT 'user', CAST(u.id AS VARCHAR), 'username_taken' FROM users u
+JOIN (SELECT username, min(id) AS keep FROM users GROUP BY username) k ON k.username = u.username
+WHERE u.id <> k.keep
+UNION ALL
+SELECT 'user', CAST(id AS VARCHAR), 'role_domain' FROM users WHERE coalesce(role, '') NOT IN ('user', 'admin')
+UNION ALL
+SELECT 'liked_person', CAST(user_id AS VARCHAR) || ':' || person_name, 'person_type_domain'
+FROM person_like_log WHERE coalesce(person_type, '') NOT IN ('director', 'actor')
+"""))
+def q_constraint_violations(cat):
+    """U10."""
+    return A.constraint_violations(cat.activity, cat.reviews, cat.review_replies, cat.users,
+                                   cat.person_like_log)
+
+
+@register("movie_avg_rating", with_views(f"""
+SELECT item_id, {rhu("avg(score)", 1)} AS avg_score, count(*) AS n_ratings FROM ratings GROUP BY item_id
+"""))
+def q_movie_avg_rating(cat):
+    """A17."""
+    return A.movie_avg_rating(cat.ratings)
+
+
+@register("user_stats", with_views(f"""
+SELECT u.id AS user_id, u.username,
+  coalesce(r.rating_count, 0) AS rating_count, coalesce(v.review_count, 0) AS review_count,
+  coalesce(l.like_count, 0) AS like_count, coalesce(f.favorite_count, 0) AS favorite_count,
+  coalesce({rhu("r.a", 1)}, 0.0) AS avg_score
+FROM users u
+LEFT JOIN (SELECT user_id, count(*) AS rating_count, avg(score) AS a FROM ratings GROUP BY user_id) r ON r.user_id = u.id
+LEFT JOIN (SELECT user_id, count(*) AS review_count FROM reviews GROUP BY user_id) v ON v.user_id = u.id
+LEFT JOIN (SELECT user_id, count(*) AS like_count FROM likes GROUP BY user_id) l ON l.user_id = u.id
+LEFT JOIN (SELECT user_id, count(*) AS favorite_count FROM favorites GROUP BY user_id) f ON f.user_id = u.id
+"""))
+def q_user_stats(cat):
+    """A18."""
+    return A.user_stats(cat.users, cat.ratings, cat.reviews, cat.likes, cat.favorites)
+
+
+@register("system_totals", with_views(f"""
+SELECT count(*) AS total_users, count(*) FILTER (WHERE is_active) AS active_users,
+  (SELECT count(*) FROM ratings) AS total_ratings,
+  (SELECT coalesce({rhu("avg(score)", 1)}, 0.0) FROM ratings) AS avg_rating,
+  (SELECT count(*) FROM reviews) AS total_reviews
+FROM users
+"""))
+def q_system_totals(cat):
+    """A19 totals."""
+    return A.system_totals(cat.users, cat.ratings, cat.reviews)
+
+
+@register("newest_users", with_views("""
+SELECT id, username, email, role, created_at, is_active,
+  row_number() OVER (ORDER BY created_at DESC NULLS LAST, id DESC) AS rk
+FROM users QUALIFY rk <= 5
+"""))
+def q_newest_users(cat):
+    """Five newest users."""
+    return A.newest_users(cat.users)
+
+
+@register("newest_reviews", with_views("""
+SELECT r.rk, r.id, r.user_id, u.username, r.movie_id, r.content, r.created_at
+FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS rk FROM reviews QUALIFY rk <= 10) r
+LEFT JOIN users u ON u.id = r.user_id
+"""))
+def q_newest_reviews(cat):
+    """Ten newest reviews with author."""
+    return A.newest_reviews(cat.reviews, cat.users)
+
+
+@register("list_users", with_views("SELECT id, username, email, role, created_at, is_active FROM users"))
+def q_list_users(cat):
+    """All users, newest first (a distributed range sort), no credentials."""
+    return cat.users.select("id", "username", "email", "role", "created_at", "is_active").orderBy(
+        F.col("created_at").desc_nulls_last(), F.col("id").desc())
+
+
+@register("review_like_count", with_views(
+    "SELECT review_id, count(*) AS like_count FROM review_likes GROUP BY review_id"))
+def q_review_like_count(cat):
+    """A20."""
+    return A.review_like_count(cat.review_likes)
+
+
+@register("item_like_count", with_views("SELECT item_id, count(*) AS n_likes FROM likes GROUP BY item_id"))
+def q_item_like_count(cat):
+    """A21 (likes)."""
+    return A.item_user_count(cat.likes, "n_likes")
+
+
+@register("item_fav_count", with_views(
+    "SELECT item_id, count(*) AS n_favorites FROM favorites GROUP BY item_id"))
+def q_item_fav_count(cat):
+    """A21 (favourites)."""
+    return A.item_user_count(cat.favorites, "n_favorites")
+
+
+@register("recent_ratings", with_views("""
+SELECT user_id, item_id, score, updated_at,
+  row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, item_id DESC) AS rk
+FROM ratings QUALIFY rk <= 50
+"""))
+def q_recent_ratings(cat):
+    """K9: newest 50 ratings of every user."""
+    return A.recent_by_user(cat.ratings, "updated_at", 50, "item_id").select(
+        "user_id", "item_id", "score", "updated_at", "rk")
+
+
+@register("recent_history", with_views("""
+SELECT user_id, item_id, viewed_at,
+  row_number() OVER (PARTITION BY user_id ORDER BY viewed_at DESC, item_id DESC) AS rk
+FROM history QUALIFY rk <= 50
+"""))
+def q_recent_history(cat):
+    """K9: newest 50 history entries of every user."""
+    return A.recent_by_user(cat.history, "viewed_at", 50, "item_id")
+
+
+@register("movie_reviews", with_views("""
+SELECT r.id, r.user_id, r.movie_id, r.content, r.created_at, r.rk, u.username, u.avatar AS user_avatar
+FROM (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY created_at DESC, id DESC) AS rk
+      FROM reviews QUALIFY rk <= 20) r
+JOIN users u ON u.id = r.user_id
+"""))
+def q_movie_reviews(cat):
+    """Newest 20 reviews per film with author."""
+    return A.movie_reviews(cat.reviews, cat.users)
+
+
+@register("review_replies", with_views("""
+SELECT p.id, p.review_id, p.user_id, p.content, p.created_at,
+  row_number() OVER (PARTITION BY p.review_id ORDER BY p.created_at, p.id) AS pos, u.username
+FROM review_replies p JOIN users u ON u.id = p.user_id
+"""))
+def q_review_replies(cat):
+    """Replies with author, oldest first."""
+    return A.review_replies_view(cat.review_replies, cat.users)
+
+
+@register("review_thread", with_views(f"""
+SELECT r.id AS review_id, r.movie_id, r.user_id, u.username,
+  coalesce(l.like_count, 0) AS like_count, coalesce(p.reply_count, 0) AS reply_count,
+  coalesce(p.reply_ids, '') AS reply_ids, m.score AS author_score,
+  coalesce(f.avg_score, 0.0) AS film_avg_score, coalesce(f.n_ratings, 0) AS film_n_ratings
+FROM reviews r
+LEFT JOIN users u ON u.id = r.user_id
+LEFT JOIN (SELECT review_id, count(*) AS like_count FROM review_likes GROUP BY review_id) l ON l.review_id = r.id
+LEFT JOIN (SELECT review_id, count(*) AS reply_count,
+                  string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS reply_ids
+           FROM review_replies GROUP BY review_id) p ON p.review_id = r.id
+LEFT JOIN (SELECT item_id, {rhu("avg(score)", 1)} AS avg_score, count(*) AS n_ratings FROM ratings GROUP BY item_id) f
+  ON f.item_id = r.movie_id
+LEFT JOIN ratings m ON m.user_id = r.user_id AND m.item_id = r.movie_id
+"""))
+def q_review_thread(cat):
+    """J3."""
+    return A.review_thread(cat.reviews, cat.review_replies, cat.review_likes, cat.ratings, cat.users)
+
+
+@register("enrich_ratings", with_views("""
+SELECT r.user_id, r.item_id, r.score, coalesce(i.title, '未知电影') AS title, coalesce(i.cover, '') AS cover,
+  coalesce(i.rating, 0.0) AS rating
+FROM ratings r LEFT JOIN items_by_id i ON i.id = r.item_id
+"""))
+def q_enrich_ratings(cat):
+    """Ratings with film title / cover / catalogue rating (missing film -> fixed title)."""
+    return A.enrich_items(cat.ratings.select("user_id", "item_id", "score"), cat.items_by_id)
+
+
+@register("enrich_persons", with_views("""
+SELECT l.user_id, l.person_name, l.person_type, coalesce(p.avatar_url, '') AS avatar_url,
+  coalesce(p.name_en, '') AS name_en, coalesce(p.profession, '') AS profession
+FROM liked_persons l LEFT JOIN persons_by_name p ON p.name = l.person_name
+"""))
+def q_enrich_persons(cat):
+    """Liked persons with their directory profile."""
+    return A.enrich_persons(cat.liked_persons.select("user_id", "person_name", "person_type"), cat.persons)
+
+
+@register("user_item_flags", with_views("""
+SELECT t.user_id, t.item_id, r.score AS my_score, l.user_id IS NOT NULL AS liked, f.user_id IS NOT NULL AS favorited
+FROM (SELECT user_id, item_id FROM ratings UNION SELECT user_id, item_id FROM likes
+      UNION SELECT user_id, item_id FROM favorites UNION SELECT user_id, item_id FROM history) t
+LEFT JOIN ratings r ON r.user_id = t.user_id AND r.item_id = t.item_id
+LEFT JOIN likes l ON l.user_id = t.user_id AND l.item_id = t.item_id
+LEFT JOIN favorites f ON f.user_id = t.user_id AND f.item_id = t.item_id
+"""))
+def q_user_item_flags(cat):
+    """J6."""
+    return A.user_item_flags(cat.ratings, cat.likes, cat.favorites, cat.history)

@@ -150,16 +150,26 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 WHERE l_returnflag IN ('N', 'R', 'A')
 UNION ALL
 SELECT user_id, regexp_extract(props, '"k": ([0-9]+)', 1) AS item_id,
-  CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'like' WHEN 'purchase' THEN 'favorite' END AS kind,
+  CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'like' WHEN 'purchase' THEN 'favorite'
+    WHEN 'error' THEN 'unrate' END AS kind,
   CAST(NULL AS INTEGER) AS score, ts, 1 AS src, event_id AS k1, CAST(0 AS BIGINT) AS k2
 FROM events
-WHERE event_type IN ('view', 'click', 'purchase') AND regexp_extract(props, '"k": ([0-9]+)', 1) <> ''
+WHERE event_type IN ('view', 'click', 'purchase', 'error') AND regexp_extract(props, '"k": ([0-9]+)', 1) <> ''
+""")
+
+view("rate_live", """
+SELECT a.user_id, a.item_id, a.score, a.ts, a.src, a.k1, a.k2
+FROM activity a
+LEFT JOIN (SELECT user_id, item_id, max({'ts': ts, 'src': src, 'k1': k1, 'k2': k2}) AS last_del
+           FROM activity WHERE kind = 'unrate' GROUP BY user_id, item_id) d
+  ON d.user_id = a.user_id AND d.item_id = a.item_id
+WHERE a.kind = 'rate' AND (d.last_del IS NULL OR {'ts': a.ts, 'src': a.src, 'k1': a.k1, 'k2': a.k2} > d.last_del)
 """)
 
 view("ratings", """
 SELECT user_id, item_id, arg_max(score, {'ts': ts, 'src': src, 'k1': k1, 'k2': k2}) AS score,
   min(ts) AS created_at, max(ts) AS updated_at
-FROM activity WHERE kind = 'rate' GROUP BY user_id, item_id
+FROM rate_live GROUP BY user_id, item_id
 """)
 
 view("likes", """

@@ -23,8 +23,8 @@ LANGUAGE_BY_MOD4 = ("en", "fr/de", "es, en", "")
 PROFESSION_BY_MOD3 = ("导演 / 演员", "演员", None)
 # activity kinds by lineitem return flag
 KIND_BY_RETURNFLAG = {"N": "rate", "R": "favorite", "A": "like"}
-# event types that become toggles / views
-KIND_BY_EVENT = {"view": "view", "click": "like", "purchase": "favorite"}
+# event types that become views, toggles and rating deletions
+KIND_BY_EVENT = {"view": "view", "click": "like", "purchase": "favorite", "error": "unrate"}
 BASE_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC, origin of synthetic review times
 
 
