@@ -1,13 +1,198 @@
-"""Person directory, credits joins and person rankings."""
+"""Person directory, credits joins, cleaning and page extraction
+(J5, J7-J9, J12, J13, A22, A23, E1-E4).
+
+Skew notes. "Keep the first row per key" is an aggregate ``min(ord)`` per key
+(map-side partial aggregation, so a key holding a third of all rows costs one
+row per task) followed by a join on ``(key, ord)``, which spreads a hot key
+over many tasks. Per-name top-k lists use ``row_number() <= k`` (a per-task
+group limit before the exchange), never ``collect_list`` over a whole group.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.functions.agg import top_k
+from marquee.functions.text import (bio_trim, file_ext_choice, normalize_image_url, primary_type,
+                                    split_cjk_latin, text_or_empty, ustrip)
+
+INTERNAL_FIELDS = ("_no_avatar", "_scrape_failed", "_scraped_at")
+FILL_FIELDS = ("avatar_local_path", "avatar_url", "name_en", "gender", "birth_date", "biography")
+MIN_APPEARANCES = 2
+FILMS_PER_PERSON = 10
+COLLABORATORS = 10
+
+
+def truthy(c) -> "F.Column":
+    c = F.col(c) if isinstance(c, str) else c
+    return c.isNotNull() & (c.cast("string") != "")
+
 
 def directory_by_name(persons: DataFrame) -> DataFrame:
-    """First directory entry per name in file order (one aggregate)."""
+    """Directory lookup by name: a repeated name keeps its last entry in file
+    order, like a JSON object read into a map (one aggregate, no sort)."""
     cols = [c for c in persons.columns if c != "name"]
-    agg = persons.groupBy("name").agg(F.min_by(F.struct(*cols), F.col("ord")).alias("r"))
+    agg = persons.groupBy("name").agg(F.max_by(F.struct(*cols), F.col("ord")).alias("r"))
     return agg.select("name", *[F.col(f"r.{c}").alias(c) for c in cols])
+
+
+def keep_first(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
+    """First row per non-empty ``key`` by ``order``; rows with an empty
+    key pass through. Skew-safe: partial min per key, then join on (key, order)."""
+    firsts = df.filter(truthy(key)).groupBy(key).agg(F.min(order).alias(order))
+    kept = df.join(firsts, [key, order], "left_semi")
+    return kept.unionByName(df.filter(~truthy(key)))
+
+
+def clean_persons(raw: DataFrame) -> DataFrame:
+    """Dedup on douban_id, then on personage_id among the survivors, then
+    drop internal fields and rows without douban_id (in that order: a row
+    without douban_id can win pass 2 and then be dropped)."""
+    p1 = keep_first(raw, "douban_id")
+    p2 = keep_first(p1, "personage_id")
+    keep = [c for c in raw.columns if c not in INTERNAL_FIELDS]
+    return p2.filter(truthy("douban_id")).select(*keep)
+
+
+def dedup_report(raw: DataFrame) -> DataFrame:
+    """Rows removed by each pass, with the name kept in their place."""
+    out = None
+    cur = raw
+    for step, key in ((1, "douban_id"), (2, "personage_id")):
+        firsts = (cur.filter(truthy(key)).groupBy(key)
+                  .agg(F.min("ord").alias("kept_ord"), F.min_by("name", F.col("ord")).alias("kept_name")))
+        removed = (cur.filter(truthy(key)).join(firsts, key)
+                   .filter(F.col("ord") != F.col("kept_ord"))
+                   .select(F.lit(step).alias("pass"), F.lit(key).alias("key"), F.col(key).alias("key_value"),
+                           F.col("name").alias("removed_name"), "kept_name"))
+        out = removed if out is None else out.unionByName(removed)
+        cur = keep_first(cur, key)
+    return out
+
+
+def fill_rates(persons: DataFrame) -> DataFrame:
+    """Per field, non-empty count and percentage (1 place); an empty
+    directory gives null percentages instead of a division by zero."""
+    from marquee.functions.text import round_half_up
+    agg = persons.agg(F.count(F.lit(1)).alias("total"),
+                      *[F.count_if(truthy(c)).alias(c) for c in FILL_FIELDS])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n")) for c in FILL_FIELDS]))
+    return agg.select("total", rows.alias("s")).select(
+        "s.field", "s.n", "total",
+        round_half_up(F.try_divide(F.col("s.n") * 100.0, F.col("total")), 1).alias("pct"))
+
+
+def person_frequency(items: DataFrame, min_films: int = MIN_APPEARANCES,
+                     max_ids: int = FILMS_PER_PERSON) -> DataFrame:
+    """Names credited (director or cast, once per film) in at least
+    ``min_films`` films, with up to ``max_ids`` film ids in file order."""
+    per_film = items.select("id", "ord", F.explode(F.array_distinct(F.concat("directors", "all_actors"))).alias("name"))
+    counts = per_film.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_films)
+    first = top_k(per_film, max_ids, [F.col("ord").asc(), F.col("id").asc()], partition=["name"], name="pos")
+    ids = first.groupBy("name").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]), ",")
+        .alias("film_ids"))
+    ranked = top_k(counts, None, [F.col("n").desc(), F.col("name").asc()])
+    return ranked.join(ids, "name")
+
+
+def filmography(items: DataFrame, credits: DataFrame) -> DataFrame:
+    """J7 for every person: the films of a name in either role with
+    is_director / is_actor flags and the person's total; best rated first
+    (a distributed range sort, so a prolific name spans several tasks)."""
+    roles = credits.groupBy("person", "item_id").agg(
+        F.max(F.col("role") == "director").alias("is_director"),
+        F.max(F.col("role") == "actor").alias("is_actor"))
+    totals = roles.groupBy("person").agg(F.count(F.lit(1)).alias("total"))
+    films = items.select(F.col("id").alias("item_id"), "title", "rating", "ord")
+    out = roles.join(films, "item_id").join(totals, "person")
+    return out.orderBy("person", F.col("rating").desc(), "ord").select(
+        "person", "item_id", "title", "rating", "is_director", "is_actor", "total")
+
+
+def collaborators(credits: DataFrame, seeds: DataFrame, persons_dir: DataFrame,
+                  n: int = COLLABORATORS) -> DataFrame:
+    """For each seed name, the others credited in its films (each film of
+    the seed once; a name in both lists of a film, or repeated, counts each
+    time), top ``n`` with profile."""
+    seed_films = (credits.join(seeds.select(F.col("name").alias("person")), "person", "left_semi")
+                  .select(F.col("person").alias("seed"), "item_id").distinct())
+    others = credits.select("item_id", F.col("person").alias("other"))
+    pairs = seed_films.join(others, "item_id").filter(F.col("other") != F.col("seed"))
+    g = pairs.groupBy("seed", "other").agg(F.count(F.lit(1)).alias("n"))
+    t = top_k(g, n, [F.col("n").desc(), F.col("other").asc()], partition=["seed"])
+    d = directory_by_name(persons_dir).select(F.col("name").alias("other"), "avatar_local_path", "profession")
+    return t.join(d, "other", "left").select(
+        "seed", "rk", "other", "n", F.coalesce("avatar_local_path", F.lit("")).alias("avatar"),
+        F.coalesce("profession", F.lit("")).alias("profession"))
+
+
+def most_credited(credits: DataFrame) -> DataFrame:
+    """The name with the most films (ties by name): a data-derived seed."""
+    g = credits.select("person", "item_id").distinct().groupBy("person").agg(F.count(F.lit(1)).alias("n"))
+    return top_k(g, 1, [F.col("n").desc(), F.col("person").asc()]).select(F.col("person").alias("name"))
+
+
+def person_lookup(names: DataFrame, persons_dir: DataFrame, credits: DataFrame) -> DataFrame:
+    """Directory entry of each name: exact name; else the first entry
+    (file order) whose name contains the query or is contained in it; else a
+    stub when the name has films; else nothing. Containment candidates come
+    from gram-routed equi-joins, not a nested loop."""
+    from marquee.operators.textjoin import contains_pairs
+    d = persons_dir.select("ord", "name", "avatar_url", "profession")
+    exact = names.join(d, "name").select("name", "ord", F.lit(1).alias("tier"))
+    missing = names.join(d.select("name"), "name", "left_anti")
+    dir_ids = d.select(F.col("ord"), F.col("name").alias("text"))
+    q_ids = missing.select(F.col("name").alias("qname"))
+    # directory name inside the query name, and query name inside the directory name
+    a = contains_pairs(dir_ids.select(F.col("ord").alias("needle_id"), F.col("text").alias("needle_text")),
+                       q_ids.select(F.col("qname").alias("hay_id"), F.col("qname").alias("hay_text")))
+    b = contains_pairs(q_ids.select(F.col("qname").alias("needle_id"), F.col("qname").alias("needle_text")),
+                       dir_ids.select(F.col("ord").alias("hay_id"), F.col("text").alias("hay_text")))
+    cont = (a.select(F.col("hay_id").alias("name"), F.col("needle_id").alias("ord"))
+            .unionByName(b.select(F.col("needle_id").alias("name"), F.col("hay_id").alias("ord")))
+            .groupBy("name").agg(F.min("ord").alias("ord")).select("name", "ord", F.lit(2).alias("tier")))
+    hits = exact.unionByName(cont)
+    out = hits.join(d.withColumnRenamed("name", "dir_name"), "ord")
+    stub_names = (missing.join(cont.select("name"), "name", "left_anti")
+                  .join(credits.select(F.col("person").alias("name")).distinct(), "name", "left_semi"))
+    stubs = stub_names.select("name", F.lit(None).cast("bigint").alias("ord"), F.lit(3).alias("tier"),
+                              F.col("name").alias("dir_name"), F.lit("").alias("avatar_url"),
+                              F.lit(None).cast("string").alias("profession"))
+    return out.select("name", "ord", "tier", "dir_name", "avatar_url", "profession").unionByName(stubs)
+
+
+def worklist(persons_dir: DataFrame, names: DataFrame) -> DataFrame:
+    """Names that still need a profile: not in the directory with an
+    avatar or a no-avatar mark (incremental ingest as a left anti join)."""
+    done = persons_dir.filter(truthy("avatar_local_path") | F.coalesce(F.col("_no_avatar"), F.lit(False)))
+    return names.join(done.select("name"), "name", "left_anti")
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
+    """Fields of person pages with native regex extraction: heading
+    split into name / Latin name, image URL normalised to the large size,
+    description trimmed, file extension of the picture."""
+    h = F.regexp_replace(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", "")
+    title = F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)
+    img = F.regexp_extract("html", r"<img[^>]*src=\"([^\"]+)\"", 1)
+    desc = F.regexp_replace(F.regexp_extract("html", r"(?s)<p[^>]*>(.*?)</p>", 1), "<[^>]+>", " ")
+    name, name_en = split_cjk_latin(ustrip(h))
+    return pages.select(
+        "page_id", "url", ustrip(h).alias("h1"), ustrip(title).alias("title"), name.alias("name"),
+        name_en.alias("name_en"), normalize_image_url(img).alias("avatar_url"),
+        file_ext_choice(img).alias("ext"), bio_trim(desc).alias("biography"))
+
+
+def scrape_stats(persons_dir: DataFrame) -> DataFrame:
+    """Totals with avatar / biography."""
+    return persons_dir.agg(F.count(F.lit(1)).alias("total"),
+                           F.count_if(truthy("avatar_local_path")).alias("with_avatar"),
+                           F.count_if(truthy("biography")).alias("with_bio"))
+
+
+def person_primary_type(persons_dir: DataFrame) -> DataFrame:
+    """P12 over the directory."""
+    return persons_dir.select("name", text_or_empty("profession").alias("profession"),
+                              primary_type("profession").alias("primary_type"))

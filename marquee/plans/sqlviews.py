@@ -258,13 +258,14 @@ SELECT c_custkey AS ord, c_name AS name,
   CASE WHEN c_custkey % 11 <> 0 THEN CAST((c_custkey * 5) % 1103 AS VARCHAR) END AS personage_id,
   CASE WHEN c_custkey % 3 = 0 THEN 'https://img.example.com/view/celebrity/m/' || CAST(c_custkey AS VARCHAR) || '.jpg' END AS avatar_url,
   CASE WHEN c_custkey % 5 = 0 THEN repeat(c_mktsegment, 8) END AS biography,
+  CASE WHEN c_custkey % 4 = 0 THEN 'avatars/' || CAST(c_custkey AS VARCHAR) || '.jpg' ELSE '' END AS avatar_local_path,
   c_custkey % 7 = 0 AS _no_avatar, c_custkey % 19 = 0 AS _scrape_failed, '2024-01-01' AS _scraped_at
 FROM customer
 """)
 
-# directory lookups keep the first entry per name in file order
+# directory lookups keep the last entry per name in file order
 view("persons_by_name", """
-SELECT * FROM persons QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord) = 1
+SELECT * FROM persons QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord DESC) = 1
 """)
 
 

@@ -267,6 +267,8 @@ def persons_raw(t: DriverTables) -> DataFrame:
         F.when(k % 3 == 0, F.concat(F.lit("https://img.example.com/view/celebrity/m/"), k.cast("string"),
                                     F.lit(".jpg"))).alias("avatar_url"),
         F.when(k % 5 == 0, F.repeat(F.col("c_mktsegment"), 8)).alias("biography"),
+        F.when(k % 4 == 0, F.concat(F.lit("avatars/"), k.cast("string"), F.lit(".jpg")))
+        .otherwise(F.lit("")).alias("avatar_local_path"),
         (k % 7 == 0).alias("_no_avatar"),
         (k % 19 == 0).alias("_scrape_failed"),
         F.lit("2024-01-01").alias("_scraped_at"),
