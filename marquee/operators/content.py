@@ -27,6 +27,9 @@ GENRE_REPEAT = 3
 SIM_KEEP = 0.15
 SIM_TOP = 12
 DETAIL_TOP = 6
+# Cosines are ranked on 9 decimals so that equal texts tie exactly whatever
+# the order of the floating-point sums; ties then go to catalogue order.
+SIM_ORDER_PLACES = 9
 
 
 def content_text(items: DataFrame) -> DataFrame:
@@ -89,7 +92,7 @@ def content_similarity(items: DataFrame, seeds: DataFrame, keep: float = SIM_KEE
     ids = docs.select("doc", "id")
     s = (sims.join(targets.withColumnRenamed("doc", "target"), "target")
          .join(ids, "doc").select("seed", "id", "doc", "sim"))
-    ranked = top_k(s, None, [F.col("sim").desc(), F.col("doc").asc()], ["seed"])
+    ranked = top_k(s, None, [round_half_up("sim", SIM_ORDER_PLACES).desc(), F.col("doc").asc()], ["seed"])
     return ranked.filter((F.col("sim") > keep) | (F.col("rk") <= top)).select(
         "seed", "id", round_half_up("sim", 6).alias("sim"), "rk")
 
@@ -106,7 +109,7 @@ def content_recommend(items: DataFrame, items_by_id: DataFrame, seeds: DataFrame
     s = (sims.join(targets.withColumnRenamed("doc", "target"), "target")
          .join(docs.select("doc", F.col("id").alias("cand")), "doc")
          .filter(F.col("cand") != F.col("seed")))
-    t = top_k(s, n, [F.col("sim").desc(), F.col("doc").asc()], ["seed"])
+    t = top_k(s, n, [round_half_up("sim", SIM_ORDER_PLACES).desc(), F.col("doc").asc()], ["seed"])
     info = items_by_id.select(F.col("id").alias("cand"), "title", "rating")
     return t.join(info, "cand").select("seed", "rk", F.col("cand").alias("id"), "title", "rating",
                                        round_half_up("sim", 3).alias("similarity"))
