@@ -42,4 +42,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
-    from marquee.plans import q_reports, q_activity, q_browse, q_persons, q_graph, q_content, q_profiles  # noqa: F401
+    from marquee.plans import (q_activity, q_browse, q_content, q_graph, q_io, q_persons,  # noqa: F401
+                              q_profiles, q_reports)
