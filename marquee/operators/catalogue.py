@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from marquee.functions import text as T
 
 TOP_ACTORS = 5
+RAW_TEXT_FIELDS = ("id", "title", "cover", "rating", "director", "screenwriter", "cast", "genre", "country",
+                   "language", "release_date", "runtime", "imdb", "aka", "summary", "poster_local_path")
 
 
 def valid_item(raw: DataFrame) -> "F.Column":
@@ -28,7 +30,11 @@ def _id_is_numeric(raw: DataFrame) -> bool:
 
 
 def normalize_items(raw: DataFrame) -> DataFrame:
-    """Raw ingest record -> normalised film (keeps duplicates; ``ord``)."""
+    """Raw ingest record -> normalised film (keeps duplicates; ``ord``).
+    Fields absent from the input count as empty."""
+    for f in RAW_TEXT_FIELDS:
+        if f not in raw.columns:
+            raw = raw.withColumn(f, F.lit(None).cast("string"))
     actors = T.split_multi("cast")
     rating = T.parse_rating("rating")
     out = raw.filter(valid_item(raw)).select(

@@ -117,9 +117,9 @@ def collaborators(credits: DataFrame, seeds: DataFrame, persons_dir: DataFrame,
     the seed once; a name in both lists of a film, or repeated, counts each
     time), top ``n`` with profile."""
     seed_films = (credits.join(seeds.select(F.col("name").alias("person")), "person", "left_semi")
-                  .select(F.col("person").alias("seed"), "item_id").distinct())
-    others = credits.select("item_id", F.col("person").alias("other"))
-    pairs = seed_films.join(others, "item_id").filter(F.col("other") != F.col("seed"))
+                  .select(F.col("person").alias("seed"), "ord").distinct())
+    others = credits.select("ord", F.col("person").alias("other"))
+    pairs = seed_films.join(others, "ord").filter(F.col("other") != F.col("seed"))
     g = pairs.groupBy("seed", "other").agg(F.count(F.lit(1)).alias("n"))
     t = top_k(g, n, [F.col("n").desc(), F.col("other").asc()], partition=["seed"])
     d = directory_by_name(persons_dir).select(F.col("name").alias("other"), "avatar_local_path", "profession")
