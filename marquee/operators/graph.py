@@ -106,9 +106,15 @@ def _checkpoint(df: DataFrame, i: int = 1, every: int = 1) -> DataFrame:
     the shared ``spark.checkpoint.dir``: it truncates both the logical plan
     (which otherwise grows with every round and every self-reference) and the
     RDD lineage, and a lost executor costs only the current round."""
+    from pyspark import StorageLevel
+
     from marquee.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persist first so that writing the checkpoint does not recompute the round
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
 
 
 def _release(*dfs) -> None:
@@ -136,6 +142,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, max_iter:
     for i in range(1, max_iter + 1):
         contrib = (trans.join(x.withColumnRenamed("node", "src"), "src")
                    .groupBy("dst").agg(F.sum(F.col("p") * F.col("x")).alias("c")))
+        # dangling mass as a scalar subquery: the generated code stays the
+        # same every round (a changing literal would force a recompile)
         dmass = x.join(dangling, "node").select(F.coalesce(F.sum("x"), F.lit(0.0))).scalar()
         new = (v.join(contrib.withColumnRenamed("dst", "node"), "node", "left")
                .select("node", (F.lit(alpha) * (F.coalesce("c", F.lit(0.0)) + dmass / F.lit(float(n)))
