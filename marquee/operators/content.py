@@ -113,3 +113,16 @@ def content_recommend(items: DataFrame, items_by_id: DataFrame, seeds: DataFrame
     info = items_by_id.select(F.col("id").alias("cand"), "title", "rating")
     return t.join(info, "cand").select("seed", "rk", F.col("cand").alias("id"), "title", "rating",
                                        round_half_up("sim", 3).alias("similarity"))
+
+
+def vector_topk(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """For every vector its ``k`` most cosine-similar other vectors
+    (+1e-8 in the denominator). Exact: the candidates are scored block-wise
+    with dense NumPy products (``als.factor_cosine``); only each block's top
+    ``k`` per vector leaves a task, so no pair table is shuffled."""
+    from marquee.operators.als import factor_cosine
+    f = vectors.select(F.col(id_col).cast("string").alias("item_id"), F.col(vec_col).alias("features"))
+    seeds = f.select(F.col("item_id").alias("seed"))
+    s = factor_cosine(f, seeds, keep_top=k)
+    t = top_k(s, k, [round_half_up("sim", SIM_ORDER_PLACES).desc(), F.col("item_id").asc()], ["seed"])
+    return t.select("seed", "item_id", round_half_up("sim", 6).alias("sim"), "rk")

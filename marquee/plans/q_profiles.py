@@ -505,3 +505,20 @@ def q_tfidf_vocabulary(cat):
     from marquee.operators import content as CT
     tf = CT.char_wb_ngrams(CT.content_text(cat.items))
     return CT.vocabulary(tf)
+
+
+@register("preferred_by_person", with_views("""
+SELECT s.user_id, c.item_id, s.signal AS role, count(*) AS n_persons
+FROM psignals s
+JOIN (SELECT DISTINCT person, role, item_id, ord FROM credits) c ON c.person = s.key AND c.role = s.signal
+WHERE s.signal IN ('director', 'actor')
+GROUP BY s.user_id, c.item_id, s.signal
+"""))
+def q_preferred_by_person(cat):
+    """Films reached through each user's liked directors / actors (number
+    of liked persons per film and role)."""
+    info, sig = _prof(cat)
+    p = sig.filter(F.col("signal").isin("director", "actor"))
+    cr = cat.credits.select(F.col("person").alias("key"), F.col("role").alias("signal"), "item_id", "ord").distinct()
+    return (p.join(cr, ["key", "signal"]).groupBy("user_id", "item_id", F.col("signal").alias("role"))
+            .agg(F.count(F.lit(1)).alias("n_persons")))

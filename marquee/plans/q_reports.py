@@ -213,3 +213,16 @@ def q_item_cards(cat):
     return c.select("id", "title", "rating", "genre", F.array_join("genres", "|").alias("genres"),
                     "director", "cast", "release_date", "runtime",
                     F.array_join("countries", "|").alias("countries"), "year")
+
+
+@register("report_by_name", with_views(f"""
+SELECT genre AS label, CAST(n AS DOUBLE) AS value, avg_rating AS extra FROM (
+  SELECT genre, count(*) AS n, {RATED_MEAN_2} AS avg_rating,
+    row_number() OVER (ORDER BY count(*) DESC, genre ASC) AS rk
+  FROM (SELECT unnest(genres) AS genre, rating, rating_c FROM items) e
+  GROUP BY genre
+) t WHERE rk <= 20
+"""))
+def q_report_by_name(cat):
+    """A dashboard report looked up by name (genre distribution)."""
+    return R.report_by_name(cat.items, "genre_distribution")
