@@ -93,8 +93,8 @@ def person_frequency(items: DataFrame, min_films: int = MIN_APPEARANCES,
     ids = first.groupBy("name").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]), ",")
         .alias("film_ids"))
-    ranked = top_k(counts, None, [F.col("n").desc(), F.col("name").asc()])
-    return ranked.join(ids, "name")
+    # presentation order by a distributed range sort (no single-task global rank)
+    return counts.join(ids, "name").orderBy(F.col("n").desc(), F.col("name").asc())
 
 
 def filmography(items: DataFrame, credits: DataFrame) -> DataFrame:

@@ -97,11 +97,11 @@ def _film_contributions(signals: DataFrame, credits: DataFrame, info: DataFrame)
 
 def user_item_weights(signals: DataFrame, credits: DataFrame, info: DataFrame) -> DataFrame:
     """H2: (user_id, item_id, weight) normalised by the user's maximum."""
-    from pyspark.sql import Window
     c = _film_contributions(signals, credits, info)
     g = c.groupBy("user_id", "item_id").agg(F.sum("w").alias("w"))
-    mx = F.max("w").over(Window.partitionBy("user_id"))
-    return g.select("user_id", "item_id", F.col("w").alias("w_raw"), (F.col("w") / mx).alias("weight"))
+    mx = g.groupBy("user_id").agg(F.max("w").alias("_mx"))  # partial aggregate, joined back
+    return g.join(mx, "user_id").select("user_id", "item_id", F.col("w").alias("w_raw"),
+                                        (F.col("w") / F.col("_mx")).alias("weight"))
 
 
 def user_genre_prefs(signals: DataFrame, credits: DataFrame, info: DataFrame, n: int = TOP_GENRES) -> DataFrame:
@@ -161,9 +161,8 @@ def _seeds(weights: DataFrame, n: int) -> DataFrame:
 
 
 def _normalise(df: DataFrame, col: str = "s") -> DataFrame:
-    from pyspark.sql import Window
-    mx = F.max(col).over(Window.partitionBy("user_id"))
-    return df.select("user_id", "item_id", (F.col(col) / mx).alias(col))
+    mx = df.groupBy("user_id").agg(F.max(col).alias("_mx"))
+    return df.join(mx, "user_id").select("user_id", "item_id", (F.col(col) / F.col("_mx")).alias(col))
 
 
 def channel_genre(genre_prefs: DataFrame, info: DataFrame) -> DataFrame:

@@ -59,11 +59,9 @@ def search_persons(items: DataFrame, credits: DataFrame, persons_dir: DataFrame,
     films_of = (credits.select(F.col("person").alias("name"), "item_id").distinct()
                 .join(names, "name", "left_semi")
                 .join(items.select(F.col("id").alias("item_id"), "rating", "ord"), "item_id"))
-    w = Window.partitionBy("name")
-    ranked = (films_of.withColumn("total_movies", F.count(F.lit(1)).over(w))
-              .withColumn("frk", F.row_number().over(w.orderBy(F.col("rating").desc(), F.col("ord").asc(),
-                                                              F.col("item_id").asc())))
-              .filter(F.col("frk") <= films))
+    totals = films_of.groupBy("name").agg(F.count(F.lit(1)).alias("total_movies"))
+    ranked = top_k(films_of, films, [F.col("rating").desc(), F.col("ord").asc(), F.col("item_id").asc()],
+                   partition=["name"], name="frk").join(totals, "name")
     per = ranked.groupBy("name", "total_movies").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frk", "item_id"))),
                                  lambda s: s["item_id"]), ",").alias("top_films"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquee.operators import activity as A
+from marquee.plans import q_graph  # noqa: F401  (seed view)
 from marquee.plans.registry import register
 from marquee.plans.sqlviews import rhu, with_views
 
@@ -234,8 +235,7 @@ def q_movie_reviews(cat):
 
 
 @register("review_replies", with_views("""
-SELECT p.id, p.review_id, p.user_id, p.content, p.created_at,
-  row_number() OVER (PARTITION BY p.review_id ORDER BY p.created_at, p.id) AS pos, u.username
+SELECT p.id, p.review_id, p.user_id, p.content, p.created_at, u.username
 FROM review_replies p JOIN users u ON u.id = p.user_id
 """))
 def q_review_replies(cat):
@@ -294,3 +294,39 @@ LEFT JOIN favorites f ON f.user_id = t.user_id AND f.item_id = t.item_id
 def q_user_item_flags(cat):
     """J6."""
     return A.user_item_flags(cat.ratings, cat.likes, cat.favorites, cat.history)
+
+
+@register("profile_page", with_views("""
+SELECT r.user_id, r.item_id, r.score, r.rk, coalesce(i.title, '未知电影') AS title, coalesce(i.rating, 0.0) AS rating
+FROM (SELECT user_id, item_id, score,
+        row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, item_id DESC) AS rk
+      FROM ratings QUALIFY rk <= 50) r
+LEFT JOIN items_by_id i ON i.id = r.item_id
+"""))
+def q_profile_page(cat):
+    """Every user's newest 50 ratings with film title and catalogue
+    rating (K9 through J4; the other lists compose the same way)."""
+    recent = A.recent_by_user(cat.ratings, "updated_at", 50, "item_id").select("user_id", "item_id", "score", "rk")
+    return A.enrich_items(recent, cat.items_by_id).select("user_id", "item_id", "score", "rk", "title", "rating")
+
+
+@register("item_detail", with_views(f"""
+SELECT i.id, i.title, i.rating, coalesce(s.avg_score, 0.0) AS avg_score, coalesce(s.n_ratings, 0) AS n_ratings,
+  (SELECT count(*) FROM reviews r WHERE r.movie_id = i.id) AS n_reviews
+FROM items_by_id i
+JOIN seedf f ON f.seed = i.id
+LEFT JOIN (SELECT item_id, {rhu("avg(score)", 1)} AS avg_score, count(*) AS n_ratings FROM ratings GROUP BY item_id) s
+  ON s.item_id = i.id
+"""))
+def q_item_detail(cat):
+    """The detail page of the best rated film: card, rating stats and
+    review count (its similar films are ``content_recommend``)."""
+    from marquee.operators import graph as G
+    seed = G.seed_film(cat.items).select(F.col("seed").alias("id"))
+    card = cat.items_by_id.join(seed, "id", "left_semi").select("id", "title", "rating")
+    stats = A.movie_avg_rating(cat.ratings).withColumnRenamed("item_id", "id")
+    nrev = cat.reviews.groupBy(F.col("movie_id").alias("id")).agg(F.count(F.lit(1)).alias("n_reviews"))
+    j = card.join(stats, "id", "left").join(nrev, "id", "left")
+    return j.select("id", "title", "rating", F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"),
+                    F.coalesce("n_ratings", F.lit(0)).cast("bigint").alias("n_ratings"),
+                    F.coalesce("n_reviews", F.lit(0)).cast("bigint").alias("n_reviews"))

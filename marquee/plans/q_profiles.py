@@ -109,7 +109,7 @@ def q_user_country_prefs(cat):
     return H.user_country_prefs(sig, cat.credits_by_id, info)
 
 
-PROFILE_ROW_SQL = with_views(f"""
+view("prow", f"""
 SELECT u.id AS user_id, coalesce(p.n_rating, 0) AS n_rating, coalesce(p.n_favorite, 0) AS n_favorite,
   coalesce(p.n_like, 0) AS n_like, coalesce(p.n_browse, 0) AS n_browse, coalesce(p.n_director, 0) AS n_director,
   coalesce(p.n_actor, 0) AS n_actor, coalesce({rhu("p.a", 1)}, 0.0) AS avg_rating,
@@ -124,6 +124,10 @@ FROM users u LEFT JOIN (
 ) p ON p.user_id = u.id
 """)
 
+view("pactive", "SELECT user_id FROM prow ORDER BY total_interactions DESC, user_id ASC LIMIT 1")
+
+PROFILE_ROW_SQL = with_views("SELECT * FROM prow")
+
 
 @register("user_profile_row", PROFILE_ROW_SQL)
 def q_user_profile_row(cat):
@@ -197,12 +201,14 @@ FROM (SELECT user_id, genre, weight / max(weight) OVER (PARTITION BY user_id) AS
                 FROM pcontrib c JOIN items_by_id i ON i.id = c.item_id) e
           GROUP BY user_id, genre) t WHERE rk <= 10) q) p
 JOIN (SELECT id, genres, unnest(genres) AS genre FROM items_by_id) i ON i.genre = p.genre
+WHERE p.user_id IN (SELECT user_id FROM pactive)
 GROUP BY p.user_id, i.id, i.genres HAVING sum(p.gw) > 0
 """))
 def q_channel_genre(cat):
-    """H9 for every user."""
+    """H9 for the most active user (for all users the output is users x
+    matching films; the hybrid needs it per requesting user)."""
     info, sig = _prof(cat)
-    prefs = H.user_genre_prefs(sig, cat.credits_by_id, info)
+    prefs = H.user_genre_prefs(sig, cat.credits_by_id, info).join(most_active_user(cat), "user_id", "left_semi")
     return H.channel_genre(prefs, info).select("user_id", "item_id", "s")
 
 
