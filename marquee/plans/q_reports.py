@@ -10,16 +10,20 @@ from marquee.plans.sqlviews import mean_c, rhu, split_multi, with_views
 RATED_MEAN_2 = rhu(mean_c("rating_c", "rating > 0"), 2)
 
 
-def _count_sql(array_expr: str, name: str, top_n: int, with_rating: bool = True) -> str:
+def _count_body(array_expr: str, name: str, top_n: int, with_rating: bool = True) -> str:
     avg = f", {RATED_MEAN_2} AS avg_rating" if with_rating else ""
-    return with_views(f"""
+    return f"""
 SELECT * FROM (
   SELECT {name}, count(*) AS n{avg},
     row_number() OVER (ORDER BY count(*) DESC, {name} ASC) AS rk
   FROM (SELECT unnest({array_expr}) AS {name}, rating, rating_c FROM items) e
   GROUP BY {name}
 ) t WHERE rk <= {top_n}
-""")
+"""
+
+
+def _count_sql(array_expr: str, name: str, top_n: int, with_rating: bool = True) -> str:
+    return with_views(_count_body(array_expr, name, top_n, with_rating))
 
 
 @register("normalize_items", with_views("""
@@ -136,16 +140,20 @@ def q_top_rated_by_genre(cat):
     return R.top_rated_by_genre(cat.items)
 
 
-def _rating_rank_sql(array_col: str, name: str, top_n: int, min_movies: int) -> str:
+def _rating_rank_body(array_col: str, name: str, top_n: int, min_movies: int) -> str:
     m = rhu(mean_c("rating_c"), 1)
-    return with_views(f"""
+    return f"""
 SELECT * FROM (
   SELECT {name}, {m} AS avg_rating, count(*) AS n,
     row_number() OVER (ORDER BY {m} DESC, count(*) DESC, {name} ASC) AS rk
   FROM (SELECT unnest({array_col}) AS {name}, rating_c FROM items WHERE rating > 0) e
   GROUP BY {name} HAVING count(*) >= {min_movies}
 ) t WHERE rk <= {top_n}
-""")
+"""
+
+
+def _rating_rank_sql(array_col: str, name: str, top_n: int, min_movies: int) -> str:
+    return with_views(_rating_rank_body(array_col, name, top_n, min_movies))
 
 
 @register("director_rating_ranking", _rating_rank_sql("directors", "director", 10, 3))
@@ -158,7 +166,7 @@ def q_actor_rating_ranking(cat):
     return R.actor_rating_ranking(cat.items)
 
 
-PERSON_STATS_SQL = with_views("""
+PERSON_STATS_BODY = """
 SELECT CAST(sum(d) AS BIGINT) AS total_directors, CAST(sum(a) AS BIGINT) AS total_actors,
   count(*) FILTER (WHERE d = 1 AND a = 1) AS both,
   count(*) FILTER (WHERE d = 1 AND a = 0) AS director_only,
@@ -169,7 +177,8 @@ FROM (
     UNION ALL SELECT unnest(all_actors) AS name, 0 AS d, 1 AS a FROM items
   ) u GROUP BY name
 ) f
-""")
+"""
+PERSON_STATS_SQL = with_views(PERSON_STATS_BODY)
 
 
 @register("person_stats", PERSON_STATS_SQL)
@@ -194,7 +203,45 @@ def q_summary_stats(cat):
     return R.summary_stats(cat.items)
 
 
-@register("full_report")
+_FULL_PARTS = {
+    "r_rating": """SELECT b.bin, CAST(b.bin AS VARCHAR) || '-' || CAST(b.bin + 1 AS VARCHAR) AS label, coalesce(c.n, 0) AS n
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(10)) b
+LEFT JOIN (SELECT CAST(least(floor(rating), 9) AS INTEGER) AS bin, count(*) AS n
+           FROM items WHERE rating > 0 AND rating <= 10 GROUP BY 1) c ON c.bin = b.bin""",
+    "r_genre": _count_body("genres", "genre", 20),
+    "r_country": _count_body("countries", "country", 15),
+    "r_year": f"""SELECT year, count(*) AS n, coalesce({RATED_MEAN_2}, 0.0) AS avg_rating
+FROM items WHERE year IS NOT NULL AND year <> 0 AND year BETWEEN 1950 AND 2026 GROUP BY year""",
+    "rc": "SELECT CAST(floor(runtime / 30) AS INTEGER) AS bin, count(*) AS n FROM items "
+          "WHERE runtime > 0 AND runtime < 400 GROUP BY 1",
+    "r_runtime": """SELECT CAST(b.bin * 30 AS VARCHAR) || '-' || CAST(b.bin * 30 + 30 AS VARCHAR) AS label, coalesce(rc.n, 0) AS n
+FROM (SELECT CAST(unnest(generate_series(0, (SELECT max(bin) FROM rc))) AS INTEGER) AS bin) b LEFT JOIN rc ON rc.bin = b.bin""",
+    "r_scatter": """SELECT id, runtime AS x, rating AS y FROM items WHERE runtime > 0 AND runtime < 400 AND rating > 0
+QUALIFY row_number() OVER (ORDER BY md5('42-' || id), ord) <= 1000""",
+    "r_lang": _count_body(split_multi("language"), "language", 15, with_rating=False),
+    "r_dir": _count_body("directors", "director", 20),
+    "r_act": _count_body("top_actors", "actor", 20),
+    "r_dir_rt": _rating_rank_body("directors", "director", 10, 3),
+    "r_act_rt": _rating_rank_body("all_actors", "actor", 10, 5),
+}
+
+
+@register("full_report", with_views("""
+SELECT 'rating_distribution' AS report, label, CAST(n AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS extra FROM r_rating
+UNION ALL SELECT 'genre_distribution', genre, CAST(n AS DOUBLE), avg_rating FROM r_genre
+UNION ALL SELECT 'country_distribution', country, CAST(n AS DOUBLE), avg_rating FROM r_country
+UNION ALL SELECT 'year_trend', CAST(year AS VARCHAR), CAST(n AS DOUBLE), avg_rating FROM r_year
+UNION ALL SELECT 'runtime_distribution', label, CAST(n AS DOUBLE), CAST(NULL AS DOUBLE) FROM r_runtime
+UNION ALL SELECT 'rating_vs_runtime', id, CAST(x AS DOUBLE), y FROM r_scatter
+UNION ALL SELECT 'language_distribution', language, CAST(n AS DOUBLE), CAST(NULL AS DOUBLE) FROM r_lang
+UNION ALL SELECT 'director_ranking', director, CAST(n AS DOUBLE), avg_rating FROM r_dir
+UNION ALL SELECT 'actor_ranking', actor, CAST(n AS DOUBLE), avg_rating FROM r_act
+UNION ALL SELECT 'director_rating_ranking', director, avg_rating, CAST(n AS DOUBLE) FROM r_dir_rt
+UNION ALL SELECT 'actor_rating_ranking', actor, avg_rating, CAST(n AS DOUBLE) FROM r_act_rt
+UNION ALL SELECT 'person_stats', k, CAST(v AS DOUBLE), CAST(NULL AS DOUBLE) FROM (
+  SELECT unnest(['total_directors', 'total_actors', 'both', 'director_only', 'actor_only']) AS k,
+         unnest([total_directors, total_actors, "both", director_only, actor_only]) AS v FROM r_persons) p
+""", {**_FULL_PARTS, "r_persons": PERSON_STATS_BODY}))
 def q_full_report(cat):
     """The twelve dashboard reports as one long table."""
     return R.full_report(cat.items)
