@@ -196,3 +196,30 @@ def person_primary_type(persons_dir: DataFrame) -> DataFrame:
     """P12 over the directory."""
     return persons_dir.select("name", text_or_empty("profession").alias("profession"),
                               primary_type("profession").alias("primary_type"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """Links of each page as (item_id, pos, href, text); a page's id is the
+    film it describes. Empty link texts are dropped."""
+    pat = r'<a href="([^"]*)">([^<]*)</a>'
+    e = pages.select(F.col("page_id").cast("string").alias("item_id"),
+                     F.arrays_zip(F.regexp_extract_all("html", F.lit(pat), 1).alias("href"),
+                                  F.regexp_extract_all("html", F.lit(pat), 2).alias("text")).alias("z"))
+    x = e.select("item_id", F.posexplode("z").alias("pos", "l"))
+    return x.select("item_id", (F.col("pos") + 1).alias("pos"), F.col("l.href").alias("href"),
+                    ustrip(F.col("l.text")).alias("text")).filter(F.col("text") != "")
+
+
+def mention_match(credits: DataFrame, links: DataFrame, films: int = 5) -> DataFrame:
+    """For every credited name, the first link (film order, then link
+    order) on the pages of its first ``films`` films whose text equals,
+    contains or is contained in the name. An equi-join on the film, then the
+    containment predicate on the candidates."""
+    f = credits.select(F.col("person").alias("name"), "item_id", "ord").groupBy("name", "item_id").agg(
+        F.min("ord").alias("ord"))
+    first = top_k(f, films, [F.col("ord").asc(), F.col("item_id").asc()], partition=["name"], name="frk")
+    cand = first.join(links, "item_id")
+    t, n = F.col("text"), F.col("name")
+    hit = cand.filter((t == n) | F.contains(t, n) | F.contains(n, t))
+    best = top_k(hit, 1, [F.col("frk").asc(), F.col("pos").asc()], partition=["name"], name="hrk")
+    return best.select("name", "item_id", "pos", "href", "text")
