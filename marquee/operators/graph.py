@@ -117,6 +117,10 @@ def _checkpoint(df: DataFrame, i: int = 1, every: int = 1) -> DataFrame:
     return out
 
 
+def _partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def _release(*dfs) -> None:
     for d in dfs:
         if d is not None:
@@ -130,8 +134,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, max_iter:
     L1 change is below N * tol (tol=None: exactly ``max_iter`` rounds).
     Returns (node, pagerank, rounds)."""
     spark = nodes.sparkSession
-    trans = _transitions(edges).persist()
-    v = nodes.select("node").distinct().persist()
+    # The transition table is hash-partitioned on ``src`` once and cached; the
+    # rank vector is kept hash-partitioned on ``node`` with the same partition
+    # count (checkpoints keep the partitioning), so the per-round join does
+    # not move the edges -- only the per-destination partial sums shuffle.
+    parts = _partitions(spark)
+    trans = _transitions(edges).repartition(parts, "src").persist()
+    v = nodes.select("node").distinct().repartition(parts, "node").persist()
     n = v.count()
     if n == 0:
         return v.select("node", F.lit(0.0).alias("pagerank"), F.lit(0).alias("rounds"))
@@ -189,7 +198,9 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     nodes reachable from the seed and grows hop by hop through edge joins --
     no seed x node product is ever materialised. Each seed stops on its own
     (L1 change < N * tol) and is frozen."""
-    trans = _transitions(edges).persist()
+    # edges partitioned on ``src`` once; each round only the (seed, node)
+    # state is shuffled to meet them
+    trans = _transitions(edges).repartition(_partitions(nodes.sparkSession), "src").persist()
     n = nodes.select("node").distinct().count()
     pvec = restart_vectors(seeds, edges).persist()
     has_out = trans.select(F.col("src").alias("node")).distinct()
