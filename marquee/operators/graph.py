@@ -167,6 +167,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, max_iter:
         x = new
         if err is not None and err < n * tol:
             break
+    # the result is a reliable checkpoint: the cached inputs can go
+    _release(trans, v, dangling)
     return x.select("node", F.col("x").alias("pagerank"), F.lit(rounds).alias("rounds"))
 
 
@@ -190,14 +192,16 @@ def restart_vectors(seeds: DataFrame, edges: DataFrame, k: int = RESTART_NEIGHBO
 
 
 def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA,
-                          max_iter: int = MAX_ITER, tol: float = TOL, checkpoint_every: int = 5) -> DataFrame:
+                          max_iter: int = MAX_ITER, tol: float = TOL, checkpoint_every: int = 1) -> DataFrame:
     """G6 state for a table of seed films at once: (seed, node, x, converged).
 
     The iteration starts from each seed's restart vector (not the uniform
     vector): the fixed point is the same, but the state then only holds
     nodes reachable from the seed and grows hop by hop through edge joins --
-    no seed x node product is ever materialised. Each seed stops on its own
-    (L1 change < N * tol) and is frozen."""
+    no seed x node product is ever materialised. All seeds advance together
+    until the largest per-seed L1 change is below N * tol (a seed that has
+    converged only moves closer to its fixed point). One checkpoint and one
+    scalar aggregate per round."""
     # edges partitioned on ``src`` once; each round only the (seed, node)
     # state is shuffled to meet them
     trans = _transitions(edges).repartition(_partitions(nodes.sparkSession), "src").persist()
@@ -205,34 +209,29 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     pvec = restart_vectors(seeds, edges).persist()
     has_out = trans.select(F.col("src").alias("node")).distinct()
     dangling = nodes.select("node").distinct().join(has_out, "node", "left_anti").persist()
-    x = _checkpoint(pvec.select("seed", "node", F.col("p").alias("x")), 1, 0)
-    active = _checkpoint(seeds.select("seed").distinct(), 1, 0)
-    done = None
+    x = _checkpoint(pvec.select("seed", "node", F.col("p").alias("x")))
+    converged = False
     for i in range(1, max_iter + 1):
         contrib = (trans.join(x.withColumnRenamed("node", "src"), "src")
                    .groupBy("seed", "dst").agg(F.sum(F.col("p") * F.col("x")).alias("c"))
                    .withColumnRenamed("dst", "node"))
         dm = x.join(dangling, "node").groupBy("seed").agg(F.sum("x").alias("dm"))
-        pa = pvec.join(active, "seed", "left_semi").join(dm, "seed", "left").select(
+        pa = pvec.join(dm, "seed", "left").select(
             "seed", "node", (F.col("p") * (F.lit(alpha) * F.coalesce("dm", F.lit(0.0)) + F.lit(1.0 - alpha))).alias("c"))
         new = (contrib.select("seed", "node", (F.col("c") * alpha).alias("c")).unionByName(pa)
                .groupBy("seed", "node").agg(F.sum("c").alias("x")))
         new = _checkpoint(new, i, checkpoint_every)
-        diff = (new.select("seed", "node", "x").unionByName(x.select("seed", "node", (-F.col("x")).alias("x")))
-                .groupBy("seed", "node").agg(F.sum("x").alias("d"))
-                .groupBy("seed").agg(F.sum(F.abs("d")).alias("err")))
-        conv = _checkpoint(diff.filter(F.col("err") < n * tol).select("seed"), 1, 0)
-        fin = new.join(conv, "seed", "left_semi").withColumn("converged", F.lit(True))
-        if not fin.isEmpty():
-            fin = _checkpoint(fin, 1, 0)
-            done = fin if done is None else _checkpoint(done.unionByName(fin), 1, 0)
-        active = _checkpoint(active.join(conv, "seed", "left_anti"), 1, 0)
+        err = (new.select("seed", "node", "x").unionByName(x.select("seed", "node", (-F.col("x")).alias("x")))
+               .groupBy("seed", "node").agg(F.sum("x").alias("d"))
+               .groupBy("seed").agg(F.sum(F.abs("d")).alias("err"))
+               .agg(F.max("err")).collect()[0][0])
         _release(x)
-        x = _checkpoint(new.join(active, "seed", "left_semi"), i, checkpoint_every)
-        if active.isEmpty():
-            return done
-    left = x.withColumn("converged", F.lit(False))
-    return left if done is None else done.unionByName(left)
+        x = new
+        if err is not None and err < n * tol:
+            converged = True
+            break
+    _release(trans, pvec, dangling)
+    return x.withColumn("converged", F.lit(converged))
 
 
 def ppr_recommend(items_by_id: DataFrame, ppr: DataFrame, n: int = 12) -> DataFrame:

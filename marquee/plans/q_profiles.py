@@ -275,7 +275,7 @@ def q_similar_for_movie(cat):
     from marquee.functions.agg import top_k
     from marquee.operators import als as AL
     from marquee.operators import graph as G
-    from marquee.plans.q_graph import _graph
+    from marquee.plans.q_graph import _graph, pr_converged
     seeds = G.seed_film(cat.items)
     nodes, edges = _graph(cat)
     a = AL.factor_cosine(AL.item_factors(_als(cat)[0]), seeds, min_sim=0.15).select(
@@ -292,12 +292,12 @@ def q_similar_for_movie(cat):
 def q_channel_graph(cat):
     """H7 for the most active user."""
     from marquee.operators import graph as G
-    from marquee.plans.q_graph import _graph
+    from marquee.plans.q_graph import _graph, pr_converged
     info, sig = _prof(cat)
     nodes, edges = _graph(cat)
     prefs = H.user_genre_prefs(sig, cat.credits_by_id, info).join(most_active_user(cat), "user_id", "left_semi")
     return H.channel_graph(_user_weights(cat), prefs, cat.items, cat.items_by_id, nodes, edges,
-                           G.pagerank(nodes, edges))
+                           pr_converged(cat))
 
 
 @register("hybrid_recommend")
@@ -305,7 +305,7 @@ def q_hybrid_recommend(cat):
     """The four-channel recommendation of the most active user."""
     from marquee.operators import als as AL
     from marquee.operators import graph as G
-    from marquee.plans.q_graph import _graph
+    from marquee.plans.q_graph import _graph, pr_converged
     info, sig = _prof(cat)
     nodes, edges = _graph(cat)
     users = most_active_user(cat)
@@ -313,7 +313,7 @@ def q_hybrid_recommend(cat):
     prefs = H.user_genre_prefs(sig, cat.credits_by_id, info).join(users, "user_id", "left_semi")
     channels = {
         "als": H.channel_als(w, AL.item_factors(_als(cat)[0])),
-        "graph": H.channel_graph(w, prefs, cat.items, cat.items_by_id, nodes, edges, G.pagerank(nodes, edges)),
+        "graph": H.channel_graph(w, prefs, cat.items, cat.items_by_id, nodes, edges, pr_converged(cat)),
         "content": H.channel_content(w, cat.items),
         "genre": H.channel_genre(prefs, info),
     }

@@ -69,22 +69,30 @@ RATING_OUT = "user_id long, item_id string, score int, created_at timestamp, upd
 def _rating_machine(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Per (user, film): a rating write replaces the score and updated_at and
     keeps created_at; a deletion clears the entity (a later write restarts
-    created_at)."""
+    created_at). Only the events after the batch's last deletion matter."""
     if state.exists:
         score, created, updated, live = state.get
     else:
         score, created, updated, live = None, None, None, False
-    events = pd.concat(list(pdfs)).sort_values(["ts", "src", "k1", "k2"])
-    for row in events.itertuples(index=False):
-        if row.kind == "rate":
-            if not live:
-                created = row.ts
-            score, updated, live = int(row.score), row.ts, True
-        elif row.kind == "unrate":
-            score, created, updated, live = None, None, None, False
+    frames = list(pdfs)
+    ev = frames[0] if len(frames) == 1 else pd.concat(frames)
+    if len(ev) > 1:
+        ev = ev.sort_values(["ts", "src", "k1", "k2"])
+    kinds = ev["kind"].to_numpy()
+    dels = (kinds == "unrate").nonzero()[0]
+    start = 0
+    if len(dels):
+        score, created, updated, live = None, None, None, False
+        start = dels[-1] + 1
+    rates = (kinds[start:] == "rate").nonzero()[0] + start
+    if len(rates):
+        ts = ev["ts"].to_numpy()
+        if not live:
+            created = pd.Timestamp(ts[rates[0]])
+        score, updated, live = int(ev["score"].to_numpy()[rates[-1]]), pd.Timestamp(ts[rates[-1]]), True
     state.update((score, created, updated, live))
-    yield pd.DataFrame([{"user_id": key[0], "item_id": key[1], "score": score, "created_at": created,
-                         "updated_at": updated, "live": live}])
+    yield pd.DataFrame({"user_id": [key[0]], "item_id": [key[1]], "score": [score], "created_at": [created],
+                        "updated_at": [updated], "live": [live]})
 
 
 def stream_ratings(spark: SparkSession, source: str, out_path: str, ckpt: str) -> DataFrame:
