@@ -223,3 +223,19 @@ def mention_match(credits: DataFrame, links: DataFrame, films: int = 5) -> DataF
     hit = cand.filter((t == n) | F.contains(t, n) | F.contains(n, t))
     best = top_k(hit, 1, [F.col("frk").asc(), F.col("pos").asc()], partition=["name"], name="hrk")
     return best.select("name", "item_id", "pos", "href", "text")
+
+
+def entity_match(candidates: DataFrame) -> DataFrame:
+    """Pick one candidate per name from a ranked result table
+    ``(name, pos, cand_id, title, text)``: the first candidate (by ``pos``)
+    whose title + text contains the name, or contains a part of the name
+    (split on '·' and blanks, parts of at least 2 characters); otherwise the
+    first candidate. One window-free pass: flag, then ``min_by`` per name."""
+    combined = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
+    parts = F.filter(F.split(F.regexp_replace(F.col("name"), "·", " "), r"\s+"), lambda p: F.length(p) >= 2)
+    hit = (F.contains(combined, F.col("name")) | F.contains(F.coalesce("title", F.lit("")), F.col("name"))
+           | F.exists(parts, lambda p: F.contains(combined, p)))
+    flagged = candidates.select("name", "pos", "cand_id", F.when(hit, 0).otherwise(1).alias("miss"))
+    g = flagged.groupBy("name").agg(F.min_by(F.struct("cand_id", "miss"), F.struct("miss", "pos")).alias("b"))
+    return g.select("name", F.col("b.cand_id").alias("cand_id"),
+                    F.when(F.col("b.miss") == 0, F.lit("match")).otherwise(F.lit("fallback")).alias("how"))

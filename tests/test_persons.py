@@ -37,3 +37,12 @@ def test_person_frequency(spark, raw_items):
     pf = {r.name: (r.n, r.film_ids) for r in P.person_frequency(items).collect()}
     assert pf["Ann"][0] == 6                      # once per film even when director and cast
     assert pf["Ann"][1].split(",")[0] == "1"      # film ids in file order
+
+
+def test_entity_match_tiers(spark):
+    rows = [("张三", 1, "a", "李四", ""), ("张三", 2, "b", "张三 Zhang", ""),        # exact containment at pos 2
+            ("Anna Lee", 1, "c", "x", "y"), ("Anna Lee", 2, "d", "Lee Ann", ""),  # part 'Lee' at pos 2
+            ("Bo", 1, "e", "q", "r"), ("Bo", 2, "f", "s", "t")]                   # no hit: first candidate
+    c = spark.createDataFrame(rows, "name string, pos int, cand_id string, title string, text string")
+    got = {r.name: (r.cand_id, r.how) for r in P.entity_match(c).collect()}
+    assert got == {"张三": ("b", "match"), "Anna Lee": ("d", "match"), "Bo": ("e", "fallback")}
