@@ -92,12 +92,15 @@ def batch_search(items: DataFrame, queries: DataFrame, n: int = PAGE_ROWS) -> Da
     """
     text = F.concat_ws("\u0001", *[text_or_empty(c) for c, _ in FIELD_WEIGHTS])
     docs = items.select("id", "ord", "title", "director_raw", "cast_raw", "genre_raw")
-    post = docs.select("id", F.explode(_grams(text)).alias("gram"))
-    df = post.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     ql = queries.filter(F.length("q") > 0).select("qid", "q", F.lower("q").alias("ql"))
     glen = F.least(F.length("ql"), F.lit(3))
     qg = ql.select("qid", "ql", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("ql") - glen + 1), lambda i: F.substring("ql", i, glen)))).alias("gram"))
+    # only postings of grams some query can route to are kept (semi join
+    # right after the explode, before the frequency aggregate and the joins)
+    needed = qg.select("gram").distinct()
+    post = docs.select("id", F.explode(_grams(text)).alias("gram")).join(needed, "gram", "left_semi")
+    df = post.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     pick = (qg.join(df, "gram", "left")
             .groupBy("qid", "ql").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"),
                                       F.min(F.coalesce("df", F.lit(0))).alias("_df"))

@@ -42,11 +42,13 @@ def contains_pairs(needles: DataFrame, hays: DataFrame, lower: bool = False) ->
     Empty needles are skipped (they would match everything)."""
     norm = (lambda c: F.lower(c)) if lower else (lambda c: c)
     h = hays.select("hay_id", norm(F.col("hay_text")).alias("hay_text"))
-    post = h.select("hay_id", F.explode(grams(F.col("hay_text"))).alias("gram"))
-    dfreq = post.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     n = needles.select("needle_id", norm(F.col("needle_text")).alias("needle_text")).filter(
         F.length("needle_text") > 0)
     ng = n.select("needle_id", "needle_text", F.explode(routing_grams(F.col("needle_text"))).alias("gram"))
+    # postings only for grams a needle can route to
+    post = (h.select("hay_id", F.explode(grams(F.col("hay_text"))).alias("gram"))
+            .join(ng.select("gram").distinct(), "gram", "left_semi"))
+    dfreq = post.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     pick = (ng.join(dfreq, "gram", "left")
             .groupBy("needle_id", "needle_text")
             .agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"),
