@@ -267,12 +267,15 @@ def review_replies_view(replies: DataFrame, users: DataFrame) -> DataFrame:
 
 def review_thread(reviews: DataFrame, replies: DataFrame, review_likes: DataFrame,
                   ratings: DataFrame, users: DataFrame) -> DataFrame:
-    """Per review of each film: like count, replies (oldest first), the
-    author's own score of the film, and the film's mean/count."""
+    """Per review of each film: like count, reply count with the oldest
+    and newest reply (the reply list itself is ``review_replies_view`` --
+    never collected into one row, so a review with a huge thread is not one
+    task), the author's own score of the film, and the film's mean/count."""
     lk = review_like_count(review_likes)
     rp = (replies.groupBy("review_id")
           .agg(F.count(F.lit(1)).alias("reply_count"),
-               F.sort_array(F.collect_list(F.struct("created_at", "id"))).alias("_r")))
+               F.min_by("id", F.struct("created_at", "id")).alias("first_reply_id"),
+               F.max_by("id", F.struct("created_at", "id")).alias("last_reply_id")))
     film = movie_avg_rating(ratings).withColumnRenamed("item_id", "movie_id")
     mine = ratings.select("user_id", F.col("item_id").alias("movie_id"), F.col("score").alias("author_score"))
     u = users.select(F.col("id").alias("user_id"), "username")
@@ -285,9 +288,7 @@ def review_thread(reviews: DataFrame, replies: DataFrame, review_likes: DataFram
         F.col("id").alias("review_id"), "movie_id", "user_id", "username",
         F.coalesce("like_count", F.lit(0)).cast("bigint").alias("like_count"),
         F.coalesce("reply_count", F.lit(0)).cast("bigint").alias("reply_count"),
-        F.array_join(F.transform(F.coalesce(F.col("_r"), F.array()), lambda s: s["id"].cast("string")), ",")
-        .alias("reply_ids"),
-        "author_score",
+        "first_reply_id", "last_reply_id", "author_score",
         F.coalesce("avg_score", F.lit(0.0)).alias("film_avg_score"),
         F.coalesce("n_ratings", F.lit(0)).cast("bigint").alias("film_n_ratings"))
 

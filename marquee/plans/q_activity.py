@@ -246,13 +246,14 @@ def q_review_replies(cat):
 @register("review_thread", with_views(f"""
 SELECT r.id AS review_id, r.movie_id, r.user_id, u.username,
   coalesce(l.like_count, 0) AS like_count, coalesce(p.reply_count, 0) AS reply_count,
-  coalesce(p.reply_ids, '') AS reply_ids, m.score AS author_score,
+  p.first_reply_id, p.last_reply_id, m.score AS author_score,
   coalesce(f.avg_score, 0.0) AS film_avg_score, coalesce(f.n_ratings, 0) AS film_n_ratings
 FROM reviews r
 LEFT JOIN users u ON u.id = r.user_id
 LEFT JOIN (SELECT review_id, count(*) AS like_count FROM review_likes GROUP BY review_id) l ON l.review_id = r.id
 LEFT JOIN (SELECT review_id, count(*) AS reply_count,
-                  string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS reply_ids
+                  arg_min(id, {{'ts': created_at, 'id': id}}) AS first_reply_id,
+                  arg_max(id, {{'ts': created_at, 'id': id}}) AS last_reply_id
            FROM review_replies GROUP BY review_id) p ON p.review_id = r.id
 LEFT JOIN (SELECT item_id, {rhu("avg(score)", 1)} AS avg_score, count(*) AS n_ratings FROM ratings GROUP BY item_id) f
   ON f.item_id = r.movie_id
