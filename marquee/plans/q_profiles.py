@@ -189,8 +189,8 @@ def _user_weights(cat):
     return w.join(most_active_user(cat), "user_id", "left_semi")
 
 
-@register("channel_genre", with_views("""
-SELECT p.user_id, i.id AS item_id, sum(p.gw) / greatest(1, len(i.genres)) AS s
+@register("channel_genre", with_views(f"""
+SELECT p.user_id, i.id AS item_id, {rhu("sum(p.gw) / greatest(1, len(i.genres))", 9)} AS s
 FROM (SELECT user_id, genre, weight / max(weight) OVER (PARTITION BY user_id) AS gw FROM (
         SELECT user_id, genre, CAST(g AS DOUBLE) / CAST(100000 AS DOUBLE) AS weight FROM (
           SELECT user_id, genre, CAST(sum(g) AS BIGINT) AS g,
@@ -209,7 +209,7 @@ def q_channel_genre(cat):
     matching films; the hybrid needs it per requesting user)."""
     info, sig = _prof(cat)
     prefs = H.user_genre_prefs(sig, cat.credits_by_id, info).join(most_active_user(cat), "user_id", "left_semi")
-    return H.channel_genre(prefs, info).select("user_id", "item_id", "s")
+    return H.channel_genre(prefs, info).select("user_id", "item_id", H.round_half_up("s", 9).alias("s"))
 
 
 @register("channel_content")
