@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.agg import rank_col, round_half_up, top_k
+from marquee.functions.agg import round_half_up, top_k
 
 UNKNOWN_TITLE = "未知电影"  # fixed: title shown for films missing from the catalogue
 
