@@ -206,7 +206,7 @@ def page_links(pages: DataFrame) -> DataFrame:
                      F.arrays_zip(F.regexp_extract_all("html", F.lit(pat), 1).alias("href"),
                                   F.regexp_extract_all("html", F.lit(pat), 2).alias("text")).alias("z"))
     x = e.select("item_id", F.posexplode("z").alias("pos", "l"))
-    return x.select("item_id", (F.col("pos") + 1).alias("pos"), F.col("l.href").alias("href"),
+    return x.select("item_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("l.href").alias("href"),
                     ustrip(F.col("l.text")).alias("text")).filter(F.col("text") != "")
 
 
