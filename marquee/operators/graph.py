@@ -105,10 +105,14 @@ def _checkpoint(df: DataFrame, i: int = 1, every: int = 1) -> DataFrame:
     """Materialise one round of an iteration with a reliable checkpoint to
     the shared ``spark.checkpoint.dir``: it truncates both the logical plan
     (which otherwise grows with every round and every self-reference) and the
-    RDD lineage, and a lost executor costs only the current round."""
+    RDD lineage, and a lost executor costs only the rounds since the last
+    checkpoint. With ``every`` > 1 the rounds in between are only cached
+    (computed by the next round's job), so ``every`` rounds share one write."""
     from pyspark import StorageLevel
 
     from marquee.session import ensure_checkpoint_dir
+    if every > 1 and i % every != 0:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     ensure_checkpoint_dir(df.sparkSession)
     # persist first so that writing the checkpoint does not recompute the round
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -128,7 +132,7 @@ def _release(*dfs) -> None:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, max_iter: int = MAX_ITER,
-             tol: float | None = TOL, checkpoint_every: int = 5) -> DataFrame:
+             tol: float | None = TOL, checkpoint_every: int = 2) -> DataFrame:
     """Weighted PageRank on the undirected graph (each edge both ways),
     uniform start and restart, dangling mass spread uniformly. Stops when the
     L1 change is below N * tol (tol=None: exactly ``max_iter`` rounds).
