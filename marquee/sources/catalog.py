@@ -20,9 +20,10 @@ from marquee.sources import tables as TB
 class Catalog:
     """Canonical tables of one input snapshot.
 
-    With ``materialize=True`` (the default) the two derivations every query
+    With ``materialize=True`` (the default) the derivations every query
     starts from -- the normalised films (a per-part supplier ranking over
-    ``lineitem``) and the activity log (``lineitem`` x ``orders`` + events) --
+    ``lineitem``), their last-record-per-id lookup view and the activity log
+    (``lineitem`` x ``orders`` + events) --
     are built once per snapshot and written as parquet under the shared
     checkpoint folder (``load_or_build``, keyed by the input files' sizes and
     modification times); queries then scan those tables with pruning and
@@ -67,7 +68,7 @@ class Catalog:
 
     @cached_property
     def items_by_id(self) -> DataFrame:
-        return C.items_by_id(self.items)
+        return self._built("items_by_id", lambda: C.items_by_id(self.items))
 
     @cached_property
     def credits(self) -> DataFrame:
