@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import mixing, packing, repair
+from marquee.llm import cnn, mixing, packing, ppm, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,16 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op2_ppm_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op4_byte_cnn_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op6_water_filling_mix", mixing.oracle())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mixing.mix(table(spark, sf_dir, "documents"))
