@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 SYMBOLS, DIM, WIDTH, FILTERS, HIDDEN = 512, 8, 6, 24, 16
 BLOCK, LAGS, PIECE = 32, 20, 1 << 16
-TRAIN_DOCS, TRAIN_BYTES, EPOCHS, BATCH, RATE = 2500, 16384, 4, 64, 0.01
+TRAIN_DOCS, TRAIN_BYTES, STEPS, BATCH, RATE = 2500, 16384, 220, 48, 0.01
 
 
 def symbols(data: bytes) -> np.ndarray:
@@ -139,20 +139,19 @@ class Network:
             g["embed"] += dt @ self.p["filter"][k].T
         return g
 
-    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE,
+    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE,
             seed: int = 4) -> "Network":
         r, docs = np.random.default_rng(seed), [symbols(t) for t in texts]
         m, v, t = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2)), None, 0
         m, v = m
-        steps = max(1, epochs * -(-len(docs) // batch))
         self.p["b2"][:] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
-        for _ in range(epochs):
+        while t < steps:  # as many passes over the sample as it takes
             order = r.permutation(len(docs))
             for a in range(0, len(docs), batch):
                 own = order[a:a + batch]
                 g = self.step([docs[i] for i in own], y[own])
                 t += 1
-                now = rate * 0.5 * (1 + np.cos(np.pi * t / steps))
+                now = rate * 0.5 * (1 + np.cos(np.pi * min(t / steps, 1)))
                 for k, x in g.items():
                     m[k] = 0.9 * m[k] + 0.1 * x
                     v[k] = 0.99 * v[k] + 0.01 * x * x
