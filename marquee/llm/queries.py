@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import cnn, mixing, packing, ppm, repair
+from marquee.llm import cnn, hyperminhash, mixing, packing, ppm, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,11 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_hyperminhash_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op2_ppm_language")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(table(spark, sf_dir, "documents"))
