@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import cnn, hyperminhash, mixing, packing, ppm, repair
+from marquee.llm import cnn, hyperminhash, linerun, mixing, packing, ppm, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op5_line_run_dedup", linerun.oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerun.report(table(spark, sf_dir, "documents"))
+
+
 @query("op6_water_filling_mix", mixing.oracle())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mixing.mix(table(spark, sf_dir, "documents"))
