@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import cnn, hyperminhash, linerun, mixing, packing, ppm, repair
+from marquee.llm import cnn, crosspolytope, hyperminhash, itq, linerun, mixing, packing, ppm, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,11 +51,25 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def vectors(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding AS vector", *more)
+
+
+@query("op7_cross_polytope_search")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.search(vectors(spark, sf_dir))
+
+
 @query("op8_repair_token_output")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.decode_documents(repair.encode_documents(table(spark, sf_dir, "documents")))
 
 
+@query("op9_itq_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(vectors(spark, sf_dir, "label"))
+
+
 @query("op10_configuration_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
