@@ -1,8 +1,8 @@
 """Token-ID output: Re-Pair grammars per shard, in a binary form that decodes any document without the others.
 
 A shard holds whole documents in ascending doc_id order. Re-Pair replaces frequent adjacent pairs of ids by new
-ids (nonterminals); here each round replaces many of the most frequent pairs at once, left to right without
-overlap, and rounds follow until none gains. A shard's binary image is self-describing (little-endian):
+ids (nonterminals); here each round counts pairs in a hash table and replaces many of the most frequent at once,
+left to right without overlap; ``ROUNDS`` rounds follow one another, or fewer if no pair is frequent. A shard's binary image is self-describing (little-endian):
 
     magic "RPG1"; counts of documents, rules, symbols (3 x uint64); first nonterminal (uint32)
     start of each document and the end of the last (uint64), pairs of the rules (2 x uint32 each),
@@ -36,12 +36,12 @@ HEAD = struct.Struct("<4s3QI")
 SHARDS = ("pid int, shard int, tokens_before long, n_docs int, n_tokens long, doc_ids binary, no_id binary, image binary")
 #: Ids after which a shard is closed (a longer document makes a longer shard).
 SHARD_IDS = 1 << 20
-ROUNDS, PAIRS, LEAST = 6, 4096, 6
-_SLOTS = 1 << 18
+ROUNDS, PAIRS, LEAST = 5, 4096, 6
+_SLOTS = 1 << 20
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)).astype(np.int64)
 
 
 def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
@@ -53,19 +53,18 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAI
         if len(seq) < 2:
             break
         pair = seq[:-1] << np.uint64(32) | seq[1:]
-        ordered = np.sort(pair)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        times = np.diff(np.append(edge, len(ordered)))
+        slot = _slot(pair)
+        times = np.bincount(slot, minlength=_SLOTS)
         often = np.flatnonzero(times >= least)
         if not len(often):
             break
-        often = often[np.lexsort((ordered[edge[often]], -times[often]))[:pairs]]  # ties by the pair itself
-        chosen = ordered[edge[often]]
-        table = np.full(_SLOTS, -1, np.int64)
-        slots = _slot(chosen)
-        table[slots[::-1]] = np.arange(len(chosen))[::-1]  # two pairs in one slot: the more frequent stays
-        rule = table[_slot(pair)]
+        often = often[np.argsort(-times[often], kind="stable")[:pairs]]
+        table = np.full(_SLOTS, -1, np.int32)
+        table[often] = np.arange(len(often))
+        rule = table[slot]
         hit = np.flatnonzero(rule >= 0)
+        chosen = np.zeros(len(often), np.uint64)
+        chosen[rule[hit[::-1]]] = pair[hit[::-1]]  # of several pairs in a slot the one that comes first
         hit = hit[chosen[rule[hit]] == pair[hit]]
         # runs of adjacent hits overlap: take every second one of a run, from its start
         begin = np.concatenate([[True], np.diff(hit) != 1])

@@ -12,13 +12,16 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import regex
 
 MEMO_WORDS = 500_000
 #: Characters of text that are encoded together, so that a batch's arrays stay small.
 CHUNK_CHARS = 2_000_000
 
-#: Single marks that end a word; the pre-tokenizer cuts between a letter and each of them.
-MARKS = (".", ",", ";", ":", "!", "?")
+#: The pattern by which the byte-level pre-tokenizer cuts (a fixed value of the format). It is applied here to pieces
+#: of Latin letters, where all versions of Unicode agree; others go through the library.
+PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+LATIN_END = "\u0250"
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -67,7 +70,7 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.codes = _Codes()
+        self.codes, self.words = _Codes(), {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.off, self.len = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.done = 0
@@ -77,28 +80,31 @@ class Encoder:
 
     def _word(self, word: str) -> list[int]:
         """Ids of one pre-token, which the library's model takes in the byte-level alphabet."""
-        if word.isascii() and word[0] == " ":  # letters stand for themselves
-            word = "Ġ" + word[1:]
-        elif not word.isascii():
+        if word.isascii() and word.isprintable():  # all but the space stand for themselves
+            word = word.replace(" ", "Ġ")
+        else:
             word = word.encode().decode("latin-1").translate(BYTE_LEVEL)
         return [t.id for t in self.model.tokenize(word)]
 
+    def _known(self, word: str) -> list[int]:
+        if word not in self.words:
+            self.words[word] = self._word(word)
+        return self.words[word]
+
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
         got: list = [None] * len(new)
         ask, at = [], []
         for i, p in enumerate(new):
-            if isinstance(p, tuple):  # the first of its text: no leading space
-                ask.append(p[0])
-            elif p.isalpha():  # a space and letters: one pre-token
+            if p.__class__ is not tuple and p.isalpha():  # a space and letters: one pre-token
                 got[i] = self._word(" " + p)
                 continue
-            elif p[-1:] in MARKS and p[:-1].isalpha():  # letters and one mark: two pre-tokens
-                got[i] = self._word(" " + p[:-1]) + self._word(p[-1])
-                continue
+            p = p[0] if p.__class__ is tuple else " " + p  # the first of its text has no leading space
+            if p and max(p) < LATIN_END and "<|" not in p:
+                got[i] = [x for w in PRE_TOKENS(p) for x in self._known(w)]
             else:
-                ask.append(" " + p)
-            at.append(i)
+                ask.append(p)
+                at.append(i)
         for i, ids in zip(at, self._plain(ask), strict=True):
             got[i] = ids
         flat = np.fromiter((x for g in got for x in g), np.uint32)
