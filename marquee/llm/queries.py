@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import cnn, crosspolytope, hyperminhash, itq, linerun, mixing, packing, ppm, repair
+from marquee.llm import cnn, crosspolytope, hyperminhash, itq, linerun, mixing, packing, ppm, repair, suffixdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 @query("op4_byte_cnn_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

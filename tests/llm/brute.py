@@ -41,3 +41,21 @@ def near_duplicates(rows, percent=85, width=3):
     links = [(a, b) for (a, b), n in both.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     comp = roots(sets, links)
     return {d: (len(sets[d]), comp[d], d == comp[d]) for d in sets}, links
+
+
+def repeated_bytes(rows, length=100):
+    """rows: (doc_id, text) -> {doc_id: (bytes, removed, runs, sha256 of the rest)} by a table of all windows."""
+    from hashlib import sha256
+    first, out = set(), {}
+    for d, text in sorted(rows):
+        x = (text or "").encode()
+        gone = bytearray(len(x))
+        for i in range(len(x) - length + 1):
+            w = x[i:i + length]
+            if hash(w) in first:
+                gone[i:i + length] = b"\1" * length
+            else:
+                first.add(hash(w))
+        runs = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
+        out[d] = (len(x), sum(gone), runs, sha256(bytes(b for b, g in zip(x, gone) if not g)).hexdigest())
+    return out
