@@ -199,4 +199,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The documents that stay: of each group of near duplicates the one with the smallest doc_id. Columns as given."""
     gone = (near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

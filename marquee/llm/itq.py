@@ -147,9 +147,10 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, slack: float | None =
 
     def link(batches):
         """One partition: groups of entries and visits, told by their spot and block."""
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        t = pa.Table.from_batches(held)
         x = matrix(t.column("vector"), d)
         u = x / np.sqrt((x * x).sum(1, keepdims=True))
         rep, copies, visit = (t.column(c).to_numpy() for c in ("rep", "copies", "visit"))

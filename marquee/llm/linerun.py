@@ -77,12 +77,12 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
             .agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("_runs"),
                  F.sum(F.col("last_line") - F.col("first_line") + 1).alias("_removed")))
     d, t = _key(docs)
-    cols = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    joined = docs.select("*", d, t).join(runs, ["_d", "_t"], "left")
-    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.exists("_runs", lambda r: i.between(r["first_line"], r["last_line"])))
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return (joined.select(*cols, text.alias("text"), F.coalesce("_removed", F.lit(0)).cast("long").alias("_removed"))
-            .select(*[f"`{c}`" for c in docs.columns], "_removed"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")  # no name of the input can clash
+    joined = docs.select(whole, F.col("text").cast("string").alias("_text"), d, t).join(runs, ["_d", "_t"], "left")
+    kept = F.filter(_lines(F.col("_text")), lambda x, i: ~F.exists("_runs", lambda r: i.between(r["first_line"], r["last_line"])))
+    text = F.when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias("text") if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns],
+                         F.coalesce("_removed", F.lit(0)).cast("long").alias("_removed"))
 
 
 def report(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:

@@ -103,10 +103,10 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: in
     """The mix itself: each document's row as often as the mix takes it, with the columns of ``docs``."""
     sized = written(docs.select("source", word_count(F.col("text")).alias("size"), order_key(seed).alias("key")), "sized")
     plan = plan_mix(sized, weights, cap).select(F.col("source").alias("_source"), "whole", "last_key")
-    cols = docs.columns
-    copies = (F.col("whole") + (order_key(seed) <= F.col("last_key")).cast("long")).cast("int")
-    return (docs.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-            .where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*cols))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "source", order_key(seed).alias("key"))
+    copies = (F.col("whole") + (F.col("key") <= F.col("last_key")).cast("long")).cast("int")
+    return (rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).where(copies > 0)
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select("_doc.*"))
 
 
 def oracle(weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: int = 6) -> str:

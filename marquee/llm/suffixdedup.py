@@ -104,9 +104,10 @@ def _earliest(h, c, d, t, start) -> np.ndarray:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition of segments: ``repeat`` rows are covered entirely, the others are one of several of their anchor."""
-    rows = pa.Table.from_batches(list(batches))
-    if not rows.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    rows = pa.Table.from_batches(held)
     copy = rows.column("copy").to_numpy()
     own = np.flatnonzero(~copy)
     h, c, d, t, start = (rows.column(k).to_numpy() for k in ("h", "c", "d", "t", "start"))
@@ -180,9 +181,10 @@ def repeats(pieces: list[bytes], d: np.ndarray, t: np.ndarray, start: np.ndarray
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int, shard: int) -> Iterator[pa.RecordBatch]:
-    rows = pa.Table.from_batches(list(batches))
-    if not rows.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    rows = pa.Table.from_batches(held)
     rows = rows.sort_by("key")
     key, d, t, start, n = (rows.column(k).to_numpy() for k in ("key", "d", "t", "start", "n"))
     groups = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1 if key[0] > -(2**63) else key[0] + 1)), len(key))
