@@ -1,48 +1,94 @@
 """Collaborative filtering with MLlib ALS.
 
-Training uses the current ratings (log-derived), not invented users. Item-item
-cosine over factors is computed block-wise: candidate items are split into
-blocks of ``BLOCK`` items, each seed vector is replicated once per block
-(``explode`` of the block ids, a factor of n_items / BLOCK), and each block is
-scored with one dense NumPy product inside ``cogroup.applyInPandas``. Only the
-rows a caller keeps (top-k or above a threshold) leave the task; no (seed,
-item) pair table is ever shuffled.
+Training uses the current ratings (log-derived), not invented users. MLlib
+needs integer ids, while film ids are strings of any form: distinct ids get
+ordinals from a written id table, and the model's factors are mapped back. The
+80/20 split goes by a hash of (user, item), so it doesn't depend on
+partitioning. Item-item cosine over factors is computed block-wise: items and
+seeds are both split into blocks of at most about ``BLOCK`` and ``SEED_BLOCK``
+vectors, and each pair of blocks is scored with one dense NumPy product inside
+``cogroup.applyInPandas``. Only the rows a caller keeps (top-k or above a
+threshold) leave the task; no (seed, item) pair table is ever shuffled.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.agg import top_k
+from marquee.functions.agg import dense_ids, top_k
 from marquee.functions.text import round_half_up
 
 RANK, MAX_ITER, REG, SEED = 20, 15, 0.1, 42
 TRAIN_FRACTION = 0.8
 SIMILAR_TOP = 12
 EPS = 1e-8
-BLOCK = 4096
+BLOCK, SEED_BLOCK = 4096, 1024
+# Cosines are ranked on so many decimals, in every block and by the caller alike.
+ORDER_PLACES = 9
+
+
+@dataclass
+class ItemModel:
+    """A fitted ALS model and the table of its item ordinals: (item, item_id)."""
+
+    als: object
+    ids: DataFrame
+
+    @property
+    def rank(self) -> int:
+        return self.als.rank
+
+    @property
+    def userFactors(self) -> DataFrame:  # noqa: N802  (MLlib's name)
+        return self.als.userFactors
+
+    @property
+    def itemFactors(self) -> DataFrame:  # noqa: N802
+        return self.als.itemFactors
+
+    def named(self, df: DataFrame, item: str = "item") -> DataFrame:
+        """``df`` with item ordinals replaced by ``item_id``."""
+        return df.join(self.ids.withColumnRenamed("item", item), item).drop(item)
+
+    def save(self, path: str) -> None:
+        """Write model and id table below ``path``."""
+        self.als.write().overwrite().save(f"{path}/als")
+        self.ids.write.mode("overwrite").parquet(f"{path}/ids")
+
+    @staticmethod
+    def load(spark, path: str) -> "ItemModel":
+        from pyspark.ml.recommendation import ALSModel
+        return ItemModel(ALSModel.load(f"{path}/als"), spark.read.parquet(f"{path}/ids"))
 
 
 def als_train(ratings: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER, reg: float = REG, seed: int = SEED):
     """Fit ALS (non-negative, cold-start rows dropped) on an 80/20 split;
-    returns (model, rmse on the held-out 20 %, train rows, test rows)."""
+    returns (model, rmse on the held-out 20 %, train rows, test rows).
+    ``user_id`` is an integer, ``item_id`` any string."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.recommendation import ALS
 
     from marquee.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(ratings.sparkSession)
-    data = ratings.select(F.col("user_id").cast("int").alias("user"), F.col("item_id").cast("int").alias("item"),
-                          F.col("score").cast("float").alias("rating")).filter(F.col("item").isNotNull())
-    train, test = data.randomSplit([TRAIN_FRACTION, 1 - TRAIN_FRACTION], seed=seed)
+    rated = ratings.select(F.col("user_id").cast("int").alias("user"), F.col("item_id").cast("string").alias("item_id"),
+                           F.col("score").cast("float").alias("rating")).filter(F.col("item_id").isNotNull())
+    ids = dense_ids(rated.select("item_id").distinct(), "item_id", "item").withColumn("item", F.col("item").cast("int"))
+    split = F.pmod(F.xxhash64("user", "item_id", F.lit(seed)), F.lit(1000)) < int(TRAIN_FRACTION * 1000)
+    data = rated.join(ids, "item_id").withColumn("held_in", split).persist()
+    train, test = data.filter("held_in"), data.filter("not held_in")
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, nonnegative=True, coldStartStrategy="drop",
               userCol="user", itemCol="item", ratingCol="rating", seed=seed, checkpointInterval=5)
     model = als.fit(train)
     pred = model.transform(test)
     rmse = RegressionEvaluator(metricName="rmse", labelCol="rating", predictionCol="prediction").evaluate(pred)
-    return model, rmse, train.count(), test.count()
+    counts = train.count(), test.count()
+    data.unpersist()
+    return ItemModel(model, ids), rmse, *counts
 
 
 def model_info(model, rmse: float, n_train: int, n_test: int) -> DataFrame:
@@ -58,7 +104,7 @@ def model_info(model, rmse: float, n_train: int, n_test: int) -> DataFrame:
 
 def item_factors(model) -> DataFrame:
     """(item_id, features) with string ids like the catalogue."""
-    return model.itemFactors.select(F.col("id").cast("string").alias("item_id"), "features")
+    return model.named(model.itemFactors, "id").select("item_id", "features")
 
 
 def _block_scores(keep_top: int | None, min_sim: float | None):
@@ -81,8 +127,9 @@ def _block_scores(keep_top: int | None, min_sim: float | None):
                 mask &= row > min_sim
             idx = np.nonzero(mask)[0]
             if keep_top is not None and len(idx) > keep_top:
-                # best keep_top by (sim desc, id asc): ties resolved exactly
-                order = np.lexsort((cid[idx], -row[idx]))[:keep_top]
+                # best keep_top by (rounded sim desc, id asc), the caller's order
+                near = np.floor(row[idx] * 10.0**ORDER_PLACES + 0.5)
+                order = np.lexsort((cid[idx], -near))[:keep_top]
                 idx = idx[order]
             cols["seed"].extend([sid] * len(idx))
             cols["item_id"].extend(cid[idx].tolist())
@@ -92,26 +139,30 @@ def _block_scores(keep_top: int | None, min_sim: float | None):
 
 
 def factor_cosine(factors: DataFrame, seeds: DataFrame, keep_top: int | None = None,
-                  min_sim: float | None = None, block: int = BLOCK) -> DataFrame:
+                  min_sim: float | None = None, block: int = BLOCK, seed_block: int = SEED_BLOCK) -> DataFrame:
     """(seed, item_id, sim): cosine of item factors with +1e-8 in the
     denominator, seed excluded; per block only sims > ``min_sim`` and/or each
     seed's ``keep_top`` best are emitted."""
-    n_items = factors.select(F.count(F.lit(1))).scalar()
-    n_blocks = F.greatest(F.lit(1), F.ceil(n_items / F.lit(block))).cast("int")
+    def blocks(n, size):
+        return F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
+
+    wanted = seeds.select("seed").distinct()
+    n_blocks = blocks(factors.select(F.count(F.lit(1))).scalar(), block)
+    n_seeds = blocks(wanted.select(F.count(F.lit(1))).scalar(), seed_block)
     cands = factors.select("item_id", F.col("features").alias("cfeat"),
-                           F.pmod(F.xxhash64("item_id"), n_blocks).cast("int").alias("block"))
-    sv = (seeds.select("seed").distinct()
-          .join(factors.select(F.col("item_id").alias("seed"), F.col("features").alias("sfeat")), "seed")
-          .select("seed", "sfeat", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block")))
-    out = (sv.groupBy("block").cogroup(cands.groupBy("block"))
-           .applyInPandas(_block_scores(keep_top, min_sim), "seed string, item_id string, sim double"))
-    return out
+                           F.pmod(F.xxhash64("item_id"), n_blocks).cast("int").alias("block"),
+                           F.explode(F.sequence(F.lit(0), n_seeds - 1)).alias("sblock"))
+    sv = (wanted.join(factors.select(F.col("item_id").alias("seed"), F.col("features").alias("sfeat")), "seed")
+          .select("seed", "sfeat", F.pmod(F.xxhash64("seed"), n_seeds).cast("int").alias("sblock"),
+                  F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block")))
+    return (sv.groupBy("block", "sblock").cogroup(cands.groupBy("block", "sblock"))
+            .applyInPandas(_block_scores(keep_top, min_sim), "seed string, item_id string, sim double"))
 
 
 def als_similar_items(factors: DataFrame, seeds: DataFrame, items_by_id: DataFrame, n: int = SIMILAR_TOP) -> DataFrame:
     """Each seed's ``n`` most similar films by factor cosine (> 0, 3 places)."""
     s = factor_cosine(factors, seeds, keep_top=n, min_sim=0.0)
-    t = top_k(s, n, [F.col("sim").desc(), F.col("item_id").asc()], partition=["seed"])
+    t = top_k(s, n, [round_half_up("sim", ORDER_PLACES).desc(), F.col("item_id").asc()], partition=["seed"])
     info = items_by_id.select(F.col("id").alias("item_id"), "title", "rating")
     return t.join(info, "item_id", "left").select("seed", "rk", "item_id", "title", "rating",
                                                   round_half_up("sim", 3).alias("similarity"))
@@ -120,11 +171,24 @@ def als_similar_items(factors: DataFrame, seeds: DataFrame, items_by_id: DataFra
 def als_recommend_users(model, n: int = SIMILAR_TOP, seen: DataFrame | None = None) -> DataFrame:
     """Top ``n`` films per user by predicted score (MLlib's blocked
     top-k); optionally without films the user already rated."""
-    recs = model.recommendForAllUsers(n if seen is None else n * 2)
-    e = recs.select(F.col("user").alias("user_id"), F.posexplode("recommendations").alias("pos", "r")).select(
-        "user_id", F.col("r.item").cast("string").alias("item_id"), F.col("r.rating").alias("score"))
-    if seen is not None:
-        e = e.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    def lists(recs: DataFrame) -> DataFrame:
+        e = recs.select(F.col("user").alias("user_id"), F.explode("recommendations").alias("r"))
+        return model.named(e.select("user_id", F.col("r.item").alias("item"), F.col("r.rating").alias("score")))
+
+    if seen is None:
+        e = lists(model.als.recommendForAllUsers(n))
+    else:
+        # a user who has seen s films needs n + s predictions: users go by the power of two above s
+        rated = seen.select(F.col("user_id").cast("int").alias("user"), F.col("item_id").cast("string").alias("item_id")).distinct()
+        known = model.userFactors.select(F.col("id").alias("user"))
+        many = (known.join(rated.groupBy("user").agg(F.count(F.lit(1)).alias("s")), "user", "left")
+                .select("user", F.ceil(F.log2(F.coalesce("s", F.lit(0)) + 1)).cast("int").alias("p")).persist())
+        steps = sorted(r["p"] for r in many.select("p").distinct().collect())  # at most 64
+        parts = [lists(model.als.recommendForUserSubset(many.filter(F.col("p") == p).select("user"), n + (1 << p))) for p in steps]
+        e = parts[0] if parts else lists(model.als.recommendForAllUsers(n))
+        for more in parts[1:]:
+            e = e.unionByName(more)
+        e = e.join(rated.withColumnRenamed("user", "user_id"), ["user_id", "item_id"], "left_anti")
     return top_k(e, n, [F.col("score").desc(), F.col("item_id").asc()], partition=["user_id"])
 
 

@@ -9,7 +9,7 @@ the +1 and the sublinear tf, so this is written with DataFrame aggregates.
 
 Sparse rows are (doc, term, w). Cosine similarity for a table of target
 films is a join on ``term`` with a partial sum per (target, doc); the
-vocabulary (<= 3000 rows, bounded by the parameter) is broadcast.
+vocabulary is small (the parameter bounds it), so the planner broadcasts it.
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ def content_text(items: DataFrame) -> DataFrame:
 
 
 def char_wb_ngrams(docs: DataFrame, max_n: int = NGRAM_MAX) -> DataFrame:
-    """(doc, term, tf) -- raw counts of padded-word character grams."""
-    words = F.filter(F.split(F.lower(F.col("text")), r"\s+"), lambda w: w != F.lit(""))
+    """(doc, term, tf) -- raw counts of padded-word character grams.
+    Words end at any Unicode white space (an ideographic blank too)."""
+    words = F.filter(F.split(F.lower(F.col("text")), r"[\s\p{Z}]+"), lambda w: w != F.lit(""))
     padded = docs.select("doc", F.explode(words).alias("w")).select(
         "doc", F.concat(F.lit(" "), F.col("w"), F.lit(" ")).alias("w"))
 
@@ -66,7 +67,7 @@ def tfidf(docs: DataFrame) -> DataFrame:
     """Unit-length TF-IDF rows (doc, term, w)."""
     tf = char_wb_ngrams(docs)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    voc = F.broadcast(vocabulary(tf))  # bounded by MAX_FEATURES
+    voc = vocabulary(tf)
     w = tf.join(voc, "term").select(
         "doc", "term",
         ((1 + F.log(F.col("tf"))) * (F.log((1 + n_docs) / (1 + F.col("df"))) + 1)).alias("w"))

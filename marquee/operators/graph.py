@@ -161,7 +161,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, max_iter:
         new = (v.join(contrib.withColumnRenamed("dst", "node"), "node", "left")
                .select("node", (F.lit(alpha) * (F.coalesce("c", F.lit(0.0)) + dmass / F.lit(float(n)))
                                 + F.lit((1.0 - alpha) / n)).alias("x")))
-        new = _checkpoint(new, i, checkpoint_every)
+        # the last round is always a reliable checkpoint (see the end of the loop for an early stop)
+        new = _checkpoint(new, checkpoint_every if i == max_iter else i, checkpoint_every)
         rounds = i
         err = None
         if tol is not None:
@@ -170,6 +171,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, max_iter:
         _release(x)
         x = new
         if err is not None and err < n * tol:
+            if checkpoint_every > 1 and i % checkpoint_every:
+                x = _checkpoint(x)
             break
     # the result is a reliable checkpoint: the cached inputs can go
     _release(trans, v, dangling)
@@ -295,23 +298,36 @@ def community_assign(items_by_id: DataFrame, buckets: int = COMMUNITY_BUCKETS) -
     return items_by_id.filter(g.isNotNull()).select(F.col("id").alias("node"), (h % buckets).alias("community"))
 
 
-def community_label_prop(items_by_id: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
+def community_label_prop(items_by_id: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Label propagation on the film-film projection without building the
     projection: a film's support for label L is the number of (attribute,
     other film with label L) pairs, summed from per-attribute label counts
     (partial aggregates; a hub attribute contributes one row per label).
-    Starts from G7 labels; ties go to the smallest label; synchronous rounds."""
+    Starts from G7 labels; ties go to the smallest label; synchronous rounds
+    until no label changes. Synchronous rounds can end in two states that
+    follow each other for ever; then each film takes the smaller of its two
+    labels. ``max_rounds`` stops earlier (default: no limit)."""
     a = _attrs(edges).select("film", "attr")
     lab = community_assign(items_by_id).select(F.col("node").alias("film"), F.col("community").alias("label"))
-    for i in range(rounds):
+    states: list[tuple] = []
+    while max_rounds is None or len(states) < max_rounds:
         al = a.join(lab, "film").groupBy("attr", "label").agg(F.count(F.lit(1)).alias("cnt"))
         sup = (a.join(al, "attr").join(lab.withColumnRenamed("label", "own"), "film", "left")
                .groupBy("film", "label")
                .agg(F.sum(F.col("cnt") - F.when(F.col("own") == F.col("label"), 1).otherwise(0)).alias("s"))
                .filter(F.col("s") > 0))
         best = top_k(sup, 1, [F.col("s").desc(), F.col("label").asc()], partition=["film"]).select("film", "label")
-        lab = best.unionByName(lab.join(best.select("film"), "film", "left_anti"))
-        lab = _checkpoint(lab, i + 1, 2)
+        new = _checkpoint(best.unionByName(lab.join(best.select("film"), "film", "left_anti")))
+        state = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("film", "label").cast("decimal(38,0)"))).first())
+        if states and state == states[-1]:
+            lab = new
+            break
+        if state in states[:-1]:  # the two states alternate
+            lab = (new.join(lab.withColumnRenamed("label", "other"), "film")
+                   .select("film", F.least("label", "other").alias("label")))
+            break
+        states.append(state)
+        lab = new
     return lab.select(F.col("film").alias("node"), F.col("label").alias("community"))
 
 
@@ -378,44 +394,36 @@ def pagerank_recommend(items: DataFrame, pr: DataFrame, n: int = 20, genre: str
 # G10 shortest path, G11 statistics
 # ---------------------------------------------------------------------------
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: DataFrame, target: DataFrame,
-                  max_depth: int = 50) -> DataFrame:
+                  max_depth: int | None = None) -> DataFrame:
     """Unweighted shortest path between two nodes (one-row DataFrames
     with column ``node``) by level-synchronous BFS; a node's parent is the
-    smallest node id one level closer. Returns (pos, node) rows, empty when
-    either node is missing or no path exists."""
+    smallest node id one level closer. Levels follow until the target is met
+    or none is left (``max_depth`` stops earlier; default: no limit). Returns
+    (pos, node) rows, empty when either node is missing or no path exists."""
     und = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     src = source.join(nodes.select("node"), "node", "left_semi")
     tgt = target.join(nodes.select("node"), "node", "left_semi")
-    visited = src.select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
-    frontier = visited
-    found = False
-    for d in range(1, max_depth + 1):
-        nxt = (frontier.select(F.col("node").alias("src")).join(und, "src")
-               .join(visited.select(F.col("node").alias("dst")), "dst", "left_anti")
-               .groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-               .select("node", "parent", F.lit(d).alias("depth")))
-        nxt = _checkpoint(nxt, 1, 1)
-        if nxt.isEmpty():
-            break
-        visited = _checkpoint(visited.unionByName(nxt), 1, 1)
-        frontier = nxt
-        if not nxt.join(tgt, "node", "left_semi").isEmpty():
-            found = True
-            break
-    if not found and src.join(tgt, "node", "left_semi").isEmpty():
-        return nodes.limit(0).select(F.lit(0).alias("pos"), "node")
-    # walk parents back from the target (path length <= depth reached)
-    path = tgt.select("node").join(visited, "node").select("node", "parent", "depth")
-    cur = path
-    for _ in range(max_depth):
-        step = cur.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).join(
-            visited, "node").select("node", "parent", "depth")
-        step = _checkpoint(step, 1, 1)
-        if step.isEmpty():
-            break
-        path = path.unionByName(step)
-        cur = step
-    return path.select(F.col("depth").alias("pos"), "node")
+    goal = tgt.first()
+    none = nodes.limit(0).select(F.lit(0).alias("pos"), "node")
+    if goal is None:
+        return none
+    at_goal = F.col("node") == F.lit(goal["node"])
+    levels = [_checkpoint(src.select("node", F.lit(None).cast("string").alias("parent")))]
+    while levels[-1].filter(at_goal).isEmpty():
+        if max_depth is not None and len(levels) > max_depth:
+            return none
+        # neighbours of a level lie in it, in the one before or in the next one
+        near = levels[-1].select("node") if len(levels) < 2 else levels[-1].select("node").unionByName(levels[-2].select("node"))
+        nxt = (levels[-1].select(F.col("node").alias("src")).join(und, "src").groupBy(F.col("dst").alias("node"))
+               .agg(F.min("src").alias("parent")).join(near, "node", "left_anti"))
+        levels.append(_checkpoint(nxt))
+        if levels[-1].isEmpty():
+            return none
+    # one id per level leads back to the source
+    path = [goal["node"]]
+    for level in levels[:0:-1]:
+        path.append(level.filter(F.col("node") == F.lit(path[-1])).first()["parent"])
+    return nodes.sparkSession.createDataFrame(list(enumerate(reversed(path))), "pos int, node string")
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, communities: DataFrame) -> DataFrame:

@@ -99,14 +99,15 @@ def person_frequency(items: DataFrame, min_films: int = MIN_APPEARANCES,
 
 def filmography(items: DataFrame, credits: DataFrame) -> DataFrame:
     """J7 for every person: the films of a name in either role with
-    is_director / is_actor flags and the person's total; best rated first
+    is_director / is_actor flags and the person's total (records, also where
+    an id repeats); best rated first
     (a distributed range sort, so a prolific name spans several tasks)."""
-    roles = credits.groupBy("person", "item_id").agg(
+    roles = credits.groupBy("person", "ord").agg(
         F.max(F.col("role") == "director").alias("is_director"),
         F.max(F.col("role") == "actor").alias("is_actor"))
     totals = roles.groupBy("person").agg(F.count(F.lit(1)).alias("total"))
     films = items.select(F.col("id").alias("item_id"), "title", "rating", "ord")
-    out = roles.join(films, "item_id").join(totals, "person")
+    out = roles.join(films, "ord").join(totals, "person")
     return out.orderBy("person", F.col("rating").desc(), "ord").select(
         "person", "item_id", "title", "rating", "is_director", "is_actor", "total")
 

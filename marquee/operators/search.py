@@ -84,6 +84,9 @@ def _grams(text_col, max_n: int = 3):
 def batch_search(items: DataFrame, queries: DataFrame, n: int = PAGE_ROWS) -> DataFrame:
     """Q5: top ``n`` films for every query of ``queries(qid, q)``.
 
+    Films are told by their record (``ord``), so records that share an id are
+    rows of their own.
+
     1. postings (gram -> film) over the four searched fields, one shuffle;
     2. document frequency per gram, and for each query its rarest gram among
        the prefix-free grams of length min(3, len(q));
@@ -99,14 +102,14 @@ def batch_search(items: DataFrame, queries: DataFrame, n: int = PAGE_ROWS) -> Da
     # only postings of grams some query can route to are kept (semi join
     # right after the explode, before the frequency aggregate and the joins)
     needed = qg.select("gram").distinct()
-    post = docs.select("id", F.explode(_grams(text)).alias("gram")).join(needed, "gram", "left_semi")
+    post = docs.select("ord", F.explode(_grams(text)).alias("gram")).join(needed, "gram", "left_semi")
     df = post.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     pick = (qg.join(df, "gram", "left")
             .groupBy("qid", "ql").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"),
                                       F.min(F.coalesce("df", F.lit(0))).alias("_df"))
             .filter(F.col("_df") > 0))
-    cand = pick.join(post, "gram").select("qid", "ql", "id")
-    scored = cand.join(docs, "id").select("qid", "id", "title", "ord", _score(F.col("ql")).alias("score"))
+    cand = pick.join(post, "gram").select("qid", "ql", "ord")
+    scored = cand.join(docs, "ord").select("qid", "id", "title", "ord", _score(F.col("ql")).alias("score"))
     scored = scored.filter(F.col("score") > 0)
     return top_k(scored, n, [F.col("score").desc(), F.col("ord").asc(), F.col("id").asc()],
                  partition=["qid"]).drop("ord")

@@ -187,7 +187,7 @@ SELECT user_id, item_id, max(ts) AS viewed_at FROM activity WHERE kind = 'view'
 """)
 
 view("reviews", """
-SELECT conv_id * 100 + turn AS id,
+SELECT conv_id * 4294967296 + turn AS id,
   (conv_id * 13 + turn) % (SELECT count(*) FROM customer) AS user_id,
   CAST(conv_id % (SELECT count(*) FROM part) AS VARCHAR) AS movie_id,
   text AS content, make_timestamp((1704067200 + conv_id * 100 + turn) * 1000000) AS created_at
@@ -195,7 +195,7 @@ FROM conversations WHERE role = 'user'
 """)
 
 view("review_replies", """
-SELECT conv_id * 100 + turn AS id, conv_id * 100 + review_turn AS review_id,
+SELECT conv_id * 4294967296 + turn AS id, conv_id * 4294967296 + review_turn AS review_id,
   (conv_id * 7 + turn) % (SELECT count(*) FROM customer) AS user_id,
   text AS content, make_timestamp((1704067200 + conv_id * 100 + turn) * 1000000) AS created_at
 FROM (
@@ -208,9 +208,9 @@ FROM (
 
 view("review_like_log", """
 SELECT (c.conv_id * 17 + c.turn * 3) % (SELECT count(*) FROM customer) AS user_id,
-  c.conv_id * 100 + f.first_turn AS review_id,
+  c.conv_id * 4294967296 + f.first_turn AS review_id,
   make_timestamp((1704067200 + c.conv_id * 100 + c.turn) * 1000000) AS ts,
-  c.conv_id * 100 + c.turn AS seq
+  c.conv_id * 4294967296 + c.turn AS seq
 FROM conversations c
 JOIN (SELECT conv_id, min(turn) AS first_turn FROM conversations WHERE role = 'user' GROUP BY conv_id) f
   ON f.conv_id = c.conv_id

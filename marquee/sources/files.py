@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,17 @@ ACTIVITY_SCHEMAS = {
 
 
 def _with_ord(df: DataFrame) -> DataFrame:
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    """Number the rows 0.. in the order of file names and, in a file, of its
+    rows. Spark packs files into tasks by size, so the row's place in its file
+    block is counted from the block's first id, and the blocks before it (one
+    row each) are added up by file name and offset."""
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_id"))
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_file", "_block")) - F.col("_rows")
+    blocks = blocks.select("_file", "_block", (before - F.col("_first")).alias("_shift"))
+    return (placed.join(blocks, ["_file", "_block"]).withColumn("ord", F.col("_id") + F.col("_shift"))
+            .drop("_file", "_block", "_id", "_shift"))
 
 
 def read_items_json(spark: SparkSession, path: str, json_array: bool = True) -> DataFrame:
@@ -50,10 +60,10 @@ def read_items_json(spark: SparkSession, path: str, json_array: bool = True) ->
     ``json_array=False``) with the declared 17-field schema. ``hot_comments``
     may be a list or a plain string in the input."""
     reader = spark.read.schema(T.StructType([T.StructField(f, T.StringType(), True) for f in ITEM_FIELDS]))
-    df = reader.option("multiLine", json_array).json(path)
+    df = _with_ord(reader.option("multiLine", json_array).json(path))
     hot = F.coalesce(F.from_json(F.col("hot_comments"), "array<string>"),
                      F.when(F.col("hot_comments").isNotNull(), F.array(F.col("hot_comments"))))
-    return _with_ord(df.withColumn("hot_comments", hot))
+    return df.withColumn("hot_comments", hot)
 
 
 def read_items_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -62,11 +72,12 @@ def read_items_csv(spark: SparkSession, path: str) -> DataFrame:
     Quoted line breaks are kept (the multi-line CSV parser)."""
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
           .option("encoding", "UTF-8").csv(path))
+    df = _with_ord(df)
     df = df.toDF(*[c.lstrip(BOM) for c in df.columns])
     cols = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in df.columns else F.lit("").alias(f)
             for f in ITEM_FIELDS if f != "hot_comments"]
     hot = F.col("hot_comments").cast("string") if "hot_comments" in df.columns else F.lit("")
-    return _with_ord(df.select(*cols, F.array(hot).alias("hot_comments")))
+    return df.select(*cols, F.array(hot).alias("hot_comments"), "ord")
 
 
 def import_items(spark: SparkSession, path: str, out_path: str) -> int:

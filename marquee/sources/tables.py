@@ -165,17 +165,22 @@ def activity(t: DriverTables) -> DataFrame:
     return a.unionByName(b)
 
 
+def _turn_id(turn: str) -> "F.Column":
+    """An id for a turn of a conversation, without collisions for any 32-bit turn."""
+    return F.col("conv_id") * (1 << 32) + F.col(turn)
+
+
 def reviews(t: DriverTables) -> DataFrame:
     """User turns of conversations are reviews of a film."""
     n_cust = _row_count(t.customer)
     n_part = _row_count(t.part)
     c = t.conversations.filter(F.col("role") == "user")
-    rid = F.col("conv_id") * 100 + F.col("turn")
+    rid = _turn_id("turn")
     return (c.select(rid.alias("id"),
                     ((F.col("conv_id") * 13 + F.col("turn")) % n_cust).alias("user_id"),
                     (F.col("conv_id") % n_part).cast("string").alias("movie_id"),
                     F.col("text").alias("content"),
-                    F.timestamp_seconds(F.lit(BASE_EPOCH) + rid).alias("created_at")))
+                    F.timestamp_seconds(F.lit(BASE_EPOCH) + F.col("conv_id") * 100 + F.col("turn")).alias("created_at")))
 
 
 def review_replies(t: DriverTables) -> DataFrame:
@@ -187,12 +192,12 @@ def review_replies(t: DriverTables) -> DataFrame:
     last_user = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w)
     r = c.withColumn("review_turn", last_user).filter(
         (F.col("role") == "assistant") & F.col("review_turn").isNotNull())
-    rid = F.col("conv_id") * 100 + F.col("turn")
+    rid = _turn_id("turn")
     return (r.select(rid.alias("id"),
-                    (F.col("conv_id") * 100 + F.col("review_turn")).alias("review_id"),
+                    _turn_id("review_turn").alias("review_id"),
                     ((F.col("conv_id") * 7 + F.col("turn")) % n_cust).alias("user_id"),
                     F.col("text").alias("content"),
-                    F.timestamp_seconds(F.lit(BASE_EPOCH) + rid).alias("created_at")))
+                    F.timestamp_seconds(F.lit(BASE_EPOCH) + F.col("conv_id") * 100 + F.col("turn")).alias("created_at")))
 
 
 def review_like_log(t: DriverTables) -> DataFrame:
@@ -203,10 +208,10 @@ def review_like_log(t: DriverTables) -> DataFrame:
     first = (c.filter(F.col("role") == "user").groupBy("conv_id")
              .agg(F.min("turn").alias("first_turn")))
     j = c.join(first, "conv_id")
-    rid = F.col("conv_id") * 100 + F.col("turn")
+    rid = _turn_id("turn")
     return (j.select(((F.col("conv_id") * 17 + F.col("turn") * 3) % n_cust).alias("user_id"),
-                    (F.col("conv_id") * 100 + F.col("first_turn")).alias("review_id"),
-                    F.timestamp_seconds(F.lit(BASE_EPOCH) + rid).alias("ts"),
+                    _turn_id("first_turn").alias("review_id"),
+                    F.timestamp_seconds(F.lit(BASE_EPOCH) + F.col("conv_id") * 100 + F.col("turn")).alias("ts"),
                     rid.alias("seq")))
 
 
