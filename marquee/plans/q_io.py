@@ -70,42 +70,54 @@ def q_load_or_build_edges(cat):
     return FS.load_or_build(cat.spark, f"{base}/edges", build, version="1")
 
 
+STREAM_FILES = 6
+
+
 def _log_source(cat) -> str:
+    """The log as several files; two of them make a micro-batch."""
     path = _fresh(cat, "activity-log")
-    cat.activity.write.mode("overwrite").parquet(path)
+    cat.activity.repartition(STREAM_FILES).write.mode("overwrite").parquet(path)
     return path
 
 
 @register("stream_likes_current")
 def q_stream_likes_current(cat):
-    """U2 as Structured Streaming (availableNow) over the activity log."""
+    """U2 as Structured Streaming (availableNow, three micro-batches) over the activity log."""
     from marquee.streaming import activity_stream as ST
-    src = _log_source(cat)
-    return ST.stream_toggles(cat.spark, src, "like", _fresh(cat, "likes-out"), _fresh(cat, "likes-ckpt"))
+    return ST.stream_toggles(cat.spark, _log_source(cat), "like", _fresh(cat, "likes-out"), _fresh(cat, "likes-ckpt"), 2)
 
 
 @register("stream_favorites_current")
 def q_stream_favorites_current(cat):
     """U3 as Structured Streaming."""
     from marquee.streaming import activity_stream as ST
-    src = _log_source(cat)
-    return ST.stream_toggles(cat.spark, src, "favorite", _fresh(cat, "fav-out"), _fresh(cat, "fav-ckpt"))
+    return ST.stream_toggles(cat.spark, _log_source(cat), "favorite", _fresh(cat, "fav-out"), _fresh(cat, "fav-ckpt"), 2)
 
 
 @register("stream_history_current")
 def q_stream_history_current(cat):
     """U6 as Structured Streaming."""
     from marquee.streaming import activity_stream as ST
-    src = _log_source(cat)
-    return ST.stream_history(cat.spark, src, _fresh(cat, "hist-out"), _fresh(cat, "hist-ckpt"))
+    return ST.stream_history(cat.spark, _log_source(cat), _fresh(cat, "hist-out"), _fresh(cat, "hist-ckpt"), 2)
 
 
 @register("stream_ratings_current")
 def q_stream_ratings_current(cat):
-    """U1 + U7 as Structured Streaming with a stateful pandas operator."""
+    """U1 + U7 as Structured Streaming: the log arrives in three slices of time, and the query starts again for
+    each from its checkpoint."""
     from marquee.streaming import activity_stream as ST
-    src = _log_source(cat)
-    return ST.stream_ratings(cat.spark, src, _fresh(cat, "rate-out"), _fresh(cat, "rate-ckpt"))
+    src, out, ckpt = _fresh(cat, "rate-log"), _fresh(cat, "rate-out"), _fresh(cat, "rate-ckpt")
+    at = F.unix_timestamp("ts")
+    cut = cat.activity.agg(F.percentile_approx(at, F.array(F.lit(1 / 3), F.lit(2 / 3)), 1000)).first()[0] or [0, 0]
+    for low, high in ((None, cut[0]), (cut[0], cut[1]), (cut[1], None)):
+        part = cat.activity
+        if low is not None:
+            part = part.filter(at > low)
+        if high is not None:
+            part = part.filter(at <= high)
+        part.write.mode("append").parquet(src)
+        state = ST.stream_ratings(cat.spark, src, out, ckpt)
+    return state
 
 
 ORACLES["stream_likes_current"] = with_views("SELECT user_id, item_id, created_at FROM likes")

@@ -1,44 +1,35 @@
-import pandas as pd
+"""The rating state as a fold of micro-batches, in one and in several batches."""
+import datetime
 
-from marquee.streaming.activity_stream import _rating_machine
+import pytest
 
-
-class FakeState:
-    def __init__(self):
-        self.value = None
-
-    @property
-    def exists(self):
-        return self.value is not None
-
-    @property
-    def get(self):
-        return self.value
-
-    def update(self, v):
-        self.value = v
-
-
-def _ev(rows):
-    return pd.DataFrame(rows, columns=["user_id", "item_id", "kind", "score", "ts", "src", "k1", "k2"])
+from marquee.operators.activity import ratings_current
+from marquee.streaming import activity_stream as ST
 
 
 def _t(s):
-    return pd.Timestamp(2024, 1, 1, 0, 0, s)
-
-
-def test_rating_machine_across_batches():
-    st = FakeState()
-    key = (1, "a")
-    b1 = _ev([(1, "a", "rate", 5, _t(2), 0, 2, 0), (1, "a", "rate", 3, _t(1), 0, 1, 0)])   # out of order in batch
-    out = next(_rating_machine(key, iter([b1]), st)).iloc[0]
-    assert (out.score, out.created_at, out.updated_at, out.live) == (5, _t(1), _t(2), True)
-    b2 = _ev([(1, "a", "rate", 7, _t(3), 0, 3, 0)])                                         # upsert keeps created_at
-    out = next(_rating_machine(key, iter([b2]), st)).iloc[0]
-    assert (out.score, out.created_at, out.updated_at) == (7, _t(1), _t(3))
-    b3 = _ev([(1, "a", "unrate", None, _t(4), 0, 4, 0), (1, "a", "rate", 9, _t(5), 0, 5, 0)])  # delete then re-rate
-    out = next(_rating_machine(key, iter([b3]), st)).iloc[0]
-    assert (out.score, out.created_at, out.updated_at, out.live) == (9, _t(5), _t(5), True)
-    b4 = _ev([(1, "a", "unrate", None, _t(6), 0, 6, 0)])
-    out = next(_rating_machine(key, iter([b4]), st)).iloc[0]
-    assert not bool(out.live)
+    return datetime.datetime(2024, 1, 1, 0, 0, s)
+
+
+# batches of (user, film, kind, score, second); the order of rows within a batch doesn't matter
+BATCHES = [
+    [(1, "a", "rate", 5, 2), (1, "a", "rate", 3, 1), (2, "a", "rate", 4, 1)],
+    [(1, "a", "rate", 7, 3), (2, "a", "unrate", None, 4)],
+    [(1, "a", "rate", 9, 6), (1, "a", "unrate", None, 5), (3, "b", "unrate", None, 5)],
+    [(2, "a", "rate", 8, 7), (2, "a", "rate", 2, 8)],
+    [(1, "a", "unrate", None, 9), (4, "c", "rate", 1, 9)],
+]
+
+
+@pytest.mark.parametrize("upto", [1, 2, 3, 5])
+def test_fold_of_batches_is_the_batch_result(spark, upto):
+    rows = lambda b: spark.createDataFrame([(u, i, k, s, _t(t), 0, t, 0) for u, i, k, s, t in b], ST.ACTIVITY_SCHEMA)
+    log = None
+    for b in BATCHES[:upto]:
+        change = ST._rating_changes(rows(b))
+        log = change if log is None else log.unionByName(change)
+    whole = rows([r for b in BATCHES[:upto] for r in b])
+    key = lambda df: sorted(tuple(r) for r in df.select("user_id", "item_id", "score", "created_at", "updated_at").collect())
+    assert key(ST.ratings_from_changes(log)) == key(ratings_current(whole))
+    if upto == 3:
+        assert key(ST.ratings_from_changes(log)) == [(1, "a", 9, _t(6), _t(6))]
