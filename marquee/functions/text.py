@@ -77,10 +77,6 @@ def decade(year) -> Column:
     return (F.floor(col_(year) / 10) * 10).cast("int")
 
 
-def decade_label(year) -> Column:
-    return F.concat(decade(year).cast("string"), F.lit("s"))
-
-
 def first_or_empty(arr) -> Column:
     return F.coalesce(F.try_element_at(col_(arr), F.lit(1)), F.lit(""))
 

@@ -96,12 +96,3 @@ def credits(items: DataFrame) -> DataFrame:
         "role", F.lit("actor"))
     return d.unionByName(a).select(F.col("id").alias("item_id"), "ord", "person", "role",
                                    (F.col("p") + 1).alias("pos"))
-
-
-def tags(items: DataFrame) -> DataFrame:
-    """Long form of genres / countries: (item_id, kind, value, pos)."""
-    g = items.select("id", F.posexplode("genres").alias("p", "value")).withColumn("kind", F.lit("genre"))
-    c = items.select("id", F.posexplode("countries").alias("p", "value")).withColumn(
-        "kind", F.lit("country"))
-    return g.unionByName(c).select(F.col("id").alias("item_id"), "kind", "value",
-                                   (F.col("p") + 1).alias("pos"))

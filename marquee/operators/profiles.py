@@ -95,10 +95,19 @@ def _film_contributions(signals: DataFrame, credits: DataFrame, info: DataFrame)
     return films.unionByName(pf)
 
 
+def user_item_sums(signals: DataFrame, credits: DataFrame, info: DataFrame) -> DataFrame:
+    """(user_id, item_id, w): the contributions added up. A table worth writing
+    once, since the normalisation reads it twice."""
+    return _film_contributions(signals, credits, info).groupBy("user_id", "item_id").agg(F.sum("w").alias("w"))
+
+
 def user_item_weights(signals: DataFrame, credits: DataFrame, info: DataFrame) -> DataFrame:
     """H2: (user_id, item_id, weight) normalised by the user's maximum."""
-    c = _film_contributions(signals, credits, info)
-    g = c.groupBy("user_id", "item_id").agg(F.sum("w").alias("w"))
+    return normalized_weights(user_item_sums(signals, credits, info))
+
+
+def normalized_weights(g: DataFrame) -> DataFrame:
+    """Each sum as a share of the user's maximum."""
     mx = g.groupBy("user_id").agg(F.max("w").alias("_mx"))  # partial aggregate, joined back
     return g.join(mx, "user_id").select("user_id", "item_id", F.col("w").alias("w_raw"),
                                         (F.col("w") / F.col("_mx")).alias("weight"))

@@ -135,9 +135,9 @@ def report_people(items, weights, lp, role: str) -> DataFrame:
          .groupBy("user_id", "name").agg(F.sum("w_c").alias("w_c")))
     liked = lp.filter(F.col("person_type") == role).select("user_id", F.col("person_name").alias("name"),
                                                              F.lit(1).alias("liked"))
-    pool = top_k(g, PERSON_POOL, [F.col("w_c").desc(), F.col("name").asc()], partition=["user_id"], name="prk")
-    j = g.join(liked, ["user_id", "name"], "left").join(pool.select("user_id", "name", "prk"), ["user_id", "name"], "left")
-    cand = j.filter((F.col("liked") == 1) | F.col("prk").isNotNull())
+    # one rank over all names of a user serves the pool; the liked ones join it
+    ranked = top_k(g, None, [F.col("w_c").desc(), F.col("name").asc()], partition=["user_id"], name="prk")
+    cand = ranked.join(liked, ["user_id", "name"], "left").filter((F.col("liked") == 1) | (F.col("prk") <= PERSON_POOL))
     t = top_k(cand, TOP_N, [F.coalesce("liked", F.lit(0)).desc(), F.col("w_c").desc(), F.col("name").asc()],
               partition=["user_id"])
     return t.select("user_id", "name", round_half_up(F.col("w_c") / 100.0, 1).alias("weight"),

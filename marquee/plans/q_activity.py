@@ -13,7 +13,7 @@ from marquee.plans.sqlviews import rhu, with_views
 @register("ratings_current", with_views("SELECT user_id, item_id, score, created_at, updated_at FROM ratings"))
 def q_ratings_current(cat):
     """U1 (+U7 tombstones): current rating per (user, film)."""
-    return cat.ratings
+    return A.ratings_current(cat.activity)
 
 
 @register("apply_deletes", with_views("SELECT user_id, item_id, score, ts FROM rate_live"))
@@ -26,20 +26,20 @@ def q_apply_deletes(cat):
 @register("likes_current", with_views("SELECT user_id, item_id, created_at FROM likes"))
 def q_likes_current(cat):
     """U2."""
-    return cat.likes
+    return A.toggles_current(cat.activity, "like")
 
 
 @register("favorites_current", with_views("SELECT user_id, item_id, created_at FROM favorites"))
 def q_favorites_current(cat):
     """U3."""
-    return cat.favorites
+    return A.toggles_current(cat.activity, "favorite")
 
 
 @register("person_likes_current", with_views(
     "SELECT user_id, person_name, person_type, created_at FROM liked_persons"))
 def q_person_likes_current(cat):
     """U4."""
-    return cat.liked_persons
+    return A.person_likes_current(cat.person_like_log)
 
 
 @register("review_likes_current", with_views("SELECT user_id, review_id, created_at FROM review_likes"))
@@ -51,7 +51,7 @@ def q_review_likes_current(cat):
 @register("history_current", with_views("SELECT user_id, item_id, viewed_at FROM history"))
 def q_history_current(cat):
     """U6."""
-    return cat.history
+    return A.history_current(cat.activity)
 
 
 @register("cascade_deletes", with_views("""

@@ -82,7 +82,7 @@ PR_CTES = _pagerank_ctes(FIXED_ROUNDS)
 
 def _graph(cat):
     if not hasattr(cat, "_graph"):
-        e = G.graph_edges(cat.items)
+        e = cat.graph_edges
         cat._graph = (G.graph_nodes(cat.items, e), e)
     return cat._graph
 
@@ -101,7 +101,7 @@ def _seeds(cat):
 @register("graph_edges", with_views("SELECT src, dst, relation, weight, pos FROM gedges"))
 def q_graph_edges(cat):
     """G1."""
-    return _graph(cat)[1]
+    return G.graph_edges(cat.items)
 
 
 @register("graph_nodes", with_views("SELECT node, type, name FROM gnodes"))

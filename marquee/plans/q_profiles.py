@@ -72,8 +72,7 @@ def q_user_signals(cat):
 @register("user_item_weights", with_views("SELECT user_id, item_id, w_raw, weight FROM pweights"))
 def q_user_item_weights(cat):
     """H2."""
-    info, sig = _prof(cat)
-    return H.user_item_weights(sig, cat.credits_by_id, info)
+    return H.normalized_weights(cat.user_weights)
 
 
 @register("user_genre_prefs", with_views("""
@@ -147,7 +146,7 @@ SELECT user_id, CAST(d AS VARCHAR) || 's' AS decade, n, rk FROM (
 def q_profile_decades(cat):
     """Top decades of every user's preferred films."""
     info, sig = _prof(cat)
-    return H.profile_decades(H.user_item_weights(sig, cat.credits_by_id, info), info)
+    return H.profile_decades(H.normalized_weights(cat.user_weights), info)
 
 
 @register("cold_users", with_views("""
@@ -185,7 +184,7 @@ def most_active_user(cat):
 
 def _user_weights(cat):
     info, sig = _prof(cat)
-    w = H.user_item_weights(sig, cat.credits_by_id, info)
+    w = H.normalized_weights(cat.user_weights)
     return w.join(most_active_user(cat), "user_id", "left_semi")
 
 
@@ -325,8 +324,7 @@ def _report(cat):
     if not hasattr(cat, "_report"):
         r, f, lk, h, lp, rv = V.report_inputs(cat.ratings, cat.likes, cat.favorites, cat.history,
                                               cat.liked_persons, cat.reviews)
-        w = V.report_item_weights(cat.items, r, f, lk, h, lp)
-        cat._report = (w, r, f, lk, h, lp, rv)
+        cat._report = (cat.report_weights, r, f, lk, h, lp, rv)
     return cat._report
 
 
@@ -371,7 +369,8 @@ FROM vweights w JOIN items i ON i.id = w.item_id
 @register("report_item_weights", with_views("SELECT user_id, item_id, w_c FROM vweights"))
 def q_report_item_weights(cat):
     """V1."""
-    return _report(cat)[0]
+    _, r, f, lk, h, lp, _ = _report(cat)
+    return V.report_item_weights(cat.items, r, f, lk, h, lp)
 
 
 @register("report_overview", with_views(f"""

@@ -23,7 +23,8 @@ class Catalog:
     With ``materialize=True`` (the default) the derivations every query
     starts from -- the normalised films (a per-part supplier ranking over
     ``lineitem``), their last-record-per-id lookup view and the activity log
-    (``lineitem`` x ``orders`` + events) --
+    (``lineitem`` x ``orders`` + events) --, the current state of every log,
+    the graph's edges and the users' film weights
     are built once per snapshot and written as parquet under the shared
     checkpoint folder (``load_or_build``, keyed by the input files' sizes and
     modification times); queries then scan those tables with pruning and
@@ -78,10 +79,6 @@ class Catalog:
     def credits_by_id(self) -> DataFrame:
         return C.credits(self.items_by_id)
 
-    @cached_property
-    def tags(self) -> DataFrame:
-        return C.tags(self.items)
-
     # --- users and activity --------------------------------------------------
     @cached_property
     def users(self) -> DataFrame:
@@ -93,19 +90,19 @@ class Catalog:
 
     @cached_property
     def ratings(self) -> DataFrame:
-        return A.ratings_current(self.activity)
+        return self._built("ratings", lambda: A.ratings_current(self.activity))
 
     @cached_property
     def likes(self) -> DataFrame:
-        return A.toggles_current(self.activity, "like")
+        return self._built("likes", lambda: A.toggles_current(self.activity, "like"))
 
     @cached_property
     def favorites(self) -> DataFrame:
-        return A.toggles_current(self.activity, "favorite")
+        return self._built("favorites", lambda: A.toggles_current(self.activity, "favorite"))
 
     @cached_property
     def history(self) -> DataFrame:
-        return A.history_current(self.activity)
+        return self._built("history", lambda: A.history_current(self.activity))
 
     @cached_property
     def reviews(self) -> DataFrame:
@@ -125,11 +122,32 @@ class Catalog:
 
     @cached_property
     def person_like_log(self) -> DataFrame:
-        return TB.person_like_log(self.t)
+        return self._built("person_like_log", lambda: TB.person_like_log(self.t))
 
     @cached_property
     def liked_persons(self) -> DataFrame:
-        return A.person_likes_current(self.person_like_log)
+        return self._built("liked_persons", lambda: A.person_likes_current(self.person_like_log))
+
+    # --- tables derived from several of these --------------------------------
+    @cached_property
+    def graph_edges(self) -> DataFrame:
+        from marquee.operators import graph as G
+        return self._built("graph_edges", lambda: G.graph_edges(self.items))
+
+    @cached_property
+    def user_weights(self) -> DataFrame:
+        """Film weights of every user's profile, in 1e-4 units (H2 before its maximum)."""
+        from marquee.operators import profiles as H
+        signals = H.user_signals(self.ratings, self.likes, self.favorites, self.history, self.liked_persons)
+        return self._built("user_weights", lambda: H.user_item_sums(signals, self.credits_by_id,
+                                                                   H.movie_info(self.items_by_id)))
+
+    @cached_property
+    def report_weights(self) -> DataFrame:
+        """Film weights of every user's viewing report (V1)."""
+        from marquee.operators import viewing as V
+        lists = V.report_inputs(self.ratings, self.likes, self.favorites, self.history, self.liked_persons, self.reviews)
+        return self._built("report_weights", lambda: V.report_item_weights(self.items, *lists[:5]))
 
     # --- persons -------------------------------------------------------------
     @cached_property

@@ -106,7 +106,7 @@ def write_items_json(df: DataFrame, path: str) -> None:
 def read_persons_map(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object name -> record. The object is one document, so each
     file is parsed by one task; large directories should be converted once to
-    JSON lines (``write_persons``) and read with ``read_persons_lines``.
+    JSON lines or Parquet with ``write_persons``.
     File order and repeated names are kept (``ord``)."""
     raw = spark.read.text(path, wholetext=True)
     parsed = raw.select(F.from_json("value", f"map<string,{PERSON_STRUCT}>").alias("m"))
@@ -121,12 +121,6 @@ def write_persons(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (w.parquet(path) if fmt == "parquet" else w.json(path))
 
 
-def read_persons_lines(spark: SparkSession, path: str) -> DataFrame:
-    schema = ", ".join(["ord long", "name string"] + [
-        f"`{f}` {'boolean' if f in ('_no_avatar', '_scrape_failed') else 'string'}" for f in PERSON_FIELDS[1:]])
-    return spark.read.schema(schema).json(path)
-
-
 def scan_activity(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """The nine activity tables as parquet with declared schemas."""
     return {name: spark.read.schema(schema).parquet(f"{base}/{name}") for name, schema in ACTIVITY_SCHEMAS.items()}
