@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -70,15 +70,17 @@ def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     while max_rounds is None or rounds < max_rounds:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
+        large = (both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        now = written(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                      .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "star")
+        step = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+                .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        told = Observation(f"round{rounds}")
+        now = written(step.observe(told, F.count(F.lit(1)).alias("n"),
+                                   F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "star")
         rounds += 1
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
+        state = (told.get["n"], told.get["h"])
+        if state == seen or not state[0]:
             break
-        seen = tuple(state)
+        seen = state
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

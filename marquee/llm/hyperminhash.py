@@ -7,9 +7,10 @@ order, so that small sets have full sketches. Four registers at a time make a ba
 
 Equal sets are one class from the start; all later work is on classes. Classes that share a band's registers are
 candidates. A bucket's members aren't paired with one another: first each is compared with the bucket's leader
-(a different one in each band), links join classes to components, and only members outside their bucket's largest
-component are then compared with the bucket's members of other components. So every two candidates end in one
-component or were compared, and a group of thousands of near copies costs about one comparison a member. A
+(a different one in each band), and links join classes to components. Only members outside their bucket's largest
+component are then compared with the bucket's members of other components, in small buckets as pairs, in buckets of
+more than ``SMALL`` members inside blocks, of which only links leave, and at most one for two components of a block.
+So every two candidates end in one component or were compared, and pairs are rows only in proportion to members. A
 comparison estimates the similarity from the registers, corrected for chance agreement of registers; pairs that
 may reach the threshold (within ``SIGMAS`` deviations) are confirmed on their full sets, built anew from the texts.
 
@@ -34,7 +35,7 @@ from marquee.llm.shingles import mix, shingle_set, words
 
 BANDS, ROWS, MANTISSA = 24, 4, 10
 BUCKETS = BANDS * ROWS
-SIGMAS, STARS = 7.0, 2
+SIGMAS, SMALL, ALL_BLOCK, FEW_BLOCK = 7.0, 32, 4096, 1024
 
 _DRAW = np.argsort(np.random.default_rng(96).random((BUCKETS, BUCKETS)), axis=1)
 
@@ -104,6 +105,64 @@ def _likely(least: float):
     return run
 
 
+def _sets(width: int):
+    def run(batches):
+        for t in batches:
+            got = [shingle_set(h, width).tobytes() for h in words([x.encode() for x in t.column("text").to_pylist()])]
+            yield pa.RecordBatch.from_arrays([t.column("rep"), pa.array(got, pa.binary())], names=["rep", "found"])
+    return run
+
+
+def _inside(percent: int):
+    """Blocks of large buckets: links between the block's few and its members of other components."""
+    floor = percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) / BUCKETS)
+
+    def block(band: int, rep, part, size, regs, sets, few, every) -> Iterator[tuple[int, int]]:
+        keys = regs.view(np.int64)
+        top = {c: c for c in set(part[few].tolist()) | set(part[every].tolist())}
+
+        def find(c):
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        for i in few.tolist():
+            other = every[part[every] != part[i]]
+            # a pair that shares an earlier band meets there
+            other = other[~(keys[other, :band] == keys[i, :band]).any(1)]
+            if not len(other):
+                continue
+            near = estimate(np.broadcast_to(regs[i], (len(other), BUCKETS)), regs[other], np.full(len(other), size[i]), size[other])
+            order = np.argsort(-near, kind="stable")
+            for j in other[order[near[order] >= floor]].tolist():
+                if find(part[i]) == find(part[j]):
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    x, y = find(part[i]), find(part[j])
+                    top[max(x, y)] = min(x, y)
+                    yield min(rep[i], rep[j]), max(rep[i], rep[j])
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in ("band", "key", "every_block", "few_block", "few", "rep")])
+        where = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "every_block", "few_block")])
+        cut = np.flatnonzero(np.concatenate([[True], (where[:, 1:] != where[:, :-1]).any(0)]))
+        rep, part, size, few = (t.column(c).to_numpy() for c in ("rep", "component", "n", "few"))
+        regs = t.column("bands").combine_chunks().flatten().to_numpy().view(np.uint16).reshape(-1, BUCKETS)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("found").to_pylist()]
+        out = []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), t.num_rows], strict=True):
+            own = np.arange(a, b)
+            out += block(int(where[0, a]), rep, part, size, regs, sets, own[few[a:b]], own[~few[a:b]])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+    return run
+
+
 def _confirm(percent: int, width: int):
     """Keeps pairs whose full sets reach the threshold; the texts go."""
     def run(batches):
@@ -153,40 +212,41 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
                  .mapInArrow(_confirm(percent, width), "a long, b long"))
         return asked, written(links, "links")
 
-    asked, links, label = None, None, None
-    for turn in range(STARS + 1):
-        if label is None:
-            now = members.withColumn("component", F.col("rep"))
-        else:
-            now = (members.join(label, members.rep == label.id, "left")
-                   .select("rep", "band", "key", F.coalesce("component", "rep").alias("component")))
-        now = written(now, "now")
-        open_ = (now.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("size"))
-                 .groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"),
-                                             F.max(F.struct("size", "component")).alias("most")).where("parts > 1"))
-        if turn < STARS:
-            # the leader: the least id after flipping its bits by a pattern of the band and turn
-            flip = F.xxhash64("band", F.lit(turn))
-            lead = (now.join(open_.select("band", "key"), ["band", "key"], "left_semi").groupBy("band", "key")
-                    .agg(F.min(F.col("rep").bitwiseXOR(flip)).alias("lead"))
-                    .select("band", "key", F.col("lead").bitwiseXOR(flip).alias("a")))
-            pairs = now.join(lead, ["band", "key"]).where("a <> rep").select("a", F.col("rep").alias("b"))
-            if label is not None:
-                pairs = (pairs.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
-                         .where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
-        else:
-            few = (now.join(open_.select("band", "key", "most.component"), ["band", "key", "component"], "left_anti")
-                   .join(open_.select("band", "key"), ["band", "key"], "left_semi")
-                   .select("band", "key", F.col("rep").alias("a"), F.col("component").alias("ca")))
-            pairs = (few.join(now.select("band", "key", F.col("rep").alias("b"), F.col("component").alias("cb")), ["band", "key"])
-                     .where("ca <> cb").select("a", "b"))
-        if asked is not None:
-            pairs = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                     .join(asked, ["a", "b"], "left_anti"))
-        more, found = compared(pairs)
-        asked = more if asked is None else asked.unionByName(more)
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
+    # first every member with its bucket's leader: the least id after flipping its bits by a pattern of the band
+    flip = F.xxhash64("band")
+    lead = (members.groupBy("band", "key").agg(F.min(F.col("rep").bitwiseXOR(flip)).alias("lead"))
+            .select("band", "key", F.col("lead").bitwiseXOR(flip).alias("a")))
+    asked, links = compared(members.join(lead, ["band", "key"]).where("a <> rep").select("a", F.col("rep").alias("b")))
+    label = components(links)
+    # then whoever is outside the largest component of its bucket with all others of the bucket
+    now = written(members.join(label, members.rep == label.id, "left")
+                  .select("rep", "band", "key", F.coalesce("component", "rep").alias("component")), "now")
+    open_ = written(now.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("size"))
+                    .groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"),
+                                                F.max(F.struct("size", "component")).alias("most")).where("parts > 1")
+                    .select("band", "key", "size", (F.col("size") - F.col("most.size")).alias("n_few"),
+                            F.col("most.component").alias("most")), "open")
+    rest = now.join(open_, ["band", "key"]).withColumn("few", F.col("component") != F.col("most"))
+    small = rest.where(F.col("size") <= SMALL).select("band", "key", "rep", "component", "few")
+    pairs = (small.where("few").select("band", "key", F.col("rep").alias("a"), F.col("component").alias("ca"))
+             .join(small.select("band", "key", F.col("rep").alias("b"), F.col("component").alias("cb")), ["band", "key"])
+             .where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+             .join(asked, ["a", "b"], "left_anti"))
+    links = links.unionByName(compared(pairs)[1])
+    large = written(rest.where(F.col("size") > SMALL)
+                    .select("band", "key", "rep", "component", "few", F.ceil(F.col("size") / ALL_BLOCK).cast("int").alias("eb"),
+                            F.ceil(F.col("n_few") / FEW_BLOCK).cast("int").alias("fb")), "large")
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    meet = (large.withColumn("every_block", own("eb")).withColumn("few_block", blocks("fb")).withColumn("few", F.lit(False))
+            .unionByName(large.where("few").withColumn("few_block", own("fb")).withColumn("every_block", blocks("eb")))
+            .drop("eb", "fb"))
+    full = (held.join(large.select("rep").distinct(), "rep", "left_semi").mapInArrow(_sets(width), "rep long, found binary")
+            .join(candidates.select("rep", "n", "bands"), "rep"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = (meet.join(full, "rep").repartition(parts, "band", "key", "every_block", "few_block")
+              .mapInArrow(_inside(percent), "a long, b long"))
+    label = components(links.unionByName(written(inside, "inside")))
     named = (classes.join(label, classes.rep == label.id, "left").where("copies > 1 or component is not null")
              .select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component_id")))
     return (sketch.select("doc_id", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")

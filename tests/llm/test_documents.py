@@ -36,10 +36,20 @@ def test_near_duplicates_against_all_pairs(docs, sample):
         assert len(links) > 20 and got == want
 
 
-def test_near_duplicates_inside_one_large_group(docs):
-    """A chain of texts that each differ a little from the next: all links lie in few buckets."""
+@pytest.mark.parametrize("small", [2, 32])
+def test_near_duplicates_inside_one_large_group(docs, monkeypatch, small):
+    """A chain of texts that each differ a little from the next, and a graded family: few buckets hold all links."""
+    monkeypatch.setattr(hyperminhash, "SMALL", small)
+    monkeypatch.setattr(hyperminhash, "FEW_BLOCK", 5)
+    monkeypatch.setattr(hyperminhash, "ALL_BLOCK", 11)
+    r = random.Random(1)
     words = [f"w{i}" for i in range(400)]
-    rows = [(i, " ".join(words[i * 4:i * 4 + 200])) for i in range(50)]
+    rows = [(i, " ".join(words[i * 4:i * 4 + 200])) for i in range(40)]
+    for i in range(120):
+        t = list(words[:150])
+        for _ in range(i // 6):
+            t[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(t)))
     want, links = brute.near_duplicates(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in hyperminhash.near_duplicates(docs(rows)).collect()}
     assert links and got == want
