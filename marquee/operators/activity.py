@@ -251,6 +251,30 @@ def recent_by_user(df: DataFrame, ts_col: str, n: int, tiebreak: str) -> DataFra
     return top_k(df, n, [F.col(ts_col).desc(), F.col(tiebreak).desc()], partition=["user_id"])
 
 
+def profile_lists(ratings: DataFrame, reviews: DataFrame, likes: DataFrame, favorites: DataFrame, history: DataFrame,
+                  liked_persons: DataFrame, items_by_id: DataFrame, n: int | None = 50) -> DataFrame:
+    """(user_id, list, rk, key, score, title, rating): each user's newest
+    ``n`` (None: all) ratings, reviews, likes, favourites, views, directors
+    and actors; key is the film or person, films come with title and rating."""
+    def lines(name: str, df: DataFrame, key: str, ts: str, tie: str, score=None) -> DataFrame:
+        return recent_by_user(df, ts, n, tie).select(
+            "user_id", F.lit(name).alias("list"), "rk", F.col(key).alias("key"),
+            (F.col(score) if score else F.lit(None)).cast("int").alias("score"))
+
+    films = (lines("rating", ratings, "item_id", "updated_at", "item_id", "score")
+             .unionByName(lines("review", reviews, "movie_id", "created_at", "id"))
+             .unionByName(lines("like", likes, "item_id", "created_at", "item_id"))
+             .unionByName(lines("favorite", favorites, "item_id", "created_at", "item_id"))
+             .unionByName(lines("history", history, "item_id", "viewed_at", "item_id")))
+    info = items_by_id.select(F.col("id").alias("key"), "title", "rating")
+    shown = films.join(info, "key", "left").select(*films.columns, F.coalesce("title", F.lit("")).alias("title"),
+                                                   F.coalesce("rating", F.lit(0.0)).alias("rating"))
+    for role in ("director", "actor"):
+        own = lines(role, liked_persons.filter(F.col("person_type") == role), "person_name", "created_at", "person_name")
+        shown = shown.unionByName(own.withColumn("title", F.lit("")).withColumn("rating", F.lit(0.0)))
+    return shown
+
+
 def movie_reviews(reviews: DataFrame, users: DataFrame, n: int = 20) -> DataFrame:
     """Reviews with author, newest ``n`` per film."""
     u = users.select(F.col("id").alias("user_id"), "username", F.col("avatar").alias("user_avatar"))

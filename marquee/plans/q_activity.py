@@ -223,6 +223,38 @@ def q_recent_history(cat):
     return A.recent_by_user(cat.history, "viewed_at", 50, "item_id")
 
 
+def _recent_sql(table: str, cols: str, ts: str, key: str) -> str:
+    return with_views(f"""
+SELECT {cols}, {ts},
+  row_number() OVER (PARTITION BY user_id ORDER BY {ts} DESC, {key} DESC) AS rk
+FROM {table} QUALIFY rk <= 50
+""")
+
+
+@register("recent_reviews", _recent_sql("reviews", "user_id, id, movie_id, content", "created_at", "id"))
+def q_recent_reviews(cat):
+    """K9: newest 50 reviews of every user."""
+    return A.recent_by_user(cat.reviews, "created_at", 50, "id")
+
+
+@register("recent_likes", _recent_sql("likes", "user_id, item_id", "created_at", "item_id"))
+def q_recent_likes(cat):
+    """K9: newest 50 likes of every user."""
+    return A.recent_by_user(cat.likes, "created_at", 50, "item_id")
+
+
+@register("recent_favorites", _recent_sql("favorites", "user_id, item_id", "created_at", "item_id"))
+def q_recent_favorites(cat):
+    """K9: newest 50 favourites of every user."""
+    return A.recent_by_user(cat.favorites, "created_at", 50, "item_id")
+
+
+@register("recent_liked_persons", _recent_sql("liked_persons", "user_id, person_name, person_type", "created_at", "person_name"))
+def q_recent_liked_persons(cat):
+    """K9: newest 50 liked persons of every user."""
+    return A.recent_by_user(cat.liked_persons, "created_at", 50, "person_name")
+
+
 @register("movie_reviews", with_views("""
 SELECT r.id, r.user_id, r.movie_id, r.content, r.created_at, r.rk, u.username, u.avatar AS user_avatar
 FROM (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY created_at DESC, id DESC) AS rk
@@ -311,6 +343,28 @@ def q_profile_page(cat):
     return A.enrich_items(recent, cat.items_by_id).select("user_id", "item_id", "score", "rk", "title", "rating")
 
 
+_LISTS = (("rating", "ratings", "item_id", "updated_at", "item_id", "score", "true"),
+          ("review", "reviews", "movie_id", "created_at", "id", "NULL", "true"),
+          ("like", "likes", "item_id", "created_at", "item_id", "NULL", "true"),
+          ("favorite", "favorites", "item_id", "created_at", "item_id", "NULL", "true"),
+          ("history", "history", "item_id", "viewed_at", "item_id", "NULL", "true"),
+          ("director", "liked_persons", "person_name", "created_at", "person_name", "NULL", "person_type = 'director'"),
+          ("actor", "liked_persons", "person_name", "created_at", "person_name", "NULL", "person_type = 'actor'"))
+
+
+@register("profile_lists", with_views("""
+SELECT l.user_id, l.list, l.rk, l.key, l.score, coalesce(i.title, '') AS title, coalesce(i.rating, 0.0) AS rating
+FROM (""" + " UNION ALL ".join(f"""
+  SELECT user_id, '{name}' AS list, {key} AS key, CAST({score} AS INTEGER) AS score,
+    row_number() OVER (PARTITION BY user_id ORDER BY {ts} DESC, {tie} DESC) AS rk
+  FROM {table} WHERE {where} QUALIFY rk <= 50""" for name, table, key, ts, tie, score, where in _LISTS) + """
+) l LEFT JOIN items_by_id i ON i.id = l.key AND l.list NOT IN ('director', 'actor')
+"""))
+def q_profile_lists(cat):
+    """The seven lists of every user's page in long form, newest 50 each, films with title and rating."""
+    return A.profile_lists(cat.ratings, cat.reviews, cat.likes, cat.favorites, cat.history, cat.liked_persons, cat.items_by_id)
+
+
 @register("item_detail", with_views(f"""
 SELECT i.id, i.title, i.rating, coalesce(s.avg_score, 0.0) AS avg_score, coalesce(s.n_ratings, 0) AS n_ratings,
   (SELECT count(*) FROM reviews r WHERE r.movie_id = i.id) AS n_reviews
