@@ -207,7 +207,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decode_documents(shards: DataFrame) -> DataFrame:
-    """Read shard images back: ``doc_id, start, n_tokens, ids_crc32`` of every document."""
+    """Read shard images back: ``doc_id, start, n_tokens, ids_crc32`` of every document.
+
+    What is broadcast has one row per writing task, so its size is bounded by the number of partitions.
+    """
     per = shards.groupBy("pid").agg(F.sum("n_tokens").alias("n"))
     before = per.select("pid", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)),
                                           F.lit(0)).alias("before"))
