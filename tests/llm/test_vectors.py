@@ -57,6 +57,46 @@ def test_search_with_norms_copies_and_few_rows(table):
     assert [(r.query_id, r["rank"], r.vec_id) for r in few.orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
 
 
+def recall(table, x, **how):
+    """Share of the true neighbours found at production parameters; every list has to be full."""
+    ids = list(range(len(x)))
+    found = {}
+    for row in crosspolytope.search(table(ids, x, [0] * len(x)), **how).collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    hits = [len(found[q] & {v for v, _ in want}) / len(want) for q, want in nearest(ids, x, 20, 20)]
+    assert all(len(v) == min(20, len(x) - 1) for v in found.values()) and len(found) == len(hits)
+    return sum(hits) / len(hits)
+
+
+@pytest.mark.parametrize("norms", ["outlier", "lognormal", "few longer", "one band"])
+def test_search_recall_with_norms(table, norms):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "outlier":
+        x[7] *= 100
+    elif norms == "lognormal":
+        x *= r.lognormal(size=(len(x), 1))
+    elif norms == "few longer":
+        x[r.random(len(x)) < 0.02] *= 1.5
+    else:
+        x *= r.uniform(0.96, 1.04, (len(x), 1))
+    assert recall(table, x) >= 0.95
+
+
+@pytest.mark.parametrize("rows", [25, 100, 500])
+def test_search_of_few_rows_is_exact(table, rows):
+    x = np.random.default_rng(rows).normal(size=(rows, 64))
+    assert recall(table, x / np.linalg.norm(x, axis=1)[:, None]) == 1
+
+
+def test_search_completes_short_lists(table):
+    """Buckets that hold too few: two opposite bundles, of which one is smaller than k, in a band that is hashed."""
+    r = np.random.default_rng(8)
+    x = np.concatenate([np.eye(64)[:1].repeat(8, 0), -np.eye(64)[:1].repeat(120, 0)]) + r.normal(size=(128, 64)) * 1e-3
+    assert recall(table, x, small=1, probes=1, tables=2) >= 0.95
+
+
 def test_search_edge_rows(table):
     rows = table([0, 20, 40, 60, 80, None, 100], [[1, 0], None, [0, 0], [None, 1], [float("nan"), 1], [1, 1], [1, 2]], [0] * 7)
     got = crosspolytope.search(rows, probes=4).collect()
