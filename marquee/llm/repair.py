@@ -1,8 +1,9 @@
 """Token-ID output: Re-Pair grammars per shard, in a binary form that decodes any document without the others.
 
 A shard holds whole documents in ascending doc_id order. Re-Pair replaces frequent adjacent pairs of ids by new
-ids (nonterminals); here each round counts pairs in a hash table and replaces many of the most frequent at once,
-left to right without overlap; ``ROUNDS`` rounds follow one another, or fewer if no pair is frequent. A shard's binary image is self-describing (little-endian):
+ids (nonterminals); here each round counts all pairs and replaces up to ``PAIRS`` of the most frequent at once, left to
+right without overlap. Rounds follow until no pair occurs ``LEAST`` times or a round saves nothing, since a rule takes
+three numbers and each use saves one. A shard's binary image is self-describing (little-endian):
 
     magic "RPG1"; counts of documents, rules, symbols (3 x uint64); first nonterminal (uint32)
     start of each document and the end of the last (uint64), pairs of the rules (2 x uint32 each),
@@ -36,7 +37,7 @@ HEAD = struct.Struct("<4s3QI")
 SHARDS = ("pid int, shard int, tokens_before long, n_docs int, n_tokens long, doc_ids binary, no_id binary, image binary")
 #: Ids after which a shard is closed (a longer document makes a longer shard).
 SHARD_IDS = 1 << 20
-ROUNDS, PAIRS, LEAST = 5, 4096, 6
+PAIRS, LEAST = 4096, 6
 _SLOTS = 1 << 20
 
 
@@ -44,40 +45,41 @@ def _slot(pair: np.ndarray) -> np.ndarray:
     return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)).astype(np.int64)
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
+def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST):
     """Symbols, rules (n x 2) and expansion lengths of the grammar of ``ids``, all below ``first``."""
-    seq, rules, lens = ids.astype(np.uint64), [], [np.empty(0, np.int64)]
+    seq, rules = ids.astype(np.uint64), []
     size = np.ones(1, np.int64)  # expansion length by nonterminal, after one entry for plain ids
-    n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    n_rules, most = 0, pairs
+    while len(seq) > 1:
         pair = seq[:-1] << np.uint64(32) | seq[1:]
         slot = _slot(pair)
-        times = np.bincount(slot, minlength=_SLOTS)
+        # a slot holds at least as many as each of its pairs, so only pairs in frequent slots have to be told apart
+        hit = np.flatnonzero((np.bincount(slot, minlength=_SLOTS) >= least)[slot])
+        each, which, times = np.unique(pair[hit], return_inverse=True, return_counts=True)
         often = np.flatnonzero(times >= least)
         if not len(often):
             break
-        often = often[np.argsort(-times[often], kind="stable")[:pairs]]
-        table = np.full(_SLOTS, -1, np.int32)
-        table[often] = np.arange(len(often))
-        rule = table[slot]
-        hit = np.flatnonzero(rule >= 0)
-        chosen = np.zeros(len(often), np.uint64)
-        chosen[rule[hit[::-1]]] = pair[hit[::-1]]  # of several pairs in a slot the one that comes first
-        hit = hit[chosen[rule[hit]] == pair[hit]]
+        often = often[np.lexsort((each[often], -times[often]))[:most]]  # ties by the pair itself
+        chosen = each[often]
+        rule = np.full(len(each), -1, np.int64)
+        rule[often] = np.arange(len(often))
+        rule = rule[which]
+        hit, rule = hit[rule >= 0], rule[rule >= 0]
         # runs of adjacent hits overlap: take every second one of a run, from its start
         begin = np.concatenate([[True], np.diff(hit) != 1])
         place = np.arange(len(hit)) - np.maximum.accumulate(np.where(begin, np.arange(len(hit)), 0))
-        hit = hit[place % 2 == 0]
-        used = np.bincount(rule[hit], minlength=len(chosen))
-        keep = used >= 2
-        hit = hit[keep[rule[hit]]]
+        hit, rule = hit[place % 2 == 0], rule[place % 2 == 0]
+        keep = np.bincount(rule, minlength=len(chosen)) >= min(least, 4)
+        hit, rule = hit[keep[rule]], rule[keep[rule]]
         if not len(hit):
-            break
+            if len(chosen) == 1:
+                break
+            most = len(chosen) // 2  # they took each other's places: fewer at once
+            continue
+        most = pairs
         number = np.cumsum(keep) - 1
         new = chosen[keep]
-        seq[hit] = (first + n_rules + number[rule[hit]]).astype(np.uint64)
+        seq[hit] = (first + n_rules + number[rule]).astype(np.uint64)
         left = np.ones(len(seq), bool)
         left[hit + 1] = False
         seq = seq[left]

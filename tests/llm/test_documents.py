@@ -173,6 +173,28 @@ def test_grammar_round_trip_and_random_access():
             assert len(shard.seq) < len(ids) / 2
 
 
+def test_grammar_leaves_no_frequent_pair():
+    """Copies shrink to far less than a symbol per 32 ids, and a pair that shares its slot with a rare one is replaced."""
+    r = np.random.default_rng(5)
+    document = r.integers(0, 5000, 320)
+    a, b = 1, 2
+    slot = repair._slot(np.array([a << 32 | b], np.uint64))
+    others = np.arange(10, 4_000_000, dtype=np.uint64)
+    rare = int(others[repair._slot(others << np.uint64(32) | np.uint64(9)) == slot][0])
+    cases = (np.tile(document, 3000), np.concatenate([[rare, 9], np.stack([np.full(50, a), np.full(50, b), np.arange(100, 150)], 1).ravel()]),
+             r.zipf(1.3, 60000) % 3000)
+    for ids in cases:
+        ids = ids.astype(np.uint32)
+        first = int(ids.max()) + 1
+        seq, rules, lens = repair.compress(ids, first)
+        left = Counter(p for p in zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True) if p[0] != p[1])
+        assert max(left.values(), default=0) < repair.LEAST
+        shard = repair.Shard(repair.image(ids, np.array([0, len(ids)])))
+        assert np.array_equal(shard.document(0), ids)
+    seq, _, lens = repair.compress(cases[0].astype(np.uint32), 5000)
+    assert lens.max() > 320 and len(seq) < len(cases[0]) / 5000
+
+
 def check_packing(rows, got, capacity):
     pieces = defaultdict(list)
     for r in got:
