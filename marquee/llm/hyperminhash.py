@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import components, written
+from marquee.llm.common import components, ordinal, written
 from marquee.llm.shingles import mix, shingle_set, words
 
 BANDS, ROWS, MANTISSA = 24, 4, 10
@@ -257,6 +257,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The documents that stay: of each group of near duplicates the one with the smallest doc_id. Columns as given."""
-    gone = (near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    """The rows that stay: of each group of near duplicates the one with the smallest doc_id. Columns as given.
+
+    Rows are judged one by one: where ids are missing or repeated, each row is numbered by doc_id (null last) and text,
+    and the numbers take the place of ids.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    if not ids.where("n > 1 or id is null").isEmpty():
+        whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_d"),
+                            F.xxhash64(F.col("text").cast("string")).alias("_t"))
+        rows = written(ordinal(whole, F.col("_d").asc_nulls_last(), "_t", name="_row"), "rows")
+        gone = (near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col("_doc")["text"].alias("text")), percent, width)
+                .where("not kept").select(F.col("doc_id").alias("_row")))
+        return rows.join(gone, "_row", "left_anti").select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    gone = (near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone")))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -55,6 +55,15 @@ def test_near_duplicates_inside_one_large_group(docs, monkeypatch, small):
     assert links and got == want
 
 
+def test_one_of_each_judges_rows(docs):
+    """Repeated and missing ids: a unique text stays beside a copy of the same id, and one row of each group stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (None, d), (None, d), (None, a), (4, ""), (None, None)]
+    got = sorted(((r.doc_id or 0, r.text or "") for r in hyperminhash.one_of_each(docs(rows, extra=True)).collect()))
+    assert got == sorted([(1, a), (2, b), (3, c), (0, d), (4, ""), (0, "")])
+    assert hyperminhash.one_of_each(docs(rows)).columns == docs(rows).columns
+
+
 def test_registers_estimate_similarity():
     r = np.random.default_rng(0)
     for n in (50, 2000):
