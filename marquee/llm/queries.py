@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import cnn, crosspolytope, hyperminhash, itq, linerun, mixing, packing, ppm, repair, suffixdedup
+from marquee.llm import (cnn, crosspolytope, fim, hyperminhash, itq, linerun, mixing, packing, phrases, ppm, repair, suffixdedup,
+                         whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +79,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_configuration_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op11_phrase_automata_dedup", phrases.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_learned_index_fim", fim.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_cholesky_qr_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(vectors(spark, sf_dir))
