@@ -163,42 +163,46 @@ def _fetched_batch(rows: list[tuple], length: int) -> pa.RecordBatch:
                                       names=["h", "c", "d", "t", "start", "n", "copies", "words", "windows"])
 
 
-def automaton(phrases: list[list[bytes]], number: dict[bytes, int]) -> ahocorasick.Automaton:
-    """An automaton over word numbers, given in ``number`` from 1 on; a match's value is the phrase's index."""
-    out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, words in enumerate(phrases):
-        out.add_word(tuple(number.setdefault(w, len(number) + 1) for w in words), i)
+def automaton(passages: list[tuple[bytes, list[int]]], length: int) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
+    """An automaton of the windows of ``passages`` (words, places of windows) over word numbers from 1 on, and the
+    numbers. A match's value counts the windows in the order given."""
+    out, number, i = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), {}, 0
+    for text, places in passages:
+        ids = [number.setdefault(w, len(number) + 1) for w in text.split(b" ")]
+        for k in places:
+            out.add_word(tuple(ids[k:k + length]), i)
+            i += 1
     out.make_automaton()
-    return out
+    return out, number
 
 
 def _matched(left: pa.Table, right: pa.Table, length: int) -> pa.Table:
     """A shard: the places of the phrases of ``left`` in the segments of ``right``."""
-    phrases, origin = [], []
-    for d, t, start, places, text in zip(*(left.column(k).to_pylist() for k in ("d", "t", "start", "places", "words")), strict=True):
-        words = text.split(b" ")
-        for k in places:
-            phrases.append(words[k:k + length])
-            origin.append((d, t, start + k))
-    out: dict[str, list] = {k: [] for k in ("h", "c", "at", "d", "t", "start")}
-    if phrases and right.num_rows:
-        number: dict[bytes, int] = {}
-        find = automaton(phrases, number)
-        h, c = right.column("h").to_pylist(), right.column("c").to_pylist()
-        stream, begin = [], []
+    hit, segment, first = (np.empty(0, np.int64),) * 3
+    row = place = np.empty(0, np.int64)
+    if left.num_rows and right.num_rows:
+        places = left.column("places").to_pylist()
+        find, number = automaton(list(zip(left.column("words").to_pylist(), places, strict=True)), length)
+        row = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        place = np.fromiter((k for p in places for k in p), np.int64, len(row))
+        stream, begin, known = [], [], number.get
         for text in right.column("words").to_pylist():
             begin.append(len(stream))
-            stream += [number.get(w, 0) for w in text.split(b" ")]
+            stream += [known(w, 0) for w in text.split(b" ")]
             stream.append(0)  # no word: nothing matches across segments
-        starts = np.array(begin)
-        for end, i in find.iter(tuple(stream)):
-            first = end - length + 1
-            k = int(np.searchsorted(starts, first, side="right")) - 1
-            d, t, start = origin[i]
-            for name, value in zip(out, (h[k], c[k], first - begin[k], d, t, start), strict=True):
-                out[name].append(value)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-    return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds, strict=True)})
+        found = np.array(list(find.iter(tuple(stream))), np.int64).reshape(-1, 2)
+        hit, first = found[:, 1], found[:, 0] - length + 1
+        segment = np.searchsorted(np.array(begin), first, side="right") - 1
+        first = first - np.array(begin)[segment]
+    if not len(hit):
+        return pa.table({k: pa.array([], kind) for k, kind in _HITS.items()})
+    of_phrase, of_segment = pa.array(row[hit]), pa.array(segment)
+    start = left.column("start").to_numpy()[row[hit]] + place[hit]
+    return pa.table({"h": right.column("h").take(of_segment), "c": right.column("c").take(of_segment), "at": pa.array(first, pa.int32()),
+                     "d": left.column("d").take(of_phrase), "t": left.column("t").take(of_phrase), "start": pa.array(start, pa.int32())})
+
+
+_HITS = {"h": pa.int64(), "c": pa.int64(), "at": pa.int32(), "d": pa.int64(), "t": pa.int64(), "start": pa.int32()}
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, pieces: int = PIECES,
