@@ -5,16 +5,20 @@ Windows that are equal have to meet. Each belongs to its anchor, the ``GRAM`` wo
 leftmost of several), so equal windows have equal anchors at equal places; a run of windows with one anchor, a segment,
 travels as one row of hashes. Then
 
-1. *confirm*: anchors that occur once are dropped (a partial count on the hash alone). Of the segments left, those with
-   equal words become one, the earliest, with its number of copies; its words are fetched. A window recurs if it is in
-   two of these or in one that has copies: a partial count and minimum per window, so no hot window is gathered. Windows
-   that recur, in the segment of their first place, are the phrases.
-2. *compile*: phrases are dealt to shards by anchor. Each shard numbers the words of its phrases and compiles one
-   Aho-Corasick automaton over these numbers (pyahocorasick, keys are sequences).
-3. *stream*: every distinct segment with a repeated anchor, of all documents, runs through its anchor's automaton,
-   joined to one sequence per shard; a match is a place of a phrase. An anchor with more than ``PIECES`` segments or
-   ``PHRASES`` phrases is a shard of its own, split both ways: blocks of segments meet blocks of phrases.
-4. Matches go back to all copies of their segment; those other than the phrase's first place are removed.
+1. anchors that occur once are dropped (a partial count on the hash alone). Of the segments left, those with equal words
+   become one, the earliest, with its number of copies; its words are fetched, and the segments are dealt to shards by
+   anchor;
+2. *confirm*: a shard numbers its words and counts its windows. A window recurs if it is in two segments or in one that
+   has copies; these are the phrases, and the earliest segment that holds one is its first place;
+3. *compile*: one Aho-Corasick automaton of the shard's phrases over the word numbers (pyahocorasick, keys are sequences).
+   Neighbouring windows that exactly the same segments hold are one longer phrase, since where one is, all are;
+4. *stream*: every distinct segment with a repeated anchor, of all documents, runs through the automaton of its shard,
+   joined to one sequence; a match is a place of a phrase;
+5. matches go back to all copies of their segment; those other than the phrase's first place are removed.
+
+An anchor of more than ``PIECES`` segments is a shard of its own, split both ways: its windows are counted across tasks
+(partial counts and minima per window, so no hot window is gathered), and blocks of ``PIECES`` segments meet automata of
+blocks of ``PHRASES`` phrases.
 
 Hashes only bring together what may be equal; an anchor and its segment's words are told by 64 bits each, and the
 matches are of the words themselves.
@@ -40,8 +44,8 @@ from marquee.llm.shingles import mix, powers
 from marquee.llm.suffixdedup import keyed
 
 LENGTH, GRAM = 20, 8
-#: Segments and phrases of one anchor in a shard, and what shards are filled with on average.
-PIECES, PHRASES = 1 << 14, 1 << 14
+#: Segments that fill a shard, and phrases of an automaton where an anchor has more segments.
+PIECES, PHRASES = 1 << 14, 1 << 16
 #: Bytes of text whose words are hashed together; longer words are hashed by blake2b.
 BLOCK, LONG_WORD = 1 << 20, 256
 
@@ -127,40 +131,79 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
 
 
 def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The words of the segments asked for, joined by one space, and the hash of each of their windows.
+    """The words of the segments asked for, joined by one space.
 
     ``bytes.split()`` cuts at 0x20 and 0x09 to 0x0D.
     """
     for batch in batches:
-        rows = []
+        rows, kinds = [], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
         d, t = batch.column("d").to_pylist(), batch.column("t").to_pylist()
         for i, (text, asked) in enumerate(zip(_bytes(batch.column("text")), batch.column("asked").to_pylist(), strict=True)):
             words = text.split()
             for s in asked:
                 rows.append((s["h"], s["c"], d[i], t[i], s["start"], s["n"], s["copies"],
                              b" ".join(words[s["start"]:s["start"] + s["n"] + length - 1])))
-            if len(rows) > 20_000:
-                yield _fetched_batch(rows, length)
+            if len(rows) > 20_000 or (rows and i == batch.num_rows - 1):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                                 names=["h", "c", "d", "t", "start", "n", "copies", "words"])
                 rows = []
-        if rows:
-            yield _fetched_batch(rows, length)
-
-
-def _fetched_batch(rows: list[tuple], length: int) -> pa.RecordBatch:
-    h, c, d, t, start, n, copies, words = zip(*rows, strict=True)
-    found = []
-    for _, _, hashes, ends in word_hashes(list(words)):
-        first = np.concatenate([[0], ends[:-1]])
-        window = rolled(hashes, length)
-        m = np.maximum(ends - first - length + 1, 0)
-        found.append(window[np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())])
-    count = np.array(n, np.int32)
-    windows = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32),
-                                       pa.array(np.concatenate(found).view(np.int64)))
-    longs = [pa.array(x, pa.int64()) for x in (h, c, d, t)]
-    text = pa.array(words, pa.binary())
-    return pa.RecordBatch.from_arrays([*longs, pa.array(start, pa.int32()), pa.array(count), pa.array(copies, pa.int64()), text, windows],
-                                      names=["h", "c", "d", "t", "start", "n", "copies", "words", "windows"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The hash of every window of segments, by place."""
+    for batch in batches:
+        for a, b, hashes, ends in word_hashes(batch.column("words").to_pylist()):
+            first, n = np.concatenate([[0], ends[:-1]]), batch.column("n").to_numpy()[a:b]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own = pa.array(np.repeat(np.arange(a, b), n))
+            window = rolled(hashes, length)[np.repeat(first, n) + k]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("h", "d", "t", "start", "copies")),
+                                              pa.array(k.astype(np.int32)), pa.array(window.view(np.int64))],
+                                             names=["h", "d", "t", "start", "copies", "k", "w"])
+
+
+def _shard(rows: pa.Table, length: int) -> pa.Table:
+    """A shard of whole anchors: its phrases, and their places in each of its segments."""
+    number: dict[bytes, int] = {}
+    stream, begin = [], []
+    for text in rows.column("words").to_pylist():
+        begin.append(len(stream))
+        stream += [number.setdefault(w, len(number) + 1) for w in text.split(b" ")]
+        stream.append(0)  # no word: nothing matches across segments
+    n = rows.column("n").to_numpy().astype(np.int64)
+    d, t, start, copies = (rows.column(k).to_numpy() for k in ("d", "t", "start", "copies"))
+    owner = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.array(begin, np.int64)[owner] + k
+    window = rolled(mix(np.array(stream, np.uint64)), length)[at]
+    _, which = np.unique(window, return_inverse=True)
+    recurs = np.bincount(which, copies[owner])[which] > 1
+    at, owner, which, k = at[recurs], owner[recurs], which[recurs], k[recurs]
+    if not len(at):
+        return pa.table({name: pa.array([], kind) for name, kind in _HITS.items()})
+    # the segments that hold a window, as a sum of random numbers, and the first of them
+    holders = np.zeros(which.max() + 1, np.uint64)
+    np.add.at(holders, which, mix(np.arange(1, len(n) + 1, dtype=np.uint64))[owner])
+    order = np.lexsort((start[owner] + k, t[owner], d[owner], which))
+    first = np.sort(order[np.concatenate([[True], which[order][1:] != which[order][:-1]])])
+    # neighbouring windows that the same segments hold are one phrase: where one is, all are
+    a, same = at[first], holders[which[first]]
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 1) | (same[1:] != same[:-1]) | (np.diff(owner[first]) != 0)]))
+    many = np.diff(np.append(begins, len(first)))
+    find = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for i, (p, m) in enumerate(zip(a[begins].tolist(), many.tolist(), strict=True)):
+        find.add_word(tuple(stream[p:p + length + m - 1]), i)
+    find.make_automaton()
+    found = np.array(list(find.iter(tuple(stream))), np.int64).reshape(-1, 2)
+    m = many[found[:, 1]]
+    place = found[:, 0] - (length + m - 1) + 1
+    segment = np.searchsorted(np.array(begin), place, side="right") - 1
+    phrase = first[begins][found[:, 1]]
+    of = pa.array(owner[phrase])
+    return pa.table({"h": rows.column("h").take(pa.array(segment)), "c": rows.column("c").take(pa.array(segment)),
+                     "at": pa.array(place - np.array(begin)[segment], pa.int32()), "m": pa.array(m, pa.int32()),
+                     "d": rows.column("d").take(of), "t": rows.column("t").take(of),
+                     "start": pa.array(start[owner[phrase]] + k[phrase], pa.int32())})
 
 
 def automaton(passages: list[tuple[bytes, list[int]]], length: int) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
@@ -199,10 +242,10 @@ def _matched(left: pa.Table, right: pa.Table, length: int) -> pa.Table:
     of_phrase, of_segment = pa.array(row[hit]), pa.array(segment)
     start = left.column("start").to_numpy()[row[hit]] + place[hit]
     return pa.table({"h": right.column("h").take(of_segment), "c": right.column("c").take(of_segment), "at": pa.array(first, pa.int32()),
-                     "d": left.column("d").take(of_phrase), "t": left.column("t").take(of_phrase), "start": pa.array(start, pa.int32())})
+                     "m": pa.array(np.ones(len(hit), np.int32)), "d": left.column("d").take(of_phrase), "t": left.column("t").take(of_phrase), "start": pa.array(start, pa.int32())})
 
 
-_HITS = {"h": pa.int64(), "c": pa.int64(), "at": pa.int32(), "d": pa.int64(), "t": pa.int64(), "start": pa.int32()}
+_HITS = {"h": pa.int64(), "c": pa.int64(), "at": pa.int32(), "m": pa.int32(), "d": pa.int64(), "t": pa.int64(), "start": pa.int32()}
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, pieces: int = PIECES,
@@ -219,47 +262,55 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, pi
                                            F.count(F.lit(1)).alias("copies")).select("h", "c", "f.*", "n", "copies")
     asked = distinct.groupBy("d", "t").agg(F.collect_list(F.struct("h", "c", "start", "n", "copies")).alias("asked"))
     fetched = written(rows.select("d", "t", "text").join(asked, ["d", "t"]).mapInArrow(
-        lambda it: _fetched(it, length),
-        "h long, c long, d long, t long, start int, n int, copies long, words binary, windows array<long>"), "fetched")
+        lambda it: _fetched(it, length), "h long, c long, d long, t long, start int, n int, copies long, words binary"), "fetched")
+    release(spark)
+    per_anchor = fetched.groupBy("h").agg(F.count(F.lit(1)).alias("na"))
+    hot = written(per_anchor.where(F.col("na") > pieces), "hot")
+    shards = F.greatest(F.lit(1), F.ceil(fetched.select(F.count(F.lit(1))).scalar() / pieces))
+    cool = fetched.join(hot, "h", "left_anti")
+    kind = "h long, c long, at int, m int, d long, t long, start int"
+    hits = cool.withColumn("shard", F.pmod("h", shards)).groupBy("shard").applyInArrow(lambda x: _shard(x, length), kind)
+    if not hot.isEmpty():
+        hits = hits.unionByName(_of_hot_anchors(fetched.join(hot.select("h"), "h", "left_semi"), length, pieces, phrases))
+    per = hits.groupBy("h", "c").agg(F.collect_list(F.struct("at", "m", "d", "t", "start")).alias("hits"))  # its windows at most
+    other = F.filter("hits", lambda x: (x["d"] != F.col("d")) | (x["t"] != F.col("t")) | (x["start"] != F.col("start") + x["at"]))
+    per = written(per, "hits")
     release(spark)
-    window = fetched.select("h", "d", "t", "start", "copies", F.posexplode("windows").alias("k", "w"))
+    return (found.select("h", "c", "d", "t", "start").join(per, ["h", "c"])
+            .select("d", "t", F.flatten(F.transform(other, lambda x: F.sequence(F.col("start") + x["at"], F.col("start") + x["at"] + x["m"] - 1)))
+                    .alias("starts")).where("size(starts) > 0"))
+
+
+def _of_hot_anchors(fetched: DataFrame, length: int, pieces: int, phrases: int) -> DataFrame:
+    """``h, c, at, m, d, t, start`` for anchors with more segments than a shard takes."""
+    window = fetched.select("h", "d", "t", "start", "copies", "n", "words").mapInArrow(
+        lambda it: _windows(it, length), "h long, d long, t long, start int, copies long, k int, w long")
     recurring = (window.groupBy("h", "w").agg(F.min(F.struct("d", "t", (F.col("start") + F.col("k")).alias("place"), "start")).alias("f"),
                                               F.sum("copies").alias("copies")).where("copies > 1"))
     first = recurring.select("h", "f.*").groupBy("h", "d", "t", "start").agg(
         F.sort_array(F.collect_list(F.col("place") - F.col("start"))).alias("places"))  # one per window of a segment at most
     phrase = written(fetched.select("h", "d", "t", "start", "words").join(first, ["h", "d", "t", "start"]), "phrases")
-    release(spark)
-    hits = _streamed(fetched.select("h", "c", "words"), phrase, length, pieces, phrases)
-    per = hits.groupBy("h", "c").agg(F.collect_list(F.struct("at", "d", "t", "start")).alias("hits"))  # its windows at most
-    other = F.filter("hits", lambda x: (x["d"] != F.col("d")) | (x["t"] != F.col("t")) | (x["start"] != F.col("start") + x["at"]))
-    return (found.select("h", "c", "d", "t", "start").join(written(per, "hits"), ["h", "c"])
-            .select("d", "t", F.transform(other, lambda x: F.col("start") + x["at"]).alias("starts")).where("size(starts) > 0"))
+    release(fetched.sparkSession)
+    return _streamed(fetched.select("h", "c", "words"), phrase, length, pieces, phrases)
 
 
 def _streamed(fetched: DataFrame, phrase: DataFrame, length: int, pieces: int, phrases: int) -> DataFrame:
-    """``h, c, at, d, t, start``: every place of a phrase in the distinct segments, each met in its anchor's shard."""
+    """``h, c, at, m, d, t, start``: every place of a phrase in the distinct segments, each met in its anchor's shard."""
     of_segments = fetched.groupBy("h").agg(F.count(F.lit(1)).alias("a"))
     of_phrases = phrase.groupBy("h").agg(F.sum(F.size("places")).alias("b"))
     load = written(of_segments.join(of_phrases, "h"), "load")
-    total = load.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
-    shards = max(1, -(-(total["a"] or 0) // pieces), -(-(total["b"] or 0) // phrases))
-    blocks = [F.ceil(F.col(x) / size).cast("int").alias(f"n{x}") for x, size in (("a", pieces), ("b", phrases))]
-    hot = written(load.select("h", *blocks).where("na > 1 or nb > 1"), "hot")
+    blocks = load.select("h", *[F.ceil(F.col(x) / size).cast("int").alias(f"n{x}") for x, size in (("a", pieces), ("b", phrases))])
 
     def dealt(df: DataFrame, own: list[str], mine: str, other: str) -> DataFrame:
-        """Rows with their shard and block; a row goes to one block of its own side and to every one of the other's."""
-        one = lambda c: F.coalesce(c, F.lit(1))
-        place = F.pmod(F.xxhash64(*own), one(F.col(f"n{mine}"))).cast("int").alias(f"k{mine}")
-        return (df.join(hot, "h", "left").select(
-            *df.columns, F.col("na").isNotNull().alias("is_hot"),
-            F.when(F.col("na").isNotNull(), F.col("h")).otherwise(F.pmod("h", F.lit(shards))).alias("shard"), place,
-            F.explode(F.sequence(F.lit(0), one(F.col(f"n{other}")) - 1)).alias(f"k{other}")))
-
-    key = ["is_hot", "shard", "ka", "kb"]
+        """Rows with their block; a row goes to one block of its own side and to every one of the other's."""
+        place = F.pmod(F.xxhash64(*own), F.col(f"n{mine}")).cast("int").alias(f"k{mine}")
+        return df.join(blocks, "h").select(*df.columns, place, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)).alias(f"k{other}"))
+
+    key = ["h", "ka", "kb"]
     left = dealt(phrase, ["d", "t", "start"], "b", "a").select(*key, "d", "t", "start", "places", "words").groupBy(*key)
     # segments whose anchor has no phrase can't match
-    right = dealt(fetched.join(load.select("h"), "h", "left_semi"), ["c"], "a", "b").select(*key, "h", "c", "words").groupBy(*key)
-    return left.cogroup(right).applyInArrow(lambda a, b: _matched(a, b, length), "h long, c long, at int, d long, t long, start int")
+    right = dealt(fetched, ["c"], "a", "b").select(*key, "c", "words").groupBy(*key)
+    return left.cogroup(right).applyInArrow(lambda a, b: _matched(a, b, length), "h long, c long, at int, m int, d long, t long, start int")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
