@@ -39,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import release, written
+from marquee.llm.common import discard, release, written
 from marquee.llm.shingles import mix, powers
 from marquee.llm.suffixdedup import keyed
 
 LENGTH, GRAM = 20, 8
 #: Segments that fill a shard, and phrases of an automaton where an anchor has more segments.
-PIECES, PHRASES = 1 << 14, 1 << 16
+PIECES, PHRASES, HOT = 1 << 14, 1 << 16, 256
 #: Bytes of text whose words are hashed together; longer words are hashed by blake2b.
 BLOCK, LONG_WORD = 1 << 20, 256
 
@@ -250,14 +250,21 @@ _HITS = {"h": pa.int64(), "c": pa.int64(), "at": pa.int32(), "m": pa.int32(), "d
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, pieces: int = PIECES,
                      phrases: int = PHRASES) -> DataFrame:
-    """``d, t, starts``: windows (places of their first words) of ``keyed`` rows, each document once, that start earlier
-    too; a document's windows may come in several rows."""
+    """``d, t, starts``: windows (lists of places of their first words) of ``keyed`` rows, each document once, that start
+    earlier too."""
     spark = rows.sparkSession
     all_segments = written(rows.select("d", "t", "text").mapInArrow(
         lambda it: _segments(it, length, gram), "h long, c long, d long, t long, start int, n int"), "segments")
-    anchors = all_segments.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    found = written(all_segments.join(anchors, "h", "left_semi"), "repeated")
+    anchors = written(all_segments.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "anchors")
+    # anchors of more than 1 / HOT of all segments, HOT at most, meet them by a salt
+    total = all_segments.select(F.count(F.lit(1))).scalar()
+    hot = F.broadcast(anchors.where(F.col("k") * HOT > total).select("h", F.lit(HOT).alias("salts")))
+    left = all_segments.join(hot, "h", "left").withColumn("salt", F.pmod(F.xxhash64("d", "start"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    right = anchors.select("h").join(hot, "h", "left").select(
+        "h", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    found = written(left.join(right, ["h", "salt"], "left_semi").drop("salt"), "repeated")
     release(spark)
+    discard(all_segments, anchors)
     distinct = found.groupBy("h", "c").agg(F.min(F.struct("d", "t", "start")).alias("f"), F.min("n").alias("n"),
                                            F.count(F.lit(1)).alias("copies")).select("h", "c", "f.*", "n", "copies")
     asked = distinct.groupBy("d", "t").agg(F.collect_list(F.struct("h", "c", "start", "n", "copies")).alias("asked"))
@@ -276,9 +283,14 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, pi
     other = F.filter("hits", lambda x: (x["d"] != F.col("d")) | (x["t"] != F.col("t")) | (x["start"] != F.col("start") + x["at"]))
     per = written(per, "hits")
     release(spark)
-    return (found.select("h", "c", "d", "t", "start").join(per, ["h", "c"])
+    discard(fetched)
+    starts = (found.select("h", "c", "d", "t", "start").join(per, ["h", "c"])
             .select("d", "t", F.flatten(F.transform(other, lambda x: F.sequence(F.col("start") + x["at"], F.col("start") + x["at"] + x["m"] - 1)))
                     .alias("starts")).where("size(starts) > 0"))
+    starts = written(starts.groupBy("d", "t").agg(F.collect_list("starts").alias("starts")), "starts")
+    release(spark)
+    discard(found, per)
+    return starts
 
 
 def _of_hot_anchors(fetched: DataFrame, length: int, pieces: int, phrases: int) -> DataFrame:
@@ -334,8 +346,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every document: the words left, joined by one space, as UTF-8."""
     rows, repeated = keyed(docs)
     single = rows.dropDuplicates(["d", "t"]) if repeated else rows
-    starts = written(repeated_windows(single, length, **how).groupBy("d", "t").agg(F.collect_list("starts").alias("starts")), "starts")
-    release(docs.sparkSession)
+    starts = repeated_windows(single, length, **how)
     return (rows.join(starts, ["d", "t"], "left").select("doc_id", "text", "starts")
             .mapInArrow(lambda it: _cut(it, length), "doc_id long, n_words long, n_removed long, kept binary"))
 
