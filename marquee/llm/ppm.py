@@ -7,11 +7,12 @@ bytes it has seen are excluded from the shorter one, so every context's probabil
 length of a text under a language is the sum over all its bytes; the language with the shortest code wins.
 
 The trees are learned once from a bounded sample: per language the ``docs_per_language`` documents that come
-first in the order of a hash of doc_id, whole. They are then frozen and sent to the executors as arrays; their
-size is bounded by the alphabet (``ALPHABET`` byte values), not by the corpus. Every text is scored whole.
+first in the order of a hash of doc_id, whole. All 256 byte values are symbols; contexts of one byte are dense, longer
+ones sparse, so the frozen arrays that go to the executors are as large as the sample has distinct 4-grams. Every text
+is scored whole.
 
-Defined cases: null, empty and letterless texts are ``und`` with score 0; rows with null lang are never learned
-from; without any learned language every text is ``und``; repeated rows are scored alike; ties go to the language
+Defined cases: null, empty and letterless texts are ``und`` with score 0; rows with null lang or doc_id are never learned
+from, and rows that repeat a doc_id once; without any learned language every text is ``und``; repeated rows are scored alike; ties go to the language
 first in order. Input columns other than doc_id, text and lang are ignored.
 """
 
@@ -30,8 +31,6 @@ from pyspark.sql import types as T
 #: Documents learned from per language, and bytes of text that are scored together.
 DOCS_PER_LANGUAGE = 3000
 BLOCK = 1 << 19
-#: Byte values with a symbol of their own, the most frequent ones; all others share one. It bounds the model.
-ALPHABET = 127
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -64,23 +63,57 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                    "n": n.astype(np.int64)})
 
 
+class Keys:
+    """Sorted integers, found again by a table of slots and, where slots are shared, by search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.slots = np.zeros(1 << max(10, int(np.ceil(np.log2(max(len(keys), 1) * 4)))), np.int64)
+        self.slots[self._slot(keys)] = np.arange(len(keys))
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return (x * 0x9E3779B1 >> 7) & (len(self.slots) - 1)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each value (0 if there is none) and whether there is one."""
+        if not len(self.keys):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        at = self.slots[self._slot(x)]
+        known = self.keys[at] == x
+        miss = np.flatnonzero(~known)
+        where = np.minimum(np.searchsorted(self.keys, x[miss]), len(self.keys) - 1)
+        found = self.keys[where] == x[miss]
+        at[miss[found]], known[miss[found]] = where[found], True
+        at[~known] = 0
+        return at, known
+
+
 @dataclass
 class Model:
-    """Frozen code lengths (bits) for every language.
+    """Frozen code lengths (bits) for every language, by context length; all 256 byte values are symbols.
 
-    ``symbol`` maps a byte to its index (0: a byte that was never learned). ``base[c2, c1, s]`` is the cost of s
-    after the bytes c2 c1 when order 3 has nothing to say; ``escape[c3, c2, c1]`` what leaving the order-3 context
-    costs (0 where it was never seen); ``grams`` the sorted 4-grams that some language has seen, ``cost`` their
-    whole costs.
+    ``one[c1, s]`` is the cost of s after the byte c1 when longer contexts have nothing to say; ``leave2[c2, c1]`` what
+    leaving a context of two bytes costs (0 where it was never seen). ``three`` are the 3-grams that some language has
+    seen, with their whole cost ``cost3`` and what leaving them as contexts costs, ``leave3``; ``four`` the 4-grams with
+    ``cost4``. Where a language hasn't seen such a gram, its cost there is that by shorter contexts.
     """
 
     langs: list[str]
-    symbol: np.ndarray
-    base: np.ndarray
-    escape: np.ndarray
-    grams: np.ndarray
-    cost: np.ndarray
-    slots: np.ndarray
+    one: np.ndarray
+    leave2: np.ndarray
+    three: Keys
+    cost3: np.ndarray
+    leave3: np.ndarray
+    four: Keys
+    cost4: np.ndarray
+
+    def _three(self, gram: np.ndarray) -> np.ndarray:
+        """Cost of the last byte of 3-grams."""
+        at, known = self.three.find(gram)
+        bits = self.cost3[at]
+        rest = gram[~known]
+        bits[~known] = self.one[rest & 0xFFFF] + self.leave2[rest >> 8]
+        return bits
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text under each language."""
@@ -88,22 +121,12 @@ class Model:
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         data = np.frombuffer(b"".join(texts), np.uint8)
         head = np.cumsum(lens) - lens
-        a = self.base.shape[0]
-        sym = np.concatenate([np.zeros(3, np.int64), self.symbol[data]])
-        at = np.arange(len(data)) - np.repeat(head, lens)
-        back = [np.where(at >= k, sym[3 - k:len(sym) - k], 0) if (at < k).any() else sym[3 - k:len(sym) - k] for k in (1, 2, 3)]
-        two = (back[1] * a + back[0]) * a + sym[3:]
-        ctx = (back[2] * a + back[1]) * a + back[0]
-        gram = ctx * a + sym[3:]
-        slot = self.slots[(gram * 0x9E3779B1 >> 7) & (len(self.slots) - 1)]
-        known = self.grams[slot] == gram
-        miss = np.flatnonzero(~known)  # other grams of the same slot
-        where = np.minimum(np.searchsorted(self.grams, gram[miss]), len(self.grams) - 1)
-        found = self.grams[where] == gram[miss]
-        slot[miss[found]], known[miss[found]] = where[found], True
-        bits = self.cost[slot]
-        rest = miss[~found]
-        bits[rest] = self.base.reshape(-1, len(self.langs))[two[rest]] + self.escape.reshape(-1, len(self.langs))[ctx[rest]]
+        gram = _grams(data, head[lens > 0]).astype(np.int64)
+        at, known = self.four.find(gram)
+        bits = self.cost4[at]
+        rest = np.flatnonzero(~known)
+        context, seen = self.three.find(gram[rest] >> 8)
+        bits[rest] = self._three(gram[rest] & 0xFFFFFF) + np.where(seen[:, None], self.leave3[context], 0)
         some = np.flatnonzero(lens)
         if len(some):
             out[some] = np.add.reduceat(bits, head[some], axis=0, dtype=np.float64)
@@ -124,53 +147,57 @@ def _level(seen: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return p, np.where(total > 0, grown, 1.0)[:, 0]
 
 
+def _sparse(gram: np.ndarray, n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One order of a sparse tree: the distinct ``gram`` with their counts and the probabilities ``lower`` of their last
+    byte by the next shorter context. Gives the cost of each, the contexts, and what leaving these costs."""
+    context, inv = np.unique(gram >> 8, return_inverse=True)
+    total, kinds = np.bincount(inv, n), np.bincount(inv)
+    rest = 1 - np.bincount(inv, lower)
+    out = np.where(rest > 1e-12, kinds / (total + kinds), 0.0)  # nothing unseen is left: never left
+    with np.errstate(divide="ignore"):
+        leave = np.where(out > 0, -np.log2(np.maximum(out, 1e-300) / np.maximum(rest, 1e-12)), 0.0)
+    return (1 - out[inv]) * n / total[inv], context, leave
+
+
 def freeze(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
     """The model from 4-gram counts (``lang`` indexes ``langs``)."""
-    often = np.bincount(gram & 255, n, 256)
-    used = np.sort(np.argsort(-often, kind="stable")[:min(ALPHABET, int((often > 0).sum()))])
-    symbol = np.zeros(256, np.int64)
-    used = used[used > 0]
-    symbol[used] = np.arange(1, len(used) + 1)
-    a, k = len(used) + 1, len(langs)
-    b = [symbol[gram >> s & 255] for s in (24, 16, 8, 0)]
-    code = ((b[0] * a + b[1]) * a + b[2]) * a + b[3]
-    grams = np.unique(code)
-    base, escape = np.zeros((a, a, a, k), np.float32), np.zeros((a, a, a, k), np.float32)
-    cost = np.zeros((len(grams), k), np.float32)
+    k = len(langs)
+    three, four = Keys(np.unique(np.concatenate([gram & 0xFFFFFF, gram >> 8]))), Keys(np.unique(gram))
+    one, leave2 = np.zeros((1 << 16, k), np.float32), np.zeros((1 << 16, k), np.float32)
+    cost3, leave3 = np.zeros((len(three.keys), k), np.float32), np.zeros((len(three.keys), k), np.float32)
+    cost4 = np.zeros((len(four.keys), k), np.float32)
     for i in range(k):
         own = lang == i
-        c, w = code[own], n[own].astype(float)
-        two = np.bincount(c % a**3, w, a**3)
-        one, zero = two.reshape(a, a * a).sum(0), two.reshape(a * a, a).sum(0)
-        p0, _ = _level(zero[None], np.full((1, a), 1 / a))
-        p1, _ = _level(one.reshape(a, a), np.repeat(p0, a, 0))
-        p2, _ = _level(two.reshape(a * a, a), np.tile(p1, (a, 1)))
-        p2 = np.maximum(p2, 1e-12)
-        base[..., i] = -np.log2(p2).reshape(a, a, a)
-        # order 3, sparse: contexts that this language has seen
-        seen, times = np.unique(c, return_inverse=True)
-        w = np.bincount(times, w)
-        ctx, inv = np.unique(seen // a, return_inverse=True)
-        total, kinds = np.bincount(inv, w), np.bincount(inv)
-        lower = p2.reshape(-1)[seen % a**3]
-        rest = np.maximum(1 - np.bincount(inv, lower), 1e-9)
-        out = kinds / (total + kinds)
-        escape.reshape(-1, k)[ctx, i] = -np.log2(out / rest)
-        cost[:, i] = base.reshape(-1, k)[grams % a**3, i] + escape.reshape(-1, k)[grams // a, i]
-        cost[np.searchsorted(grams, seen), i] = -np.log2((1 - out[inv]) * w / total[inv])
-    size = 1 << max(10, int(np.ceil(np.log2(max(len(grams), 1) * 4))))
-    slots = np.zeros(size, np.int64)
-    slots[(grams * 0x9E3779B1 >> 7) & (size - 1)] = np.arange(len(grams))
-    return Model(langs, symbol, base, escape, grams, cost, slots)
+        code, times = np.unique(gram[own], return_inverse=True)
+        w = np.bincount(times, n[own].astype(float))
+        pairs = np.bincount(code & 0xFFFF, w, 1 << 16).reshape(256, 256)
+        p0, _ = _level(pairs.sum(0)[None], np.full((1, 256), 1 / 256))
+        p1, _ = _level(pairs, np.repeat(p0, 256, 0))
+        p1 = np.maximum(p1, 1e-12).reshape(-1)
+        one[:, i] = -np.log2(p1)
+        seen3, of3 = np.unique(code & 0xFFFFFF, return_inverse=True)
+        p2, context, leave = _sparse(seen3, np.bincount(of3, w), p1[seen3 & 0xFFFF])
+        leave2[context, i] = leave
+        cost3[:, i] = one[three.keys & 0xFFFF, i] + leave2[three.keys >> 8, i]
+        cost3[three.find(seen3)[0], i] = -np.log2(p2)
+        p3, context, leave = _sparse(code, w, p2[of3])
+        leave3[three.find(context)[0], i] = leave
+        cost4[:, i] = cost3[three.find(four.keys & 0xFFFFFF)[0], i] + leave3[three.find(four.keys >> 8)[0], i]
+        cost4[four.find(code)[0], i] = -np.log2(p3)
+    return Model(langs, one, leave2, three, cost3, leave3, four, cost4)
 
 
 def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model | None:
     """A model from a bounded sample of ``docs(doc_id, text, lang)``; None without usable rows."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    known = docs.where("lang is not null and text is not null and text <> ''")
-    few = (known.select("lang", "doc_id", F.xxhash64(F.lit("ppm"), "doc_id").alias("_h"))
-           .withColumn("_r", rank).where(F.col("_r") <= docs_per_language).select("lang", "doc_id").distinct())
-    sample = known.select("lang", "doc_id", "text").join(F.broadcast(few), ["lang", "doc_id"])
+    known = docs.where("lang is not null and doc_id is not null and text is not null and text <> ''")
+    place = F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    # a threshold per language from one count leaves about twice the documents wanted; of these the exact cut is taken
+    share = known.groupBy("lang").agg((F.lit(2.0 * docs_per_language) / F.count(F.lit(1))).alias("_share"))
+    few = (known.select("lang", "doc_id", place.alias("_h")).join(F.broadcast(share), "lang").where("_h < _share").select("lang", "doc_id", "_h")
+           .distinct().withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id")))
+           .where(F.col("_r") <= docs_per_language).select("lang", "doc_id"))
+    # rows that repeat a doc_id are learned from once, from the text first in order
+    sample = known.select("lang", "doc_id", "text").join(F.broadcast(few), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     counts = (sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow())
     if not counts.num_rows:
