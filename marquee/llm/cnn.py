@@ -7,7 +7,7 @@ value in a chunk is its maximum there. Mean and maximum over the document's chun
 into one probability. No byte is left out, and long documents are convolved piece by piece.
 
 The network is trained (Adam, logistic loss) on a bounded sample of labelled documents: the ``train_docs`` that
-come first in the order of a hash of doc_id; of a longer one, evenly spaced stretches of ``TRAIN_BYTES`` in all.
+come first in the order of a hash of doc_id, each whole; a step takes ``BATCH`` of them or as many as hold ``BATCH_BYTES``.
 
 Defined cases: null and empty texts are scored as a text without bytes; rows without label or without doc_id
 aren't learned from; several labels for a doc_id count as the highest; without any labelled row the score is 0.5;
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 SYMBOLS, DIM, WIDTH, FILTERS, HIDDEN = 512, 8, 6, 24, 16
 BLOCK, LAGS, PIECE = 32, 20, 1 << 16
-TRAIN_DOCS, TRAIN_BYTES, STEPS, BATCH, RATE = 2500, 16384, 220, 48, 0.01
+#: Labelled documents learned from (whole), steps, and documents and bytes of a step.
+TRAIN_DOCS, STEPS, BATCH, BATCH_BYTES, RATE = 2500, 220, 48, 1 << 20, 0.01
 
 
 def symbols(data: bytes) -> np.ndarray:
@@ -90,20 +91,30 @@ class Network:
         feats = np.stack([self.features(tables, symbols(t)) for t in texts])
         return self.head(feats.astype(np.float64))[1]
 
+    def maxima(self, tables: list[np.ndarray], sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest value of each filter in each block of positions, and its first place; a text of any length is
+        gone through in pieces."""
+        n, blocks, places = len(sym) - WIDTH + 1, [], []
+        for a in range(0, n, PIECE):
+            m = min(PIECE, n - a)
+            conv = self.respond(tables, sym[a:a + m + WIDTH - 1], m)
+            conv = np.pad(conv, ((0, -m % BLOCK), (0, 0)), constant_values=-1).reshape(-1, BLOCK, FILTERS)
+            at = conv.argmax(1)
+            blocks.append(np.take_along_axis(conv, at[:, None], 1)[:, 0])
+            places.append(at + a + np.arange(len(at))[:, None] * BLOCK)
+        return np.concatenate(blocks), np.concatenate(places)
+
     def step(self, docs: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean logistic loss of a batch."""
         tables, g = self.tables(), {}
         kept, feats = [], []
         for sym in docs:
-            n = len(sym) - WIDTH + 1
-            conv = self.respond(tables, sym, n)
-            start = np.arange(0, n, BLOCK)
-            block = np.maximum.reduceat(conv, start, axis=0)
+            block, place = self.maxima(tables, sym)
             which = self.chunks(len(block))
             best = block[which].argmax(1)
             chunk = np.take_along_axis(block[which], best[:, None], 1)[:, 0]
             top = chunk.argmax(0)
-            kept.append((conv, start, block, which, best, top))
+            kept.append((len(sym), block, place, which, best, top))
             feats.append(np.concatenate([chunk.mean(0), chunk.max(0)]))
         feats = np.stack(feats).astype(np.float64)
         hidden, p = self.head(feats)
@@ -115,20 +126,17 @@ class Network:
         at, who, how = [], [], []
         base = 0
         cols = np.arange(FILTERS)
-        for (conv, start, block, which, best, top), row in zip(kept, df, strict=True):
+        for (size, block, place, which, best, top), row in zip(kept, df, strict=True):
             dc = np.repeat(row[None, :FILTERS] / len(which), len(which), 0)
             dc[top, cols] += row[FILTERS:]
             owner = np.take_along_axis(which[:, :, None], best[:, None], 1)[:, 0]
             db = np.zeros(block.shape)
             np.add.at(db, (owner, cols), dc)
-            hit = (conv == np.repeat(block, np.diff(np.append(start, len(conv))), 0)) & (conv > 0)
-            pos, f = np.nonzero(hit)
-            b = pos // BLOCK
-            _, first = np.unique(b * FILTERS + f, return_index=True)  # a tie goes to the first position
-            at.append(pos[first] + base)
-            who.append(f[first])
-            how.append(db[b[first], f[first]])
-            base += len(conv) + WIDTH - 1
+            b, f = np.nonzero((block > 0) & (db != 0))
+            at.append(place[b, f] + base)
+            who.append(f)
+            how.append(db[b, f])
+            base += size
         at, who, how = np.concatenate(at), np.concatenate(who), np.concatenate(how)
         g["bias"] = np.bincount(who, how, FILTERS)
         sym = np.concatenate(docs)
@@ -146,9 +154,7 @@ class Network:
         m, v = m
         self.p["b2"][:] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
         while t < steps:  # as many passes over the sample as it takes
-            order = r.permutation(len(docs))
-            for a in range(0, len(docs), batch):
-                own = order[a:a + batch]
+            for own in batches(r.permutation(len(docs)), [len(d) for d in docs], batch):
                 g = self.step([docs[i] for i in own], y[own])
                 t += 1
                 now = rate * 0.5 * (1 + np.cos(np.pi * min(t / steps, 1)))
@@ -159,18 +165,15 @@ class Network:
         return self
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole texts up to TRAIN_BYTES; of longer ones sixteen evenly spaced stretches."""
-    for batch in batches:
-        out = []
-        for t in batch.column(1).to_pylist():
-            raw = (t or "").encode()
-            if len(raw) > TRAIN_BYTES:
-                part = TRAIN_BYTES // 16
-                raw = b"".join(raw[a:a + part] for a in np.linspace(0, len(raw) - part, 16).astype(int).tolist())
-            out.append(raw)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)],
-                                         names=["doc_id", "raw", "quality"])
+def batches(order: np.ndarray, size: list[int], most: int, bytes_: int = BATCH_BYTES) -> Iterator[np.ndarray]:
+    """Consecutive documents of ``order``, ``most`` at a time or as many as hold ``bytes_``, but one at least."""
+    a, held = 0, 0
+    for b, i in enumerate(order.tolist()):
+        if b > a and (b - a == most or held + size[i] > bytes_):
+            yield order[a:b]
+            a, held = b, 0
+        held += size[i]
+    yield order[a:]
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
@@ -179,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> N
              .agg(F.max("quality").cast("int").alias("quality")))
     few = marks.orderBy(F.xxhash64(F.lit("cnn"), "doc_id"), "doc_id").limit(train_docs)
     rows = (docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
-            .select("doc_id", "text", "quality").mapInArrow(_stretches, "doc_id long, raw binary, quality int")
+            .select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), "quality")
             .dropDuplicates(["doc_id", "raw"]).orderBy("doc_id", "raw").limit(2 * train_docs).toArrow())
     if not rows.num_rows:
         return None
