@@ -45,6 +45,22 @@ def _slot(pair: np.ndarray) -> np.ndarray:
     return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)).astype(np.int64)
 
 
+def _counted(pair: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, which of them each pair is, and how often each occurs, exactly: the last pair of a slot stands
+    for it, and only pairs that differ from their slot's are sorted."""
+    stands = np.zeros(_SLOTS, np.uint64)
+    stands[slot] = pair
+    same = stands[slot] == pair
+    rest, inverse, more = np.unique(pair[~same], return_inverse=True, return_counts=True)
+    count = np.bincount(slot[same], minlength=_SLOTS)
+    used = np.flatnonzero(count)
+    number = np.zeros(_SLOTS, np.int64)
+    number[used] = np.arange(len(used))
+    which = number[slot]
+    which[~same] = len(used) + inverse
+    return np.concatenate([stands[used], rest]), which, np.concatenate([count[used], more])
+
+
 def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST):
     """Symbols, rules (n x 2) and expansion lengths of the grammar of ``ids``, all below ``first``."""
     seq, rules = ids.astype(np.uint64), []
@@ -55,7 +71,7 @@ def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST
         slot = _slot(pair)
         # a slot holds at least as many as each of its pairs, so only pairs in frequent slots have to be told apart
         hit = np.flatnonzero((np.bincount(slot, minlength=_SLOTS) >= least)[slot])
-        each, which, times = np.unique(pair[hit], return_inverse=True, return_counts=True)
+        each, which, times = _counted(pair[hit], slot[hit])
         often = np.flatnonzero(times >= least)
         if not len(often):
             break

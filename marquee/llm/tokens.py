@@ -2,8 +2,8 @@
 
 The byte-level pre-tokenizer always cuts before a space that neither follows nor precedes another space. So a
 text without double spaces is the sequence of its pieces between spaces, each with its leading space, and the
-library has to encode each distinct piece only once per worker: by its model if the piece is plainly one or two
-pre-tokens, else by the whole tokenizer. Texts with double spaces are encoded whole. The memo is emptied when it
+library has to encode each distinct piece only once per worker: as given pre-tokens, many in one call, if the piece is
+plainly one or some of these, else by the whole tokenizer. Texts with double spaces are encoded whole. The memo is emptied when it
 holds ``MEMO_WORDS`` pieces.
 """
 
@@ -15,6 +15,8 @@ import numpy as np
 import regex
 
 MEMO_WORDS = 500_000
+#: Unseen words that the library gets in one call.
+BATCH_WORDS = 4000
 #: Characters of text that are encoded together, so that a batch's arrays stay small.
 CHUNK_CHARS = 2_000_000
 
@@ -67,6 +69,10 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer, self.memo_words = Tokenizer.from_file(path), memo_words
         self.model = self.tokenizer.model
+        self.bare = Tokenizer(self.model)  # without a pre-tokenizer: words are given
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -86,37 +92,62 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(BYTE_LEVEL)
         return [t.id for t in self.model.tokenize(word)]
 
-    def _known(self, word: str) -> list[int]:
-        if word not in self.words:
-            self.words[word] = self._word(word)
-        return self.words[word]
+    def _batch(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens that begin with a space and hold no other, and how many each has: the model takes them as
+        given, and an id whose token begins with a space begins a word."""
+        level = ["Ġ" + w[1:] if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTE_LEVEL) for w in words]
+        got = self.bare.encode_batch_fast([level[i:i + BATCH_WORDS] for i in range(0, len(level), BATCH_WORDS)], is_pretokenized=True,
+                                          add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+        return flat, np.diff(np.append(np.flatnonzero(self.spaced[flat]), len(flat)))
+
+    def _enter(self, codes: list[int], flat: np.ndarray, lens: np.ndarray) -> None:
+        """Put the ids of some pieces into the memo."""
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.off[codes] = self.used + np.cumsum(lens) - lens
+        self.len[codes] = lens
+        self.used += len(flat)
 
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
-        got: list = [None] * len(new)
-        ask, at = [], []
-        for i, p in enumerate(new):
+        while self.done + len(new) > len(self.off):
+            self.off, self.len = (np.concatenate([x, np.empty_like(x)]) for x in (self.off, self.len))
+        whole, whole_at, cut, cut_at, ask, ask_at, fresh = [], [], [], [], [], [], {}
+        for i, p in enumerate(new, self.done):
             if p.__class__ is not tuple and p.isalpha():  # a space and letters: one pre-token
-                got[i] = self._word(" " + p)
+                whole.append(" " + p)
+                whole_at.append(i)
                 continue
             p = p[0] if p.__class__ is tuple else " " + p  # the first of its text has no leading space
             if p and max(p) < LATIN_END and "<|" not in p:
-                got[i] = [x for w in PRE_TOKENS(p) for x in self._known(w)]
+                parts = PRE_TOKENS(p)
+                cut.append(parts)
+                cut_at.append(i)
+                for w in parts:
+                    if w not in self.words and w not in fresh:
+                        if w[0] == " " and len(w) > 1:
+                            fresh[w] = len(fresh)
+                        else:
+                            self.words[w] = self._word(w)
             else:
                 ask.append(p)
-                at.append(i)
-        for i, ids in zip(at, self._plain(ask), strict=True):
-            got[i] = ids
-        flat = np.fromiter((x for g in got for x in g), np.uint32)
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while self.done + len(new) > len(self.off):
-            self.off, self.len = (np.concatenate([x, np.empty_like(x)]) for x in (self.off, self.len))
-        self.ids[self.used:self.used + len(flat)] = flat
-        self.off[self.done:self.done + len(new)] = self.used + np.cumsum(lens) - lens
-        self.len[self.done:self.done + len(new)] = lens
-        self.used, self.done = self.used + len(flat), self.done + len(new)
+                ask_at.append(i)
+        if whole or fresh:
+            flat, lens = self._batch([*whole, *fresh])
+            n = int(lens[:len(whole)].sum())
+            self._enter(whole_at, flat[:n], lens[:len(whole)])
+            ends = np.cumsum(lens[len(whole):])
+            ids = flat[n:].tolist()
+            a = 0
+            for w, b in zip(fresh, ends.tolist(), strict=True):
+                self.words[w] = ids[a:b]
+                a = b
+        for at, got in ((cut_at, [[x for w in parts for x in self.words[w]] for parts in cut]), (ask_at, self._plain(ask))):
+            if at:
+                self._enter(at, np.array([x for g in got for x in g], np.uint32), np.array([len(g) for g in got], np.int64))
+        self.done += len(new)
 
     def _chunk(self, texts: list[str | None]):
         if len(self.codes) > self.memo_words:
