@@ -10,6 +10,8 @@ document, start, number of windows, hash of its bytes. Then
 2. distinct segments of one anchor are fetched as bytes. Each splits in two at ``SIDE`` bytes before its anchor, since
    windows that start before reach that far back and the others as far ahead; so they are dealt to shards by the anchor
    and the bytes beside it, and those alone in this are dropped;
+   A key of more than ``SHARD`` bytes is dealt further by the next bytes beside it, on the side to which a window reaches
+   farther, and equal pieces become one, until no key is above;
 3. a shard builds the suffix array of its pieces by induced sorting, and the common prefixes with each entry's
    predecessor. An interval of prefixes of ``LENGTH`` and more is a set of equal windows, of which all but the
    earliest are repeats;
@@ -136,10 +138,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, side: int
                 core = x[at:at + gram]
                 cut = min(max(at - side + 1 - start, 0), n)  # windows before the cut reach side bytes back
                 if cut:
-                    out.append((key(b"<", x[at - side:at], core), d, t, start, cut, x[start:start + cut - 1 + length]))
+                    out.append((key(b"<", x[at - side:at], core), d, t, start, cut, x[start:start + cut - 1 + length],
+                                at - side - start, at + gram - start))
                 if cut < n:
-                    out.append((key(b">", core, x[at + gram:at + length - side + 1]), d, t, start + cut, n - cut,
-                                x[start + cut:start + n - 1 + length]))
+                    a = start + cut
+                    out.append((key(b">", core, x[at + gram:at + length - side + 1]), d, t, a, n - cut,
+                                x[a:start + n - 1 + length], at - a, at + length - side + 1 - a))
                 if len(out) > 20_000:
                     yield _piece_batch(out)
                     out = []
@@ -148,9 +152,59 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, side: int
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                      names=["key", "d", "t", "start", "n", "bytes"])
+                                      names=["key", "d", "t", "start", "n", "bytes", "c0", "c1"])
+
+
+PIECES = "key long, d long, t long, start int, n int, bytes binary, c0 int, c1 int"
+
+
+def _halved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Pieces dealt further: all windows of a piece hold its bytes c0..c1; those that reach half of what is missing
+    further back get a key with these bytes, the others, which then reach as far ahead, one with those."""
+    for batch in batches:
+        out = []
+        columns = (batch.column(k).to_pylist() for k in ("key", "d", "t", "start", "n", "bytes", "c0", "c1"))
+        for key, d, t, start, n, x, c0, c1 in zip(*columns, strict=True):
+            missing = length - (c1 - c0)
+            back = -(-missing // 2)
+            ahead = missing - back + 1
+            seed = key.to_bytes(8, "little", signed=True)
+            m = min(max(c0 - back + 1, 0), n)
+            for begin, many, a, b, side in ((0, m, c0 - back, c1, b"<"), (m, n - m, c0, min(c1 + ahead, c0 + length), b">")):
+                if many:
+                    h = int.from_bytes(hashlib.blake2b(seed + side + x[a:b], digest_size=8).digest(), "little", signed=True)
+                    out.append((h, d, t, start + begin, many, x[begin:begin + many - 1 + length], a - begin, b - begin))
+            if len(out) > 20_000:
+                yield _piece_batch(out)
+                out = []
+        if out:
+            yield _piece_batch(out)
+
+
+def _below(pieces: DataFrame, length: int, shard: int) -> tuple[DataFrame, DataFrame | None]:
+    """``pieces`` with the pieces of every key above ``shard`` bytes dealt to longer keys, again and again, until none is
+    above; and the runs of windows that are repeats because a whole piece is (None: there were no such keys).
+
+    A key that holds a whole window ends in one piece, since equal pieces become the earliest, so the loop ends after
+    the logarithm of ``length``."""
+    repeats, kept = None, None
+    while True:
+        size = pieces.groupBy("key").agg(F.sum(F.length("bytes")).alias("size"))
+        hot = written(size.where(F.col("size") > shard).select("key"), "hot")
+        if hot.isEmpty():
+            return (pieces if kept is None else kept.unionByName(pieces)), repeats
+        cool = pieces.join(hot, "key", "left_anti")
+        kept = cool if kept is None else kept.unionByName(cool)
+        cut = written(pieces.join(hot, "key", "left_semi").mapInArrow(lambda it: _halved(it, length), PIECES)
+                      .withColumn("h", F.xxhash64("bytes")), "halved")
+        place = F.struct("d", "t", "start")
+        first = cut.groupBy("key", "h", "n", "c0", "c1").agg(F.min(place).alias("first"))
+        both = written(cut.join(first, ["key", "h", "n", "c0", "c1"]), "met")
+        again = both.where(place != F.col("first")).select("d", "t", "start", "n")
+        repeats = again if repeats is None else repeats.unionByName(again)
+        pieces = both.where(place == F.col("first")).select("key", "d", "t", "start", "n", "bytes", "c0", "c1")
 
 
 def repeats(pieces: list[bytes], d: np.ndarray, t: np.ndarray, start: np.ndarray, n: np.ndarray, length: int):
@@ -241,14 +295,15 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, si
     release(spark)
     asked = (found.where("not repeat").groupBy("d", "t").agg(F.collect_list(F.struct("start", "n", "off")).alias("asked")))
     pieces = written(rows.select("d", "t", "text").join(asked, ["d", "t"])
-                     .mapInArrow(lambda it: _pieces(it, length, gram, side), "key long, d long, t long, start int, n int, bytes binary"),
-                     "pieces")
+                     .mapInArrow(lambda it: _pieces(it, length, gram, side), PIECES), "pieces")
     release(spark)
+    pieces, whole = _below(pieces, length, shard)
     several = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
     more = written(pieces.join(several, "key", "left_semi").repartition(parts, "key")
                    .mapInArrow(lambda it: _shards(it, length, shard), "d long, t long, start int, n int"), "repeats")
     release(spark)
-    return found.where("repeat").select("d", "t", "start", "n").unionByName(more)
+    found = found.where("repeat").select("d", "t", "start", "n").unionByName(more)
+    return found if whole is None else found.unionByName(whole)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
