@@ -118,16 +118,34 @@ def test_repeated_bytes_in_small_shards(docs, sample, monkeypatch):
         assert int((b - a).sum()) == want[d][1] and len(a) == want[d][2]
 
 
-def lines_left(rows, m):
+def test_repeated_bytes_of_hot_keys(docs):
+    """Passages between changing surroundings: the pieces of a key differ at the rims, and every key is above the shard."""
+    r = random.Random(7)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(3)]
+    rows = [(i, "".join(r.choice("xyz") for _ in range(60)) + r.choice(passages)[r.randrange(40):] + "".join(r.choice("xyz") for _ in range(60)))
+            for i in range(70)] + [(500, "q" * 900), (501, "r" * 300 + "q" * 300)]
+    keyed, _ = suffixdedup.keyed(docs(rows))
+    spans = defaultdict(list)
+    for x in suffixdedup.repeated_windows(keyed, shard=600).collect():
+        spans[x.d].append({"start": x.start, "n": x.n})
+    want = brute.repeated_bytes(rows)
+    for d, _ in rows:
+        a, b = suffixdedup.merged(spans[d], 100)
+        assert (int((b - a).sum()), len(a)) == want[d][1:3]
+
+
+def lines_left(rows, m, words=10):
     first, out = set(), {}
     for d, t in sorted(rows):
         ls = t.split("\n")
         gone = set()
-        for i in range(len(ls) - m + 1):
-            run = tuple(ls[i:i + m])
-            if run in first and any(c.isalnum() for c in "".join(run)):
-                gone.update(range(i, i + m))
-            first.add(run)
+        for n in {m, 1}:
+            for i in range(len(ls) - n + 1):
+                run = tuple(ls[i:i + n])
+                counts = n == m or len(run[0].encode().split()) >= words
+                if run in first and counts and any(c.isalnum() for c in "".join(run)):
+                    gone.update(range(i, i + n))
+                first.add(run)
         out[d] = "\n".join(x for i, x in enumerate(ls) if i not in gone)
     return out
 
@@ -135,11 +153,32 @@ def lines_left(rows, m):
 @pytest.mark.parametrize("m", [1, 2, 3, 5])
 def test_line_runs_against_all_runs(docs, m):
     r = random.Random(m)
-    rows = [(i, "\n".join(r.choice(["a", "b", "c c", "", "d"]) for _ in range(r.randrange(1, 30)))) for i in range(40)]
+    long = " ".join(f"w{i}" for i in range(9))
+    rows = [(i, "\n".join(r.choice(["a", "b", "c c", "", "d", long, long + " end", long + " x y"]) for _ in range(r.randrange(1, 30)))) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)]  # copies: the doublings go on for whole documents
     got = {x.doc_id: x.text for x in linerun.deduplicated(docs(rows, extra=True), m).collect()}
     assert got == lines_left(rows, m)
 
 
+def test_a_long_line_repeats_between_other_lines(docs):
+    line = " ".join(f"word{i}" for i in range(120))
+    rows = [(i, f"before {i}\n{line}\nafter {i}") for i in range(4)] + [(9, f"short\n{line[:40]}\nshort {line[:40]}")]
+    got = {x.doc_id: (x.text, x._removed) for x in linerun.deduplicated(docs(rows)).collect()}
+    assert got[0] == (rows[0][1], 0) and all(got[i] == (f"before {i}\nafter {i}", 1) for i in (1, 2, 3)) and got[9][1] == 0
+
+
+def test_line_runs_are_maximal_and_hot_lines_are_found(docs, monkeypatch):
+    """Runs of any length come out whole; a line that most rows share is met by the bounded table."""
+    monkeypatch.setattr(linerun, "HOT", 4)
+    block = [f"line {i}" for i in range(37)]
+    rows = [(1, "\n".join(["", "start", *block, "", "end"])), (2, "\n".join(["", "other", *block[3:], "", "x", *block[:5], ""])),
+            *[(10 + i, f"\n\n{i}\n\n") for i in range(30)]]
+    got = {(r._d, r.first_line, r.last_line) for r in linerun.repeated_runs(docs(rows)).collect()}
+    assert got == {(2, 2, 36), (2, 38, 42)}
+    text = {x.doc_id: x.text for x in linerun.deduplicated(docs(rows)).collect()}
+    assert text == lines_left(rows, 2)
+
+
 def test_tokens_like_the_library(sample):
     enc = Encoder(default_tokenizer(), memo_words=300)  # emptied again and again
     texts = [t for _, t, *_ in sample[:40]] + ["", None, " a", "a ", "a  b", "\n b \n c\n", "don't it's.. x., y! 12. 3,",
@@ -258,17 +297,60 @@ def test_language_held_out(docs, sample):
     assert len(held) > 30 and sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
+def frozen(texts):
+    batches = list(ppm._count([__import__("pyarrow").record_batch({"lang": list(texts), "text": list(texts.values())})]))
+    names = sorted(texts)
+    lang = np.concatenate([np.full(b.num_rows, names.index(b.column(0)[0].as_py())) for b in batches])
+    return ppm.freeze(names, lang, np.concatenate([b.column(1).to_numpy() for b in batches]),
+                      np.concatenate([b.column(2).to_numpy() for b in batches]))
+
+
+def plain_coder(text, order=3):
+    """PPM, method C with exclusion, by dicts: the function that gives a byte's probability after some bytes."""
+    trees = [defaultdict(Counter) for _ in range(order + 1)]
+    x = bytes(order) + text.encode()
+    for i in range(order, len(x)):
+        for n in range(order + 1):
+            trees[n][x[i - n:i]][x[i]] += 1
+
+    def probability(before, byte, n=order, excluded=frozenset()):
+        if n < 0:
+            return 1 / (256 - len(excluded))
+        seen = trees[n].get(before[len(before) - n:], {})
+        if not seen:
+            return probability(before, byte, n - 1, excluded)
+        total, kinds = sum(seen.values()), len(seen)
+        escape = 0.0 if len(excluded | set(seen)) == 256 else kinds / (total + kinds)
+        # the shares of a context are those among all its bytes; what shorter contexts gave to excluded ones is shared out
+        if byte in seen:
+            return (1 - escape) * seen[byte] / total
+        lower = probability(before, byte, n - 1)
+        rest = 1 - sum(probability(before, b, n - 1) for b in seen)
+        return escape * lower / rest
+
+    return probability
+
+
+def test_code_lengths_against_a_plain_coder():
+    """Latin, Cyrillic and CJK texts, of which many bytes and contexts are new to a language."""
+    learned = {"en": "the cat sat on the mat and the dog ate the rat " * 3, "ru": "мама мыла раму, а папа читал газету. " * 3,
+               "zh": "我们在学校学习中文和数学。他们在家里看书。" * 3}
+    model = frozen(learned)
+    coders = [plain_coder(learned[lang]) for lang in model.langs]
+    asked = ["the rat", "папа мыла кота", "他们学习数学", "ünïcode 中 м", "", "\U0001f642", "zzz the"]
+    got = model.lengths([t.encode() for t in asked])
+    for t, row in zip(asked, got):
+        x = bytes(3) + t.encode()
+        for coder, bits in zip(coders, row):
+            want = -sum(np.log2(coder(x[i - 3:i], x[i])) for i in range(3, len(x)))
+            assert abs(bits - want) < 1e-3 * max(1, want)
+
+
 def test_code_lengths_are_those_of_a_distribution():
-    texts = {"x": b"abracadabra abracadabra", "y": b"banana bandana cabana"}
-    batches = list(ppm._count([__import__("pyarrow").record_batch({"lang": list(texts), "text": [t.decode() for t in texts.values()]})]))
-    lang = np.concatenate([np.full(b.num_rows, list(texts).index(b.column(0)[0].as_py())) for b in batches])
-    model = ppm.freeze(list(texts), lang, np.concatenate([b.column(1).to_numpy() for b in batches]),
-                       np.concatenate([b.column(2).to_numpy() for b in batches]))
-    a = model.base.shape[0]
-    by_symbol = {int(s): bytes([b]) for b, s in enumerate(model.symbol) if s}
-    for before in (b"abr", b"nan", b"zzz", b"a b"):
+    model = frozen({"x": "abracadabra abracadabra", "y": "banana bandana cabana", "zh": "我们在学校学习中文"})
+    for before in (b"abr", b"nan", b"zzz", b"a b", "我".encode(), "们在".encode(), b"\xe6\x88"):
         base = model.lengths([before])[0]
-        total = sum(np.exp2(base - model.lengths([before + by_symbol.get(s, b"\xff")])[0]) for s in range(a))
+        total = sum(np.exp2(base - model.lengths([before + bytes([b])])[0]) for b in range(256))
         assert np.allclose(total, 1, atol=1e-3)
 
 
@@ -282,6 +364,25 @@ def test_quality_held_out(spark, docs, sample):
     assert len(held) > 60 and sum((s >= 0.3) == q for s, q in held) >= 0.95 * len(held)
 
 
+def test_scores_against_a_naive_network(monkeypatch):
+    """Each position's convolution, pooling and the two layers by loops; a text longer than a piece."""
+    monkeypatch.setattr(cnn, "PIECE", 64)
+    net = cnn.Network(3)
+    texts = [b"", b"ab", b"hello world, hello world " * 20, bytes(range(256)) * 2, "é中🙂 ".encode() * 30]
+    for text, got in zip(texts, net.score(texts)):
+        sym = cnn.symbols(text).tolist()
+        values = [[max(0.0, sum(net.p["embed"][sym[i + k]] @ net.p["filter"][k][:, f] for k in range(cnn.WIDTH)) + net.p["bias"][f])
+                   for f in range(cnn.FILTERS)] for i in range(len(sym) - cnn.WIDTH + 1)]
+        blocks = [np.max(values[a:a + cnn.BLOCK], axis=0) for a in range(0, len(values), cnn.BLOCK)]
+        chunks = [np.max(blocks[a:a + 4], axis=0) for a in range(0, max(len(blocks) - 1, 1), 3)]
+        feats = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)])
+        hidden = np.tanh(feats @ net.p["w1"] + net.p["b1"])
+        assert abs(got - 1 / (1 + np.exp(-(hidden @ net.p["w2"] + net.p["b2"][0])))) < 1e-5
+    size = [10, 5, 200, 1, 1, 1]
+    got = [b.tolist() for b in cnn.batches(np.arange(6), size, 2, 100)]
+    assert got == [[0, 1], [2], [3, 4], [5]]
+
+
 def test_network_gradients():
     net = cnn.Network(1)
     texts, y = [cnn.symbols(t) for t in (b"hello world hello world " * 9, b"", b"abc")], np.array([1.0, 0.0, 1.0])
