@@ -22,10 +22,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of two lines and more go; so do documents of which nothing is left."""
-    done = linerun.deduplicated(docs).where("_removed = 0 or text <> ''")
+    """Later copies of repeated runs (two lines and more, or one of ten words) go; so do documents of which nothing is
+    left."""
+    counter = "_removed"
+    while counter in docs.columns:
+        counter += "_"
+    done = linerun.deduplicated(docs, counter=counter).where((F.col(counter) == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        done = done.withColumn("n_chars", F.when(F.col(counter) > 0, F.length("text")).otherwise(F.col("n_chars"))
                                .cast(docs.schema["n_chars"].dataType))
     return done.select(*[f"`{c}`" for c in docs.columns])
 
