@@ -40,13 +40,13 @@ def top_k(df: DataFrame, k: int | None, order: list[Column], partition: list | N
     return out if k is None else out.filter(F.col(name) <= k)
 
 
-def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Number the rows 0.. by ``key`` without a one-task window: a range sort,
+def dense_ids(df: DataFrame, key: str | list[Column], name: str) -> DataFrame:
+    """Number the rows 0.. by ``key`` (a column, or a list of orders) without a one-task window: a range sort,
     written as a reliable checkpoint, then the sums of the partitions before
     (one row per partition)."""
     from marquee.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    placed = df.orderBy(key).select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().bitwiseAND(
+    placed = df.orderBy(*(key if isinstance(key, list) else [key])).select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().bitwiseAND(
         (1 << 33) - 1).alias("_at")).checkpoint()
     per = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = per.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_before"))

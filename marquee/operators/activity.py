@@ -127,59 +127,6 @@ def user_update_log(events: DataFrame) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------------------
-# validation
-# ---------------------------------------------------------------------------
-SCORE_MIN, SCORE_MAX = 1, 10
-REVIEW_MIN, REVIEW_MAX = 2, 500
-USERNAME_MIN, USERNAME_MAX = 2, 20
-ROLES = ("user", "admin")
-PERSON_TYPES = ("director", "actor")
-
-
-def constraint_violations(activity: DataFrame, reviews: DataFrame, replies: DataFrame,
-                          users: DataFrame, person_log: DataFrame) -> DataFrame:
-    """One row per rejected record: (entity, record_id, reason)."""
-    from marquee.functions.text import ustrip
-
-    r = activity.filter(F.col("kind") == "rate")
-    bad_score = r.filter(F.col("score").isNull() | (F.col("score") < SCORE_MIN) | (F.col("score") > SCORE_MAX)).select(
-        F.lit("rating").alias("entity"),
-        F.concat_ws(":", F.col("user_id").cast("string"), F.col("item_id")).alias("record_id"),
-        F.lit("score_out_of_range").alias("reason"))
-    unknown_user = r.join(users.select(F.col("id").alias("user_id")), "user_id", "left_anti").select(
-        F.lit("rating").alias("entity"),
-        F.concat_ws(":", F.col("user_id").cast("string"), F.col("item_id")).alias("record_id"),
-        F.lit("unknown_user").alias("reason"))
-    rl = F.length(ustrip(F.coalesce(F.col("content"), F.lit(""))))
-    bad_review = reviews.filter((rl < REVIEW_MIN) | (rl > REVIEW_MAX)).select(
-        F.lit("review").alias("entity"), F.col("id").cast("string").alias("record_id"),
-        F.when(rl < REVIEW_MIN, F.lit("review_too_short")).otherwise(F.lit("review_too_long")).alias("reason"))
-    pl = F.length(ustrip(F.coalesce(F.col("content"), F.lit(""))))
-    bad_reply = replies.filter(pl < 1).select(
-        F.lit("reply").alias("entity"), F.col("id").cast("string").alias("record_id"),
-        F.lit("reply_empty").alias("reason"))
-    ul = F.length(F.col("username"))
-    bad_name = users.filter(F.col("username").isNull() | (ul < USERNAME_MIN) | (ul > USERNAME_MAX)).select(
-        F.lit("user").alias("entity"), F.col("id").cast("string").alias("record_id"),
-        F.lit("username_length").alias("reason"))
-    dup = (users.groupBy("username").agg(F.min("id").alias("_keep"))
-           .join(users, "username").filter(F.col("id") != F.col("_keep")).select(
-               F.lit("user").alias("entity"), F.col("id").cast("string").alias("record_id"),
-               F.lit("username_taken").alias("reason")))
-    bad_role = users.filter(~F.coalesce(F.col("role"), F.lit("")).isin(*ROLES)).select(
-        F.lit("user").alias("entity"), F.col("id").cast("string").alias("record_id"),
-        F.lit("role_domain").alias("reason"))
-    bad_ptype = person_log.filter(~F.coalesce(F.col("person_type"), F.lit("")).isin(*PERSON_TYPES)).select(
-        F.lit("liked_person").alias("entity"),
-        F.concat_ws(":", F.col("user_id").cast("string"), F.col("person_name")).alias("record_id"),
-        F.lit("person_type_domain").alias("reason"))
-    out = bad_score
-    for d in (unknown_user, bad_review, bad_reply, bad_name, dup, bad_role, bad_ptype):
-        out = out.unionByName(d)
-    return out
-
-
 # ---------------------------------------------------------------------------
 # Reports over current state
 # ---------------------------------------------------------------------------
@@ -251,11 +198,16 @@ def recent_by_user(df: DataFrame, ts_col: str, n: int, tiebreak: str) -> DataFra
     return top_k(df, n, [F.col(ts_col).desc(), F.col(tiebreak).desc()], partition=["user_id"])
 
 
-def profile_lists(ratings: DataFrame, reviews: DataFrame, likes: DataFrame, favorites: DataFrame, history: DataFrame,
-                  liked_persons: DataFrame, items_by_id: DataFrame, n: int | None = 50) -> DataFrame:
-    """(user_id, list, rk, key, score, title, rating): each user's newest
-    ``n`` (None: all) ratings, reviews, likes, favourites, views, directors
-    and actors; key is the film or person, films come with title and rating."""
+def profile_lists(users: DataFrame, ratings: DataFrame, reviews: DataFrame, likes: DataFrame, favorites: DataFrame, history: DataFrame,
+                  liked_persons: DataFrame, items_by_id: DataFrame, persons_dir: DataFrame, n: int | None = 50) -> DataFrame:
+    """J14 in long form: (user_id, list, rk, key, score, title, rating, genre,
+    poster, name_en, profession, avatar): each user's newest ``n`` (None: all)
+    ratings, reviews, likes, favourites and views with their films (J4: a film
+    that is missing shows the fixed title), directors and actors with their
+    profiles (J5), and the statistics (A18; list ``stats``, a row each, the
+    value in ``score`` and the mean score in ``rating``)."""
+    from marquee.operators.persons import directory_by_name
+
     def lines(name: str, df: DataFrame, key: str, ts: str, tie: str, score=None) -> DataFrame:
         return recent_by_user(df, ts, n, tie).select(
             "user_id", F.lit(name).alias("list"), "rk", F.col(key).alias("key"),
@@ -266,13 +218,27 @@ def profile_lists(ratings: DataFrame, reviews: DataFrame, likes: DataFrame, favo
              .unionByName(lines("like", likes, "item_id", "created_at", "item_id"))
              .unionByName(lines("favorite", favorites, "item_id", "created_at", "item_id"))
              .unionByName(lines("history", history, "item_id", "viewed_at", "item_id")))
-    info = items_by_id.select(F.col("id").alias("key"), "title", "rating")
-    shown = films.join(info, "key", "left").select(*films.columns, F.coalesce("title", F.lit("")).alias("title"),
-                                                   F.coalesce("rating", F.lit(0.0)).alias("rating"))
+    info = items_by_id.select(F.col("id").alias("key"), "title", "rating", F.col("genre_raw").alias("genre"),
+                              F.col("poster_local_path").alias("poster"))
+    empty = F.lit("")
+    shown = films.join(info, "key", "left").select(
+        *films.columns, F.coalesce("title", F.lit(UNKNOWN_TITLE)).alias("title"), F.coalesce("rating", F.lit(0.0)).alias("rating"),
+        F.coalesce("genre", empty).alias("genre"), F.coalesce("poster", empty).alias("poster"),
+        empty.alias("name_en"), empty.alias("profession"), empty.alias("avatar"))
+    d = directory_by_name(persons_dir).select(F.col("name").alias("key"), "name_en", "profession", F.col("avatar_local_path").alias("avatar"))
     for role in ("director", "actor"):
         own = lines(role, liked_persons.filter(F.col("person_type") == role), "person_name", "created_at", "person_name")
-        shown = shown.unionByName(own.withColumn("title", F.lit("")).withColumn("rating", F.lit(0.0)))
-    return shown
+        shown = shown.unionByName(own.join(d, "key", "left").select(
+            *own.columns, empty.alias("title"), F.lit(0.0).alias("rating"), empty.alias("genre"), empty.alias("poster"),
+            *[F.coalesce(c, empty).alias(c) for c in ("name_en", "profession", "avatar")]))
+    stats = user_stats(users, ratings, reviews, likes, favorites)
+    counts = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("int").alias("score"))
+                       for c in ("rating_count", "review_count", "like_count", "favorite_count")])
+    rows = stats.select("user_id", F.posexplode(counts).alias("p", "c"), "avg_score")
+    return shown.unionByName(rows.select(
+        "user_id", F.lit("stats").alias("list"), (F.col("p") + 1).cast("long").alias("rk"), F.col("c.key").alias("key"),
+        F.col("c.score").alias("score"), empty.alias("title"), F.when(F.col("p") == 0, F.col("avg_score")).otherwise(0.0).alias("rating"),
+        *[empty.alias(c) for c in ("genre", "poster", "name_en", "profession", "avatar")]))
 
 
 def movie_reviews(reviews: DataFrame, users: DataFrame, n: int = 20) -> DataFrame:
@@ -290,31 +256,79 @@ def review_replies_view(replies: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def review_thread(reviews: DataFrame, replies: DataFrame, review_likes: DataFrame,
-                  ratings: DataFrame, users: DataFrame) -> DataFrame:
-    """Per review of each film: like count, reply count with the oldest
-    and newest reply (the reply list itself is ``review_replies_view`` --
-    never collected into one row, so a review with a huge thread is not one
-    task), the author's own score of the film, and the film's mean/count."""
-    lk = review_like_count(review_likes)
-    rp = (replies.groupBy("review_id")
-          .agg(F.count(F.lit(1)).alias("reply_count"),
-               F.min_by("id", F.struct("created_at", "id")).alias("first_reply_id"),
-               F.max_by("id", F.struct("created_at", "id")).alias("last_reply_id")))
-    film = movie_avg_rating(ratings).withColumnRenamed("item_id", "movie_id")
-    mine = ratings.select("user_id", F.col("item_id").alias("movie_id"), F.col("score").alias("author_score"))
+                  ratings: DataFrame, users: DataFrame, n: int = 20) -> DataFrame:
+    """J3 in long form, a row per line of a film's thread: (movie_id, part,
+    review_id, reply_id, user_id, username, content, created_at, number, score).
+
+    part ``film``: mean score and number of ratings; ``review``: the newest
+    ``n`` with author and like count; ``reply``: every reply to these with its
+    author; ``liked``: who likes a review (the viewer's own flag is the row
+    of that viewer); ``score``: a viewer's own score of the film. Replies and
+    likes stay rows, so no long thread is gathered."""
+    null = F.lit(None)
     u = users.select(F.col("id").alias("user_id"), "username")
-    r = reviews.join(u, "user_id", "left")
-    r = (r.join(lk, r.id == lk.review_id, "left").drop("review_id")
-         .join(rp, r.id == rp.review_id, "left").drop("review_id")
-         .join(film, "movie_id", "left")
-         .join(mine, ["user_id", "movie_id"], "left"))
-    return r.select(
-        F.col("id").alias("review_id"), "movie_id", "user_id", "username",
-        F.coalesce("like_count", F.lit(0)).cast("bigint").alias("like_count"),
-        F.coalesce("reply_count", F.lit(0)).cast("bigint").alias("reply_count"),
-        "first_reply_id", "last_reply_id", "author_score",
-        F.coalesce("avg_score", F.lit(0.0)).alias("film_avg_score"),
-        F.coalesce("n_ratings", F.lit(0)).cast("bigint").alias("film_n_ratings"))
+    top = top_k(reviews, n, [F.col("created_at").desc(), F.col("id").desc()], partition=["movie_id"]).select(
+        F.col("id").alias("review_id"), "movie_id", "user_id", "content", "created_at")
+    place = top.select("review_id", "movie_id")
+
+    def line(df: DataFrame, part: str, **has) -> DataFrame:
+        kinds = {"review_id": "long", "reply_id": "long", "user_id": "long", "username": "string", "content": "string",
+                 "created_at": "timestamp", "number": "long", "score": "double"}
+        return df.select("movie_id", F.lit(part).alias("part"), *[(has[c] if c in has else null).cast(k).alias(c) for c, k in kinds.items()])
+
+    c = F.col
+    film = movie_avg_rating(ratings).withColumnRenamed("item_id", "movie_id").join(place.select("movie_id").distinct(), "movie_id", "right")
+    likes = review_likes.join(place, "review_id")
+    count = likes.groupBy("review_id").agg(F.count(F.lit(1)).alias("n"))
+    said = replies.select(F.col("id").alias("reply_id"), "review_id", "user_id", "content", "created_at").join(place, "review_id").join(u, "user_id")
+    mine = ratings.select("user_id", F.col("item_id").alias("movie_id"), "score").join(place.select("movie_id").distinct(), "movie_id", "left_semi")
+    own = dict(user_id=c("user_id"), username=c("username"), content=c("content"), created_at=c("created_at"))
+    return (line(film, "film", number=F.coalesce("n_ratings", F.lit(0)), score=F.coalesce("avg_score", F.lit(0.0)))
+            .unionByName(line(top.join(u, "user_id").join(count, "review_id", "left"), "review", review_id=c("review_id"),
+                              number=F.coalesce("n", F.lit(0)), **own))
+            .unionByName(line(said, "reply", review_id=c("review_id"), reply_id=c("reply_id"), **own))
+            .unionByName(line(likes, "liked", review_id=c("review_id"), user_id=c("user_id")))
+            .unionByName(line(mine, "score", user_id=c("user_id"), score=c("score"))))
+
+
+def item_details(requests: DataFrame, items_by_id: DataFrame, ratings: DataFrame, likes: DataFrame, favorites: DataFrame,
+                 reviews: DataFrame, users: DataFrame, similar: DataFrame, n: int = 20) -> DataFrame:
+    """J15 in long form for ``requests(user_id, item_id, ts)``, a row per line of
+    the page: (user_id, item_id, part, rk, key, text, score, number).
+
+    part ``card``: title, catalogue rating; ``stats``: mean score and number of
+    ratings; ``flags``: the visitor's own score, and whether liked (number 1
+    or 3) and favourited (2 or 3); ``review``: the newest ``n`` with author;
+    ``similar``: the films of ``similar(seed, rk, id, title, similarity)``; ``view``:
+    the event that the visit adds to the history (``visits``)."""
+    keys = ["user_id", "item_id"]
+    req = requests.select(*keys, "ts")
+    card = items_by_id.select(F.col("id").alias("item_id"), "title", "rating")
+    req = req.join(card.select("item_id"), "item_id", "left_semi")  # a film that is missing has no page
+
+    def line(df: DataFrame, part: str, rk=F.lit(0), key=F.lit(""), text=F.lit(""), score=F.lit(None), number=F.lit(None)) -> DataFrame:
+        return df.select(*keys, F.lit(part).alias("part"), rk.cast("long").alias("rk"), key.cast("string").alias("key"),
+                         text.cast("string").alias("text"), score.cast("double").alias("score"), number.cast("long").alias("number"))
+
+    c = F.col
+    stats = movie_avg_rating(ratings)
+    flags = (req.join(ratings.select(*keys, "score"), keys, "left").join(likes.select(*keys, F.lit(1).alias("l")), keys, "left")
+             .join(favorites.select(*keys, F.lit(2).alias("f")), keys, "left"))
+    said = movie_reviews(reviews, users, n).select(F.col("movie_id").alias("item_id"), "id", "username", F.col("rk").alias("rrk"))
+    near = similar.select(F.col("seed").alias("item_id"), F.col("rk").alias("srk"), "id", "title", "similarity")
+    return (line(req.join(card, "item_id"), "card", text=c("title"), score=c("rating"))
+            .unionByName(line(req.join(stats, "item_id", "left"), "stats", score=F.coalesce("avg_score", F.lit(0.0)), number=F.coalesce("n_ratings", F.lit(0))))
+            .unionByName(line(flags, "flags", score=c("score"), number=F.coalesce("l", F.lit(0)) + F.coalesce("f", F.lit(0))))
+            .unionByName(line(req.join(said, "item_id"), "review", c("rrk"), c("id"), c("username")))
+            .unionByName(line(req.join(near, "item_id"), "similar", c("srk"), c("id"), c("title"), c("similarity")))
+            .unionByName(line(req, "view", key=F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))))
+
+
+def visits(requests: DataFrame, items_by_id: DataFrame) -> DataFrame:
+    """The events that the visits of ``requests(user_id, item_id, ts)`` add to the activity log."""
+    known = requests.join(items_by_id.select(F.col("id").alias("item_id")), "item_id", "left_semi")
+    return known.select("user_id", "item_id", F.lit("view").alias("kind"), F.lit(None).cast("int").alias("score"), "ts",
+                        F.lit(2).alias("src"), F.xxhash64("user_id", "item_id", "ts").alias("k1"), F.lit(0).cast("long").alias("k2"))
 
 
 def enrich_items(rows: DataFrame, items_by_id: DataFrame, key: str = "item_id") -> DataFrame:

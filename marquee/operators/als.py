@@ -34,10 +34,11 @@ ORDER_PLACES = 9
 
 @dataclass
 class ItemModel:
-    """A fitted ALS model and the table of its item ordinals: (item, item_id)."""
+    """A fitted ALS model and the tables of its ordinals: (item, item_id), (user, user_id)."""
 
     als: object
     ids: DataFrame
+    people: DataFrame
 
     @property
     def rank(self) -> int:
@@ -55,31 +56,38 @@ class ItemModel:
         """``df`` with item ordinals replaced by ``item_id``."""
         return df.join(self.ids.withColumnRenamed("item", item), item).drop(item)
 
+    def named_users(self, df: DataFrame, user: str = "user") -> DataFrame:
+        """``df`` with user ordinals replaced by ``user_id``."""
+        return df.join(self.people.withColumnRenamed("user", user), user).drop(user)
+
     def save(self, path: str) -> None:
-        """Write model and id table below ``path``."""
+        """Write model and id tables below ``path``."""
         self.als.write().overwrite().save(f"{path}/als")
         self.ids.write.mode("overwrite").parquet(f"{path}/ids")
+        self.people.write.mode("overwrite").parquet(f"{path}/people")
 
     @staticmethod
     def load(spark, path: str) -> "ItemModel":
         from pyspark.ml.recommendation import ALSModel
-        return ItemModel(ALSModel.load(f"{path}/als"), spark.read.parquet(f"{path}/ids"))
+        return ItemModel(ALSModel.load(f"{path}/als"), spark.read.parquet(f"{path}/ids"), spark.read.parquet(f"{path}/people"))
 
 
 def als_train(ratings: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER, reg: float = REG, seed: int = SEED):
     """Fit ALS (non-negative, cold-start rows dropped) on an 80/20 split;
     returns (model, rmse on the held-out 20 %, train rows, test rows).
-    ``user_id`` is an integer, ``item_id`` any string."""
+    ``user_id`` is any long, ``item_id`` any string: both are numbered for MLlib,
+    which takes 32-bit ids."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.recommendation import ALS
 
     from marquee.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(ratings.sparkSession)
-    rated = ratings.select(F.col("user_id").cast("int").alias("user"), F.col("item_id").cast("string").alias("item_id"),
-                           F.col("score").cast("float").alias("rating")).filter(F.col("item_id").isNotNull())
+    rated = ratings.select(F.col("user_id").cast("long").alias("user_id"), F.col("item_id").cast("string").alias("item_id"),
+                           F.col("score").cast("float").alias("rating")).filter(F.col("item_id").isNotNull() & F.col("user_id").isNotNull())
+    people = dense_ids(rated.select("user_id").distinct(), "user_id", "user").withColumn("user", F.col("user").cast("int"))
     ids = dense_ids(rated.select("item_id").distinct(), "item_id", "item").withColumn("item", F.col("item").cast("int"))
-    split = F.pmod(F.xxhash64("user", "item_id", F.lit(seed)), F.lit(1000)) < int(TRAIN_FRACTION * 1000)
-    data = rated.join(ids, "item_id").withColumn("held_in", split).persist()
+    split = F.pmod(F.xxhash64("user_id", "item_id", F.lit(seed)), F.lit(1000)) < int(TRAIN_FRACTION * 1000)
+    data = rated.join(ids, "item_id").join(people, "user_id").withColumn("held_in", split).persist()
     train, test = data.filter("held_in"), data.filter("not held_in")
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, nonnegative=True, coldStartStrategy="drop",
               userCol="user", itemCol="item", ratingCol="rating", seed=seed, checkpointInterval=5)
@@ -88,7 +96,7 @@ def als_train(ratings: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER, re
     rmse = RegressionEvaluator(metricName="rmse", labelCol="rating", predictionCol="prediction").evaluate(pred)
     counts = train.count(), test.count()
     data.unpersist()
-    return ItemModel(model, ids), rmse, *counts
+    return ItemModel(model, ids, people), rmse, *counts
 
 
 def model_info(model, rmse: float, n_train: int, n_test: int) -> DataFrame:
@@ -172,23 +180,24 @@ def als_recommend_users(model, n: int = SIMILAR_TOP, seen: DataFrame | None = No
     """Top ``n`` films per user by predicted score (MLlib's blocked
     top-k); optionally without films the user already rated."""
     def lists(recs: DataFrame) -> DataFrame:
-        e = recs.select(F.col("user").alias("user_id"), F.explode("recommendations").alias("r"))
-        return model.named(e.select("user_id", F.col("r.item").alias("item"), F.col("r.rating").alias("score")))
+        e = recs.select("user", F.explode("recommendations").alias("r"))
+        return model.named_users(model.named(e.select("user", F.col("r.item").alias("item"), F.col("r.rating").alias("score"))))
 
     if seen is None:
         e = lists(model.als.recommendForAllUsers(n))
     else:
         # a user who has seen s films needs n + s predictions: users go by the power of two above s
-        rated = seen.select(F.col("user_id").cast("int").alias("user"), F.col("item_id").cast("string").alias("item_id")).distinct()
+        rated = seen.select(F.col("user_id").cast("long").alias("user_id"), F.col("item_id").cast("string").alias("item_id")).distinct()
+        seen_by = rated.join(model.people, "user_id")
         known = model.userFactors.select(F.col("id").alias("user"))
-        many = (known.join(rated.groupBy("user").agg(F.count(F.lit(1)).alias("s")), "user", "left")
+        many = (known.join(seen_by.groupBy("user").agg(F.count(F.lit(1)).alias("s")), "user", "left")
                 .select("user", F.ceil(F.log2(F.coalesce("s", F.lit(0)) + 1)).cast("int").alias("p")).persist())
         steps = sorted(r["p"] for r in many.select("p").distinct().collect())  # at most 64
         parts = [lists(model.als.recommendForUserSubset(many.filter(F.col("p") == p).select("user"), n + (1 << p))) for p in steps]
         e = parts[0] if parts else lists(model.als.recommendForAllUsers(n))
         for more in parts[1:]:
             e = e.unionByName(more)
-        e = e.join(rated.withColumnRenamed("user", "user_id"), ["user_id", "item_id"], "left_anti")
+        e = e.join(rated, ["user_id", "item_id"], "left_anti")
     return top_k(e, n, [F.col("score").desc(), F.col("item_id").asc()], partition=["user_id"])
 
 

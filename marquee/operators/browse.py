@@ -197,16 +197,46 @@ def facet_values(items: DataFrame) -> DataFrame:
 SORTS = {"rating": "rating", "date": "release_date", "runtime": "runtime"}
 
 
+PAGE_COLUMNS = ("id", "title", "rating", "release_date", "runtime", "year", "ord")
+PAGE_BUCKET = 1 << 16  # rows of a folder of the page index
+
+
+def _page_order(sort: str, seed: str) -> list:
+    first = F.col(SORTS[sort]).desc() if sort in SORTS else hash_order(seed, F.col("id")).asc()
+    return [first, F.col("id").asc(), F.col("ord").asc()]
+
+
+def page_index(items: DataFrame, path: str, genre: str = "", country: str = "", period: str = "", sort: str = "random",
+               seed: str = "0", bucket: int = PAGE_BUCKET) -> int:
+    """K10 / K11 for deep pages: the filtered list in its order, numbered by a
+    range sort and the partitions' row counts, as folders of ``bucket`` rows
+    under ``path``. Returns the number of rows."""
+    from marquee.functions.agg import dense_ids
+    f = facet_filter(items, genre, country, period).select(*PAGE_COLUMNS)
+    numbered = dense_ids(f, _page_order(sort, seed), "_row").select(
+        *PAGE_COLUMNS, (F.col("_row") + 1).alias("rk"), F.floor(F.col("_row") / bucket).cast("long").alias("bucket"))
+    numbered.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return f.sparkSession.read.parquet(path).count()
+
+
+def indexed_page(spark, path: str, total: int, page: int, page_size: int = PAGE_SIZE, bucket: int = PAGE_BUCKET) -> DataFrame:
+    """One page of a ``page_index``, like ``browse_page``: it reads the one or two
+    folders that hold it, whatever the page's number."""
+    lo, hi = (page - 1) * page_size, page * page_size
+    index = spark.read.option("basePath", path).parquet(path)
+    here = index.filter(F.col("bucket").between(lo // bucket, (hi - 1) // bucket) & F.col("rk").between(lo + 1, hi))
+    return here.select("rk", "id", "title", "rating", "release_date", "runtime", F.lit(total).cast("long").alias("total"),
+                       F.lit(max(1, -(-total // page_size))).cast("long").alias("total_pages"))
+
+
 def browse_page(items: DataFrame, genre: str = "", country: str = "", period: str = "",
                 sort: str = "random", page: int = 1, seed: str = "0", page_size: int = PAGE_SIZE) -> DataFrame:
     """F1 + K10 + K11: one page of the filtered list with paging totals.
 
     ``total`` is a window count over the filtered set; the page is rows
     ``(page-1)*size+1 .. page*size`` of a total order (ties by id, ord)."""
-    f = facet_filter(items, genre, country, period).select(
-        "id", "title", "rating", "release_date", "runtime", "year", "ord")
-    first = F.col(SORTS[sort]).desc() if sort in SORTS else hash_order(seed, F.col("id")).asc()
-    order = [first, F.col("id").asc(), F.col("ord").asc()]
+    f = facet_filter(items, genre, country, period).select(*PAGE_COLUMNS)
+    order = _page_order(sort, seed)
     lo, hi = (page - 1) * page_size + 1, page * page_size
     ranked = top_k(f, hi, order).filter(F.col("rk") >= lo)
     total = f.select(F.count(F.lit(1))).scalar()

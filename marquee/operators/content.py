@@ -10,6 +10,7 @@ the +1 and the sublinear tf, so this is written with DataFrame aggregates.
 Sparse rows are (doc, term, w). Cosine similarity for a table of target
 films is a join on ``term`` with a partial sum per (target, doc); the
 vocabulary is small (the parameter bounds it), so the planner broadcasts it.
+All films against all is an exact join by cells (``nearest``).
 """
 
 from __future__ import annotations
@@ -83,26 +84,50 @@ def cosine_for_targets(vec: DataFrame, targets: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("tw") * F.col("w")).alias("sim")))
 
 
-def content_similarity(items: DataFrame, seeds: DataFrame, keep: float = SIM_KEEP, top: int = SIM_TOP) -> DataFrame:
-    """C4 for seed films: rows with similarity > ``keep`` plus the ``top``
-    best of each seed (self included, like the dense matrix row)."""
+def text_classes(items: DataFrame, vec: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Films of equal text are one class, named by its first record: ``(doc,
+    rep)`` of all films, and the classes' TF-IDF rows ``(doc, term, w)``."""
     docs = content_text(items)
-    vec = tfidf(docs)
-    targets = docs.join(seeds.select(F.col("seed").alias("id")), "id").select("doc", F.col("id").alias("seed"))
-    sims = cosine_for_targets(vec, targets.select("doc"))
-    ids = docs.select("doc", "id")
-    s = (sims.join(targets.withColumnRenamed("doc", "target"), "target")
-         .join(ids, "doc").select("seed", "id", "doc", "sim"))
-    ranked = top_k(s, None, [round_half_up("sim", SIM_ORDER_PLACES).desc(), F.col("doc").asc()], ["seed"])
-    return ranked.filter((F.col("sim") > keep) | (F.col("rk") <= top)).select(
-        "seed", "id", round_half_up("sim", 6).alias("sim"), "rk")
-
-
-def content_recommend(items: DataFrame, items_by_id: DataFrame, seeds: DataFrame, n: int = DETAIL_TOP) -> DataFrame:
+    rep = docs.groupBy("text").agg(F.min("doc").alias("rep"))
+    member = docs.join(rep, docs["text"].eqNullSafe(rep["text"])).select("doc", "rep")
+    return member, (tfidf(docs) if vec is None else vec).join(member.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
+
+
+def content_similarity(items: DataFrame, seeds: DataFrame | None = None, keep: float = SIM_KEEP, top: int = SIM_TOP,
+                       vec: DataFrame | None = None, tell: dict | None = None) -> DataFrame:
+    """C4: for every film (or those of ``seeds``) the rows with similarity >
+    ``keep`` plus the ``top`` best (itself included, like the dense matrix row).
+
+    Exact for all films: classes of equal texts are joined by
+    ``nearest.sparse_neighbours`` and the result goes back to the films. The
+    films of a class share one list, which is ranked once. ``vec`` are the
+    TF-IDF rows where they are stored already."""
+    from marquee.operators.nearest import sparse_neighbours
+    from marquee.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(items.sparkSession)
+    member, vec = text_classes(items, vec)
+    member, vec = member.checkpoint(), vec.checkpoint()
+    terms = top_k(vec.select("term").distinct(), MAX_FEATURES, [F.col("term").asc()]).select("term", (F.col("rk") - 1).cast("int").alias("idx"))
+    rows = (vec.join(F.broadcast(terms), "term").groupBy("doc")
+            .agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("t"))
+            .select(F.col("doc").alias("key"), F.col("t.idx").alias("idx"), F.col("t.w").alias("val")))
+    pairs = sparse_neighbours(rows, terms.count(), top, keep, tell=tell)
+    lists = pairs.join(member.select("doc", F.col("rep").alias("b")), "b").select(F.col("a").alias("rep"), "doc", "sim")
+    ranked = top_k(lists, None, [round_half_up("sim", SIM_ORDER_PLACES).desc(), F.col("doc").asc()], ["rep"])
+    ranked = ranked.filter((F.col("sim") > keep) | (F.col("rk") <= top))
+    ids = items.select(F.col("ord").alias("doc"), "id")
+    asking = ids if seeds is None else ids.join(seeds.select(F.col("seed").alias("id")).distinct(), "id", "left_semi")
+    asking = asking.join(member, "doc").select("rep", F.col("id").alias("seed"))
+    return (ranked.join(ids, "doc").join(asking, "rep")
+            .select("seed", "id", round_half_up("sim", 6).alias("sim"), "rk"))
+
+
+def content_recommend(items: DataFrame, items_by_id: DataFrame, seeds: DataFrame, n: int = DETAIL_TOP,
+                      vec: DataFrame | None = None) -> DataFrame:
     """The ``n`` most similar films of each seed, excluding the seed's id
     (3 places)."""
     docs = content_text(items)
-    vec = tfidf(docs)
+    vec = tfidf(docs) if vec is None else vec
     # the seed's row is the last record with that id (lookup semantics)
     last = items.groupBy("id").agg(F.max("ord").alias("doc"))
     targets = last.join(seeds.select(F.col("seed").alias("id")), "id").select("doc", F.col("id").alias("seed"))
@@ -116,14 +141,13 @@ def content_recommend(items: DataFrame, items_by_id: DataFrame, seeds: DataFrame
                                        round_half_up("sim", 3).alias("similarity"))
 
 
-def vector_topk(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def vector_topk(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
+                tell: dict | None = None) -> DataFrame:
     """For every vector its ``k`` most cosine-similar other vectors
-    (+1e-8 in the denominator). Exact: the candidates are scored block-wise
-    with dense NumPy products (``als.factor_cosine``); only each block's top
-    ``k`` per vector leaves a task, so no pair table is shuffled."""
-    from marquee.operators.als import factor_cosine
-    f = vectors.select(F.col(id_col).cast("string").alias("item_id"), F.col(vec_col).alias("features"))
-    seeds = f.select(F.col("item_id").alias("seed"))
-    s = factor_cosine(f, seeds, keep_top=k)
-    t = top_k(s, k, [round_half_up("sim", SIM_ORDER_PLACES).desc(), F.col("item_id").asc()], ["seed"])
-    return t.select("seed", "item_id", round_half_up("sim", 6).alias("sim"), "rk")
+    (+1e-8 in the denominator). Exact, by ``nearest.vector_neighbours``: cells
+    around pivots are skipped where the triangle inequality rules them out."""
+    from marquee.operators.nearest import vector_neighbours
+    f = vectors.select(F.col(id_col).cast("string").alias("key"), F.col(vec_col).alias("v"))
+    s = vector_neighbours(f, k, tell=tell)
+    t = top_k(s, k, [round_half_up("sim", SIM_ORDER_PLACES).desc(), F.col("b").asc()], ["a"])
+    return t.select(F.col("a").alias("seed"), F.col("b").alias("item_id"), round_half_up("sim", 6).alias("sim"), "rk")

@@ -5,12 +5,14 @@ Graph = two DataFrames: ``nodes(node, type, name)`` and undirected
 ``edges(src, dst, relation, weight)`` (src = film, dst = '<kind>:<name>').
 
 Iterative algorithms are DataFrame loops: one join + one partial/final
-aggregate per round, a scalar aggregate (the L1 change) as the only action per
-round, and a reliable ``checkpoint()`` every few rounds to cut lineage (the
-folder comes from ``spark.checkpoint.dir``). Hub nodes (a genre or country
-holding a large share of all edges) only ever appear as join *keys* with
-pre-aggregated partner rows, and the per-destination sums are partial
-aggregates, so a hot node costs one row per task before the exchange.
+aggregate per round, a scalar aggregate as the only action per round, and a
+reliable ``checkpoint()`` every few rounds to cut lineage (the folder comes
+from ``spark.checkpoint.dir``). Hub nodes (a genre or country holding a large
+share of all edges) are split by a salt on their neighbours in the loops over
+all edges (``split_hubs``): their rows lie in many partitions, and the node's
+value is copied once per salt. Per-destination sums are partial aggregates.
+Personalised PageRank is a local push: its state holds the nodes that a
+seed's restart mass reaches above a bound, not every node for every seed.
 
 Pairwise scores (common neighbours, community, same-director) are computed
 for a table of target films (``seeds``) -- the catalogue's item pages and the
@@ -35,6 +37,9 @@ ALPHA = 0.85
 MAX_ITER = 100
 TOL = 1e-6
 RESTART_NEIGHBOURS = 20
+HUB_SHARE = 8      # a node with more than 1 / (HUB_SHARE * partitions) of all transitions is split
+ORDER_PLACES = 12
+PUSH_WIDTH = 16    # seeds that share one row per node in the push state
 COMMUNITY_BUCKETS = 50
 # relation -> (node prefix, rank of the relation in a film's neighbour order)
 RELATIONS = {
@@ -101,6 +106,24 @@ def _transitions(edges: DataFrame) -> DataFrame:
     return und.join(out_w, "src").select("src", "dst", (F.col("weight") / F.col("_w")).alias("p"))
 
 
+def split_hubs(trans: DataFrame, n_edges: int, parts: int, share: int = HUB_SHARE) -> tuple[DataFrame, DataFrame]:
+    """``trans`` with a ``salt`` that cuts the rows of a hub source into many
+    keys, and the hubs ``(src, copies)``. A hub is a node with more than
+    1 / (share * parts) of all transitions, so there are ``share * parts`` of
+    them at most: the table is small whatever the graph's size."""
+    limit = max(1, -(-2 * n_edges // (share * parts)))
+    hubs = (trans.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+            .select("src", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("copies")))
+    salt = F.pmod(F.xxhash64("dst"), F.coalesce("copies", F.lit(1))).cast("int")
+    return trans.join(F.broadcast(hubs), "src", "left").withColumn("salt", salt).drop("copies"), hubs
+
+
+def copied(state: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Rows of ``state(src, ...)`` once per salt of their node."""
+    salts = F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)
+    return state.join(F.broadcast(hubs), "src", "left").withColumn("salt", F.explode(salts)).drop("copies")
+
+
 def _checkpoint(df: DataFrame, i: int = 1, every: int = 1) -> DataFrame:
     """Materialise one round of an iteration with a reliable checkpoint to
     the shared ``spark.checkpoint.dir``: it truncates both the logical plan
@@ -138,12 +161,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, max_iter:
     L1 change is below N * tol (tol=None: exactly ``max_iter`` rounds).
     Returns (node, pagerank, rounds)."""
     spark = nodes.sparkSession
-    # The transition table is hash-partitioned on ``src`` once and cached; the
-    # rank vector is kept hash-partitioned on ``node`` with the same partition
-    # count (checkpoints keep the partitioning), so the per-round join does
-    # not move the edges -- only the per-destination partial sums shuffle.
+    # The transition table is hash-partitioned on the source and its salt once
+    # and cached, so the per-round join does not move the edges -- only the
+    # rank vector (a hub once per salt) and the per-destination partial sums.
     parts = _partitions(spark)
-    trans = _transitions(edges).repartition(parts, "src").persist()
+    trans, hubs = split_hubs(_transitions(edges), edges.count(), parts)
+    hubs = _checkpoint(hubs)
+    trans = trans.repartition(parts, "src", "salt").persist()
     v = nodes.select("node").distinct().repartition(parts, "node").persist()
     n = v.count()
     if n == 0:
@@ -153,7 +177,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, max_iter:
     x = _checkpoint(v.select("node", F.lit(1.0 / n).alias("x")), 1, 0)
     rounds = 0
     for i in range(1, max_iter + 1):
-        contrib = (trans.join(x.withColumnRenamed("node", "src"), "src")
+        contrib = (trans.join(copied(x.withColumnRenamed("node", "src"), hubs), ["src", "salt"])
                    .groupBy("dst").agg(F.sum(F.col("p") * F.col("x")).alias("c")))
         # dangling mass as a scalar subquery: the generated code stays the
         # same every round (a changing literal would force a recompile)
@@ -199,46 +223,72 @@ def restart_vectors(seeds: DataFrame, edges: DataFrame, k: int = RESTART_NEIGHBO
 
 
 def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA,
-                          max_iter: int = MAX_ITER, tol: float = TOL, checkpoint_every: int = 1) -> DataFrame:
-    """G6 state for a table of seed films at once: (seed, node, x, converged).
-
-    The iteration starts from each seed's restart vector (not the uniform
-    vector): the fixed point is the same, but the state then only holds
-    nodes reachable from the seed and grows hop by hop through edge joins --
-    no seed x node product is ever materialised. All seeds advance together
-    until the largest per-seed L1 change is below N * tol (a seed that has
-    converged only moves closer to its fixed point). One checkpoint and one
-    scalar aggregate per round."""
-    # edges partitioned on ``src`` once; each round only the (seed, node)
-    # state is shuffled to meet them
-    trans = _transitions(edges).repartition(_partitions(nodes.sparkSession), "src").persist()
-    n = nodes.select("node").distinct().count()
-    pvec = restart_vectors(seeds, edges).persist()
-    has_out = trans.select(F.col("src").alias("node")).distinct()
-    dangling = nodes.select("node").distinct().join(has_out, "node", "left_anti").persist()
-    x = _checkpoint(pvec.select("seed", "node", F.col("p").alias("x")))
-    converged = False
-    for i in range(1, max_iter + 1):
-        contrib = (trans.join(x.withColumnRenamed("node", "src"), "src")
-                   .groupBy("seed", "dst").agg(F.sum(F.col("p") * F.col("x")).alias("c"))
-                   .withColumnRenamed("dst", "node"))
-        dm = x.join(dangling, "node").groupBy("seed").agg(F.sum("x").alias("dm"))
-        pa = pvec.join(dm, "seed", "left").select(
-            "seed", "node", (F.col("p") * (F.lit(alpha) * F.coalesce("dm", F.lit(0.0)) + F.lit(1.0 - alpha))).alias("c"))
-        new = (contrib.select("seed", "node", (F.col("c") * alpha).alias("c")).unionByName(pa)
-               .groupBy("seed", "node").agg(F.sum("c").alias("x")))
-        new = _checkpoint(new, i, checkpoint_every)
-        err = (new.select("seed", "node", "x").unionByName(x.select("seed", "node", (-F.col("x")).alias("x")))
-               .groupBy("seed", "node").agg(F.sum("x").alias("d"))
-               .groupBy("seed").agg(F.sum(F.abs("d")).alias("err"))
-               .agg(F.max("err")).collect()[0][0])
-        _release(x)
-        x = new
-        if err is not None and err < n * tol:
-            converged = True
+                          tol: float = TOL, max_rounds: int | None = None, width: int = PUSH_WIDTH,
+                          checkpoint_every: int = 4) -> DataFrame:
+    """G6 for a table of seed films at once, by local push: (seed, node, x).
+
+    Each seed has an estimate x and a residual r per node, at first r = its
+    restart vector. A round pushes every node with r >= slack * W (W the
+    node's weighted degree): (1 - alpha) r goes to its estimate and alpha r to
+    its neighbours' residuals. The loop ends when no node is left to push, so
+    ``0 <= x* - x <= slack * W`` at every node, with x* the exact solution and
+    slack = ``tol`` / mean weighted degree. A push at a node takes at least
+    (1 - alpha) * slack * W off a residual of 1 in total, so the degrees of all
+    pushed nodes add up to 1 / ((1 - alpha) slack) per seed, however large the
+    graph: rounds always end, and no other ranking has to stand in for a seed
+    that does not converge.
+
+    ``width`` seeds share a row per node (a column each), which is one lookup
+    in the join and the aggregate for all of them. Films without edges keep
+    all their mass. ``max_rounds`` stops earlier."""
+    from marquee.functions.agg import dense_ids
+    spark = nodes.sparkSession
+    parts = _partitions(spark)
+    wanted = _checkpoint(seeds.select("seed").distinct())
+    width = max(1, min(width, wanted.count()))
+    lanes = range(width)
+    ids = _checkpoint(dense_ids(wanted, "seed", "no").select(
+        "seed", F.floor(F.col("no") / width).cast("long").alias("block"), (F.col("no") % width).cast("int").alias("lane")))
+    pairs = edges.select("src", "dst", "weight")
+    degree = _checkpoint(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+                         .groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("wt")))
+    mean = degree.agg(F.sum("wt") / F.count(F.lit(1))).first()[0]
+    slack = tol / mean if mean else 0.0
+    trans = _transitions(edges).join(degree.select(F.col("node").alias("dst"), "wt"), "dst")
+    trans, hubs = split_hubs(trans, edges.count(), parts)
+    hubs = _checkpoint(hubs)
+    trans = trans.repartition(parts, "src", "salt").persist()
+    start = restart_vectors(ids.select("seed"), edges).join(ids, "seed")
+    state = (start.groupBy("block", "node").agg(*[F.sum(F.when(F.col("lane") == i, F.col("p")).otherwise(0.0)).alias(f"r{i}") for i in lanes])
+             .join(degree, "node", "left")
+             .select("block", "node", "wt", *[F.lit(0.0).alias(f"x{i}") for i in lanes], *[f"r{i}" for i in lanes]))
+    state = _checkpoint(state)
+    # the columns of a round, made once: null weights (no edges) are never due
+    due = [f"(r{i} > 0 AND r{i} >= {slack!r}D * wt)" for i in lanes]
+    any_due = " OR ".join(due)
+    front_cols = ["node AS src", "block", *[f"CASE WHEN {d} THEN r{i} * {alpha!r}D ELSE 0D END AS f{i}" for i, d in zip(lanes, due)]]
+    moved_cols = ["block", "dst AS node", "wt", *[f"0D AS x{i}" for i in lanes], *[f"p * f{i} AS r{i}" for i in lanes]]
+    kept_cols = ["block", "node", "wt", *[f"CASE WHEN {d} THEN x{i} + r{i} * {(1.0 - alpha)!r}D ELSE x{i} END AS x{i}" for i, d in zip(lanes, due)],
+                 *[f"CASE WHEN {d} THEN 0D ELSE r{i} END AS r{i}" for i, d in zip(lanes, due)]]
+    sums = [F.max("wt").alias("wt"), *[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "xr" for i in lanes]]
+    rounds, held = 0, []
+    while max_rounds is None or rounds < max_rounds:
+        if rounds % checkpoint_every == 0 and state.filter(any_due).isEmpty():
             break
-    _release(trans, pvec, dangling)
-    return x.withColumn("converged", F.lit(converged))
+        rounds += 1
+        moved = trans.join(copied(state.filter(any_due).selectExpr(*front_cols), hubs), ["src", "salt"]).selectExpr(*moved_cols)
+        state = state.selectExpr(*kept_cols).unionByName(moved).groupBy("block", "node").agg(*sums)
+        # rounds between two checkpoints are only cached; a round without a node to push changes nothing
+        state = _checkpoint(state, rounds, checkpoint_every)
+        held.append(state)
+        if rounds % checkpoint_every == 0:
+            _release(*held[:-1])
+            held = []
+    out = _checkpoint(state)
+    _release(trans, *held)
+    x = F.array(*[F.when(F.col("wt").isNull(), F.col(f"r{i}")).otherwise(F.col(f"x{i}")) for i in lanes])
+    return (out.select("block", "node", F.posexplode(x).alias("lane", "x")).filter(F.col("x") > 0)
+            .join(ids, ["block", "lane"]).select("seed", "node", "x"))
 
 
 def ppr_recommend(items_by_id: DataFrame, ppr: DataFrame, n: int = 12) -> DataFrame:
@@ -251,7 +301,8 @@ def ppr_recommend(items_by_id: DataFrame, ppr: DataFrame, n: int = 12) -> DataFr
          .select("seed", F.col("node").alias("id"), "title", "rating",
                  (F.col("x") * (1 + 0.2 * F.size(F.array_intersect("sg", "g")))).alias("raw")))
     s = s.withColumn("similarity", round_half_up("raw", 5))
-    return top_k(s, n, [F.col("raw").desc(), F.col("id").asc()], partition=["seed"]).drop("raw")
+    # ranked on ORDER_PLACES, so that films of equal surroundings tie whatever the order of the sums
+    return top_k(s, n, [round_half_up("raw", ORDER_PLACES).desc(), F.col("id").asc()], partition=["seed"]).drop("raw")
 
 
 # ---------------------------------------------------------------------------
@@ -375,7 +426,7 @@ def hybrid_graph(cn: DataFrame, ppr: DataFrame, comm: DataFrame, n: int = 12) ->
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     g = u.groupBy("seed", "id").agg(F.sum("s").alias("raw"))
     g = g.withColumn("similarity", round_half_up("raw", 3))
-    return top_k(g, n, [F.col("raw").desc(), F.col("id").asc()], partition=["seed"]).drop("raw")
+    return top_k(g, n, [round_half_up("raw", ORDER_PLACES).desc(), F.col("id").asc()], partition=["seed"]).drop("raw")
 
 
 def pagerank_recommend(items: DataFrame, pr: DataFrame, n: int = 20, genre: str | None = None) -> DataFrame:

@@ -112,13 +112,14 @@ def filmography(items: DataFrame, credits: DataFrame) -> DataFrame:
         "person", "item_id", "title", "rating", "is_director", "is_actor", "total")
 
 
-def collaborators(credits: DataFrame, seeds: DataFrame, persons_dir: DataFrame,
+def collaborators(credits: DataFrame, seeds: DataFrame | None, persons_dir: DataFrame,
                   n: int = COLLABORATORS) -> DataFrame:
-    """For each seed name, the others credited in its films (each film of
-    the seed once; a name in both lists of a film, or repeated, counts each
-    time), top ``n`` with profile."""
-    seed_films = (credits.join(seeds.select(F.col("name").alias("person")), "person", "left_semi")
-                  .select(F.col("person").alias("seed"), "ord").distinct())
+    """For each seed name (None: every credited name), the others credited
+    in its films (each film of the seed once; a name in both lists of a film,
+    or repeated, counts each time), top ``n`` with profile. Pairs arise within
+    one film's credits only and are counted before they are shuffled."""
+    asked = credits if seeds is None else credits.join(seeds.select(F.col("name").alias("person")), "person", "left_semi")
+    seed_films = asked.select(F.col("person").alias("seed"), "ord").distinct()
     others = credits.select("ord", F.col("person").alias("other"))
     pairs = seed_films.join(others, "ord").filter(F.col("other") != F.col("seed"))
     g = pairs.groupBy("seed", "other").agg(F.count(F.lit(1)).alias("n"))
@@ -171,10 +172,160 @@ def worklist(persons_dir: DataFrame, names: DataFrame) -> DataFrame:
     return names.join(done.select("name"), "name", "left_anti")
 
 
+#: Labels of the property list and the field each fills (fixed values of the page format), in order of their test.
+PROPERTY_LABELS = (("性别", "gender"), ("出生日期", "birth_date"), ("出生地", "birthplace"), ("职业", "profession"),
+                   ("英文名", "latin_name"), ("外文名", "latin_name"))
+#: Selectors of the picture, best first: a class on the image, or a part of its address.
+IMAGE_CLASS, IMAGE_SOURCES = "avatar", ("personage/m/public", "personage/s_ratio")
+IMAGE_SOURCES_LAST = ("celebrity/m/public", "personage")
+VOID = ("br", "img", "hr", "input", "meta", "link", "source")
+_TOKEN = r"(?s)<!--.*?-->|<[^>]*>|[^<]+"
+
+
+def _tag(token):
+    return F.lower(F.regexp_extract(token, r"^</?([A-Za-z0-9]+)", 1))
+
+
+def _attr(token, name: str):
+    return F.coalesce(F.nullif(F.regexp_extract(token, rf'\s{name}\s*=\s*"([^"]*)"', 1), F.lit("")),
+                      F.regexp_extract(token, rf"\s{name}\s*=\s*'([^']*)'", 1))
+
+
+def _has_class(token, name: str):
+    return F.array_contains(F.split(_attr(token, "class"), r"\s+"), name)
+
+
+def _opens(token):
+    return token.rlike("^<[A-Za-z]") & ~token.rlike("/>$") & ~_tag(token).isin(*VOID)
+
+
+def page_tokens(html):
+    """A page as an array of tags, comments and texts in order."""
+    return F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
+
+
+def _inside(tokens, starts, dropped=None):
+    """The tokens inside the first element whose opening tag satisfies
+    ``starts``: one fold over the page with the depth below that tag as state.
+    Elements whose opening tag satisfies ``dropped`` are left out."""
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("skip"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("held"))
+
+    def step(a, t):
+        depth, skip, done = a["depth"], a["skip"], a["done"]
+        close, opens = t.rlike("^</"), _opens(t)
+        begins = ~done & (depth == 0) & opens & starts(t)
+        deeper = F.when(begins, 1).when(done | (depth == 0), depth).when(opens, depth + 1).when(close, depth - 1).otherwise(depth)
+        ends = ~done & (depth > 0) & (deeper == 0)
+        cut = (dropped(t) & opens) if dropped is not None else F.lit(False)
+        below = F.when((skip == 0) & (depth > 0) & cut, depth + 1).when((skip > 0) & (deeper < skip), 0).otherwise(skip)
+        keep = ~done & (depth > 0) & ~ends & (skip == 0) & (below == 0)
+        return F.struct(deeper.alias("depth"), below.alias("skip"), (done | ends).alias("done"),
+                        F.when(keep, F.concat(a["held"], F.array(t))).otherwise(a["held"]).alias("held"))
+
+    return F.aggregate(tokens, state, step, lambda a: a["held"])
+
+
+def _text(tokens, joint: str = ""):
+    """The texts among the tokens, each stripped, joined."""
+    texts = F.transform(F.filter(tokens, lambda t: ~t.rlike("^<")), lambda t: ustrip(unescape(t)))
+    return F.array_join(F.filter(texts, lambda t: t != ""), joint)
+
+
+def unescape(text):
+    """The named character references that such pages use (fixed values of the format)."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"),
+                       ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def property_list(tokens):
+    """``array<struct<label, value>>`` of the items of ``.subject-property``: a fold
+    over the tokens inside it; an item ends with its ``</li>`` and counts if it
+    had a label and a value with text."""
+    inner = _inside(tokens, lambda t: _has_class(t, "subject-property"))
+    state = F.struct(F.lit("").alias("at"), F.lit(0).alias("depth"), F.lit("").alias("label"), F.lit("").alias("value"),
+                     F.array().cast("array<struct<label:string,value:string>>").alias("out"))
+
+    def step(a, t):
+        opens, close = _opens(t), t.rlike("^</")
+        item_ends = close & (_tag(t) == "li")
+        starts = F.when(opens & (a["at"] == "") & _has_class(t, "label") & (a["label"] == ""), F.lit("label")).when(
+            opens & (a["at"] == "") & _has_class(t, "value") & (a["value"] == ""), F.lit("value"))
+        depth = F.when(starts.isNotNull(), 1).when(a["at"] == "", 0).when(opens, a["depth"] + 1).when(close, a["depth"] - 1).otherwise(a["depth"])
+        at = F.when(item_ends, F.lit("")).when(starts.isNotNull(), starts).when(depth == 0, F.lit("")).otherwise(a["at"])
+        text = F.when(t.rlike("^<"), F.lit("")).otherwise(ustrip(unescape(t)))
+        label = F.when(a["at"] == "label", F.concat(a["label"], text)).otherwise(a["label"])
+        value = F.when(a["at"] == "value", F.concat(a["value"], text)).otherwise(a["value"])
+        full = item_ends & (label != "") & (value != "")
+        pair = F.array(F.struct(F.regexp_replace(label, "[:：]+$", "").alias("label"), value.alias("value")))
+        return F.struct(at.alias("at"), depth.alias("depth"), F.when(item_ends, F.lit("")).otherwise(label).alias("label"),
+                        F.when(item_ends, F.lit("")).otherwise(value).alias("value"),
+                        F.when(full, F.concat(a["out"], pair)).otherwise(a["out"]).alias("out"))
+
+    # a page without the closing tag still ends its last item
+    return F.aggregate(F.concat(inner, F.array(F.lit("</li>"))), state, step, lambda a: a["out"])
+
+
+def _property(props, field: str):
+    """The value of the last property whose label holds one of the field's
+    labels; a label goes to the first field that it fits."""
+    def field_of(label):
+        return F.coalesce(*[F.when(F.contains(label, F.lit(word)), F.lit(name)) for word, name in PROPERTY_LABELS])
+
+    hits = F.filter(props, lambda p: field_of(p["label"]) == field)
+    return F.try_element_at(hits, F.lit(-1))["value"]
+
+
+def page_image(tokens):
+    """The address of the picture by the selectors' order: an image of the class
+    inside ``.avatar-container``, of the class anywhere, by address, inside
+    ``.pic``, by address."""
+    def first(part, test):
+        return F.nullif(_attr(F.try_element_at(F.filter(part, lambda t: (_tag(t) == "img") & ~t.rlike("^</") & test(t)), F.lit(1)), "src"), F.lit(""))
+
+    def source(word):
+        return lambda t: F.contains(_attr(t, "src"), F.lit(word))
+
+    any_image = lambda t: F.lit(True)
+    of_class = lambda t: _has_class(t, IMAGE_CLASS)
+    return F.coalesce(first(_inside(tokens, lambda t: _has_class(t, "avatar-container")), of_class), first(tokens, of_class),
+                      *[first(tokens, source(w)) for w in IMAGE_SOURCES],
+                      first(_inside(tokens, lambda t: _has_class(t, "pic")), any_image),
+                      *[first(tokens, source(w)) for w in IMAGE_SOURCES_LAST])
+
+
+def page_description(tokens):
+    """``.desc``, else ``.bd`` inside ``#intro``, without links and buttons."""
+    drop = lambda t: _tag(t).isin("a", "button") | _has_class(t, "toggle-more")
+    desc = _inside(tokens, lambda t: _has_class(t, "desc"), drop)
+    intro = _inside(_inside(tokens, lambda t: _attr(t, "id") == "intro"), lambda t: _has_class(t, "bd"), drop)
+    return _text(F.when(F.size(desc) > 0, desc).otherwise(intro), " ")
+
+
+def person_pages(pages: DataFrame) -> DataFrame:
+    """The fields of person pages by selectors: heading split into name and
+    Latin name, picture, the property list's fields, description. Tags are
+    tokens of one array per page, and each selector is a fold over it."""
+    t = pages.select("page_id", "url", page_tokens(F.coalesce("html", F.lit(""))).alias("_t"))
+    tokens = F.col("_t")
+    h1 = _text(_inside(tokens, lambda x: _tag(x) == "h1"))
+    t = t.select("page_id", "url", h1.alias("_h1"), property_list(tokens).alias("_p"), page_image(tokens).alias("_img"),
+                 page_description(tokens).alias("_d"))
+    name, latin = split_cjk_latin("_h1")
+    props = F.col("_p")
+    return t.select("page_id", "url", name.alias("name"),
+                    F.coalesce(_property(props, "latin_name"), F.nullif(latin, F.lit("")), F.lit("")).alias("name_en"),
+                    F.coalesce(normalize_image_url("_img"), F.lit("")).alias("avatar_url"),
+                    *[F.coalesce(_property(props, f), F.lit("")).alias(f) for f in ("gender", "birth_date", "birthplace", "profession")],
+                    bio_trim("_d").alias("biography"))
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """Fields of person pages with native regex extraction: heading
-    split into name / Latin name, image URL normalised to the large size,
-    description trimmed, file extension of the picture."""
+    """E3 on any web page, by regular expressions: heading split into name /
+    Latin name, first image's URL normalised to the large size, first
+    paragraph trimmed, file extension of the picture. ``person_pages`` reads
+    the property list and the selectors of person pages."""
     h = F.regexp_replace(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", "")
     title = F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)
     img = F.regexp_extract("html", r"<img[^>]*src=\"([^\"]+)\"", 1)

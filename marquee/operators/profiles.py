@@ -8,8 +8,9 @@ catalogue's own limits (newest 100 films per signal, 30 liked directors /
 actors), applied by ``row_number`` before any join.
 
 The pairwise channels (ALS, graph, content) are computed for the users of a
-``users`` table from their top seeds; their cost is (users x seeds x the
-seed's neighbourhood), never all film pairs.
+``users`` table from their top seeds. As channels they list every film with a
+score; ``recommend.hybrid_for_users`` merges them for many users without
+listing them.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ GRAPH_MIX = {"ppr": 0.45, "cn": 0.35, "community": 0.20}
 GRAPH_PER_CHANNEL = 20
 PAGERANK_POOL, PAGERANK_BONUS = 100, 0.10
 HYBRID_TOP = 24
+SIMILAR_MIN, SIMILAR_PPR = 0.15, 0.8
 COLD_MIN_RATING = 7.0
 
 
@@ -164,7 +166,8 @@ def profile_decades(weights: DataFrame, info: DataFrame, n: int = 5) -> DataFram
 # ---------------------------------------------------------------------------
 # H6-H11 channels and fusion (for a users table)
 # ---------------------------------------------------------------------------
-def _seeds(weights: DataFrame, n: int) -> DataFrame:
+def top_seeds(weights: DataFrame, n: int) -> DataFrame:
+    """The ``n`` films of greatest weight of each user, which the pairwise channels start from."""
     t = top_k(weights, n, [F.col("weight").desc(), F.col("item_id").asc()], partition=["user_id"])
     return t.select("user_id", F.col("item_id").alias("seed"), "weight")
 
@@ -186,13 +189,13 @@ def channel_genre(genre_prefs: DataFrame, info: DataFrame) -> DataFrame:
         F.col("s") > 0)
 
 
-def channel_content(weights: DataFrame, items: DataFrame) -> DataFrame:
+def channel_content(weights: DataFrame, items: DataFrame, vec: DataFrame | None = None) -> DataFrame:
     """H8: sum of similarity x seed weight over similarities > 0.15 (the
     seed itself included), normalised by the user's maximum."""
     from marquee.operators import content as CT
-    seeds = _seeds(weights, CONTENT_SEEDS)
+    seeds = top_seeds(weights, CONTENT_SEEDS)
     docs = CT.content_text(items)
-    vec = CT.tfidf(docs)
+    vec = CT.tfidf(docs) if vec is None else vec
     last = items.groupBy("id").agg(F.max("ord").alias("doc"))
     sd = seeds.join(last.withColumnRenamed("id", "seed"), "seed")
     sims = CT.cosine_for_targets(vec, sd.select("doc").distinct())
@@ -208,7 +211,7 @@ def channel_als(weights: DataFrame, item_factors: DataFrame) -> DataFrame:
     """H6: ALS item-factor cosine from the user's 15 top seeds (sims > 0.1,
     seed excluded), weighted, normalised."""
     from marquee.operators import als as AL
-    seeds = _seeds(weights, ALS_SEEDS)
+    seeds = top_seeds(weights, ALS_SEEDS)
     sims = AL.factor_cosine(item_factors, seeds.select("seed").distinct(), min_sim=ALS_SIM_MIN)
     s = (seeds.join(sims, "seed").filter(F.col("sim") > ALS_SIM_MIN)
          .groupBy("user_id", F.col("item_id")).agg(F.sum(F.col("sim") * F.col("weight")).alias("s")))
@@ -217,12 +220,14 @@ def channel_als(weights: DataFrame, item_factors: DataFrame) -> DataFrame:
 
 def channel_graph(weights: DataFrame, genre_prefs: DataFrame, items: DataFrame, items_by_id: DataFrame,
                   nodes: DataFrame, edges: DataFrame, global_pr: DataFrame) -> DataFrame:
-    """H7: for the 10 top seeds: 0.45 PPR + 0.35 CN + 0.20 community / 10
+    """H7 for every user of ``weights``: for the 10 top seeds: 0.45 PPR + 0.35 CN + 0.20 community / 10
     (each top 20, x seed weight), plus 0.10 x 100 x PageRank for the global
     top-100 PageRank films sharing one of the user's top 3 genres; normalised."""
     from marquee.operators import graph as G
-    seeds = _seeds(weights, GRAPH_SEEDS)
-    distinct = seeds.select("seed").distinct()
+    from marquee.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(weights.sparkSession)
+    seeds = top_seeds(weights, GRAPH_SEEDS).checkpoint()  # written once: the loops below start from it
+    distinct = seeds.select("seed").distinct().checkpoint()
     ppr = G.ppr_recommend(items_by_id, G.personalized_pagerank(nodes, edges, distinct), GRAPH_PER_CHANNEL)
     cn = G.common_neighbors(items_by_id, edges, distinct, GRAPH_PER_CHANNEL)
     cm = G.community_recommend(items_by_id, edges, G.community_assign(items_by_id), distinct, GRAPH_PER_CHANNEL)
@@ -285,3 +290,15 @@ def cold_users(users: DataFrame, profile: DataFrame) -> DataFrame:
     do not count)."""
     return profile.filter(F.col("total_interactions") == 0).select("user_id").join(
         users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+
+
+def similar_for_movie(als: DataFrame, ppr: DataFrame, items_by_id: DataFrame, n: int = 12) -> DataFrame:
+    """Of the factor similarities ``als(seed, item_id, sim)`` above 0.15
+    and 0.8 x the personalised PageRank lists ``ppr(seed, id, similarity)`` the
+    better score of each film of the catalogue, the ``n`` best of each seed."""
+    a = als.filter(F.col("sim") > SIMILAR_MIN).select("seed", F.col("item_id").alias("id"), F.col("sim").alias("score"))
+    p = ppr.select("seed", "id", (F.col("similarity") * SIMILAR_PPR).alias("score"))
+    u = a.unionByName(p).join(items_by_id.select("id").distinct(), "id", "left_semi")
+    g = u.filter(F.col("id") != F.col("seed")).groupBy("seed", "id").agg(F.max("score").alias("score"))
+    t = top_k(g, n, [F.col("score").desc(), F.col("id").asc()], partition=["seed"])
+    return t.select("seed", "rk", "id", round_half_up("score", 4).alias("score"))

@@ -50,7 +50,9 @@ def autocomplete(items: DataFrame, q: str) -> DataFrame:
 def search_persons(items: DataFrame, credits: DataFrame, persons_dir: DataFrame, q: str,
                    films: int = PERSON_FILMS) -> DataFrame:
     """Q3: names whose directory name / English name or film credit contains
-    ``q``; each with its best ``films`` film ids and total films."""
+    ``q``; each with its profile, its best ``films`` film ids and total films,
+    most films first (ties by name)."""
+    from marquee.operators.persons import directory_by_name
     ql = q.lower()
     dir_hits = persons_dir.filter(icontains("name", ql) | icontains("name_en", ql)).select("name")
     credit_hits = credits.filter(icontains("person", ql)).select(F.col("person").alias("name"))
@@ -65,9 +67,12 @@ def search_persons(items: DataFrame, credits: DataFrame, persons_dir: DataFrame,
     per = ranked.groupBy("name", "total_movies").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frk", "item_id"))),
                                  lambda s: s["item_id"]), ",").alias("top_films"))
-    out = names.join(per, "name", "left")
-    return out.select("name", F.coalesce("total_movies", F.lit(0)).cast("bigint").alias("total_movies"),
-                      F.coalesce("top_films", F.lit("")).alias("top_films"))
+    profile = directory_by_name(persons_dir).select("name", "avatar_local_path", "name_en", "profession")
+    out = names.join(per, "name", "left").join(profile, "name", "left")
+    return out.select("name", F.coalesce("avatar_local_path", F.lit("")).alias("avatar"), F.coalesce("name_en", F.lit("")).alias("name_en"),
+                      F.coalesce("profession", F.lit("")).alias("profession"),
+                      F.coalesce("total_movies", F.lit(0)).cast("bigint").alias("total_movies"),
+                      F.coalesce("top_films", F.lit("")).alias("top_films")).orderBy(F.col("total_movies").desc(), F.col("name").asc())
 
 
 def _grams(text_col, max_n: int = 3):

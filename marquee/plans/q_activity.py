@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquee.operators import activity as A
-from marquee.plans import q_graph  # noqa: F401  (seed view)
+from marquee.plans import q_content, q_graph  # noqa: F401  (views)
 from marquee.plans.registry import register
-from marquee.plans.sqlviews import rhu, with_views
+from marquee.plans.sqlviews import rhu, view, with_views
 
 
 @register("ratings_current", with_views("SELECT user_id, item_id, score, created_at, updated_at FROM ratings"))
@@ -16,11 +16,73 @@ def q_ratings_current(cat):
     return A.ratings_current(cat.activity)
 
 
-@register("apply_deletes", with_views("SELECT user_id, item_id, score, ts FROM rate_live"))
+def _log_part(entity, op, record, ts, src, k1, k2="0", user="NULL", review="NULL", actor="NULL", value="NULL", source=""):
+    return f"""
+SELECT '{entity}' AS entity, '{op}' AS op, CAST({record} AS VARCHAR) AS record, CAST({user} AS BIGINT) AS user_id,
+  CAST({review} AS BIGINT) AS review_id, CAST({actor} AS BIGINT) AS actor, CAST({value} AS VARCHAR) AS value,
+  {{'ts': CAST({ts} AS TIMESTAMP), 'src': CAST({src} AS INTEGER), 'k1': CAST({k1} AS BIGINT), 'k2': CAST({k2} AS BIGINT)}} AS o
+FROM {source}"""
+
+
+_K = """regexp_extract(e.props, '"k": ([0-9]+)', 1)"""
+_FILM = "a.user_id || ':' || a.item_id"
+view("alog", "\nUNION ALL".join([
+    _log_part("user", "put", "u.id", "'1970-01-01'", -1, 0, user="u.id", value="u.username", source="users u"),
+    _log_part("user", "put", "e.user_id", "e.ts", 1, "e.event_id", user="e.user_id", value="u.username",
+              source="events e JOIN users u ON u.id = e.user_id WHERE e.event_type = 'signup'"),
+    _log_part("user", "delete", _K, "e.ts", 1, "e.event_id", actor="e.user_id",
+              source=f"events e WHERE e.event_type = 'signup' AND {_K} <> ''"),
+    *[_log_part(entity, op, _FILM, "a.ts", "a.src", "a.k1", "a.k2", user="a.user_id", value="a.score",
+                source=f"activity a WHERE a.kind = '{kind}'")
+      for kind, entity, op in (("rate", "rating", "put"), ("like", "like", "toggle"), ("favorite", "favorite", "toggle"), ("view", "history", "put"))],
+    *[_log_part(entity, "delete", _FILM, "a.ts", "a.src", "a.k1", "a.k2", actor="a.user_id", source="activity a WHERE a.kind = 'unrate'")
+      for entity in ("rating", "history")],
+    _log_part("review", "put", "r.id", "r.created_at", 2, "r.id", user="r.user_id", value="r.movie_id", source="reviews r"),
+    _log_part("reply", "put", "p.id", "p.created_at", 2, "p.id", user="p.user_id", review="p.review_id", source="review_replies p"),
+    _log_part("review", "delete", "r.id", "a.ts", 1, "a.k1", actor="a.user_id",
+              source="reviews r JOIN activity a ON a.kind = 'unrate' AND a.item_id = r.movie_id"),
+    _log_part("reply", "delete", "p.id", "a.ts", 1, "a.k1", actor="a.user_id",
+              source="review_replies p JOIN reviews r ON r.id = p.review_id JOIN activity a ON a.kind = 'unrate' AND a.item_id = r.movie_id"),
+    _log_part("review_like", "toggle", "l.user_id || ':' || l.review_id", "l.ts", 2, "l.seq", user="l.user_id", review="l.review_id",
+              source="review_like_log l"),
+    _log_part("liked_person", "toggle", "l.user_id || ':' || l.person_name", "l.ts", 3, "l.seq", user="l.user_id", value="l.person_type",
+              source="person_like_log l"),
+]))
+_ADMIN = "d.actor IN (SELECT id FROM users WHERE role = 'admin')"
+_DELETE_RULES = {"user": f"{_ADMIN} AND CAST(d.actor AS VARCHAR) <> d.record", "rating": "d.actor = w.owner", "history": "d.actor = w.owner",
+                 "review": f"(d.actor = w.owner OR {_ADMIN})", "reply": "d.actor = w.owner"}
+_CHILDREN = {"user": (), "rating": ("user",), "review": ("user",), "like": ("user",), "favorite": ("user",), "history": ("user",),
+             "liked_person": ("user",), "review_like": ("user", "review"), "reply": ("user", "review")}
+for _e, _parents in _CHILDREN.items():
+    _joins = "".join(f" JOIN alive_{p} l{p} ON l{p}.record = CAST(a.{p}_id AS VARCHAR) AND a.o > l{p}.since" for p in _parents)
+    view(f"offered_{_e}", f"SELECT a.* FROM alog a{_joins} WHERE a.entity = '{_e}' AND a.op <> 'delete'")
+    if _e in _DELETE_RULES:
+        view(f"living_{_e}", f"""
+SELECT a.* FROM offered_{_e} a LEFT JOIN (
+  SELECT d.record, max(d.o) AS death FROM alog d
+  JOIN (SELECT record, arg_min(user_id, o) AS owner FROM offered_{_e} GROUP BY record) w ON w.record = d.record
+  WHERE d.entity = '{_e}' AND d.op = 'delete' AND {_DELETE_RULES[_e]} GROUP BY d.record) x ON x.record = a.record
+WHERE x.death IS NULL OR a.o > x.death""")
+    else:
+        view(f"living_{_e}", f"SELECT * FROM offered_{_e}")
+    view(f"alive_{_e}", f"SELECT record, min(o) AS since FROM living_{_e} GROUP BY record")
+APPLY_DELETES = with_views("UNION ALL".join(f"""
+SELECT entity, record, arg_max(user_id, o) AS user_id, arg_max(review_id, o) AS review_id, arg_max(value, o) AS value,
+  (min(o)).ts AS since, (max(o)).ts AS last
+FROM living_{e} GROUP BY entity, record{" HAVING count(*) % 2 = 1" if e in ("like", "favorite", "liked_person", "review_like") else ""}
+""" for e in _CHILDREN))
+
+
+def _admins(cat):
+    return cat.users.filter(F.col("role") == "admin").select(F.col("id").alias("actor"))
+
+
+@register("apply_deletes", APPLY_DELETES)
 def q_apply_deletes(cat):
-    """Rating writes that survive the last deletion of their key."""
-    return A.apply_tombstones(cat.activity, ["user_id", "item_id"], "rate", "unrate").select(
-        "user_id", "item_id", "score", "ts")
+    """The living records of all nine tables after every insertion and
+    deletion of the log: owners and admins delete, children go with their parents."""
+    from marquee.operators import deletes as D
+    return D.surviving(cat.application_log, _admins(cat))
 
 
 @register("likes_current", with_views("SELECT user_id, item_id, created_at FROM likes"))
@@ -54,19 +116,35 @@ def q_history_current(cat):
     return A.history_current(cat.activity)
 
 
-@register("cascade_deletes", with_views("""
-SELECT p.id, p.review_id, p.user_id FROM review_replies p
-WHERE p.review_id IN (SELECT r.id FROM reviews r WHERE r.user_id IN (SELECT id FROM users WHERE is_active))
-  AND p.user_id IN (SELECT id FROM users WHERE is_active)
-"""))
+_CASCADE = {"rating": ("ratings", "t.user_id || ':' || t.item_id", ("user_id",)), "like": ("likes", "t.user_id || ':' || t.item_id", ("user_id",)),
+            "favorite": ("favorites", "t.user_id || ':' || t.item_id", ("user_id",)),
+            "history": ("history", "t.user_id || ':' || t.item_id", ("user_id",)),
+            "liked_person": ("liked_persons", "t.user_id || ':' || t.person_name", ("user_id",)),
+            "review": ("reviews", "t.id", ("user_id",)), "review_like": ("review_likes", "t.user_id || ':' || t.review_id", ("user_id", "review_id")),
+            "reply": ("review_replies", "t.id", ("user_id", "review_id"))}
+_KEPT = {"user_id": "t.user_id IN (SELECT id FROM users WHERE is_active)",
+         "review_id": "t.review_id IN (SELECT r.id FROM reviews r WHERE r.user_id IN (SELECT id FROM users WHERE is_active))"}
+
+
+@register("cascade_deletes", with_views("UNION ALL".join(f"""
+SELECT '{e}' AS entity, CAST({record} AS VARCHAR) AS record FROM {table} t WHERE {" AND ".join(_KEPT[k] for k in keys)}
+""" for e, (table, record, keys) in _CASCADE.items())))
 def q_cascade_deletes(cat):
-    """U8: deleting inactive users cascades to their reviews and replies,
-    and deleting a review cascades to its replies (parents first)."""
-    live_users = cat.users.filter(F.col("is_active"))
-    reviews = A.cascade_deletes(cat.reviews, live_users, "user_id")
-    replies = A.cascade_deletes(cat.review_replies, live_users, "user_id")
-    replies = A.cascade_deletes(replies, reviews, "review_id")
-    return replies.select("id", "review_id", "user_id")
+    """U8: deleting inactive users takes their rows in all eight child tables,
+    and a deleted review its likes and replies (parents first)."""
+    live = cat.users.filter(F.col("is_active"))
+    reviews = A.cascade_deletes(cat.reviews, live, "user_id")
+    tables = {"rating": cat.ratings, "like": cat.likes, "favorite": cat.favorites, "history": cat.history,
+              "liked_person": cat.liked_persons, "review": cat.reviews, "review_like": cat.review_likes, "reply": cat.review_replies}
+    out = None
+    for entity, df in tables.items():
+        kept = A.cascade_deletes(df, live, "user_id")
+        if "review_id" in df.columns:
+            kept = A.cascade_deletes(kept, reviews, "review_id")
+        key = ["id"] if "id" in df.columns else ["user_id", next(c for c in ("review_id", "item_id", "person_name") if c in df.columns)]
+        part = kept.select(F.lit(entity).alias("entity"), F.concat_ws(":", *[F.col(c).cast("string") for c in key]).alias("record"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("users_current", with_views("""
@@ -86,37 +164,59 @@ def q_users_current(cat):
     return A.users_current(cat.users, upd).select("id", "email", "username", "role", "is_active")
 
 
-@register("constraint_violations", with_views("""
-SELECT 'rating' AS entity, CAST(user_id AS VARCHAR) || ':' || item_id AS record_id, 'score_out_of_range' AS reason
-FROM activity WHERE kind = 'rate' AND (score IS NULL OR score < 1 OR score > 10)
-UNION ALL
-SELECT 'rating', CAST(user_id AS VARCHAR) || ':' || item_id, 'unknown_user'
-FROM activity WHERE kind = 'rate' AND user_id NOT IN (SELECT id FROM users)
-UNION ALL
-SELECT 'review', CAST(id AS VARCHAR),
-  CASE WHEN length(regexp_replace(coalesce(content, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) < 2
-       THEN 'review_too_short' ELSE 'review_too_long' END
-FROM reviews WHERE length(regexp_replace(coalesce(content, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) NOT BETWEEN 2 AND 500
-UNION ALL
-SELECT 'reply', CAST(id AS VARCHAR), 'reply_empty' FROM review_replies
-WHERE length(regexp_replace(coalesce(content, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) < 1
-UNION ALL
-SELECT 'user', CAST(id AS VARCHAR), 'username_length' FROM users
-WHERE username IS NULL OR length(username) < 2 OR length(username) > 20
-UNION ALL
-SELECT 'user', CAST(u.id AS VARCHAR), 'username_taken' FROM users u
-JOIN (SELECT username, min(id) AS keep FROM users GROUP BY username) k ON k.username = u.username
-WHERE u.id <> k.keep
-UNION ALL
-SELECT 'user', CAST(id AS VARCHAR), 'role_domain' FROM users WHERE coalesce(role, '') NOT IN ('user', 'admin')
-UNION ALL
-SELECT 'liked_person', CAST(user_id AS VARCHAR) || ':' || person_name, 'person_type_domain'
-FROM person_like_log WHERE coalesce(person_type, '') NOT IN ('director', 'actor')
-"""))
+_STRIPPED = "length(regexp_replace(coalesce(content, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))"
+
+
+def _twice(entity, table, keys, reason):
+    record = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"""
+SELECT '{entity}', {record}, '{reason}' FROM (SELECT *, row_number() OVER (PARTITION BY {", ".join(keys)}) AS n FROM {table}) WHERE n > 1"""
+
+
+def _orphan(entity, table, keys, column, parent, reason):
+    record = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"""
+SELECT '{entity}', {record}, '{reason}' FROM {table} WHERE {column} NOT IN (SELECT id FROM {parent})"""
+
+
+_UI, _UR, _UP = ("user_id", "item_id"), ("user_id", "review_id"), ("user_id", "person_name")
+_LOGGED = {k: f"(SELECT * FROM activity WHERE kind = '{k}')" for k in ("rate", "like", "favorite", "view")}
+
+
+@register("constraint_violations", with_views(f"""
+SELECT 'user' AS entity, CAST(id AS VARCHAR) AS record_id, 'username_too_short' AS reason FROM users WHERE length(coalesce(username, '')) < 2
+UNION ALL SELECT 'user', CAST(id AS VARCHAR), 'username_too_long' FROM users WHERE length(username) > 20
+UNION ALL SELECT 'user', CAST(id AS VARCHAR), 'username_taken' FROM users u
+  WHERE EXISTS (SELECT 1 FROM users o WHERE o.username = u.username AND o.id < u.id)
+UNION ALL SELECT 'user', CAST(id AS VARCHAR), 'role_domain' FROM users WHERE coalesce(role, '') NOT IN ('user', 'admin')
+UNION ALL SELECT 'rating', CAST(user_id AS VARCHAR) || ':' || item_id, 'score_out_of_range' FROM {_LOGGED["rate"]}
+  WHERE score IS NULL OR score NOT BETWEEN 1 AND 10
+UNION ALL SELECT 'review', CAST(id AS VARCHAR), 'review_too_short' FROM reviews WHERE {_STRIPPED} < 2
+UNION ALL SELECT 'review', CAST(id AS VARCHAR), 'review_too_long' FROM reviews WHERE {_STRIPPED} > 500
+UNION ALL SELECT 'reply', CAST(id AS VARCHAR), 'reply_empty' FROM review_replies WHERE {_STRIPPED} < 1
+UNION ALL SELECT 'liked_person', CAST(user_id AS VARCHAR) || ':' || person_name, 'person_type_domain'
+  FROM person_like_log WHERE coalesce(person_type, '') NOT IN ('director', 'actor')
+UNION ALL """ + " UNION ALL ".join([
+    _twice("rating", _LOGGED["rate"], _UI, "rated_twice"), _twice("like", _LOGGED["like"], _UI, "liked_twice"),
+    _twice("favorite", _LOGGED["favorite"], _UI, "favorited_twice"), _twice("review_like", "review_like_log", _UR, "liked_twice"),
+    _twice("liked_person", "person_like_log", _UP, "liked_twice"),
+    *[_orphan(e, _LOGGED[k], _UI, "user_id", "users", "unknown_user")
+      for e, k in (("rating", "rate"), ("like", "like"), ("favorite", "favorite"), ("history", "view"))],
+    _orphan("review", "reviews", ("id",), "user_id", "users", "unknown_user"),
+    _orphan("review_like", "review_like_log", _UR, "user_id", "users", "unknown_user"),
+    _orphan("review_like", "review_like_log", _UR, "review_id", "reviews", "unknown_review"),
+    _orphan("reply", "review_replies", ("id",), "user_id", "users", "unknown_user"),
+    _orphan("reply", "review_replies", ("id",), "review_id", "reviews", "unknown_review"),
+    _orphan("liked_person", "person_like_log", _UP, "user_id", "users", "unknown_user"),
+])))
 def q_constraint_violations(cat):
-    """U10."""
-    return A.constraint_violations(cat.activity, cat.reviews, cat.review_replies, cat.users,
-                                   cat.person_like_log)
+    """Every rule on the tables as logged, so a second rating, like or
+    favourite of a film is what the unique keys reject."""
+    from marquee.operators import constraints as CN
+    of = lambda kind: cat.activity.filter(F.col("kind") == kind)
+    return CN.violations({
+        "user": cat.users, "rating": of("rate"), "review": cat.reviews, "like": of("like"), "favorite": of("favorite"),
+        "history": of("view"), "review_like": cat.review_like_log, "reply": cat.review_replies, "liked_person": cat.person_like_log})
 
 
 @register("movie_avg_rating", with_views(f"""
@@ -276,23 +376,26 @@ def q_review_replies(cat):
 
 
 @register("review_thread", with_views(f"""
-SELECT r.id AS review_id, r.movie_id, r.user_id, u.username,
-  coalesce(l.like_count, 0) AS like_count, coalesce(p.reply_count, 0) AS reply_count,
-  p.first_reply_id, p.last_reply_id, m.score AS author_score,
-  coalesce(f.avg_score, 0.0) AS film_avg_score, coalesce(f.n_ratings, 0) AS film_n_ratings
-FROM reviews r
-LEFT JOIN users u ON u.id = r.user_id
-LEFT JOIN (SELECT review_id, count(*) AS like_count FROM review_likes GROUP BY review_id) l ON l.review_id = r.id
-LEFT JOIN (SELECT review_id, count(*) AS reply_count,
-                  arg_min(id, {{'ts': created_at, 'id': id}}) AS first_reply_id,
-                  arg_max(id, {{'ts': created_at, 'id': id}}) AS last_reply_id
-           FROM review_replies GROUP BY review_id) p ON p.review_id = r.id
-LEFT JOIN (SELECT item_id, {rhu("avg(score)", 1)} AS avg_score, count(*) AS n_ratings FROM ratings GROUP BY item_id) f
-  ON f.item_id = r.movie_id
-LEFT JOIN ratings m ON m.user_id = r.user_id AND m.item_id = r.movie_id
-"""))
+SELECT p.movie_id, 'film' AS part, CAST(NULL AS BIGINT) AS review_id, CAST(NULL AS BIGINT) AS reply_id, CAST(NULL AS BIGINT) AS user_id,
+  CAST(NULL AS VARCHAR) AS username, CAST(NULL AS VARCHAR) AS content, CAST(NULL AS TIMESTAMP) AS created_at,
+  coalesce(s.n, 0) AS number, coalesce(s.a, 0.0) AS score
+FROM (SELECT DISTINCT movie_id FROM rtop) p
+LEFT JOIN (SELECT item_id, count(*) AS n, {rhu("avg(score)", 1)} AS a FROM ratings GROUP BY item_id) s ON s.item_id = p.movie_id
+UNION ALL
+SELECT r.movie_id, 'review', r.id, NULL, r.user_id, u.username, r.content, r.created_at,
+  (SELECT count(*) FROM review_likes l WHERE l.review_id = r.id), NULL
+FROM rtop r JOIN users u ON u.id = r.user_id
+UNION ALL
+SELECT r.movie_id, 'reply', p.review_id, p.id, p.user_id, u.username, p.content, p.created_at, NULL, NULL
+FROM review_replies p JOIN rtop r ON r.id = p.review_id JOIN users u ON u.id = p.user_id
+UNION ALL
+SELECT r.movie_id, 'liked', l.review_id, NULL, l.user_id, NULL, NULL, NULL, NULL, NULL FROM review_likes l JOIN rtop r ON r.id = l.review_id
+UNION ALL
+SELECT m.item_id, 'score', NULL, NULL, m.user_id, NULL, NULL, NULL, NULL, CAST(m.score AS DOUBLE)
+FROM ratings m WHERE m.item_id IN (SELECT movie_id FROM rtop)
+""", {"rtop": "SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY movie_id ORDER BY created_at DESC, id DESC) <= 20"}))
 def q_review_thread(cat):
-    """J3."""
+    """The threads of all films, line by line."""
     return A.review_thread(cat.reviews, cat.review_replies, cat.review_likes, cat.ratings, cat.users)
 
 
@@ -353,35 +456,65 @@ _LISTS = (("rating", "ratings", "item_id", "updated_at", "item_id", "score", "tr
 
 
 @register("profile_lists", with_views("""
-SELECT l.user_id, l.list, l.rk, l.key, l.score, coalesce(i.title, '') AS title, coalesce(i.rating, 0.0) AS rating
+SELECT l.user_id, l.list, l.rk, l.key, l.score,
+  CASE WHEN l.list IN ('director', 'actor') THEN '' ELSE coalesce(i.title, '未知电影') END AS title, coalesce(i.rating, 0.0) AS rating,
+  coalesce(i.genre_raw, '') AS genre, coalesce(i.poster_local_path, '') AS poster,
+  coalesce(d.name_en, '') AS name_en, coalesce(d.profession, '') AS profession, coalesce(d.avatar_local_path, '') AS avatar
 FROM (""" + " UNION ALL ".join(f"""
   SELECT user_id, '{name}' AS list, {key} AS key, CAST({score} AS INTEGER) AS score,
     row_number() OVER (PARTITION BY user_id ORDER BY {ts} DESC, {tie} DESC) AS rk
-  FROM {table} WHERE {where} QUALIFY rk <= 50""" for name, table, key, ts, tie, score, where in _LISTS) + """
+  FROM {table} WHERE {where} QUALIFY rk <= 50""" for name, table, key, ts, tie, score, where in _LISTS) + f"""
 ) l LEFT JOIN items_by_id i ON i.id = l.key AND l.list NOT IN ('director', 'actor')
+LEFT JOIN persons_by_name d ON d.name = l.key AND l.list IN ('director', 'actor')
+UNION ALL
+SELECT u.id, 'stats', s.rk, s.key, CAST(CASE s.rk WHEN 1 THEN (SELECT count(*) FROM ratings x WHERE x.user_id = u.id)
+    WHEN 2 THEN (SELECT count(*) FROM reviews x WHERE x.user_id = u.id) WHEN 3 THEN (SELECT count(*) FROM likes x WHERE x.user_id = u.id)
+    ELSE (SELECT count(*) FROM favorites x WHERE x.user_id = u.id) END AS INTEGER), '',
+  CASE WHEN s.rk = 1 THEN coalesce((SELECT {rhu("avg(x.score)", 1)} FROM ratings x WHERE x.user_id = u.id), 0.0) ELSE 0.0 END, '', '', '', '', ''
+FROM users u, (VALUES (1, 'rating_count'), (2, 'review_count'), (3, 'like_count'), (4, 'favorite_count')) s(rk, key)
 """))
 def q_profile_lists(cat):
-    """The seven lists of every user's page in long form, newest 50 each, films with title and rating."""
-    return A.profile_lists(cat.ratings, cat.reviews, cat.likes, cat.favorites, cat.history, cat.liked_persons, cat.items_by_id)
+    """Every user's page in long form: seven lists of the newest 50 with films and profiles, and the statistics."""
+    return A.profile_lists(cat.users, cat.ratings, cat.reviews, cat.likes, cat.favorites, cat.history, cat.liked_persons, cat.items_by_id,
+                           cat.persons)
+
+
+view("visit", "SELECT h.user_id, h.item_id, h.viewed_at AS ts FROM history h JOIN users u ON u.id = h.user_id AND u.role = 'admin'"
+              " JOIN items_by_id i ON i.id = h.item_id")
 
 
 @register("item_detail", with_views(f"""
-SELECT i.id, i.title, i.rating, coalesce(s.avg_score, 0.0) AS avg_score, coalesce(s.n_ratings, 0) AS n_ratings,
-  (SELECT count(*) FROM reviews r WHERE r.movie_id = i.id) AS n_reviews
-FROM items_by_id i
-JOIN seedf f ON f.seed = i.id
-LEFT JOIN (SELECT item_id, {rhu("avg(score)", 1)} AS avg_score, count(*) AS n_ratings FROM ratings GROUP BY item_id) s
-  ON s.item_id = i.id
+SELECT v.user_id, v.item_id, 'card' AS part, 0 AS rk, '' AS key, i.title AS text, i.rating AS score, CAST(NULL AS BIGINT) AS number
+FROM visit v JOIN items_by_id i ON i.id = v.item_id
+UNION ALL
+SELECT v.user_id, v.item_id, 'stats', 0, '', '', coalesce(s.a, 0.0), coalesce(s.n, 0)
+FROM visit v LEFT JOIN (SELECT item_id, count(*) AS n, {rhu("avg(score)", 1)} AS a FROM ratings GROUP BY item_id) s ON s.item_id = v.item_id
+UNION ALL
+SELECT v.user_id, v.item_id, 'flags', 0, '', '', CAST(r.score AS DOUBLE),
+  CASE WHEN l.user_id IS NULL THEN 0 ELSE 1 END + CASE WHEN f.user_id IS NULL THEN 0 ELSE 2 END
+FROM visit v LEFT JOIN ratings r ON r.user_id = v.user_id AND r.item_id = v.item_id
+LEFT JOIN likes l ON l.user_id = v.user_id AND l.item_id = v.item_id LEFT JOIN favorites f ON f.user_id = v.user_id AND f.item_id = v.item_id
+UNION ALL
+SELECT v.user_id, v.item_id, 'review', r.rk, CAST(r.id AS VARCHAR), u.username, NULL, NULL
+FROM visit v JOIN (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY created_at DESC, id DESC) AS rk FROM reviews) r
+  ON r.movie_id = v.item_id AND r.rk <= 20 JOIN users u ON u.id = r.user_id
+UNION ALL
+SELECT v.user_id, v.item_id, 'similar', n.rk, n.id, i.title, {rhu("n.sim", 3)}, NULL
+FROM visit v JOIN (
+  SELECT t.id AS seed, d.id, s.sim, row_number() OVER (PARTITION BY t.id ORDER BY {rhu("s.sim", 9)} DESC, s.doc ASC) AS rk
+  FROM (SELECT id, max(doc) AS doc FROM cdocs WHERE id IN (SELECT item_id FROM visit) GROUP BY id) t
+  JOIN (SELECT a.doc AS target, b.doc, sum(a.w * b.w) AS sim FROM cvec a JOIN cvec b ON b.term = a.term
+        WHERE a.doc IN (SELECT max(doc) FROM cdocs WHERE id IN (SELECT item_id FROM visit) GROUP BY id) GROUP BY a.doc, b.doc) s ON s.target = t.doc
+  JOIN cdocs d ON d.doc = s.doc WHERE d.id <> t.id QUALIFY rk <= 6) n ON n.seed = v.item_id
+JOIN items_by_id i ON i.id = n.id
+UNION ALL
+SELECT v.user_id, v.item_id, 'view', 0, strftime(v.ts, '%Y-%m-%d %H:%M:%S.%f'), '', NULL, NULL FROM visit v
 """))
 def q_item_detail(cat):
-    """The detail page of the best rated film: card, rating stats and
-    review count (its similar films are ``content_recommend``)."""
-    from marquee.operators import graph as G
-    seed = G.seed_film(cat.items).select(F.col("seed").alias("id"))
-    card = cat.items_by_id.join(seed, "id", "left_semi").select("id", "title", "rating")
-    stats = A.movie_avg_rating(cat.ratings).withColumnRenamed("item_id", "id")
-    nrev = cat.reviews.groupBy(F.col("movie_id").alias("id")).agg(F.count(F.lit(1)).alias("n_reviews"))
-    j = card.join(stats, "id", "left").join(nrev, "id", "left")
-    return j.select("id", "title", "rating", F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"),
-                    F.coalesce("n_ratings", F.lit(0)).cast("bigint").alias("n_ratings"),
-                    F.coalesce("n_reviews", F.lit(0)).cast("bigint").alias("n_reviews"))
+    """The film pages that administrators have visited, line by line."""
+    from marquee.operators import content as CT
+    admins = cat.users.filter(F.col("role") == "admin").select(F.col("id").alias("user_id"))
+    requests = cat.history.join(admins, "user_id", "left_semi").select("user_id", "item_id", F.col("viewed_at").alias("ts"))
+    seeds = requests.select(F.col("item_id").alias("seed")).distinct()
+    return A.item_details(requests, cat.items_by_id, cat.ratings, cat.likes, cat.favorites, cat.reviews, cat.users,
+                          CT.content_recommend(cat.items, cat.items_by_id, seeds, vec=cat.tfidf))

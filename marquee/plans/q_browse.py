@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marquee.operators import browse as B
 from marquee.operators import search as S
 from marquee.plans.registry import register
-from marquee.plans.sqlviews import mean_c, rhu, with_views
+from marquee.plans.sqlviews import hash_order, mean_c, rhu, with_views
 
 # Parameters of the registered browse queries (the page's request arguments).
 DAY = "2024-01-01"
@@ -220,6 +222,57 @@ def q_browse_page(cat):
     return B.browse_page(cat.items, genre=FACET["genre"], sort="rating", page=2)
 
 
+def _sorted_page_sql(order: str, where: str) -> str:
+    return with_views(f"""
+SELECT rk, id, title, rating, release_date, runtime, total, greatest(1, CAST(ceil(total / 24) AS BIGINT)) AS total_pages
+FROM (
+  SELECT id, title, rating, release_date, runtime,
+    row_number() OVER (ORDER BY {order}, id ASC, ord ASC) AS rk, count(*) OVER () AS total FROM items
+) t WHERE {where}
+""")
+
+
+_RANDOM_ORDER = hash_order("7", "id")
+_LAST_PAGE = "rk > (greatest(1, CAST(ceil(total / 24) AS BIGINT)) - 1) * 24"
+
+
+@register("browse_page_date", _sorted_page_sql("release_date DESC", "rk BETWEEN 25 AND 48"))
+def q_browse_page_date(cat):
+    """The whole list by release date, page 2."""
+    return B.browse_page(cat.items, sort="date", page=2)
+
+
+@register("browse_page_runtime", _sorted_page_sql("runtime DESC", "rk BETWEEN 1 AND 24"))
+def q_browse_page_runtime(cat):
+    """The whole list by runtime, page 1."""
+    return B.browse_page(cat.items, sort="runtime", page=1)
+
+
+@register("browse_page_random", _sorted_page_sql(_RANDOM_ORDER, "rk BETWEEN 49 AND 72"))
+def q_browse_page_random(cat):
+    """The whole list in a seeded random order, page 3."""
+    return B.browse_page(cat.items, sort="random", seed="7", page=3)
+
+
+def _last_page(cat, sort: str, **more):
+    from marquee.sources.files import artifact_dir
+    path = artifact_dir(cat.spark, f"pages-{uuid.uuid4().hex[:12]}")
+    total = B.page_index(cat.items, path, sort=sort, **more)
+    return B.indexed_page(cat.spark, path, total, max(1, -(-total // 24)))
+
+
+@register("browse_deep_rating", _sorted_page_sql("rating DESC", _LAST_PAGE))
+def q_browse_deep_rating(cat):
+    """The last page by rating, read from the page index."""
+    return _last_page(cat, "rating")
+
+
+@register("browse_deep_random", _sorted_page_sql(_RANDOM_ORDER, _LAST_PAGE))
+def q_browse_deep_random(cat):
+    """The last page of a seeded random order, read from the page index."""
+    return _last_page(cat, "random", seed="7")
+
+
 def _search_sql(q: str, n: int) -> str:
     score = " + ".join(f"CASE WHEN contains(lower({c}), '{q}') THEN {w} ELSE 0 END" for c, w in S.FIELD_WEIGHTS)
     return with_views(f"""
@@ -250,8 +303,9 @@ def q_autocomplete(cat):
 
 
 @register("search_persons", with_views(f"""
-SELECT n.name, coalesce(p.total_movies, 0) AS total_movies, coalesce(p.top_films, '') AS top_films
-FROM hit_names n LEFT JOIN (
+SELECT n.name, coalesce(d.avatar_local_path, '') AS avatar, coalesce(d.name_en, '') AS name_en, coalesce(d.profession, '') AS profession,
+  coalesce(p.total_movies, 0) AS total_movies, coalesce(p.top_films, '') AS top_films
+FROM hit_names n LEFT JOIN persons_by_name d ON d.name = n.name LEFT JOIN (
   SELECT name, total_movies, string_agg(item_id, ',' ORDER BY frk) AS top_films
   FROM (SELECT f.name, f.item_id, count(*) OVER (PARTITION BY f.name) AS total_movies,
           row_number() OVER (PARTITION BY f.name ORDER BY i.rating DESC, i.ord ASC, f.item_id ASC) AS frk

@@ -79,12 +79,47 @@ LEFT JOIN (SELECT t.dst AS node, sum(t.p * r.x) AS c FROM gtrans t JOIN {prev} r
 
 PR_CTES = _pagerank_ctes(FIXED_ROUNDS)
 
+# The push of personalised PageRank for the best rated film, as many rounds as a graph of millions of nodes may need (a
+# round without a node to push changes nothing).
+PUSH_ROUNDS = 60
+view("gweight", "SELECT src AS node, sum(weight) AS w FROM (SELECT src, weight FROM gedges UNION ALL SELECT dst, weight FROM gedges) u GROUP BY src")
+view("grestart", """
+SELECT node, p / sum(p) OVER () AS p FROM (
+  SELECT seed AS node, 0.5 AS p FROM seedf
+  UNION ALL
+  SELECT node, CAST(0.5 AS DOUBLE) / least(20, deg) AS p FROM (
+    SELECT e.dst AS node, count(*) OVER () AS deg, row_number() OVER (ORDER BY
+      CASE e.relation WHEN 'BELONGS_TO' THEN 0 WHEN 'DIRECTED_BY' THEN 1 WHEN 'ACTED_IN' THEN 2 ELSE 3 END, e.pos, e.dst) AS rn
+    FROM gedges e JOIN seedf s ON s.seed = e.src) n WHERE rn <= 20) r
+""")
+
+
+def _push_ctes(rounds: int) -> dict[str, str]:
+    due = "r > 0 AND r >= w * (SELECT slack FROM pslack)"
+    ctes = {"pslack": "SELECT CAST(0.000001 AS DOUBLE) / avg(w) AS slack FROM gweight",
+            "pp0": "SELECT g.node, g.w, CAST(0.0 AS DOUBLE) AS x, CAST(p.p AS DOUBLE) AS r FROM grestart p JOIN gweight g ON g.node = p.node"}
+    for i in range(1, rounds + 1):
+        ctes[f"pp{i}"] = f"""
+SELECT node, max(w) AS w, sum(x) AS x, sum(r) AS r FROM (
+  SELECT node, w, CASE WHEN {due} THEN x + r * CAST(0.15 AS DOUBLE) ELSE x END AS x, CASE WHEN {due} THEN 0.0 ELSE r END AS r FROM pp{i - 1}
+  UNION ALL
+  SELECT t.dst, g.w, 0.0, t.p * (f.r * CAST(0.85 AS DOUBLE)) FROM (SELECT node, r FROM pp{i - 1} WHERE {due}) f
+  JOIN gtrans t ON t.src = f.node JOIN gweight g ON g.node = t.dst) u GROUP BY node
+"""
+    ctes["pseen"] = f"""
+SELECT s.seed, c.id, c.title, c.rating,
+  p.x * (1 + CAST(0.2 AS DOUBLE) * len(list_intersect(list_distinct(si.genres), list_distinct(c.genres)))) AS raw
+FROM seedf s JOIN items_by_id si ON si.id = s.seed JOIN pp{rounds} p ON p.node <> s.seed AND p.x > 0 JOIN items_by_id c ON c.id = p.node
+"""
+    return ctes
+
+
+PUSH_CTES = _push_ctes(PUSH_ROUNDS)
+
+
 
 def _graph(cat):
-    if not hasattr(cat, "_graph"):
-        e = cat.graph_edges
-        cat._graph = (G.graph_nodes(cat.items, e), e)
-    return cat._graph
+    return cat.graph_nodes, cat.graph_edges
 
 
 def _pr_fixed(cat):
@@ -125,18 +160,10 @@ def q_pagerank_fixed(cat):
     return pr.select("node", G.round_half_up("pagerank", 9).alias("pagerank"), "rounds")
 
 
-def pr_converged(cat):
-    """Converged PageRank, computed once per catalog (shared by G3, H7, H10)."""
-    if not hasattr(cat, "_pr_conv"):
-        nodes, edges = _graph(cat)
-        cat._pr_conv = G.pagerank(nodes, edges)
-    return cat._pr_conv
-
-
 @register("pagerank")
 def q_pagerank(cat):
     """PageRank to convergence (L1 change < N * 1e-6, at most 100 rounds)."""
-    return pr_converged(cat)
+    return cat.pagerank
 
 
 @register("pagerank_recommend", with_views(f"""
@@ -179,7 +206,7 @@ def q_community_assign(cat):
 
 @register("community_label_prop")
 def q_community_label_prop(cat):
-    """Label propagation over the film-film projection (5 rounds)."""
+    """Label propagation over the film-film projection, until it settles."""
     nodes, edges = _graph(cat)
     return G.community_label_prop(cat.items_by_id, edges)
 
@@ -222,6 +249,19 @@ def q_same_director_genre(cat):
     return G.same_director_genre(cat.items_by_id, edges, _seeds(cat))
 
 
+@register("community_louvain")
+def q_community_louvain(cat):
+    """G7 as intended: communities of the film-attribute graph by modularity, of every film with an edge."""
+    return cat.communities.join(cat.items_by_id.select(F.col("id").alias("node")), "node", "left_semi")
+
+
+@register("community_recommend_louvain")
+def q_community_recommend_louvain(cat):
+    """G9 for the best rated film over the communities found by modularity."""
+    nodes, edges = _graph(cat)
+    return G.community_recommend(cat.items_by_id, edges, cat.communities, _seeds(cat))
+
+
 def _ppr(cat):
     if not hasattr(cat, "_ppr"):
         nodes, edges = _graph(cat)
@@ -229,13 +269,36 @@ def _ppr(cat):
     return cat._ppr
 
 
-@register("personalized_pagerank")
+@register("personalized_pagerank", with_views(f"""
+SELECT seed, id, title, rating, {rhu("raw", 5)} AS similarity,
+  row_number() OVER (PARTITION BY seed ORDER BY {rhu("raw", 12)} DESC, id ASC) AS rk
+FROM pseen QUALIFY rk <= 12
+""", PUSH_CTES))
 def q_personalized_pagerank(cat):
     """G6 for the best rated film."""
     return G.ppr_recommend(cat.items_by_id, _ppr(cat))
 
 
-@register("hybrid_graph")
+@register("hybrid_graph", with_views(f"""
+SELECT seed, id, {rhu("raw", 3)} AS similarity, row_number() OVER (PARTITION BY seed ORDER BY {rhu("raw", 12)} DESC, id ASC) AS rk
+FROM (SELECT seed, id, sum(s) AS raw FROM (
+  SELECT seed, id, {rhu("raw", 5)} * CAST(0.40 AS DOUBLE) AS s FROM (
+    SELECT *, row_number() OVER (ORDER BY {rhu("raw", 12)} DESC, id ASC) AS rk FROM pseen) a WHERE rk <= 15
+  UNION ALL
+  SELECT seed, id, {rhu("raw", 3)} * CAST(0.35 AS DOUBLE) FROM (
+    SELECT sh.seed, sh.cand AS id, raw, row_number() OVER (ORDER BY raw DESC, sh.cand ASC) AS rk FROM (
+      SELECT sh.seed, sh.cand, CAST(0.6 AS DOUBLE) * sh.shared / (d1.deg + d2.deg - sh.shared)
+        + CAST(0.4 AS DOUBLE) * len(list_intersect(list_distinct(si.genres), list_distinct(ci.genres))) / greatest(1, len(si.genres)) AS raw
+      FROM gshared sh JOIN gdeg d1 ON d1.film = sh.seed JOIN gdeg d2 ON d2.film = sh.cand
+      JOIN items_by_id si ON si.id = sh.seed JOIN items_by_id ci ON ci.id = sh.cand) sh) b WHERE rk <= 15
+  UNION ALL
+  SELECT seed, id, {rhu("raw", 3)} / CAST(10.0 AS DOUBLE) * CAST(0.25 AS DOUBLE) FROM (
+    SELECT seed, id, raw, row_number() OVER (ORDER BY raw DESC, id ASC) AS rk FROM (
+      SELECT s.seed, m.node AS id, CAST(0.7 AS DOUBLE) * i.rating + CAST(0.3 AS DOUBLE) * coalesce(sh.shared, 0) AS raw
+      FROM seedf s JOIN gcomm sc ON sc.node = s.seed JOIN gcomm m ON m.community = sc.community AND m.node <> s.seed
+      JOIN items_by_id i ON i.id = m.node LEFT JOIN gshared sh ON sh.seed = s.seed AND sh.cand = m.node) c) c WHERE rk <= 15
+) u GROUP BY seed, id) t QUALIFY rk <= 12
+""", PUSH_CTES))
 def q_hybrid_graph(cat):
     """G13 for the best rated film."""
     nodes, edges = _graph(cat)
@@ -246,7 +309,27 @@ def q_hybrid_graph(cat):
     return G.hybrid_graph(cn, pp, cm)
 
 
-@register("shortest_path")
+_LEVELS = 12
+
+
+def _path_ctes() -> dict[str, str]:
+    ctes = {"und": "SELECT src, dst FROM gedges UNION ALL SELECT dst, src FROM gedges",
+            "ptarget": "SELECT id AS node FROM items ORDER BY rating ASC, id DESC LIMIT 1",
+            "lev0": "SELECT seed AS node, 0 AS d FROM seedf"}
+    for i in range(1, _LEVELS + 1):
+        near = f"SELECT node FROM lev{i - 1}" + (f" UNION ALL SELECT node FROM lev{i - 2}" if i > 1 else "")
+        ctes[f"lev{i}"] = f"SELECT DISTINCT e.dst AS node, {i} AS d FROM lev{i - 1} l JOIN und e ON e.src = l.node WHERE e.dst NOT IN ({near})"
+    ctes["dist"] = " UNION ALL ".join(f"SELECT * FROM lev{i}" for i in range(_LEVELS + 1))
+    ctes["way0"] = "SELECT t.node, x.d FROM ptarget t JOIN dist x ON x.node = t.node"
+    for i in range(1, _LEVELS + 1):
+        ctes[f"way{i}"] = (f"SELECT min(e.src) AS node, w.d - 1 AS d FROM way{i - 1} w JOIN und e ON e.dst = w.node "
+                           f"JOIN dist x ON x.node = e.src AND x.d = w.d - 1 WHERE w.d > 0 GROUP BY w.d")
+    ctes["way"] = " UNION ALL ".join(f"SELECT * FROM way{i}" for i in range(_LEVELS + 1))
+    return ctes
+
+
+@register("shortest_path", with_views("SELECT w.d AS pos, w.node, lower(n.type) AS type, n.name FROM way w JOIN gnodes n ON n.node = w.node",
+                                      _path_ctes()))
 def q_shortest_path(cat):
     """G10 (+G14 labels): path from the best rated film to the worst rated one."""
     from marquee.functions.agg import top_k

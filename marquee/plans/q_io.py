@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from marquee.operators import catalogue as C
+from marquee.plans import q_persons  # noqa: F401  (the oracle of clean_persons)
+from marquee.plans.q_activity import APPLY_DELETES
 from marquee.plans.registry import ORACLES, register
 from marquee.plans.sqlviews import with_views
 from marquee.sources import files as FS
@@ -70,6 +72,58 @@ def q_load_or_build_edges(cat):
     return FS.load_or_build(cat.spark, f"{base}/edges", build, version="1")
 
 
+_STORED = ("items", "graph_edges", "graph_nodes", "tfidf", "ratings", "liked_persons")
+
+
+@register("stored_tables", with_views("UNION ALL".join(f"""
+SELECT '{name}' AS name, count(*) AS n_rows FROM {source}
+""" for name, source in zip(_STORED, ("items", "gedges", "gnodes", "cvec", "ratings", "liked_persons")))))
+def q_stored_tables(cat):
+    """Derived tables as the store's manifest names them, read back, with their rows."""
+    for name in _STORED:
+        getattr(cat, name)
+    out = None
+    for name in _STORED:
+        n = cat.store.read(name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@register("persons_roundtrip", ORACLES["clean_persons"])
+def q_persons_roundtrip(cat):
+    """The cleaned person directory written as Parquet and read back."""
+    from marquee.operators import persons as P
+    path = _fresh(cat, "persons")
+    FS.write_persons(P.clean_persons(cat.persons_raw), path)
+    return cat.spark.read.parquet(path).select("ord", "name", "douban_id", "personage_id", "avatar_url", "biography", "avatar_local_path")
+
+
+_SCANNED = {"users": "users", "ratings": "ratings", "reviews": "reviews", "user_likes": "likes", "user_favorites": "favorites",
+            "browsing_history": "history", "review_likes": "review_likes", "review_replies": "review_replies",
+            "user_liked_persons": "liked_persons"}
+
+
+@register("activity_scan", with_views("UNION ALL".join(f"""
+SELECT '{name}' AS name, count(*) AS n_rows, count(DISTINCT {"id" if name == "users" else "user_id"}) AS n_users FROM {source}
+""" for name, source in _SCANNED.items())))
+def q_activity_scan(cat):
+    """The nine activity tables written in their declared schemas and scanned again."""
+    base, out = _fresh(cat, "activity-tables"), None
+    for name, source in _SCANNED.items():
+        schema = FS.ACTIVITY_SCHEMAS[name]
+        df = getattr(cat, source)
+        df = df.withColumnRenamed("item_id", "movie_id") if "item_id" in df.columns else df
+        if name == "browsing_history":
+            df = df.withColumn("id", F.xxhash64("user_id", "movie_id"))
+        columns = [c.strip().split(" ") for c in schema.split(",")]
+        df.select(*[F.col(c).cast(kind).alias(c) for c, kind in columns]).write.parquet(f"{base}/{name}")
+    for name, df in FS.scan_activity(cat.spark, base).items():
+        user = F.col("id" if name == "users" else "user_id")
+        n = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(user).alias("n_users")).select(F.lit(name).alias("name"), "n_rows", "n_users")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 STREAM_FILES = 6
 
 
@@ -120,8 +174,28 @@ def q_stream_ratings_current(cat):
     return state
 
 
+@register("stream_deletes")
+def q_stream_deletes(cat):
+    """U7 / U8 as Structured Streaming: the application's log in three slices of time."""
+    from marquee.operators import deletes as D
+    from marquee.plans.q_activity import _admins
+    src, out, ckpt = _fresh(cat, "app-log"), _fresh(cat, "app-out"), _fresh(cat, "app-ckpt")
+    log, at = cat.application_log, F.unix_timestamp("ts")
+    cut = log.agg(F.percentile_approx(at, F.array(F.lit(0.3), F.lit(0.9)), 1000)).first()[0] or [0, 0]
+    for low, high in ((None, cut[0]), (cut[0], cut[1]), (cut[1], None)):
+        part = log
+        if low is not None:
+            part = part.filter(at > low)
+        if high is not None:
+            part = part.filter(at <= high)
+        part.write.mode("append").parquet(src)
+        state = D.stream_deletes(cat.spark, src, _admins(cat), out, ckpt)
+    return state
+
+
 ORACLES["stream_likes_current"] = with_views("SELECT user_id, item_id, created_at FROM likes")
 ORACLES["stream_favorites_current"] = with_views("SELECT user_id, item_id, created_at FROM favorites")
 ORACLES["stream_history_current"] = with_views("SELECT user_id, item_id, viewed_at FROM history")
 ORACLES["stream_ratings_current"] = with_views(
     "SELECT user_id, item_id, score, created_at, updated_at FROM ratings")
+ORACLES["stream_deletes"] = APPLY_DELETES

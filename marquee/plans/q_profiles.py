@@ -8,6 +8,7 @@ from marquee.operators import profiles as H
 from marquee.operators import viewing as V
 from marquee.plans.registry import register
 from marquee.plans.sqlviews import rhu, view, with_views
+from marquee.session import ensure_checkpoint_dir
 
 # --- SQL views of the profile inputs ----------------------------------------
 view("psignals", """
@@ -123,8 +124,6 @@ FROM users u LEFT JOIN (
 ) p ON p.user_id = u.id
 """)
 
-view("pactive", "SELECT user_id FROM prow ORDER BY total_interactions DESC, user_id ASC LIMIT 1")
-
 PROFILE_ROW_SQL = with_views("SELECT * FROM prow")
 
 
@@ -173,19 +172,30 @@ def q_cold_start(cat):
     return H.cold_start(cat.items, info, None)
 
 
-# --- single-user channels (the catalogue's per-request recommender) ---------
-def most_active_user(cat):
-    """A data-derived user: the most interactions (ties by id)."""
-    from marquee.functions.agg import top_k
-    info, sig = _prof(cat)
-    row = H.user_profile_row(cat.users, sig)
-    return top_k(row, 1, [F.col("total_interactions").desc(), F.col("user_id").asc()]).select("user_id")
+# --- channels and fusion for a table of requesting users ---------------------
+def requests(cat):
+    """The users that ask for recommendations: all administrators."""
+    return cat.users.filter(F.col("role") == "admin").select(F.col("id").alias("user_id"))
 
 
 def _user_weights(cat):
-    info, sig = _prof(cat)
-    w = H.normalized_weights(cat.user_weights)
-    return w.join(most_active_user(cat), "user_id", "left_semi")
+    """Film weights of the requesting users, written once: loops and lists start from them."""
+    if not hasattr(cat, "_request_weights"):
+        ensure_checkpoint_dir(cat.spark)
+        w = H.normalized_weights(cat.user_weights.join(requests(cat), "user_id", "left_semi"))
+        cat._request_weights = w.checkpoint()
+    return cat._request_weights
+
+
+def _user_prefs(cat):
+    if not hasattr(cat, "_request_prefs"):
+        ensure_checkpoint_dir(cat.spark)
+        info, sig = _prof(cat)
+        cat._request_prefs = H.user_genre_prefs(sig.join(requests(cat), "user_id", "left_semi"), cat.credits_by_id, info).checkpoint()
+    return cat._request_prefs
+
+
+view("padmin", "SELECT id AS user_id FROM users WHERE role = 'admin'")
 
 
 @register("channel_genre", with_views(f"""
@@ -197,38 +207,44 @@ FROM (SELECT user_id, genre, weight / max(weight) OVER (PARTITION BY user_id) AS
           FROM (SELECT c.user_id, unnest(i.genres) AS genre,
                   c.w * CASE c.kind WHEN 'rating' THEN 10 WHEN 'favorite' THEN 10 WHEN 'like' THEN 10
                                     WHEN 'browse' THEN 5 WHEN 'director' THEN 4 ELSE 3 END AS g
-                FROM pcontrib c JOIN items_by_id i ON i.id = c.item_id) e
+                FROM pcontrib c JOIN items_by_id i ON i.id = c.item_id
+                WHERE c.user_id IN (SELECT user_id FROM padmin)) e
           GROUP BY user_id, genre) t WHERE rk <= 10) q) p
 JOIN (SELECT id, genres, unnest(genres) AS genre FROM items_by_id) i ON i.genre = p.genre
-WHERE p.user_id IN (SELECT user_id FROM pactive)
 GROUP BY p.user_id, i.id, i.genres HAVING sum(p.gw) > 0
 """))
 def q_channel_genre(cat):
-    """H9 for the most active user (for all users the output is users x
-    matching films; the hybrid needs it per requesting user)."""
-    info, sig = _prof(cat)
-    prefs = H.user_genre_prefs(sig, cat.credits_by_id, info).join(most_active_user(cat), "user_id", "left_semi")
-    return H.channel_genre(prefs, info).select("user_id", "item_id", H.round_half_up("s", 9).alias("s"))
-
-
-@register("channel_content")
+    """H9 for the requesting users: every film with a score."""
+    return H.channel_genre(_user_prefs(cat), H.movie_info(cat.items_by_id)).select(
+        "user_id", "item_id", H.round_half_up("s", 9).alias("s"))
+
+
+@register("channel_content", with_views(f"""
+SELECT user_id, item_id, {rhu("s / max(s) OVER (PARTITION BY user_id)", 6)} AS s FROM (
+  SELECT p.user_id, d.id AS item_id, sum(n.sim * p.weight) AS s
+  FROM pcseeds p
+  JOIN (SELECT id, max(doc) AS doc FROM cdocs GROUP BY id) l ON l.id = p.seed
+  JOIN (SELECT a.doc AS target, b.doc, sum(a.w * b.w) AS sim
+        FROM cvec a JOIN cvec b ON b.term = a.term
+        WHERE a.doc IN (SELECT max(x.doc) FROM cdocs x JOIN pcseeds q ON q.seed = x.id GROUP BY x.id)
+        GROUP BY a.doc, b.doc HAVING sum(a.w * b.w) > 0.15) n ON n.target = l.doc
+  JOIN cdocs d ON d.doc = n.doc
+  GROUP BY p.user_id, d.id) t
+""", {"pcseeds": """
+SELECT user_id, item_id AS seed, weight FROM (
+  SELECT user_id, item_id, weight, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, item_id ASC) AS rk
+  FROM pweights WHERE user_id IN (SELECT user_id FROM padmin)) x WHERE rk <= 10
+"""}))
 def q_channel_content(cat):
-    """H8 for the most active user."""
-    return H.channel_content(_user_weights(cat), cat.items)
-
-
-def _als(cat):
-    if not hasattr(cat, "_als"):
-        from marquee.operators import als as AL
-        cat._als = AL.als_train(cat.ratings)
-    return cat._als
+    """H8 for the requesting users: every film with a score."""
+    return H.channel_content(_user_weights(cat), cat.items, cat.tfidf).select("user_id", "item_id", H.round_half_up("s", 6).alias("s"))
 
 
 @register("als_model_info")
 def q_als_model_info(cat):
     """Train ALS and report the model (RMSE on the 20 % hold-out)."""
     from marquee.operators import als as AL
-    model, rmse, ntr, nte = _als(cat)
+    model, rmse, ntr, nte = cat.als
     return AL.model_info(model, rmse, ntr, nte)
 
 
@@ -237,22 +253,21 @@ def q_als_similar_items(cat):
     """C7 for the best rated film."""
     from marquee.operators import als as AL
     from marquee.operators import graph as G
-    model = _als(cat)[0]
-    return AL.als_similar_items(AL.item_factors(model), G.seed_film(cat.items), cat.items_by_id)
+    return AL.als_similar_items(cat.item_factors, G.seed_film(cat.items), cat.items_by_id)
 
 
 @register("als_recommend_users")
 def q_als_recommend_users(cat):
     """Top 12 films of every user by predicted score."""
     from marquee.operators import als as AL
-    return AL.als_recommend_users(_als(cat)[0])
+    return AL.als_recommend_users(cat.als[0])
 
 
 @register("channel_als")
 def q_channel_als(cat):
-    """H6 for the most active user."""
+    """H6 for the requesting users: every film with a score."""
     from marquee.operators import als as AL
-    return H.channel_als(_user_weights(cat), AL.item_factors(_als(cat)[0]))
+    return H.channel_als(_user_weights(cat), cat.item_factors)
 
 
 @register("recommend_all")
@@ -262,8 +277,8 @@ def q_recommend_all(cat):
     from marquee.operators import content as CT
     from marquee.operators import graph as G
     seeds = G.seed_film(cat.items)
-    c = CT.content_recommend(cat.items, cat.items_by_id, seeds, 12)
-    a = AL.als_similar_items(AL.item_factors(_als(cat)[0]), seeds, cat.items_by_id)
+    c = CT.content_recommend(cat.items, cat.items_by_id, seeds, 12, vec=cat.tfidf)
+    a = AL.als_similar_items(cat.item_factors, seeds, cat.items_by_id)
     return AL.recommend_all(c, a)
 
 
@@ -271,52 +286,37 @@ def q_recommend_all(cat):
 def q_similar_for_movie(cat):
     """ALS sims > 0.15 and 0.8 x PPR top 10 of the best rated film,
     best score per film, top 12."""
-    from marquee.functions.agg import top_k
     from marquee.operators import als as AL
     from marquee.operators import graph as G
-    from marquee.plans.q_graph import _graph, pr_converged
+    from marquee.plans.q_graph import _graph
     seeds = G.seed_film(cat.items)
     nodes, edges = _graph(cat)
-    a = AL.factor_cosine(AL.item_factors(_als(cat)[0]), seeds, min_sim=0.15).select(
-        "seed", F.col("item_id").alias("id"), F.col("sim").alias("score"))
-    p = G.ppr_recommend(cat.items_by_id, G.personalized_pagerank(nodes, edges, seeds), 10).select(
-        "seed", "id", (F.col("similarity") * 0.8).alias("score"))
-    u = a.unionByName(p).join(cat.items_by_id.select(F.col("id")), "id", "left_semi")
-    g = u.filter(F.col("id") != F.col("seed")).groupBy("seed", "id").agg(F.max("score").alias("score"))
-    t = top_k(g, 12, [F.col("score").desc(), F.col("id").asc()], partition=["seed"])
-    return t.select("seed", "rk", "id", H.round_half_up("score", 4).alias("score"))
+    return H.similar_for_movie(AL.factor_cosine(cat.item_factors, seeds, min_sim=H.SIMILAR_MIN),
+                               G.ppr_recommend(cat.items_by_id, G.personalized_pagerank(nodes, edges, seeds), 10), cat.items_by_id)
+
+
+def _graph_channel(cat):
+    if not hasattr(cat, "_graph_channel"):
+        from marquee.plans.q_graph import _graph
+        nodes, edges = _graph(cat)
+        cat._graph_channel = H.channel_graph(_user_weights(cat), _user_prefs(cat), cat.items, cat.items_by_id, nodes, edges,
+                                             cat.pagerank).checkpoint()
+    return cat._graph_channel
 
 
 @register("channel_graph")
 def q_channel_graph(cat):
-    """H7 for the most active user."""
-    from marquee.operators import graph as G
-    from marquee.plans.q_graph import _graph, pr_converged
-    info, sig = _prof(cat)
-    nodes, edges = _graph(cat)
-    prefs = H.user_genre_prefs(sig, cat.credits_by_id, info).join(most_active_user(cat), "user_id", "left_semi")
-    return H.channel_graph(_user_weights(cat), prefs, cat.items, cat.items_by_id, nodes, edges,
-                           pr_converged(cat))
+    """H7 for the requesting users."""
+    return _graph_channel(cat)
 
 
 @register("hybrid_recommend")
 def q_hybrid_recommend(cat):
-    """The four-channel recommendation of the most active user."""
+    """The four-channel recommendation of the requesting users."""
     from marquee.operators import als as AL
-    from marquee.operators import graph as G
-    from marquee.plans.q_graph import _graph, pr_converged
-    info, sig = _prof(cat)
-    nodes, edges = _graph(cat)
-    users = most_active_user(cat)
-    w = _user_weights(cat)
-    prefs = H.user_genre_prefs(sig, cat.credits_by_id, info).join(users, "user_id", "left_semi")
-    channels = {
-        "als": H.channel_als(w, AL.item_factors(_als(cat)[0])),
-        "graph": H.channel_graph(w, prefs, cat.items, cat.items_by_id, nodes, edges, pr_converged(cat)),
-        "content": H.channel_content(w, cat.items),
-        "genre": H.channel_genre(prefs, info),
-    }
-    return H.hybrid_recommend(w, info, channels)
+    from marquee.operators import recommend as R
+    src = R.sources(cat.items, cat.items_by_id, cat.item_factors, cat.tfidf)
+    return R.hybrid_for_users(src, _user_weights(cat), _user_prefs(cat), _graph_channel(cat))
 
 
 # --- viewing report (all users) ---------------------------------------------
@@ -493,15 +493,14 @@ def q_content_recommend(cat):
     """C5 for the best rated film."""
     from marquee.operators import content as CT
     from marquee.operators import graph as G
-    return CT.content_recommend(cat.items, cat.items_by_id, G.seed_film(cat.items))
+    return CT.content_recommend(cat.items, cat.items_by_id, G.seed_film(cat.items), vec=cat.tfidf)
 
 
 @register("content_similarity")
 def q_content_similarity(cat):
-    """C4 for the best rated film (rows > 0.15 plus the top 12)."""
+    """C4 for all films (rows > 0.15 plus the top 12 of each)."""
     from marquee.operators import content as CT
-    from marquee.operators import graph as G
-    return CT.content_similarity(cat.items, G.seed_film(cat.items))
+    return CT.content_similarity(cat.items, vec=cat.tfidf)
 
 
 @register("tfidf_vocabulary")

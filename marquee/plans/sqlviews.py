@@ -59,9 +59,7 @@ def view(name: str, sql: str) -> None:
 view("sup_slots", """
 SELECT r.l_partkey,
   max(CASE WHEN rn = 1 THEN s_name END) AS s1, max(CASE WHEN rn = 2 THEN s_name END) AS s2,
-  max(CASE WHEN rn = 3 THEN s_name END) AS s3, max(CASE WHEN rn = 4 THEN s_name END) AS s4,
-  max(CASE WHEN rn = 5 THEN s_name END) AS s5, max(CASE WHEN rn = 6 THEN s_name END) AS s6,
-  max(CASE WHEN rn = 7 THEN s_name END) AS s7,
+  string_agg(s_name, ', ' ORDER BY rn) FILTER (WHERE rn >= 2) AS others,
   max(CASE WHEN rn = 1 THEN n_name END) AS n1, max(CASE WHEN rn = 2 THEN n_name END) AS n2,
   max(CASE WHEN rn = 1 THEN r_name END) AS r1
 FROM (
@@ -73,7 +71,6 @@ FROM (
 LEFT JOIN supplier ON s_suppkey = r.l_suppkey
 LEFT JOIN nation ON n_nationkey = s_nationkey
 LEFT JOIN region ON r_regionkey = n_regionkey
-WHERE rn <= 7
 GROUP BY r.l_partkey
 """)
 
@@ -82,7 +79,7 @@ SELECT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, '' A
   CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 23 = 0 THEN 'N/A'
        ELSE CAST((p_partkey * 37) % 10 AS VARCHAR) || '.' || CAST((p_partkey * 13 + p_size) % 10 AS VARCHAR) END AS rating,
   concat_ws('/', s1, s2) AS director, '' AS screenwriter,
-  concat_ws(', ', s2, s3, s4, s5, s6, s7) AS "cast",
+  coalesce(others, '') AS "cast",
   p_type || ' / ' || split_part(p_name, ' ', 1) || ',' || split_part(p_name, ' ', 2) AS genre,
   concat_ws(' / ', n1, n2) AS country,
   CASE p_partkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr/de' WHEN 2 THEN 'es, en' ELSE '' END AS language,
@@ -228,9 +225,9 @@ FROM (
   SELECT o_custkey, s_name, ts,
     row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, s_name ASC) AS rn
   FROM (SELECT o_custkey, l_suppkey, count(*) AS n, max(l_shipdate) AS ts
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey) p
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey HAVING count(*) >= 2) p
   JOIN supplier ON s_suppkey = l_suppkey
-) t WHERE rn <= 2
+) t
 """)
 
 view("liked_persons", """

@@ -1,9 +1,8 @@
 """The canonical tables of one input snapshot, built lazily.
 
-``Catalog`` is what registered queries use: each property is a DataFrame plan
-(nothing is computed until an action). A deployment that runs many queries
-over the same snapshot writes the canonical tables once with
-``marquee.sources.files.write_artifacts`` and reads them back instead.
+``Catalog`` is what registered queries use. Derived tables that many queries
+start from are built once per input and code version and kept in the shared
+store (``sources.store``); all other properties are DataFrame plans.
 """
 
 from __future__ import annotations
@@ -26,8 +25,9 @@ class Catalog:
     (``lineitem`` x ``orders`` + events) --, the current state of every log,
     the graph's edges and the users' film weights
     are built once per snapshot and written as parquet under the shared
-    checkpoint folder (``load_or_build``, keyed by the input files' sizes and
-    modification times); queries then scan those tables with pruning and
+    checkpoint folder (``sources.store``, keyed by the input files' names,
+    sizes and modification times and by the code); PageRank, communities,
+    TF-IDF rows and ALS item factors too. Queries then scan those tables with pruning and
     pushdown. ``materialize=False`` keeps everything as one lazy plan."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
@@ -52,11 +52,16 @@ class Catalog:
             parts.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
         return hashlib.sha1("\n".join(sorted(parts)).encode()).hexdigest()[:16]
 
+    @cached_property
+    def store(self):
+        """Where derived tables of this input and this code lie, for this session and later ones."""
+        from marquee.sources.store import Store, code_version
+        return Store(self.spark, f"{self.snapshot}-{code_version()}")
+
     def _built(self, name: str, build) -> DataFrame:
         if not self.materialize:
             return build()
-        from marquee.sources.files import artifact_dir, load_or_build
-        return load_or_build(self.spark, artifact_dir(self.spark, f"snapshot-{self.snapshot}/{name}"), build)
+        return self.store.get_or_build(name, build)
 
     # --- films -------------------------------------------------------------
     @cached_property
@@ -128,12 +133,52 @@ class Catalog:
     def liked_persons(self) -> DataFrame:
         return self._built("liked_persons", lambda: A.person_likes_current(self.person_like_log))
 
+    @cached_property
+    def application_log(self) -> DataFrame:
+        """All nine tables and the requests to delete from them as one log."""
+        return self._built("application_log", lambda: TB.application_log(
+            self.users, self.activity, self.t.events, self.reviews, self.review_replies, self.review_like_log, self.person_like_log))
+
     # --- tables derived from several of these --------------------------------
     @cached_property
     def graph_edges(self) -> DataFrame:
         from marquee.operators import graph as G
         return self._built("graph_edges", lambda: G.graph_edges(self.items))
 
+    @cached_property
+    def graph_nodes(self) -> DataFrame:
+        from marquee.operators import graph as G
+        return self._built("graph_nodes", lambda: G.graph_nodes(self.items, self.graph_edges))
+
+    @cached_property
+    def pagerank(self) -> DataFrame:
+        """Converged PageRank of the film-attribute graph."""
+        from marquee.operators import graph as G
+        return self._built("pagerank", lambda: G.pagerank(self.graph_nodes, self.graph_edges))
+
+    @cached_property
+    def communities(self) -> DataFrame:
+        """Communities of the film-attribute graph by modularity."""
+        from marquee.operators import communities as CM
+        return self._built("communities", lambda: CM.louvain(self.graph_edges))
+
+    @cached_property
+    def tfidf(self) -> DataFrame:
+        """TF-IDF rows of the films' content texts."""
+        from marquee.operators import content as CT
+        return self._built("tfidf", lambda: CT.tfidf(CT.content_text(self.items)))
+
+    @cached_property
+    def als(self) -> tuple:
+        """ALS model of the current ratings with its figures (C6), trained once per session."""
+        from marquee.operators import als as AL
+        return AL.als_train(self.ratings)
+
+    @cached_property
+    def item_factors(self) -> DataFrame:
+        from marquee.operators import als as AL
+        return self._built("item_factors", lambda: AL.item_factors(self.als[0]))
+
     @cached_property
     def user_weights(self) -> DataFrame:
         """Film weights of every user's profile, in 1e-4 units (H2 before its maximum)."""

@@ -134,17 +134,6 @@ def artifact_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/marquee-artifacts/{name}"
 
 
-def write_artifacts(tables: dict[str, DataFrame], base: str) -> dict[str, str]:
-    """Persist derived tables (factors, graph, PageRank, communities,
-    similarity ...) as parquet, one folder per table."""
-    out = {}
-    for name, df in tables.items():
-        path = f"{base}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        out[name] = path
-    return out
-
-
 def _is_dir(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

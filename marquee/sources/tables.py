@@ -51,20 +51,23 @@ def _row_count(df: DataFrame):
 
 
 def _supplier_slots(t: DriverTables) -> DataFrame:
-    """Per part: up to 7 distinct suppliers ranked by md5('<part>-<supp>'),
-    pivoted to s1..s7 with the nation of slots 1, 2 and region of slot 1."""
+    """Per part: all its distinct suppliers ranked by md5('<part>-<supp>'): the
+    names of slots 1 and 2, the nations of slots 1 and 2, the region of slot 1,
+    and the names from slot 2 on as one list (the record's cast)."""
     pairs = t.lineitem.select("l_partkey", "l_suppkey").distinct()
     h = F.md5(F.concat(F.col("l_partkey").cast("string"), F.lit("-"),
                        F.col("l_suppkey").cast("string")))
     w = Window.partitionBy("l_partkey").orderBy(h)
-    ranked = pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 7)
+    ranked = pairs.withColumn("rn", F.row_number().over(w))
     sup = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
     nat = F.broadcast(t.nation.select("n_nationkey", "n_name", "n_regionkey"))
     reg = F.broadcast(t.region.select("r_regionkey", "r_name"))
     j = (ranked.join(sup, ranked.l_suppkey == sup.s_suppkey, "left")
          .join(nat, F.col("s_nationkey") == F.col("n_nationkey"), "left")
          .join(reg, F.col("n_regionkey") == F.col("r_regionkey"), "left"))
-    aggs = [F.max(F.when(F.col("rn") == i, F.col("s_name"))).alias(f"s{i}") for i in range(1, 8)]
+    aggs = [F.max(F.when(F.col("rn") == i, F.col("s_name"))).alias(f"s{i}") for i in (1, 2)]
+    rest = F.collect_list(F.when(F.col("rn") >= 2, F.struct("rn", "s_name")))
+    aggs.append(F.array_join(F.transform(F.sort_array(rest), lambda x: x["s_name"]), ", ").alias("others"))
     aggs += [F.max(F.when(F.col("rn") == i, F.col("n_name"))).alias(f"n{i}") for i in (1, 2)]
     aggs.append(F.max(F.when(F.col("rn") == 1, F.col("r_name"))).alias("r1"))
     return j.groupBy("l_partkey").agg(*aggs)
@@ -96,7 +99,7 @@ def items_raw(t: DriverTables) -> DataFrame:
         rating.alias("rating"),
         F.concat_ws("/", "s1", "s2").alias("director"),
         F.lit("").alias("screenwriter"),
-        F.concat_ws(", ", "s2", "s3", "s4", "s5", "s6", "s7").alias("cast"),
+        F.coalesce("others", F.lit("")).alias("cast"),
         genre.alias("genre"),
         F.concat_ws(" / ", "n1", "n2").alias("country"),
         lang.alias("language"),
@@ -216,18 +219,17 @@ def review_like_log(t: DriverTables) -> DataFrame:
 
 
 def person_like_log(t: DriverTables) -> DataFrame:
-    """Each customer likes its two most-used suppliers (line count desc, name
-    asc): the first as a director, the second as an actor."""
+    """Each customer likes the suppliers of two or more of its lines: the most
+    used (line count desc, name asc) as a director, all others as actors."""
     li = t.lineitem.select("l_orderkey", "l_suppkey", "l_shipdate")
     o = t.orders.select("o_orderkey", "o_custkey")
     s = t.supplier.select("s_suppkey", "s_name")
     per = (li.join(o, li.l_orderkey == o.o_orderkey)
            .groupBy("o_custkey", "l_suppkey")
-           .agg(F.count(F.lit(1)).alias("n"), F.max("l_shipdate").alias("ts")))
+           .agg(F.count(F.lit(1)).alias("n"), F.max("l_shipdate").alias("ts")).filter(F.col("n") >= 2))
     per = per.join(s, per.l_suppkey == s.s_suppkey)
     w = Window.partitionBy("o_custkey").orderBy(F.desc("n"), F.asc("s_name"))
-    top = per.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2)
-    return top.select(
+    return per.withColumn("rn", F.row_number().over(w)).select(
         F.col("o_custkey").alias("user_id"),
         F.col("s_name").alias("person_name"),
         F.when(F.col("rn") == 1, F.lit("director")).otherwise(F.lit("actor")).alias("person_type"),
@@ -235,6 +237,59 @@ def person_like_log(t: DriverTables) -> DataFrame:
         F.col("rn").cast("bigint").alias("seq"))
 
 
+def application_log(users: DataFrame, act: DataFrame, events: DataFrame, revs: DataFrame, replies: DataFrame,
+                    review_like: DataFrame, person_like: DataFrame) -> DataFrame:
+    """All nine tables as one log (``operators.deletes.LOG``): accounts exist from
+    the start and are opened again by a sign-up of their own; an ``unrate`` of a
+    film asks to delete the user's rating and view of it and the reviews and
+    replies under it; a sign-up of an item number asks to delete that user."""
+    def rows(df: DataFrame, entity: str, op: str, record, ts: str, src: int, k1, k2=F.lit(0), user=None, review=None,
+             actor=None, value=None) -> DataFrame:
+        null = F.lit(None)
+        return df.select(F.lit(entity).alias("entity"), F.lit(op).alias("op"), record.cast("string").alias("record"),
+                         (null if user is None else F.col(user)).cast("long").alias("user_id"),
+                         (null if review is None else F.col(review)).cast("long").alias("review_id"),
+                         (null if actor is None else F.col(actor)).cast("long").alias("actor"),
+                         (null if value is None else F.col(value)).cast("string").alias("value"),
+                         (ts if not isinstance(ts, str) else F.col(ts)).cast("timestamp").alias("ts"), F.lit(src).alias("src"),
+                         k1.cast("long").alias("k1"), k2.cast("long").alias("k2"))
+
+    def pair(a: str, b: str):
+        return F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
+
+    of = lambda kind: act.filter(F.col("kind") == kind)
+    k1, k2 = F.col("k1"), F.col("k2")
+    film = pair("user_id", "item_id")
+
+    def logged(kind: str, entity: str, op: str, **more) -> list[DataFrame]:
+        return [rows(of(kind).filter(F.col("src") == n), entity, op, film, "ts", n, k1, k2, **more) for n in (0, 1)]
+
+    signups = events.filter(F.col("event_type") == "signup").withColumn("item", _event_item(F.col("props")))
+    gone = of("unrate").select(F.col("user_id").alias("actor"), F.col("item_id").alias("movie_id"), "ts", "k1")
+    under = replies.join(revs.select(F.col("id").alias("review_id"), "movie_id"), "review_id")
+    parts = [
+        rows(users, "user", "put", F.col("id"), F.lit("1970-01-01 00:00:00"), -1, F.lit(0), user="id", value="username"),
+        rows(signups.join(users.select(F.col("id").alias("user_id"), "username"), "user_id"), "user", "put", F.col("user_id"), "ts", 1,
+             F.col("event_id"), user="user_id", value="username"),
+        rows(signups.filter("item is not null"), "user", "delete", F.col("item"), "ts", 1, F.col("event_id"), actor="user_id"),
+        *logged("rate", "rating", "put", user="user_id", value="score"),
+        *logged("like", "like", "toggle", user="user_id"), *logged("favorite", "favorite", "toggle", user="user_id"),
+        *logged("view", "history", "put", user="user_id"),
+        *logged("unrate", "rating", "delete", actor="user_id"), *logged("unrate", "history", "delete", actor="user_id"),
+        rows(revs, "review", "put", F.col("id"), "created_at", 2, F.col("id"), user="user_id", value="movie_id"),
+        rows(replies, "reply", "put", F.col("id"), "created_at", 2, F.col("id"), user="user_id", review="review_id"),
+        rows(revs.select("id", "movie_id").join(gone, "movie_id"), "review", "delete", F.col("id"), "ts", 1, k1, actor="actor"),
+        rows(under.select("id", "movie_id").join(gone, "movie_id"), "reply", "delete", F.col("id"), "ts", 1, k1, actor="actor"),
+        rows(review_like, "review_like", "toggle", pair("user_id", "review_id"), "ts", 2, F.col("seq"), user="user_id", review="review_id"),
+        rows(person_like, "liked_person", "toggle", pair("user_id", "person_name"), "ts", 3, F.col("seq"), user="user_id",
+             value="person_type"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def persons(t: DriverTables) -> DataFrame:
     """Person directory in file order (``ord``)."""
     s = t.supplier.select("s_suppkey", "s_name", "s_nationkey")

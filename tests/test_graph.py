@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import catalogue as C
@@ -51,19 +52,59 @@ def test_edge_weights_and_last_record(spark, raw_items):
     assert e[("2", "genre:A")] == 1.0
 
 
-def test_personalized_pagerank_fixed_point(spark, raw_items):
+@pytest.mark.parametrize("width, tol", [(1, 1e-2), (16, 1e-4)])
+def test_push_stays_within_its_bound(spark, raw_items, width, tol):
+    """0 <= exact - pushed <= slack * weighted degree, for every film as a seed."""
     items, nodes, edges = _graph(spark, raw_items)
-    seeds = spark.createDataFrame([("1",)], "seed string")
-    ppr = G.personalized_pagerank(nodes, edges, seeds, tol=1e-12, max_iter=200)
-    got = {r.node: r.x for r in ppr.collect()}
+    seeds = items.select(F.col("id").alias("seed")).distinct()
     nl = [r.node for r in nodes.collect()]
     el = [(r.src, r.dst, r.weight) for r in edges.collect()]
-    pv = {r.node: r.p for r in G.restart_vectors(seeds, edges).collect()}
-    p = np.array([pv.get(n, 0.0) for n in nl])
-    ref = _numpy_pagerank(nl, el, 300, p=p)
-    assert abs(sum(got.values()) - 1.0) < 1e-6
-    for k, v in got.items():
-        assert abs(v - ref[k]) < 1e-6
+    degree = dict.fromkeys(nl, 0.0)
+    for s, d, w in el:
+        degree[s] += w
+        degree[d] += w
+    slack = tol / np.mean([w for w in degree.values() if w])
+    restart = {}
+    for r in G.restart_vectors(seeds, edges).collect():
+        restart.setdefault(r.seed, {})[r.node] = r.p
+    got = {}
+    for r in G.personalized_pagerank(nodes, edges, seeds, tol=tol, width=width).collect():
+        got.setdefault(r.seed, {})[r.node] = r.x
+    assert set(got) == {r.seed for r in seeds.collect()}
+    for seed, x in got.items():
+        p = np.array([restart[seed].get(n, 0.0) for n in nl])
+        ref = _numpy_pagerank(nl, el, 300, p=p)
+        for node in nl:
+            assert -1e-12 <= ref[node] - x.get(node, 0.0) <= slack * degree[node] + 1e-12
+    assert got["10"] == {"10": 1.0}  # no edges: all mass stays
+    if tol == 1e-2:  # the state holds pushed nodes only
+        assert sum(map(len, got.values())) < len(got) * len(nl)
+
+
+def test_hubs_are_split_over_the_partitions(spark):
+    """One genre holds half of all films: no partition of the transitions exceeds three times the median."""
+    n, parts = 4000, 8
+    edges = spark.range(n).select(F.col("id").cast("string").alias("src"), F.explode(F.array(
+        F.when(F.col("id") % 2 == 0, F.lit("genre:hub")).otherwise(F.concat(F.lit("genre:"), F.col("id"))),
+        F.concat(F.lit("director:"), (F.col("id") * 7) % 900), F.concat(F.lit("actor:"), (F.col("id") * 13) % 1500))).alias("dst"),
+        F.lit("BELONGS_TO").alias("relation"), F.lit(1.0).alias("weight"), F.lit(0).alias("pos"))
+    trans, hubs = G.split_hubs(G._transitions(edges), edges.count(), parts)
+    sizes = sorted(r["count"] for r in trans.repartition(parts, "src", "salt").groupBy(F.spark_partition_id()).count().collect())
+    assert hubs.count() == 1 and len(sizes) == parts and sizes[-1] <= 3 * sizes[parts // 2]
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    el = [(r.src, r.dst, r.weight) for r in edges.collect()]
+    got = {r.node: r.pagerank for r in G.pagerank(nodes, edges, max_iter=3, tol=None).collect()}
+    idx = {k: i for i, k in enumerate(got)}
+    deg = np.zeros(len(idx))
+    a, b = np.array([idx[s] for s, _, _ in el]), np.array([idx[d] for _, d, _ in el])
+    np.add.at(deg, np.concatenate([a, b]), 1)
+    x = np.full(len(idx), 1 / len(idx))
+    for _ in range(3):
+        y = np.zeros(len(idx))
+        np.add.at(y, b, x[a] / deg[a])
+        np.add.at(y, a, x[b] / deg[b])
+        x = 0.85 * y + 0.15 / len(idx)
+    assert max(abs(got[k] - x[i]) for k, i in idx.items()) < 1e-12
 
 
 def test_common_neighbors_symmetric_jaccard(spark, raw_items):
