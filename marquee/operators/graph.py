@@ -37,6 +37,7 @@ ALPHA = 0.85
 MAX_ITER = 100
 TOL = 1e-6
 RESTART_NEIGHBOURS = 20
+PARTITION_EDGES = 200_000  # transitions of a partition in the loops
 HUB_SHARE = 8      # a node with more than 1 / (HUB_SHARE * partitions) of all transitions is split
 ORDER_PLACES = 12
 PUSH_WIDTH = 16    # seeds that share one row per node in the push state
@@ -144,8 +145,14 @@ def _checkpoint(df: DataFrame, i: int = 1, every: int = 1) -> DataFrame:
     return out
 
 
-def _partitions(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def _partitions(spark, n_edges: int) -> int:
+    """Partitions of a loop's tables: by the number of transitions, at most the session's."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-2 * n_edges // PARTITION_EDGES)))
+
+
+def _placed(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Hash partitions, or a single one, in which joins and aggregates need no exchange at all."""
+    return df.repartition(1) if parts == 1 else df.repartition(parts, *keys)
 
 
 def _release(*dfs) -> None:
@@ -164,11 +171,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, max_iter:
     # The transition table is hash-partitioned on the source and its salt once
     # and cached, so the per-round join does not move the edges -- only the
     # rank vector (a hub once per salt) and the per-destination partial sums.
-    parts = _partitions(spark)
-    trans, hubs = split_hubs(_transitions(edges), edges.count(), parts)
+    n_edges = edges.count()
+    parts = _partitions(spark, n_edges)
+    trans, hubs = split_hubs(_transitions(edges), n_edges, parts)
     hubs = _checkpoint(hubs)
-    trans = trans.repartition(parts, "src", "salt").persist()
-    v = nodes.select("node").distinct().repartition(parts, "node").persist()
+    trans = _placed(trans, parts, "src", "salt").persist()
+    v = _placed(nodes.select("node").distinct(), parts, "node").persist()
     n = v.count()
     if n == 0:
         return v.select("node", F.lit(0.0).alias("pagerank"), F.lit(0).alias("rounds"))
@@ -243,9 +251,11 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     all their mass. ``max_rounds`` stops earlier."""
     from marquee.functions.agg import dense_ids
     spark = nodes.sparkSession
-    parts = _partitions(spark)
+    n_edges = edges.count()
     wanted = _checkpoint(seeds.select("seed").distinct())
-    width = max(1, min(width, wanted.count()))
+    n_seeds = wanted.count()
+    width = max(1, min(width, n_seeds))
+    parts = _partitions(spark, n_edges * n_seeds)  # a round moves as many numbers at most
     lanes = range(width)
     ids = _checkpoint(dense_ids(wanted, "seed", "no").select(
         "seed", F.floor(F.col("no") / width).cast("long").alias("block"), (F.col("no") % width).cast("int").alias("lane")))
@@ -255,14 +265,14 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     mean = degree.agg(F.sum("wt") / F.count(F.lit(1))).first()[0]
     slack = tol / mean if mean else 0.0
     trans = _transitions(edges).join(degree.select(F.col("node").alias("dst"), "wt"), "dst")
-    trans, hubs = split_hubs(trans, edges.count(), parts)
+    trans, hubs = split_hubs(trans, n_edges, parts)
     hubs = _checkpoint(hubs)
-    trans = trans.repartition(parts, "src", "salt").persist()
+    trans = _placed(trans, parts, "src", "salt").persist()
     start = restart_vectors(ids.select("seed"), edges).join(ids, "seed")
     state = (start.groupBy("block", "node").agg(*[F.sum(F.when(F.col("lane") == i, F.col("p")).otherwise(0.0)).alias(f"r{i}") for i in lanes])
              .join(degree, "node", "left")
              .select("block", "node", "wt", *[F.lit(0.0).alias(f"x{i}") for i in lanes], *[f"r{i}" for i in lanes]))
-    state = _checkpoint(state)
+    state = _checkpoint(_placed(state, parts, "block", "node"))
     # the columns of a round, made once: null weights (no edges) are never due
     due = [f"(r{i} > 0 AND r{i} >= {slack!r}D * wt)" for i in lanes]
     any_due = " OR ".join(due)
@@ -277,7 +287,8 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
             break
         rounds += 1
         moved = trans.join(copied(state.filter(any_due).selectExpr(*front_cols), hubs), ["src", "salt"]).selectExpr(*moved_cols)
-        state = state.selectExpr(*kept_cols).unionByName(moved).groupBy("block", "node").agg(*sums)
+        both = state.selectExpr(*kept_cols).unionByName(moved)
+        state = (both.coalesce(1) if parts == 1 else both).groupBy("block", "node").agg(*sums)
         # rounds between two checkpoints are only cached; a round without a node to push changes nothing
         state = _checkpoint(state, rounds, checkpoint_every)
         held.append(state)
