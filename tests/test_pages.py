@@ -79,10 +79,8 @@ import sys
 sys.path.insert(0, {repo!r})
 from marquee.session import local_session
 from marquee.sources.store import Store
-from pyspark.sql import SparkSession
-SparkSession.builder.config("spark.checkpoint.dir", {shared!r})
 spark = local_session(2, 2)
-store = Store(spark, "v1")
+store = Store(spark, "v1", {shared!r})
 built = []
 df = store.get_or_build("numbers", lambda: built.append(1) or spark.range(5))
 print("RESULT", len(built), sorted(r.id for r in df.collect()), store.tables(), store.root)
