@@ -6,7 +6,7 @@ partial aggregate) and its best move is the one of greatest modularity gain. All
 nodes deciding at once could undo each other's gains, so a hashed half of them
 moves, and a round counts only if the modularity of the whole partition rose:
 it comes out of the next round's sums. Otherwise the round is taken back and a
-smaller part moves; one node moving alone always gains. When no part gains,
+smaller part moves, at last the one node that gains most, alone. When no move gains,
 communities become the nodes of the next level (edges added up, inner weight as
 loops), until a level changes nothing. Every round is a reliable checkpoint.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from marquee.session import ensure_checkpoint_dir
 
 #: Least rise of modularity that counts, and the smallest part of the nodes that moves at once (2**-n).
-LEAST_GAIN, SMALLEST_PART = 1e-6, 4
+LEAST_GAIN, SMALLEST_PART = 1e-6, 3
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _moves(links: DataFrame, state: DataFrame, total: float) -> DataFrame:
-    """``node, k, c, inner, best``: each node's degree, community, weight of its
-    links inside it (loops included) and the community of its best move."""
+    """``node, k, c, inner, best, better``: each node's degree, community, weight of
+    its links inside it (loops included), the community of its best move and what that gains."""
     to = links.join(state.select(F.col("node").alias("b"), F.col("c").alias("to")), "b")
     per = to.groupBy(F.col("a").alias("node"), "to").agg(
         F.sum(F.when(F.col("a") != F.col("b"), F.col("w")).otherwise(0.0)).alias("w"),
@@ -43,8 +43,8 @@ def _moves(links: DataFrame, state: DataFrame, total: float) -> DataFrame:
     return (per.join(state, "node").join(size, "to")
             .groupBy("node", "k", "c")
             .agg(F.min(F.struct((-gain).alias("loss"), (~own).alias("away"), F.col("to"))).alias("m"),
-                 F.sum(F.when(own, F.col("w") + F.col("loop")).otherwise(0.0)).alias("inner"))
-            .select("node", "k", "c", "inner", F.col("m.to").alias("best")))
+                 F.sum(F.when(own, F.col("w") + F.col("loop")).otherwise(0.0)).alias("inner"), F.min(F.when(own, -gain)).alias("stay"))
+            .select("node", "k", "c", "inner", F.col("m.to").alias("best"), (F.col("stay") - F.col("m.loss")).alias("better")))
 
 
 def _modularity(step: DataFrame, total: float) -> float:
@@ -81,15 +81,24 @@ def louvain(edges: DataFrame, tell: list | None = None) -> DataFrame:
         state = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.col("node"))
         step = _moves(links, state, total).checkpoint()
         q, part, rounds, moved = _modularity(step, total), 1, 0, False
-        while part <= SMALLEST_PART:
+        while True:
             rounds += 1
-            moves = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(1 << part)) == 0
+            alone = part > SMALLEST_PART
+            if alone:  # the best single move, which gains by itself
+                top = step.filter(F.col("better") > LEAST_GAIN * total / 2).orderBy(F.desc("better"), "node").first()
+                if top is None:
+                    break
+                moves = F.col("node") == F.lit(top["node"])
+            else:
+                moves = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(1 << part)) == 0
             new = step.select("node", "k", F.when(moves, F.col("best")).otherwise(F.col("c")).alias("c"))
             after = _moves(links, new, total).checkpoint()
             risen = _modularity(after, total)
             if risen > q + LEAST_GAIN:
                 step, q, moved = after, risen, True
-                part = max(1, part - 1)
+                part = 1 if alone else max(1, part - 1)
+            elif alone:
+                break
             else:
                 part += 1
         if not moved:
