@@ -249,19 +249,6 @@ def q_same_director_genre(cat):
     return G.same_director_genre(cat.items_by_id, edges, _seeds(cat))
 
 
-@register("community_louvain")
-def q_community_louvain(cat):
-    """G7 as intended: communities of the film-attribute graph by modularity, of every film with an edge."""
-    return cat.communities.join(cat.items_by_id.select(F.col("id").alias("node")), "node", "left_semi")
-
-
-@register("community_recommend_louvain")
-def q_community_recommend_louvain(cat):
-    """G9 for the best rated film over the communities found by modularity."""
-    nodes, edges = _graph(cat)
-    return G.community_recommend(cat.items_by_id, edges, cat.communities, _seeds(cat))
-
-
 def _ppr(cat):
     if not hasattr(cat, "_ppr"):
         nodes, edges = _graph(cat)
