@@ -56,3 +56,29 @@ def test_genre_lists_are_scored_once(spark, tables):
     plan = df._jdf.queryExecution().executedPlan().toString()
     # no sum per user and film is exchanged
     assert not any("Exchange hashpartitioning(user_id" in x and "item_id" in x for x in plan.splitlines())
+
+
+def test_content_by_classes_of_equal_texts(spark, tables, monkeypatch):
+    items, weights = tables
+    vec = defaultdict(dict)
+    for r in content.tfidf(content.content_text(items)).collect():
+        vec[r.doc][r.term] = r.w
+    last = {x[1]: x[0] for x in ITEMS}
+    sums = defaultdict(float)
+    for u, seeds in _seeds(H.CONTENT_SEEDS).items():
+        for seed, w in seeds:
+            for k, i, *_ in ITEMS:
+                sim = sum(v * vec[k].get(t, 0) for t, v in vec[last.get(seed, -1)].items())
+                if sim > H.CONTENT_SIM_MIN:
+                    sums[u, i] += w * sim
+    monkeypatch.setattr(content, "cosine_for_targets", None)  # would make a row per target, film and common term
+    _close(_rows(H.channel_content(weights, items)), _share(sums))
+
+
+def test_cosine_in_blocks(spark, tables):
+    vec = content.tfidf(content.content_text(tables[0])).localCheckpoint()
+    targets = vec.select("doc").distinct().filter("doc % 3 = 0")
+    key = lambda df: {(r.target, r.doc): r.sim for r in df.collect()}
+    want = key(content.cosine_for_targets(vec, targets).filter("sim > 0.2"))
+    got = key(content.cosine_above(vec, targets, 0.2, block=7))
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
