@@ -82,3 +82,20 @@ def test_cosine_in_blocks(spark, tables):
     want = key(content.cosine_for_targets(vec, targets).filter("sim > 0.2"))
     got = key(content.cosine_above(vec, targets, 0.2, block=7))
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_als_sums_in_blocks(spark, tables, monkeypatch):
+    r = np.random.default_rng(4)
+    f = {f"i{k}": r.normal(size=5).astype(np.float32) * (k != 3) for k in range(30)}
+    factors = spark.createDataFrame([(i, v.tolist()) for i, v in f.items()], "item_id string, features array<float>")
+    cos = lambda a, b: a.astype(float) @ b.astype(float) / (np.linalg.norm(a.astype(float)) * np.linalg.norm(b.astype(float)) + als.EPS)
+    sums = defaultdict(float)
+    for u, seeds in _seeds(H.ALS_SEEDS).items():
+        for seed, w in seeds:
+            for i, v in f.items():
+                if seed in f and seed != i and f[seed].any() and cos(f[seed], v) > H.ALS_SIM_MIN:
+                    sums[u, i] += w * cos(f[seed], v)
+    monkeypatch.setattr(als, "factor_cosine", None)  # would make a row per seed and film
+    _close(_rows(H.channel_als(tables[1], factors)), _share(sums))
+    seeds = H.top_seeds(tables[1], H.ALS_SEEDS)
+    _close(_rows(als.weighted_cosine(factors, seeds, H.ALS_SIM_MIN, block=7, user_block=2)), _share(sums))
