@@ -99,3 +99,36 @@ def test_als_sums_in_blocks(spark, tables, monkeypatch):
     _close(_rows(H.channel_als(tables[1], factors)), _share(sums))
     seeds = H.top_seeds(tables[1], H.ALS_SEEDS)
     _close(_rows(als.weighted_cosine(factors, seeds, H.ALS_SIM_MIN, block=7, user_block=2)), _share(sums))
+
+
+@pytest.mark.parametrize("block, user_block", [(10**6, 10**6), (150, 7)])
+def test_best_films_in_blocks(spark, block, user_block):
+    r = np.random.default_rng(6)
+    films = r.random((700, 5)).astype(np.float32)
+    films[100:140], films[350:] = films[0], films[:350]  # equal films tie, the smaller id first
+    people = r.random((25, 5)).astype(np.float32)
+    people[3] = 0
+    ids = [f"i{k}" for k in range(len(films))]
+    got = als.best_films(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(people)], "user_id long, features array<float>"),
+                         spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, films)], "item_id string, features array<float>"),
+                         12, block=block, user_block=user_block)
+    got = {(x.user_id, x.rk): (x.item_id, x.score) for x in got.collect()}
+    want = {}
+    for u, v in enumerate(people):
+        s = (films.astype(float) @ v.astype(float)).astype(np.float32)
+        for rk, k in enumerate(sorted(range(len(ids)), key=lambda k: (-s[k], ids[k]))[:12], 1):
+            want[u, rk] = (ids[k], float(s[k]))
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    assert got == want
+
+
+def test_lists_of_all_users_do_not_go_through_mllib(spark):
+    class Model:  # MLlib's model would have recommendForAllUsers here
+        userFactors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "id int, features array<float>")  # noqa: N815
+        itemFactors = spark.createDataFrame([(0, [2.0, 1.0]), (1, [1.0, 3.0])], "id int, features array<float>")  # noqa: N815
+
+    model = als.ItemModel(Model, spark.createDataFrame([("a", 0), ("b", 1)], "item_id string, item int"),
+                          spark.createDataFrame([(7, 0), (8, 1)], "user_id long, user int"))
+    got = [(r.user_id, r.rk, r.item_id, r.score) for r in als.als_recommend_users(model, 1).collect()]
+    assert sorted(got) == [(7, 1, "a", 2.0), (8, 1, "b", 3.0)]
