@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from marquee.operators import catalogue as C
@@ -46,3 +50,20 @@ def test_entity_match_tiers(spark):
     c = spark.createDataFrame(rows, "name string, pos int, cand_id string, title string, text string")
     got = {r.name: (r.cand_id, r.how) for r in P.entity_match(c).collect()}
     assert got == {"张三": ("b", "match"), "Anna Lee": ("d", "match"), "Bo": ("e", "fallback")}
+
+
+def test_collaborators_of_all_names_do_not_move_pairs(spark):
+    rnd = random.Random(3)
+    films = {o: [f"p{rnd.randint(0, 14)}" for _ in range(rnd.randint(0, 6))] for o in range(40)}
+    rows = [(str(o), o, p, "actor", i + 1) for o, ps in films.items() for i, p in enumerate(ps)]
+    cr = spark.createDataFrame(rows, "item_id string, ord long, person string, role string, pos int")
+    persons = spark.createDataFrame([(1, "p3", "pic", None)], "ord long, name string, avatar_local_path string, profession string")
+    out = P.collaborators(cr, None, persons, n=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(seed#\d+, other#\d+", plan)
+    want = set()
+    for seed in {p for ps in films.values() for p in ps}:
+        met = Counter(p for ps in films.values() if seed in ps for p in ps if p != seed)
+        best = sorted(met.items(), key=lambda x: (-x[1], x[0]))[:4]
+        want |= {(seed, k + 1, o, c, "pic" if o == "p3" else "", "") for k, (o, c) in enumerate(best)}
+    assert {tuple(r) for r in out.collect()} == want
