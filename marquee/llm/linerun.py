@@ -15,8 +15,8 @@ power of two within it, and the lengths double from there), or one line of ``min
 No name is ever gathered: its number of suffixes and its first one are partial aggregates. Names of more than
 1 / ``HOT`` of all rows, ``HOT`` at most, meet their rows by a broadcast of that bounded table, all others by a shuffle.
 
-Defined cases: null texts have no lines; empty texts one, blank; a run of lines with no letter or digit at all isn't
-deleted; rows that repeat a doc_id with the same text are one document (all copies change alike), with other texts
+Defined cases: null texts have no lines; empty texts one, blank; ``min_lines`` lines with no letter or digit at all aren't
+deleted, nor is what a longer run has of such lines beside others; rows that repeat a doc_id with the same text are one document (all copies change alike), with other texts
 documents of their own; rows without doc_id come after all others. Columns of the input besides doc_id and text are
 kept as they are.
 """
@@ -73,9 +73,11 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
         found = later.select(*doc, "at", F.lit(length).alias("n"))
         spans = found if spans is None else spans.unionByName(found)
         ahead = length if length >= min_lines else min(length, min_lines - length)
+        # a run of min_lines needs one solid line; a longer one counts only if each of min_lines within it does
+        mixed = F.least if length >= min_lines else F.greatest
         ahead_of = now.select(*doc, (F.col("at") - ahead).alias("at"), F.col("name").alias("next"), F.col("solid").alias("solid_next"))
         longer = now.join(ahead_of, [*doc, "at"]).select(*doc, "at", F.md5(F.concat("name", "next").cast("binary")).alias("name"),
-                                                         F.greatest("solid", "solid_next").alias("solid"), F.lit(True).alias("long"))
+                                                         mixed("solid", "solid_next").alias("solid"), F.lit(True).alias("long"))
         now = _shared(written(longer, "longer"))
         length += ahead
         if now.isEmpty():

@@ -160,6 +160,13 @@ def test_line_runs_against_all_runs(docs, m):
     assert got == lines_left(rows, m)
 
 
+def test_blank_lines_of_a_longer_run_stay(docs):
+    """Two blank lines are no run, also where a longer run of lines holds them."""
+    rows = [(i, "\n".join([f"own {i}", "", "", "", "shared one", "shared two"])) for i in range(3)]
+    got = {x.doc_id: x.text for x in linerun.deduplicated(docs(rows)).collect()}
+    assert got == lines_left(rows, 2) and got[1] == "own 1\n\n"
+
+
 def test_a_long_line_repeats_between_other_lines(docs):
     line = " ".join(f"word{i}" for i in range(120))
     rows = [(i, f"before {i}\n{line}\nafter {i}") for i in range(4)] + [(9, f"short\n{line[:40]}\nshort {line[:40]}")]
