@@ -61,32 +61,65 @@ def _counted(pair: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([stands[used], rest]), which, np.concatenate([count[used], more])
 
 
+def _grouped(seq: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs that begin at places ``at`` (ascending) of ``seq``, whose symbols are ``top`` at most, how often
+    each occurs, and the places pair by pair."""
+    a, b = seq[at].astype(np.uint64), seq[at + 1].astype(np.uint64)
+    wide, far = top.bit_length(), len(seq).bit_length()
+    if 2 * wide + far > 64:  # pair and place don't fit one number
+        pair = a << np.uint64(32) | b
+        each, which, times = _counted(pair, _slot(pair))
+        return each, times, at[np.argsort(which, kind="stable")]
+    key = (a << np.uint64(wide) | b) << np.uint64(far) | at.astype(np.uint64)
+    key.sort()
+    at = (key & np.uint64((1 << far) - 1)).astype(np.int64)
+    key >>= np.uint64(far)
+    begin = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+    each = key[begin]
+    return (each >> np.uint64(wide) << np.uint64(32) | each & np.uint64((1 << wide) - 1), np.diff(np.append(begin, len(key))), at)
+
+
 def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST):
-    """Symbols, rules (n x 2) and expansion lengths of the grammar of ``ids``, all below ``first``."""
-    seq, rules = ids.astype(np.uint64), []
+    """Symbols, rules (n x 2) and expansion lengths of the grammar of ``ids``, all below ``first``.
+
+    No pair becomes more frequent later, and new ones lie beside new symbols. So a round counts the places that a round
+    before found in a frequent pair and did not replace, and those beside its new symbols (``live``); the counts are
+    exact."""
+    seq, rules = ids.astype(np.uint32), []
     size = np.ones(1, np.int64)  # expansion length by nonterminal, after one entry for plain ids
+    live = np.ones(len(seq), bool)
     n_rules, most = 0, pairs
     while len(seq) > 1:
-        pair = seq[:-1] << np.uint64(32) | seq[1:]
-        slot = _slot(pair)
-        # a slot holds at least as many as each of its pairs, so only pairs in frequent slots have to be told apart
-        hit = np.flatnonzero((np.bincount(slot, minlength=_SLOTS) >= least)[slot])
-        each, which, times = _counted(pair[hit], slot[hit])
+        places = np.flatnonzero(live[:-1])
+        each, times, at = _grouped(seq, places, first + n_rules)
         often = np.flatnonzero(times >= least)
         if not len(often):
             break
+        live[places] = False
+        live[at[np.repeat(times >= least, times)]] = True
         often = often[np.lexsort((each[often], -times[often]))[:most]]  # ties by the pair itself
         chosen = each[often]
-        rule = np.full(len(each), -1, np.int64)
+        rule = np.full(len(each), -1, np.int32)
         rule[often] = np.arange(len(often))
-        rule = rule[which]
-        hit, rule = hit[rule >= 0], rule[rule >= 0]
+        rule = np.repeat(rule, times)
+        at, rule = at[rule >= 0], rule[rule >= 0]
+        if len(at) * 16 < len(seq):
+            order = np.argsort(at)
+            hit, rule = at[order], rule[order]
+        else:
+            by_place = np.full(len(seq), -1, np.int32)
+            by_place[at] = rule
+            hit = np.flatnonzero(by_place >= 0)
+            rule = by_place[hit]
         # runs of adjacent hits overlap: take every second one of a run, from its start
         begin = np.concatenate([[True], np.diff(hit) != 1])
-        place = np.arange(len(hit)) - np.maximum.accumulate(np.where(begin, np.arange(len(hit)), 0))
-        hit, rule = hit[place % 2 == 0], rule[place % 2 == 0]
+        place = np.arange(len(hit))
+        take = (place - np.maximum.accumulate(np.where(begin, place, 0))) & 1 == 0
+        hit, rule = hit[take], rule[take]
         keep = np.bincount(rule, minlength=len(chosen)) >= min(least, 4)
-        hit, rule = hit[keep[rule]], rule[keep[rule]]
+        if not keep.all():
+            take = keep[rule]
+            hit, rule = hit[take], rule[take]
         if not len(hit):
             if len(chosen) == 1:
                 break
@@ -95,15 +128,18 @@ def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST
         most = pairs
         number = np.cumsum(keep) - 1
         new = chosen[keep]
-        seq[hit] = (first + n_rules + number[rule]).astype(np.uint64)
+        seq[hit] = (first + n_rules + number[rule]).astype(np.uint32)
         left = np.ones(len(seq), bool)
         left[hit + 1] = False
-        seq = seq[left]
+        seq, live = seq[left], live[left]
+        now = hit - np.arange(len(hit))  # each hit before has taken one symbol away
+        live[now] = True
+        live[now[now > 0] - 1] = True
         ab = np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
         rules.append(ab)
         size = np.concatenate([size, size[np.maximum(ab - first + 1, 0)].sum(1)])
         n_rules += len(new)
-    return (seq.astype(np.uint32), np.concatenate(rules).astype(np.uint32) if rules else np.empty((0, 2), np.uint32),
+    return (seq, np.concatenate(rules).astype(np.uint32) if rules else np.empty((0, 2), np.uint32),
             size[1:].astype(np.uint32))
 
 

@@ -250,6 +250,18 @@ def test_grammar_leaves_no_frequent_pair():
     assert lens.max() > 320 and len(seq) < len(cases[0]) / 5000
 
 
+def test_grammar_rounds_count_changed_places_only(monkeypatch):
+    """Later rounds don't count all pairs again, and ids too wide to pack with their place give the same grammar."""
+    counted, grouped = [], repair._grouped
+    monkeypatch.setattr(repair, "_grouped", lambda seq, at, top: counted.append(len(at)) or grouped(seq, at, top))
+    ids = (np.random.default_rng(7).zipf(1.2, 200_000) % 9000).astype(np.uint32)
+    seq, rules, lens = repair.compress(ids, 9000)
+    assert len(counted) > 2 and sum(counted) < 1.6 * len(ids)
+    far = np.uint32(1 << 31)
+    wide_seq, wide_rules, wide_lens = repair.compress(ids + far, 9000 + int(far))
+    assert np.array_equal(wide_seq, seq + far) and np.array_equal(wide_rules, rules + far) and np.array_equal(wide_lens, lens)
+
+
 def check_packing(rows, got, capacity):
     pieces = defaultdict(list)
     for r in got:
