@@ -7,18 +7,20 @@ deletion whose actor may ask for it (``TABLES``: the owner, an admin, or either)
 or with its parent; so it needs every parent alive at its insertion and ever
 since. A parent that is inserted again starts a new life without its old
 children. Tables are reduced in the order of their foreign keys: per table one
-join per parent, one for the deletions, one aggregate.
+join per parent, one move to the deletions, one aggregate.
 
 ``surviving`` reduces a whole log; ``stream_deletes`` the same as a stream, whose
 state is the surviving rows: a micro-batch's deletions and its parents' deaths
 remove rows of that state, and what died before is no longer in it.
+
+A record's rows move once to its requests; the order columns move plain.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG = ("entity string, op string, record string, user_id long, review_id long, actor long, value string, "
@@ -62,25 +64,29 @@ def surviving_rows(log: DataFrame, admins: DataFrame) -> dict[str, DataFrame]:
     admin = admins.select("actor").distinct().withColumn("_admin", F.lit(True))
     for table in TABLES:
         mine = log.filter(F.col("entity") == table.name)
-        rows = mine.filter(F.col("op") != "delete").withColumn("_o", _order())
+        rows = mine.filter(F.col("op") != "delete").drop("entity")
         for column, parent in table.parents:
             life = lives[parent].select(F.col("record").alias("_p"), F.col("since").alias("_since"))
-            rows = (rows.join(life, F.col(column).cast("string") == F.col("_p")).filter(F.col("_o") > F.col("_since"))
+            rows = (rows.join(life, F.col(column).cast("string") == F.col("_p")).filter(_order() > F.col("_since"))
                     .drop("_p", "_since"))
         if table.may:
-            owner = rows.groupBy("record").agg(F.min_by("user_id", "_o").alias("_owner"))
-            asked = (mine.filter(F.col("op") == "delete").withColumn("_o", _order()).select("record", "actor", "_o")
-                     .join(admin, "actor", "left").join(owner, "record"))
+            # a record's rows and the requests for it meet once: its owner, then its death, are found where they lie
+            asked = (mine.filter((F.col("op") == "delete") & F.col("record").isNotNull()).select("record", "actor", *ORDER)
+                     .join(admin, "actor", "left").withColumn("_asks", F.lit(True)))
+            by_record = Window.partitionBy("record")
             right = F.lit(False)
             if "owner" in table.may:
                 right = right | (F.col("actor") == F.col("_owner"))
             if "admin" in table.may:
                 own = F.lit(False) if table.name != "user" else F.col("actor").cast("string") == F.col("record")
                 right = right | (F.coalesce("_admin", F.lit(False)) & ~own)
-            death = asked.filter(right).groupBy("record").agg(F.max("_o").alias("_death"))
-            rows = rows.join(death, "record", "left").filter(F.col("_death").isNull() | (F.col("_o") > F.col("_death"))).drop("_death")
-        out[table.name] = rows
-        lives[table.name] = rows.groupBy("record").agg(F.min("_o").alias("since"))
+            first = F.min(F.when(F.col("_asks").isNull(), F.struct(*ORDER, "user_id"))).over(by_record)
+            rows = (rows.unionByName(asked, allowMissingColumns=True).withColumn("_owner", first["user_id"])
+                    .withColumn("_death", F.max(F.when(F.col("_asks") & right, _order())).over(by_record))
+                    .filter(F.col("_asks").isNull() & (F.col("_death").isNull() | (_order() > F.col("_death"))))
+                    .drop("_asks", "_admin", "_owner", "_death"))
+        out[table.name] = rows.withColumn("entity", F.lit(table.name))
+        lives[table.name] = rows.groupBy("record").agg(F.min(_order()).alias("since"))
     return out
 
 
@@ -90,11 +96,11 @@ def states(rows: dict[str, DataFrame]) -> DataFrame:
     out = None
     for table in TABLES:
         g = rows[table.name].groupBy("record").agg(
-            F.max_by("user_id", "_o").alias("user_id"), F.max_by("review_id", "_o").alias("review_id"), F.max_by("value", "_o").alias("value"),
-            F.min("_o")["ts"].alias("since"), F.max("_o")["ts"].alias("last"), F.count(F.lit(1)).alias("_n"))
+            F.max(F.struct(*ORDER, "user_id", "review_id", "value")).alias("_last"), F.min("ts").alias("since"), F.count(F.lit(1)).alias("_n"))
         if table.toggle:
             g = g.filter(F.col("_n") % 2 == 1)
-        g = g.select(F.lit(table.name).alias("entity"), "record", "user_id", "review_id", "value", "since", "last")
+        g = g.select(F.lit(table.name).alias("entity"), "record", "_last.user_id", "_last.review_id", "_last.value", "since",
+                     F.col("_last.ts").alias("last"))
         out = g if out is None else out.unionByName(g)
     return out
 
@@ -135,5 +141,4 @@ def stream_deletes(spark: SparkSession, source: str, admins: DataFrame, out_path
     stream.writeStream.foreachBatch(fold).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
     version = _latest(spark, out_path)
     state = spark.read.schema(LOG).parquet(f"{out_path}/version={version}") if version else spark.createDataFrame([], LOG)
-    rows = state.withColumn("_o", _order())
-    return states({t.name: rows.filter(F.col("entity") == t.name) for t in TABLES})
+    return states({t.name: state.filter(F.col("entity") == t.name) for t in TABLES})

@@ -3,6 +3,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from marquee.operators import deletes as D
 
@@ -101,3 +102,16 @@ def test_rights_and_new_lives(spark):
         row("review", "delete", 10, 12, actor=1), row("reply", "put", 31, 13, user=3, review=10)]  # no review to reply to
     got = {(r.entity, r.record): r.value for r in D.surviving(spark.createDataFrame(log, D.LOG), admins_of(spark)).collect()}
     assert got == {("user", "1"): None, ("user", "2"): None, ("user", "3"): None, ("user", "4"): None, ("rating", "4:a"): "7"}
+
+
+def test_rows_meet_their_requests_in_one_move(spark):
+    """A table's rows move once by record for owners, deaths and lives together, without a copy of the order columns."""
+    log = spark.createDataFrame([], D.LOG)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = D.surviving_rows(log, spark.createDataFrame([], "actor long"))["user"]
+        plan = rows.groupBy("record").agg(F.min(D._order()).alias("since"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange hashpartitioning(record") == 1 and "_o" not in rows.columns
