@@ -174,6 +174,32 @@ def test_links_and_components_are_exact(table, monkeypatch):
     assert all(got[i].kept == (low[i] == i) for i in range(len(x)))
 
 
+def test_tasks_and_pairs_held_are_bounded(table, monkeypatch):
+    """A dense group's near pairs are looked at by parts, and blocks are dealt to as many tasks as their rows ask for."""
+    r = np.random.default_rng(6)
+    x = clusters(r, 3, 60, (0.985, 0.999))
+    parts, held, written = [], [], itq.written
+
+    def seen(df, name, *more):
+        if name == "found":
+            parts.append(df.rdd.getNumPartitions())
+        return written(df, name, *more)
+
+    monkeypatch.setattr(itq, "written", seen)
+    monkeypatch.setattr(itq, "PAIRS", 100)
+    monkeypatch.setattr(itq, "TASK_ROWS", 50)
+    n, low = linked(x, [0] * len(x))
+    got = {q.vec_id: q for q in itq.near_duplicates(table(list(range(len(x))), x, [0] * len(x))).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == list(zip(n.tolist(), low.tolist(), strict=True))
+    assert parts[0] > 8
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    pairs = set()
+    for i, j in itq._near(u, np.arange(60), np.arange(40), 0.9):
+        held.append(len(i))
+        pairs |= set(zip(i.tolist(), j.tolist(), strict=True))
+    assert max(held) <= 100 and pairs == set(zip(*(a.tolist() for a in np.nonzero(u[:60] @ u[:40].T >= 0.9 - 1e-9)), strict=True))
+
+
 def test_recall_at_the_threshold(table):
     """Pairs of cosine 0.93 to 0.94, each pair far from all others."""
     r = np.random.default_rng(4)
