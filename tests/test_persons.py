@@ -67,3 +67,24 @@ def test_collaborators_of_all_names_do_not_move_pairs(spark):
         best = sorted(met.items(), key=lambda x: (-x[1], x[0]))[:4]
         want |= {(seed, k + 1, o, c, "pic" if o == "p3" else "", "") for k, (o, c) in enumerate(best)}
     assert {tuple(r) for r in out.collect()} == want
+
+
+def test_pairs_are_added_up_without_rows_of_their_own(spark, monkeypatch):
+    import pyarrow as pa
+    rnd = random.Random(4)
+    lists = [(s, [rnd.randint(0, 30) for _ in range(rnd.randint(0, 12))]) for s in range(9) for _ in range(30)]
+    rnd.shuffle(lists)
+    monkeypatch.setattr(P, "CHUNK_PAIRS", 50)  # many chunks
+    batches = [pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int32()), pa.array([c for _, c in part], pa.list_(pa.int32()))], names=["seed", "codes"])
+               for part in (lists[i:i + 20] for i in range(0, len(lists), 20))]
+    got = {tuple(r.values()) for b in P._best_pairs(iter(batches), 5) for r in b.to_pylist()}
+    want = set()
+    for seed in range(9):
+        met = Counter(c for s, codes in lists if s == seed for c in codes if c != seed)
+        want |= {(seed, o, n, k) for k, (o, n) in enumerate(sorted(met.items(), key=lambda x: (-x[1], x[0]))[:5], 1)}
+    assert got == want
+    assert sum(b.num_rows for b in P._best_pairs(iter([]), 5)) == 0
+    cr = spark.createDataFrame([("1", 1, p, "actor", 1) for p in "abc"], "item_id string, ord long, person string, role string, pos int")
+    persons = spark.createDataFrame([], "ord long, name string, avatar_local_path string, profession string")
+    plan = P.collaborators(cr, None, persons)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Window" not in plan  # the seeds of a film only
